@@ -83,6 +83,12 @@ def systematic_copies(docs: DataFrame, seed: int = 17, cap: int = 3, weights=WEI
     return rows.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(cap)).cast("long").alias("copies"), *(["row"] if carry else []))
 
 
+def mix_report(docs: DataFrame, seed: int = 17, cap: int = 3, weights=WEIGHTS) -> DataFrame:
+    """doc_id, size, source_size, target and taken, the words the mix takes of each document."""
+    rows = systematic_copies(docs, seed, cap, weights)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def mixed_rows(docs: DataFrame, seed: int = 17, cap: int = 3, weights=WEIGHTS) -> DataFrame:
     """The mix: each document's row, with the columns it came with, as often as it is taken."""
     taken = systematic_copies(docs, seed, cap, weights, carry=True).filter("copies > 0")
