@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import mixing, packing, tiff
+from tidewell.llm import mixing, packing, substring, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_tiff": op1_tiff, "op3_mixing": op3_mixing, "op6_packing": op6_packing}
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_tiff": op1_tiff, "op3_mixing": op3_mixing, "op6_packing": op6_packing, "op10_substring": op10_substring}
 OP_SQL = {"op3_mixing": mixing.OP3_SQL}
