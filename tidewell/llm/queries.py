@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import mixing, packing, runs_index, substring, tiff
+from tidewell.llm import mixing, nearjoin, packing, runs_index, substring, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +33,13 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_report(table(spark, sf_dir, "documents"))
 
 
+def op7_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_index.run_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_tiff": op1_tiff, "op3_mixing": op3_mixing, "op6_packing": op6_packing, "op9_runs": op9_runs, "op10_substring": op10_substring}
+QUERIES = {"op1_tiff": op1_tiff, "op3_mixing": op3_mixing, "op6_packing": op6_packing, "op7_nearjoin": op7_nearjoin, "op9_runs": op9_runs, "op10_substring": op10_substring}
 OP_SQL = {"op3_mixing": mixing.OP3_SQL}
