@@ -185,10 +185,10 @@ def first_of_content(unit: Unit, t: Texts, start: np.ndarray, count: np.ndarray,
 
 def text_copies(docs: DataFrame, groups: int) -> DataFrame:
     """Notes of the documents whose whole text a document with a smaller id has; minima are taken before the shuffle."""
-    rows = docs.filter("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("_digest"))
-    first = rows.groupBy("_digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_last > _first").select("_digest", "_first")
-    # the rows of one digest meet a single row, so Spark may split a large digest
-    found = rows.join(first, "_digest").filter("doc_id > _first").select(group_of(groups).alias("g"), "doc_id")
+    rows = docs.filter("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("_digest"))
+    first = rows.groupBy("_digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_last > _first")
+    # the rows of one digest meet a single row; joined by another form of it, both sides are exchanged and Spark may split a large digest
+    found = rows.withColumn("_key", F.unhex("_digest")).join(first.select(F.unhex("_digest").alias("_key"), "_first"), "_key").filter("doc_id > _first").select(group_of(groups).alias("g"), "doc_id")
 
     def blob(batches):
         for batch in batches:

@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one grouped task call gets, about.
@@ -105,3 +105,29 @@ def joined_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     c = np.concatenate([np.frombuffer(b, np.uint32) for b in table["counts"].to_pylist()])
     order = np.argsort(k)
     return k[order], c[order]
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Whether crc32 of the id as text is 2 modulo 4; a null id is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def summed(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of the uint32 vectors of `size` numbers in column `v`, in two steps; one vector reaches the driver."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.uint64)
+        for x in table["v"]:
+            total += np.frombuffer(x.as_py(), np.uint32)
+        return pa.table([table["part"][:1], pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["part", "v"])
+
+    salted = parts.select(F.expr("cast(rand(7) * 64 as int)").alias("part"), "v")
+    once = salted.groupBy("part").applyInArrow(add, "part int, v binary").select(F.lit(0).alias("part"), "v")
+    rows = once.groupBy("part").applyInArrow(add, "part int, v binary").collect()
+    return np.frombuffer(bytes(rows[0]["v"]), np.uint32).copy() if rows else np.zeros(size, np.uint32)
+
+
+def first_by_hash(rows: DataFrame, id_col: str, class_col: str, per_class: int, seed: int = 11) -> DataFrame:
+    """(id, class) of the `per_class` rows of each class with the least hashes: the same rows at every run."""
+    rank = F.row_number().over(Window.partitionBy(class_col).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)))
+    return rows.select(id_col, class_col).withColumn("_rank", rank).filter(F.col("_rank") <= per_class).drop("_rank")

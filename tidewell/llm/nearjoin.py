@@ -201,14 +201,15 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     noise = float(counts.sum()) / COUNTERS
     shared = spark.sparkContext.broadcast(counts)  # COUNTERS numbers
     own = rows.filter("slice is null").select("doc_id", "size", "digest")
-    first = own.filter("size > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"))
+    # classes are found by another form of the digest than the one rows meet them by, so that Spark may split a large class
+    first = own.filter("size > 0").groupBy(F.hex("digest").alias("_hex")).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last")).withColumn("digest", F.unhex("_hex"))
 
     def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield note_rows(batch["g"].to_numpy(), COPY, [np.array([d]).tobytes() for d in batch["doc_id"].to_pylist()])
 
-    # rows of one digest meet a single row, so Spark may split a large digest; empty sets take no part either
-    again = own.join(first.filter("_last > rep"), "digest").filter("doc_id > rep").select("doc_id").unionByName(own.filter("size = 0").select("doc_id"))
+    # empty sets take no part either
+    again = own.join(first.filter("_last > rep").select("digest", "rep"), "digest").filter("doc_id > rep").select("doc_id").unionByName(own.filter("size = 0").select("doc_id"))
     copies = again.select(group_of(groups).alias("g"), "doc_id").mapInArrow(blob, NOTE_DDL)
     texts = docs.select(group_of(groups).alias("g"), "doc_id", "text")
 
