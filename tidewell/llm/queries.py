@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import langid, mixing, nearjoin, packing, runs_index, substring, tiff, topk, toxicity
+from tidewell.llm import chat, langid, mixing, nearjoin, packing, runs_index, substring, tiff, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_index.run_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_tiff": op1_tiff, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_topk": op5_topk, "op6_packing": op6_packing, "op7_nearjoin": op7_nearjoin, "op8_toxicity": op8_toxicity, "op9_runs": op9_runs, "op10_substring": op10_substring}
+QUERIES = {"op1_tiff": op1_tiff, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_topk": op5_topk, "op6_packing": op6_packing, "op7_nearjoin": op7_nearjoin, "op8_toxicity": op8_toxicity, "op9_runs": op9_runs, "op10_substring": op10_substring}
 OP_SQL = {"op3_mixing": mixing.OP3_SQL, "op5_topk": topk.OP5_SQL}
