@@ -11,8 +11,9 @@ but asks for more common tokens before a pair is verified; a pair goes by the lo
    smallest id: copies, however many, are handled as one.
 2. Groups of documents send their distinct prefix tokens and get back those that others have too; only documents with
    such a token go on, with their sets.
-3. Star pairs: for each token every document is paired with one centre (of eight orders, by the token's hash). That is
-   linear in the postings. Verified pairs are links and give first components.
+3. Star rounds: for each token every document is paired with one centre (of eight orders, by the token's hash). That is
+   linear in the postings. Verified pairs are links and give components; where large groups stay apart, another round
+   pairs a token's strays with another centre of its main component.
 4. All remaining pairs that lie in different components, share a token that not all of one component have and pass the
    multi-match test are verified. So no pair of two known fellows is made, and no link between components is lost.
 
@@ -24,6 +25,7 @@ id counts as the smallest and is given back as null. Very long texts are one set
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,10 +40,13 @@ WORDS, PERCENT = 5, 80
 #: Hashed counters for the token order: 2 MB in all, whatever the input.
 COUNTERS = 1 << 19
 SLICES = 16
-LEVELS = 4
-#: Cost of verifying a pair, in postings read.
-VERIFY = 8.0
+#: Least and greatest number of common prefix tokens that a pair must have (fewer for sets that need fewer).
+LOW, HIGH = 4, 8
+#: Bytes of a posting and of a token sent for verification, and the postings that a rare token may be counted wrong by.
+POSTING, TOKEN, CHANCE = 12, 8, 0.05
 CENTRES = 8
+#: Star rounds at most, and the pairs for each posting up to which the exact step follows at once.
+ROUNDS, LINEAR = 6, 20
 STRIP = 2_000_000
 
 
@@ -129,17 +134,23 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int) -
     c = counts[slot(tokens)]
     order = np.lexsort((tokens, c))
     base = m - need(m, percent)
-    top = min(LEVELS, need(m, percent))
-    cost = np.cumsum(np.maximum(c[order[: base + top]].astype(np.float64) - 1 - noise, 0))
-    level, best = 1, None
-    for k in range(1, top + 1):
-        total = cost[base + k - 1] * (1 + VERIFY / k)
+    low, top = min(LOW, need(m, percent)), min(HIGH, need(m, percent))
+    others = np.cumsum(np.maximum(c[order[: base + top]].astype(np.float64) - 1 - noise, CHANCE))
+    level, best = low, None
+    for k in range(low, top + 1):  # k common tokens make a candidate, so postings / k candidates at most
+        total = POSTING * (base + k + others[base + k - 1]) + TOKEN * m * others[base + k - 1] / k
         if best is None or total < best:
             level, best = k, total
     take = order[: base + level]
     return tokens[take], np.maximum(np.arange(1, base + level + 1) - base, 1), level
 
 
+def may_link(size: int, level: int, from_level: np.ndarray, percent: int) -> bool:
+    """Whether a set has enough repeated prefix tokens for a pair at any level that a partner of its may have."""
+    least = min(LOW, need(need(size, percent), percent))
+    return any((from_level <= k).sum() >= k for k in range(max(1, least), level + 1))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every end of the links (a, b): the smallest node that can be reached, by alternating stars."""
     edges = _shuffle.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -161,20 +172,35 @@ def components(links: DataFrame) -> DataFrame:
         sign = now
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. A set goes once to each group that has a partner of it."""
-    pairs = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("g").alias("to")), "b").select("to", "a", "b")
-    moved = pairs.select("to", F.col("a").alias("doc_id")).distinct().join(sets.select("doc_id", "tokens"), "doc_id")
-    told = moved.select("to", "doc_id", "tokens", F.lit(None).cast("long").alias("b")).unionByName(pairs.select("to", F.col("a").alias("doc_id"), F.lit(None).cast("binary").alias("tokens"), "b"))
+def verified(pairs: DataFrame, kept: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. A text goes once, packed, to each group that has a partner of it."""
+    place = kept.select("doc_id", "g")
+    pairs = pairs.join(place.select(F.col("doc_id").alias("b"), F.col("g").alias("to")), "b").join(place.select(F.col("doc_id").alias("a"), F.col("g").alias("at")), "a").select("a", "b", "at", "to")
+    here = kept.select("g", "doc_id", "packed").groupBy("g")
+
+    def send(own: pa.Table, asked: pa.Table) -> pa.Table:
+        row = {d: i for i, d in enumerate(own["doc_id"].to_pylist())}
+        take = pa.array([row[d] for d in asked["a"].to_pylist()], pa.int64())
+        return pa.table([asked["to"], own["doc_id"].take(take), own["packed"].take(take), pa.nulls(len(take), pa.int64())], names=["to", "doc_id", "packed", "b"])
+
+    moved = here.cogroup(pairs.select("at", "to", "a").distinct().groupBy("at")).applyInArrow(send, "to int, doc_id long, packed binary, b long")
+    told = moved.unionByName(pairs.select("to", F.col("a").alias("doc_id"), F.lit(None).cast("binary").alias("packed"), "b"))
+
+    def sets(ids: list[int], packed: list[bytes]) -> dict[int, np.ndarray]:
+        texts = pa.array([zlib.decompress(x).decode() for x in packed], pa.string())
+        return dict(zip(ids, shingle_sets(*_seq.text_bytes(texts), words)))
 
     def check(own: pa.Table, told: pa.Table) -> pa.Table:
-        here = {d: np.frombuffer(x, np.uint64) for d, x in zip(own["doc_id"].to_pylist(), own["tokens"].to_pylist())}
-        sent, asked = {}, []
-        for a, x, b in zip(*[told[c].to_pylist() for c in ("doc_id", "tokens", "b")]):
+        asked, ids, packed = [], [], []
+        for a, x, b in zip(*[told[c].to_pylist() for c in ("doc_id", "packed", "b")]):
             if x is None:
                 asked.append((a, b))
             else:
-                sent[a] = np.frombuffer(x, np.uint64)
+                ids.append(a)
+                packed.append(x)
+        sent, wanted = sets(ids, packed), {b for _, b in asked}
+        mine = [(d, x) for d, x in zip(own["doc_id"].to_pylist(), own["packed"].to_pylist()) if d in wanted]
+        here = sets([d for d, _ in mine], [x for _, x in mine])
         out = []
         for a, b in asked:
             x, y = sent[a], here[b]
@@ -185,10 +211,67 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out.append((a, b))
         return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["a", "b"])
 
-    return sets.select("g", "doc_id", "tokens").groupBy("g").cogroup(told.groupBy("to")).applyInArrow(check, "a long, b long")
+    return here.cogroup(told.groupBy("to")).applyInArrow(check, "a long, b long")
+
+
+SETS_DDL = "g int, doc_id long, size int, level int, packed binary, prefix array<long>, from_level array<int>"
+
+
+def postings(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each prefix token of each document."""
+    each = rows.select("doc_id", "size", "level", *columns, F.explode(F.arrays_zip("prefix", "from_level")).alias("p"))
+    return each.select("doc_id", "size", "level", *columns, F.col("p.prefix").alias("token"), F.col("p.from_level").alias("from_level"))
+
 
+def centre(seed: int):
+    """The least of this is a token's centre; tokens have CENTRES orders."""
+    return F.min(F.struct(F.xxhash64(F.lit(seed), "doc_id", F.pmod("token", F.lit(CENTRES))).alias("o"), "doc_id", "size"))
 
-SETS_DDL = "g int, doc_id long, size long, level int, tokens binary, prefix array<long>, from_level array<int>"
+
+def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a centre `c` and a document of the same token, if two tokens at least say so."""
+    rows = rows.select(F.col("c.doc_id").alias("a"), F.col("c.size").alias("a_size"), F.col("doc_id").alias("b"), F.col("size").alias("b_size")).filter("a <> b")
+    return rows.filter(sizes_fit(percent)).groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
+
+
+def sizes_fit(percent: int) -> str:
+    return f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)"
+
+
+def class_roots(kept: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) of the documents that link: star rounds first, then every pair left between components."""
+    rows = postings(kept)
+    low = rows.groupBy("token").agg(centre(0).alias("c"), F.count("*").alias("n")).filter("n > 1").select("token", "c")
+    links = _shuffle.cut(verified(star_pairs(rows.join(low, "token"), percent), kept, words, percent))
+    for seed in range(1, ROUNDS + 1):
+        roots = components(links)
+        known = postings(kept.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "root")
+        by_root = known.groupBy("token", "root").agg(F.count("*").alias("n"), centre(seed).alias("c"))
+        # tokens that several components have, and the component that most of a token's documents are in
+        mixed = by_root.groupBy("token").agg(F.max_by(F.struct("root", "c"), F.struct("n", "root")).alias("m"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
+        mixed = _shuffle.cut(mixed.select("token", F.col("m.root").alias("main"), F.col("m.c").alias("c"), "most", "all"))
+        size = mixed.agg(F.sum((F.col("all") - F.col("most")).cast("double") * F.col("all")).alias("pairs"), F.sum("all").alias("rows")).first()
+        if seed == ROUNDS or (size["pairs"] or 0) <= LINEAR * (size["rows"] or 0):
+            break
+        # linear again: strays of a token meet another centre of its main component
+        more = star_pairs(known.join(mixed.select("token", "main", "c"), "token").filter("root <> main"), percent)
+        asked = _shuffle.cut(more)
+        links = _shuffle.cut(links.unionByName(verified(asked, among(kept, asked), words, percent)))
+    both = known.join(mixed.select("token", "main"), "token")
+    a = both.filter("root <> main").select("token", "main", *[F.col(x).alias(y) for x, y in (("doc_id", "a"), ("size", "a_size"), ("level", "a_level"), ("from_level", "a_from"), ("root", "a_root"))])
+    b = both.select("token", *[F.col(x).alias(y) for x, y in (("doc_id", "b"), ("size", "b_size"), ("level", "b_level"), ("from_level", "b_from"), ("root", "b_root"))])
+    rest = a.join(b, "token").filter("a_root <> b_root and (b_root = main or a < b)").filter(sizes_fit(percent)).filter("greatest(a_from, b_from) <= least(a_level, b_level)")
+    rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("a_level", "b_level")).alias("level")).filter("n >= level").select("a", "b")
+    rest = _shuffle.cut(rest)
+    more = _shuffle.cut(verified(rest, among(kept, rest), words, percent))
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
+def among(kept: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents that the pairs are made of."""
+    return kept.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id", "left_semi")
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -217,15 +300,15 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         def __init__(self, ids: np.ndarray):
             self.ids = ids
 
-    def members(table: pa.Table, told: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-        """Ids and sets of the group's class representatives."""
+    def members(table: pa.Table, told: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray]]:
+        """Ids, texts and sets of the group's class representatives."""
         skip = copied(_Ids(table["doc_id"].to_numpy()), told)
         keep = np.setdiff1d(np.arange(table.num_rows), skip)
         part = table.take(pa.array(keep))
-        return zip(part["doc_id"].to_pylist(), shingle_sets(*_seq.text_bytes(part["text"]), words))
+        return zip(part["doc_id"].to_pylist(), part["text"], shingle_sets(*_seq.text_bytes(part["text"]), words))
 
     def send(table: pa.Table, told: pa.Table) -> pa.Table:
-        found = [prefix(tokens, shared.value, noise, percent)[0] for _, tokens in members(table, told) if len(tokens)] if table.num_rows else []
+        found = [prefix(tokens, shared.value, noise, percent)[0] for _, _, tokens in members(table, told) if len(tokens)] if table.num_rows else []
         if not found:
             return _shuffle.KEYS_SCHEMA.empty_table()
         key, times = np.unique(np.concatenate(found), return_counts=True)
@@ -238,39 +321,18 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         blobs = notes(told, KEYS)[0]
         keys = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])) if blobs else np.zeros(0, np.uint64)
         out = []
-        for d, tokens in members(table, told) if len(keys) and table.num_rows else []:
+        for d, text, tokens in members(table, told) if len(keys) and table.num_rows else []:
             if len(tokens):
                 lead, level, own_level = prefix(tokens, shared.value, noise, percent)
                 hit = find(keys, lead)
-                if hit.any():
-                    out.append((d, len(tokens), own_level, tokens.tobytes(), lead[hit].view(np.int64), level[hit]))
+                if hit.any() and may_link(len(tokens), own_level, level[hit], percent):
+                    out.append((d, len(tokens), own_level, zlib.compress((text.as_py() or '').encode(), 6), lead[hit].view(np.int64), level[hit]))
         g = table["g"][0].as_py() if table.num_rows else 0
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.table([pa.array([g] * len(out), pa.int32()), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], names=[x.split()[0] for x in SETS_DDL.split(", ")])
 
-    sets = _shuffle.cut(texts.groupBy("g").cogroup(copies.unionByName(repeated).groupBy("g")).applyInArrow(keep, SETS_DDL))
-    postings = sets.select("doc_id", "size", "level", F.explode(F.arrays_zip("prefix", "from_level")).alias("p")).select("doc_id", "size", "level", F.col("p.prefix").alias("token"), F.col("p.from_level").alias("from_level"))
-    sizes_fit = f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)"
-    order = F.expr(f"xxhash64(doc_id, pmod(token, {CENTRES}))")
-    centre = postings.groupBy("token").agg(F.min(F.struct(order.alias("o"), "doc_id", "size")).alias("c"), F.count("*").alias("n")).filter("n > 1").select("token", F.col("c.doc_id").alias("a"), F.col("c.size").alias("a_size"))
-    stars = postings.join(centre, "token").filter("a <> doc_id").select("a", "a_size", F.col("doc_id").alias("b"), F.col("size").alias("b_size")).filter(sizes_fit).select("a", "b").distinct()
-    stars = _shuffle.cut(stars)
-    links = _shuffle.cut(verified(stars, sets, percent))
-    roots = components(links)
-    # tokens that several components have, and the component that most of a token's documents are in
-    known = postings.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    most = known.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    mixed = known.join(most.select("token", "main"), "token")
-    a = mixed.filter("root <> main").select("token", F.col("doc_id").alias("a"), F.col("size").alias("a_size"), F.col("level").alias("a_level"), F.col("from_level").alias("a_from"), F.col("root").alias("a_root"), "main")
-    b = mixed.select("token", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), F.col("level").alias("b_level"), F.col("from_level").alias("b_from"), F.col("root").alias("b_root"))
-    rest = a.join(b, "token").filter("a_root <> b_root and (b_root = main or a < b)").filter(sizes_fit).filter("greatest(a_from, b_from) <= least(a_level, b_level)")
-    rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("a_level", "b_level")).alias("level")).filter("n >= level").select("a", "b")
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _shuffle.cut(rest.join(done, ["a", "b"], "left_anti"))
-    more = _shuffle.cut(verified(rest, sets, percent))
-    if not more.isEmpty():
-        # the components found, with the links between them
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    kept = _shuffle.cut(texts.groupBy("g").cogroup(copies.unionByName(repeated).groupBy("g")).applyInArrow(keep, SETS_DDL))
+    roots = class_roots(kept, words, percent)
     own = own.join(first.select("digest", "rep"), "digest", "left").withColumn("rep", F.when(F.col("size") > 0, F.col("rep")))
     out = own.join(roots, own["rep"] == roots["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
@@ -279,6 +341,6 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that have the smallest id of their component; rows that share an id are kept once."""
-    kept = near_classes(docs, words, percent).filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"))
-    ranked = docs.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text"), "text")))
-    return ranked.filter("_row = 1").join(kept.distinct(), F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("_id"), "left_semi").select(*docs.columns)
+    kept = near_classes(docs, words, percent).filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(kept, "_id", "left_semi")
+    return rows.withColumn("_row", F.row_number().over(Window.partitionBy("_id").orderBy(F.length("text"), "text"))).filter("_row = 1").select(*docs.columns)

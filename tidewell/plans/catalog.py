@@ -589,12 +589,12 @@ def _(v):
 
 @query(
     "gr04_cut_sets",
-    """WITH g AS (SELECT topic, proposition, count(CASE WHEN stance = 'support' THEN 1 END) AS s, count(CASE WHEN stance = 'oppose' THEN 1 END) AS o FROM tb_claims GROUP BY 1, 2),
-    k AS (SELECT c.topic, c.proposition, c.origin, g.s, g.o, count(CASE WHEN stance = 'support' THEN 1 END) AS ks, count(CASE WHEN stance = 'oppose' THEN 1 END) AS ko FROM tb_claims c JOIN g ON c.topic = g.topic AND c.proposition = g.proposition WHERE g.s > 0 AND g.o > 0 GROUP BY ALL)
+    """WITH g AS (SELECT topic, proposition, count(CASE WHEN stance = 'support' THEN 1 END) AS s, count(CASE WHEN stance = 'oppose' THEN 1 END) AS o FROM tb_subject_claims GROUP BY 1, 2),
+    k AS (SELECT c.topic, c.proposition, c.origin, g.s, g.o, count(CASE WHEN stance = 'support' THEN 1 END) AS ks, count(CASE WHEN stance = 'oppose' THEN 1 END) AS ko FROM tb_subject_claims c JOIN g ON c.topic = g.topic AND c.proposition = g.proposition WHERE g.s > 0 AND g.o > 0 GROUP BY ALL)
     SELECT k.topic, k.origin, count(*) AS resolved, n.groups, count(*) = n.groups AS cuts_all FROM k JOIN (SELECT topic, count(*) AS groups FROM g WHERE s > 0 AND o > 0 GROUP BY topic) n ON k.topic = n.topic WHERE ks = s OR ko = o GROUP BY k.topic, k.origin, n.groups""",
 )
 def _(v):
-    return evidence.contradiction_origins(_claims(v))
+    return evidence.contradiction_origins(v("tb_subject_claims").withColumn("origins", F.array("origin")))
 
 
 @query(
@@ -697,11 +697,11 @@ def _rings(v):
     corner = lambda a, b: F.array(F.col(a), F.col(b))
     outer = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"))
     mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    hole = F.array(*[F.array(mx + dx * 0.02, my + dy * 0.02) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    hole = F.array(*[F.array(mx + dx * 0.0203, my + dy * 0.0203) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
     return v("tb_polygons").withColumn("rings", F.when(F.col("has_hole"), F.array(outer, hole)).otherwise(F.array(outer)))
 
 
-INSIDE = "p.lon > g.x0 AND p.lon < g.x1 AND p.lat > g.y0 AND p.lat < g.y1 AND NOT (g.has_hole AND abs(p.lon - (g.x0 + g.x1) / 2) < 0.02 AND abs(p.lat - (g.y0 + g.y1) / 2) < 0.02)"
+INSIDE = "p.lon > g.x0 AND p.lon < g.x1 AND p.lat > g.y0 AND p.lat < g.y1 AND NOT (g.has_hole AND abs(p.lon - (g.x0 + g.x1) / 2) < 0.0203 AND abs(p.lat - (g.y0 + g.y1) / 2) < 0.0203)"
 
 
 @query("jn07_point_in_polygon", f"SELECT p.address_id, g.feature_id FROM tb_points p JOIN tb_polygons g ON {INSIDE}")

@@ -47,6 +47,8 @@ SELECT o_orderkey AS violation_id, CAST(3590000 + o_custkey % 100 AS STRING) AS
     "tb_claims": """
 SELECT event_id AS claim_id, event_type AS topic, concat('P', CAST(user_id % 7 AS STRING)) AS proposition, CASE WHEN event_id % 3 = 0 THEN 'oppose' ELSE 'support' END AS stance,
   concat('agent', CAST(event_id % 5 AS STRING)) AS agent, least(1.0, value / 100) AS confidence, concat('O', CAST(event_id % 11 AS STRING)) AS origin, event_id % 997 = 0 AS hard_veto FROM {events}""",
+    "tb_subject_claims": """
+SELECT event_id AS claim_id, event_type AS topic, concat('U', CAST(user_id AS STRING)) AS proposition, CASE WHEN event_id % 3 = 0 THEN 'oppose' ELSE 'support' END AS stance, concat('O', CAST(event_id % 11 AS STRING)) AS origin FROM {events}""",
     "tb_edges": """
 SELECT DISTINCT a AS src, b AS dst, 0.5 + 0.01 * ((a * 7 + b * 3) % 50) AS certainty FROM (SELECT l_partkey % 40 AS a, l_suppkey % 40 AS b FROM {lineitem}) t WHERE a < b AND (a + b) % 5 = 0""",
     "tb_rules": """
