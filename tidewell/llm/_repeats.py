@@ -311,6 +311,11 @@ def judged(docs: DataFrame, unit: Unit, index: Callable, own_too: bool, result:
     return texts.groupBy("g").cogroup(every.groupBy("g")).applyInArrow(finish, ddl)
 
 
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """(id, row): each row in one column, so that no name of it can clash."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def true_runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Half-open bounds of the runs of true values."""
     edge = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm import _seq, _shuffle
-from tidewell.llm._repeats import COPY, KEYS, NOTE_DDL, NULL_ID, copied, find, group_of, join_hashes, note_rows, notes
+from tidewell.llm._repeats import COPY, KEYS, NOTE_DDL, NULL_ID, copied, find, group_of, join_hashes, note_rows, notes, packed_rows
 
 WORDS, PERCENT = 5, 80
 #: Hashed counters for the token order: 2 MB in all, whatever the input.
@@ -341,6 +341,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that have the smallest id of their component; rows that share an id are kept once."""
-    kept = near_classes(docs, words, percent).filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(kept, "_id", "left_semi")
-    return rows.withColumn("_row", F.row_number().over(Window.partitionBy("_id").orderBy(F.length("text"), "text"))).filter("_row = 1").select(*docs.columns)
+    kept = near_classes(docs, words, percent).filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id")).distinct()
+    rows = packed_rows(docs).join(kept, "id", "left_semi")
+    first = Window.partitionBy("id").orderBy(F.length("row.text"), "row.text")
+    return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm import _repeats, _seq
-from tidewell.llm._repeats import NULL_ID, Texts, Unit, join_hashes, judged, true_runs
+from tidewell.llm import _seq
+from tidewell.llm._repeats import NULL_ID, Texts, Unit, join_hashes, judged, packed_rows, true_runs
 
 WINDOW = 20
 
@@ -200,5 +200,6 @@ def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with repeated words taken out of `text`; texts without any stay as they are, and a text of which nothing is left goes."""
     kept = judged(docs, Unit(True, window, max(1, min(6, window))), automaton_index(window), True, _text, "doc_id long, kept string, n_removed long").filter("n_removed > 0")
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").filter("_id is null or kept <> ''")
-    return rows.withColumn("text", F.when(F.col("_id").isNotNull(), F.col("kept")).otherwise(F.col("text"))).select(*docs.columns)
+    kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("kept"))
+    rows = packed_rows(docs).join(kept, "id", "left").filter("kept is null or kept <> ''")
+    return rows.select(F.col("row").withField("text", F.coalesce("kept", F.col("row.text"))).alias("row")).select("row.*")
