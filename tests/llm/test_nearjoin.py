@@ -14,7 +14,6 @@ def test_odd_documents(spark, monkeypatch):
 def test_large_group_of_near_copies(spark, monkeypatch):
     """Variants of one text at similarities around the threshold, so that links form long chains."""
     monkeypatch.setattr(_shuffle, "GROUP_BYTES", 20000)
-    monkeypatch.setattr(nearjoin, "LINEAR", 1)
     rng = random.Random(2)
     base = [f"t{i}" for i in range(120)]
     rows = []

@@ -25,7 +25,7 @@ from tidewell.llm import _grams, _seq, _shuffle
 PER_CLASS = 2000
 SLOTS, DIMS, SIZES = 1 << 17, 8, (3, 4, 5, 6)
 #: Passes over the sample, texts a step, rate of Adagrad, pull of embeddings towards zero, and the squares it starts from.
-EPOCHS, BATCH, RATE, DECAY, FLOOR = 8, 64, 1.0, 3e-6, 1e-6
+EPOCHS, BATCH, RATE, DECAY, FLOOR = 8, 64, 1.0, 2e-5, 1e-6
 THRESHOLD = 0.3
 #: Short passages taken of each clean text in training.
 PASSAGES = 6
@@ -91,8 +91,8 @@ def train(texts: list[str], labels: np.ndarray, shares: np.ndarray, seed: int =
             n = int(rng.integers(3, 40))
             a = int(rng.integers(0, max(1, len(words) - n)))
             short.append(" ".join(words[a : a + n]))
-    mine = np.bincount(labels, minlength=2) / max(len(labels), 1)
     labels = np.concatenate([labels, np.zeros(len(short), np.int64)])
+    mine = np.bincount(labels, minlength=2) / max(len(labels), 1)
     slots, weights, bounds = bag_matrix([*texts, *short])
     emb = np.zeros((SLOTS, DIMS), np.float32)  # an n-gram that training never met says nothing
     out, bias = rng.normal(0, 1, (DIMS, 2)), np.zeros(2)
