@@ -11,9 +11,8 @@ but asks for more common tokens before a pair is verified; a pair goes by the lo
    smallest id: copies, however many, are handled as one.
 2. Groups of documents send their distinct prefix tokens and get back those that others have too; only documents with
    such a token go on, with their sets.
-3. Star rounds: for each token every document is paired with one centre (of eight orders, by the token's hash). That is
-   linear in the postings. Verified pairs are links and give components; where large groups stay apart, another round
-   pairs a token's strays with another centre of its main component.
+3. Star pairs: for each token every document is paired with one centre. That is linear in the postings. Verified pairs
+   are links and give first components.
 4. All remaining pairs that lie in different components, share a token that not all of one component have and pass the
    multi-match test are verified. So no pair of two known fellows is made, and no link between components is lost.
 
@@ -44,9 +43,8 @@ SLICES = 16
 LOW, HIGH = 4, 8
 #: Bytes of a posting and of a token sent for verification, and the postings that a rare token may be counted wrong by.
 POSTING, TOKEN, CHANCE = 12, 8, 0.05
-CENTRES = 8
-#: Star rounds at most, and the pairs for each posting up to which the exact step follows at once.
-ROUNDS, LINEAR = 6, 20
+#: Orders that choose centres, and the documents of a token from which on it has an order of its own.
+CENTRES, MANY = 8, 16
 STRIP = 2_000_000
 
 
@@ -128,8 +126,8 @@ def token_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The tokens of the longest prefix that this set may need, the level at which each comes in, and the set's level."""
+def prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
+    """The tokens of the longest prefix that this set may need, in order, and the set's level."""
     m = len(tokens)
     c = counts[slot(tokens)]
     order = np.lexsort((tokens, c))
@@ -141,13 +139,13 @@ def prefix(tokens: np.ndarray, counts: np.ndarray, noise: float, percent: int) -
         total = POSTING * (base + k + others[base + k - 1]) + TOKEN * m * others[base + k - 1] / k
         if best is None or total < best:
             level, best = k, total
-    take = order[: base + level]
-    return tokens[take], np.maximum(np.arange(1, base + level + 1) - base, 1), level
+    return tokens[order[: base + level]], level
 
 
-def may_link(size: int, level: int, from_level: np.ndarray, percent: int) -> bool:
+def may_link(size: int, level: int, place: np.ndarray, percent: int) -> bool:
     """Whether a set has enough repeated prefix tokens for a pair at any level that a partner of its may have."""
     least = min(LOW, need(need(size, percent), percent))
+    from_level = np.maximum(place + 1 - (size - need(size, percent)), 1)
     return any((from_level <= k).sum() >= k for k in range(max(1, least), level + 1))
 
 
@@ -214,53 +212,54 @@ def verified(pairs: DataFrame, kept: DataFrame, words: int, percent: int) -> Dat
     return here.cogroup(told.groupBy("to")).applyInArrow(check, "a long, b long")
 
 
-SETS_DDL = "g int, doc_id long, size int, level int, packed binary, prefix array<long>, from_level array<int>"
+SETS_DDL = "g int, doc_id long, size int, level int, packed binary, prefix array<long>, place array<int>"
 
 
 def postings(rows: DataFrame, *columns: str) -> DataFrame:
-    """A row for each prefix token of each document."""
-    each = rows.select("doc_id", "size", "level", *columns, F.explode(F.arrays_zip("prefix", "from_level")).alias("p"))
-    return each.select("doc_id", "size", "level", *columns, F.col("p.prefix").alias("token"), F.col("p.from_level").alias("from_level"))
+    """A row for each prefix token of each document, with the token's place in the document's order."""
+    each = rows.select("doc_id", "size", "level", *columns, F.explode(F.arrays_zip("prefix", "place")).alias("p"))
+    return each.select("doc_id", "size", "level", *columns, F.col("p.prefix").alias("token"), F.col("p.place").alias("place"))
 
 
-def centre(seed: int):
-    """The least of this is a token's centre; tokens have CENTRES orders."""
-    return F.min(F.struct(F.xxhash64(F.lit(seed), "doc_id", F.pmod("token", F.lit(CENTRES))).alias("o"), "doc_id", "size"))
+def sides(rows: DataFrame, side: str, *columns: str) -> list:
+    """doc_id, size, level and place under the names of one side of a pair."""
+    return [F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", "level", "place", *columns)]]
 
 
-def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a centre `c` and a document of the same token, if two tokens at least say so."""
-    rows = rows.select(F.col("c.doc_id").alias("a"), F.col("c.size").alias("a_size"), F.col("doc_id").alias("b"), F.col("size").alias("b_size")).filter("a <> b")
-    return rows.filter(sizes_fit(percent)).groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
+def in_both_prefixes(percent: int) -> str:
+    """Whether a common token counts for a pair: sets that link share `least` tokens at least, so they share `level` of
+    the first size - least + level tokens of either; the shorter set has the shorter prefix."""
+    least = f"(({percent} * (a_size + b_size) + {99 + percent}) div {100 + percent})"
+    level = "least(a_level, b_level)"
+    return f"{least} <= least(a_size, b_size) and a_place < a_size - {least} + {level} and b_place < b_size - {least} + {level}"
+
 
+def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a token's centre and the token's other documents.
 
-def sizes_fit(percent: int) -> str:
-    return f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)"
+    A token of few documents says so together with another one at least, and has one of CENTRES orders; one of many
+    documents has an order of its own, so that a document of a large group meets many of its fellows. What star pairs
+    leave out is left to the exact step.
+    """
+    least = lambda order: F.min(F.struct(F.xxhash64("doc_id", order).alias("o"), "doc_id", "size", "level", "place"))
+    low = rows.groupBy("token").agg(F.count("*").alias("n"), least(F.pmod("token", F.lit(CENTRES))).alias("few"), least(F.col("token")).alias("more")).filter("n > 1")
+    low = low.withColumn("c", F.when(F.col("n") > MANY, F.col("more")).otherwise(F.col("few")))
+    near = rows.join(low.select("token", "n", *[F.col(f"c.{c}").alias(a) for c, a in (("doc_id", "a"), ("size", "a_size"), ("level", "a_level"), ("place", "a_place"))]), "token")
+    near = near.select("a", "a_size", "a_level", "a_place", *sides(near, "b"), (F.col("n") > MANY).alias("many")).filter("a <> b").filter(in_both_prefixes(percent))
+    return near.groupBy("a", "b").agg(F.count("*").alias("n"), F.bool_or("many").alias("many")).filter("n > 1 or many").select("a", "b")
 
 
 def class_roots(kept: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root) of the documents that link: star rounds first, then every pair left between components."""
-    rows = postings(kept)
-    low = rows.groupBy("token").agg(centre(0).alias("c"), F.count("*").alias("n")).filter("n > 1").select("token", "c")
-    links = _shuffle.cut(verified(star_pairs(rows.join(low, "token"), percent), kept, words, percent))
-    for seed in range(1, ROUNDS + 1):
-        roots = components(links)
-        known = postings(kept.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "root")
-        by_root = known.groupBy("token", "root").agg(F.count("*").alias("n"), centre(seed).alias("c"))
-        # tokens that several components have, and the component that most of a token's documents are in
-        mixed = by_root.groupBy("token").agg(F.max_by(F.struct("root", "c"), F.struct("n", "root")).alias("m"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
-        mixed = _shuffle.cut(mixed.select("token", F.col("m.root").alias("main"), F.col("m.c").alias("c"), "most", "all"))
-        size = mixed.agg(F.sum((F.col("all") - F.col("most")).cast("double") * F.col("all")).alias("pairs"), F.sum("all").alias("rows")).first()
-        if seed == ROUNDS or (size["pairs"] or 0) <= LINEAR * (size["rows"] or 0):
-            break
-        # linear again: strays of a token meet another centre of its main component
-        more = star_pairs(known.join(mixed.select("token", "main", "c"), "token").filter("root <> main"), percent)
-        asked = _shuffle.cut(more)
-        links = _shuffle.cut(links.unionByName(verified(asked, among(kept, asked), words, percent)))
-    both = known.join(mixed.select("token", "main"), "token")
-    a = both.filter("root <> main").select("token", "main", *[F.col(x).alias(y) for x, y in (("doc_id", "a"), ("size", "a_size"), ("level", "a_level"), ("from_level", "a_from"), ("root", "a_root"))])
-    b = both.select("token", *[F.col(x).alias(y) for x, y in (("doc_id", "b"), ("size", "b_size"), ("level", "b_level"), ("from_level", "b_from"), ("root", "b_root"))])
-    rest = a.join(b, "token").filter("a_root <> b_root and (b_root = main or a < b)").filter(sizes_fit(percent)).filter("greatest(a_from, b_from) <= least(a_level, b_level)")
+    """(node, root) of the documents that link: star pairs first, then every pair left between components."""
+    links = _shuffle.cut(verified(star_pairs(postings(kept), percent), kept, words, percent))
+    roots = components(links)
+    known = postings(kept.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "root")
+    # tokens that several components have, and the component that most of a token's documents are in
+    by_root = known.groupBy("token", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("token", "main")
+    both = known.join(mixed, "token")
+    a = both.filter("root <> main").select("token", "main", *sides(both, "a", "root"))
+    rest = a.join(both.select("token", *sides(both, "b", "root")), "token").filter("a_root <> b_root and (b_root = main or a < b)").filter(in_both_prefixes(percent))
     rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("a_level", "b_level")).alias("level")).filter("n >= level").select("a", "b")
     rest = _shuffle.cut(rest)
     more = _shuffle.cut(verified(rest, among(kept, rest), words, percent))
@@ -323,10 +322,10 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         out = []
         for d, text, tokens in members(table, told) if len(keys) and table.num_rows else []:
             if len(tokens):
-                lead, level, own_level = prefix(tokens, shared.value, noise, percent)
-                hit = find(keys, lead)
-                if hit.any() and may_link(len(tokens), own_level, level[hit], percent):
-                    out.append((d, len(tokens), own_level, zlib.compress((text.as_py() or '').encode(), 6), lead[hit].view(np.int64), level[hit]))
+                lead, level = prefix(tokens, shared.value, noise, percent)
+                hit = np.flatnonzero(find(keys, lead))
+                if may_link(len(tokens), level, hit, percent):
+                    out.append((d, len(tokens), level, zlib.compress((text.as_py() or '').encode(), 6), lead[hit].view(np.int64), hit.astype(np.int32)))
         g = table["g"][0].as_py() if table.num_rows else 0
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.table([pa.array([g] * len(out), pa.int32()), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], names=[x.split()[0] for x in SETS_DDL.split(", ")])
