@@ -711,12 +711,12 @@ def _(v):
 
 @query(
     "sp02_boundary_distance",
-    f"""SELECT p.address_id, g.feature_id, round(least((p.lon - g.x0) * 111320.0 * cos(radians(p.lat)), (g.x1 - p.lon) * 111320.0 * cos(radians(p.lat)), (p.lat - g.y0) * 110540.0, (g.y1 - p.lat) * 110540.0), 1) AS metres
+    f"""SELECT p.address_id, g.feature_id, round(least((p.lon - g.x0) * 111320.0 * cos(radians(p.lat)), (g.x1 - p.lon) * 111320.0 * cos(radians(p.lat)), (p.lat - g.y0) * 110540.0, (g.y1 - p.lat) * 110540.0), 4) AS metres
         FROM tb_points p JOIN tb_polygons g ON {INSIDE}""",
 )
 def _(v):
     hit = spatial.point_polygon_join(v("tb_points"), _rings(v))
-    return hit.select("address_id", "feature_id", F.round(spatial.to_ring(F.element_at("rings", 1), F.col("lon"), F.col("lat")), 1).alias("metres"))
+    return hit.select("address_id", "feature_id", F.round(spatial.to_ring(F.element_at("rings", 1), F.col("lon"), F.col("lat")), 4).alias("metres"))
 
 
 @query(

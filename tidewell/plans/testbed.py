@@ -74,9 +74,23 @@ def with_views(body: str) -> str:
     """The SQL text with the views it names put before it."""
     names = [v for v in VIEWS if re.search(rf"\b{v}\b", body)]
     ctes = ", ".join(f"{v} AS ({re.sub(r'{(\w+)}', r'\1', VIEWS[v]).strip()})" for v in names)
-    recursive = "RECURSIVE " if re.match(r"\s*WITH RECURSIVE\b", body) else ""
-    body = re.sub(r"^\s*WITH (RECURSIVE )?", "", body) if re.match(r"\s*WITH\b", body) else None or body
     if not names:
-        return body if not recursive else f"WITH RECURSIVE {body}"
-    joined = ", " if re.match(r"\s*\w+(\s*\([^)]*\))?\s+AS\s*\(", body) else " "
-    return f"WITH {recursive}{ctes}{joined}{body}"
+        return body
+    own = re.match(r"\s*WITH (RECURSIVE )?", body)
+    if not own:
+        return f"WITH {ctes} {body}"
+    return f"WITH {own[1] or ''}{ctes}, {body[own.end():]}"
+
+
+VIEWS |= {
+    "tb_labels": """
+SELECT s_suppkey AS label_id, CASE s_suppkey % 6 WHEN 0 THEN concat('City of ', s_name, ' Water System') WHEN 1 THEN s_name WHEN 2 THEN concat(upper(s_name), ' (north) utilities, inc.')
+    WHEN 3 THEN concat('Unknown district ', CAST(s_suppkey AS STRING)) WHEN 4 THEN '' ELSE concat(s_name, ' mobile home') END AS label,
+  CASE WHEN s_suppkey % 5 = 0 THEN CAST(3590000 + s_suppkey AS STRING) END AS label_pwsid FROM {supplier}""",
+    "tb_notices": """
+SELECT c_custkey AS notice_id, concat(CAST(c_custkey % 300 AS STRING), ' ', CASE c_nationkey % 3 WHEN 0 THEN 'North Oak Street' WHEN 1 THEN 'Pine Avenue' ELSE 'Lake Road' END, ', Sanford, FL') AS address,
+  concat(CASE c_custkey % 4 WHEN 0 THEN 'Boil water notice issued for ' WHEN 1 THEN 'The advisory is lifted for ' WHEN 2 THEN 'Hydrant work near ' ELSE 'A sample was taken at ' END,
+    CAST((c_custkey * 7) % 250 AS STRING), '-', CAST((c_custkey * 7) % 250 + 90 AS STRING), ' ', CASE c_custkey % 3 WHEN 0 THEN 'N OAK ST' WHEN 1 THEN 'PINE AVE' ELSE 'LAKE RD' END, ' in ', CAST(2000 + c_custkey % 30 AS STRING)) AS notice_text FROM {customer}""",
+    "tb_candidates": """
+SELECT p_partkey AS action_id, p_brand AS report, CAST(p_partkey % 17 AS DOUBLE) / 20 AS gain, CAST(p_partkey % 13 AS DOUBLE) / 16 AS flip, CAST(p_partkey % 11 AS DOUBLE) / 11 AS severity, CAST(p_partkey % 7 AS DOUBLE) / 10 AS privacy, CAST(p_size AS DOUBLE) / 50 + CAST(0.05 AS DOUBLE) AS effort FROM {part}""",
+}
