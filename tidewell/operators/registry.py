@@ -65,3 +65,22 @@ def manifest_hash(rows: DataFrame, group: str, fingerprint: str) -> DataFrame:
     """A digest of each group's fingerprints that no order of rows changes: 60-bit parts are summed, so no group is gathered."""
     part = lambda i: F.sum(F.conv(F.substring(fingerprint, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.sha2(F.concat_ws("-", *[part(i).cast("string") for i in range(4)]), 256).alias("digest"))
+
+
+def blend(rows: DataFrame, key: str, fraction: str, at: Column) -> DataFrame:
+    """Shares of the interconnections that are valid then; a missing fraction counts as whole."""
+    live = rows.filter(valid_through(at, F.col("valid_from"), F.col("valid_to"))).withColumn("_w", F.coalesce(fraction, F.lit(1.0)))
+    total = live.groupBy(key).agg(F.sum("_w").alias("_t"))
+    return live.join(total, key).withColumn("share", F.col("_w") / F.col("_t")).drop("_w", "_t")
+
+
+def only_member(rows: DataFrame, members: DataFrame, key: str, place: str, city: str) -> DataFrame:
+    """The member whose city the place names, word by word, if there is exactly one.
+
+    Places and cities meet by shared words, then the whole city must stand in the place.
+    """
+    words = lambda c: F.explode(F.array_distinct(F.split(F.upper(c), " ")))
+    near = rows.select(key, place, words(F.col(place)).alias("_w")).join(members.select("*", words(F.col(city)).alias("_w")), "_w").drop("_w").distinct()
+    whole = near.filter(F.contains(F.concat(F.lit(" "), F.upper(place), F.lit(" ")), F.concat(F.lit(" "), F.upper(city), F.lit(" "))))
+    others = [c for c in members.columns]
+    return whole.groupBy(key).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in others]).filter("_n = 1").drop("_n")

@@ -114,3 +114,16 @@ def digit_profile(rows: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     each = total.withColumn("d", F.explode(F.array(*[F.lit(i) for i in range(1, 10)]))).join(n, [*key, "d"], "left")
     expected = F.col("n") * F.log10(1 + 1 / F.col("d"))
     return each.groupBy(*key).agg(F.first("n").alias("n"), F.sum(F.pow(F.coalesce("c", F.lit(0)) - expected, F.lit(2)) / expected).alias("chi_square")).withColumn("flag", (F.col("n") >= 30) & (F.col("chi_square") > 20.09))
+
+
+def ridge_residuals(rows: DataFrame, key: str, order: str, value: str, features: Sequence[str], penalty: float = 1.0) -> DataFrame:
+    """Residuals of each series after a ridge regression on its features, solved in closed form; one bounded series a group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        x, y = pdf[list(features)].to_numpy(float), pdf[value].to_numpy(float)
+        x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1.0)
+        beta = np.linalg.solve(x.T @ x + penalty * np.eye(x.shape[1]), x.T @ (y - y.mean()))
+        return pd.DataFrame({key: pdf[key], "position": np.arange(len(pdf), dtype=np.int32), "residual": np.round(y - y.mean() - x @ beta, 6)})
+
+    return rows.select(key, order, value, *features).dropna().groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, position int, residual double")

@@ -234,3 +234,70 @@ def _(v):
     d = v("tb_results").groupBy("station_id", "result_date").agg(F.sum("value").alias("rain"))
     w = Window.partitionBy("station_id").orderBy(F.unix_date("result_date")).rangeBetween(-7, -1)
     return d.withColumn("rain_7", F.round(F.sum("rain").over(w), 6)).filter("rain_7 is not null").select("station_id", F.col("result_date").cast("string").alias("day"), "rain_7")
+
+
+@query(
+    "jn12_blend",
+    f"""SELECT successor, predecessor, round(w / sum(w) OVER (PARTITION BY successor), 6) AS share FROM (SELECT successor, predecessor, CASE WHEN CAST(predecessor AS INT) % 3 = 0 THEN 1.0 ELSE 0.5 END AS w
+        FROM {CHAIN} c WHERE valid_from <= DATE '1998-06-01' AND (valid_to IS NULL OR valid_to >= DATE '1998-06-01'))""",
+)
+def _(v):
+    k = F.col("s_suppkey")
+    day = lambda y: F.concat(y.cast("string"), F.lit("-01-01")).cast("date")
+    pre = 3590000 + (k * 7) % 100
+    rows = v("supplier").select((3590000 + k).cast("string").alias("successor"), pre.cast("string").alias("predecessor"), F.when(pre % 3 != 0, 0.5).alias("blend"), day(1992 + k % 8).alias("valid_from"), F.when(k % 4 != 0, day(1996 + k % 8)).alias("valid_to"))
+    return registry.blend(rows, "successor", "blend", F.lit("1998-06-01").cast("date")).select("successor", "predecessor", F.round("share", 6).alias("share"))
+
+
+@query(
+    "jn26_locality",
+    """WITH m AS (SELECT c_custkey, s.pwsid, count(*) OVER (PARTITION BY c_custkey) AS members FROM (SELECT c_custkey, concat('TOWN OF NATION_', CAST(c_nationkey AS STRING), ' ') AS place FROM customer WHERE c_custkey % 10 = 0) c
+      JOIN tb_systems s ON contains(c.place, concat(s.city, ' ')) AND s.system_type = 'COMMUNITY') SELECT c_custkey, pwsid FROM m WHERE members = 1""".replace(" WHERE c_custkey % 10 = 0", ""),
+)
+def _(v):
+    places = v("customer").select("c_custkey", F.concat(F.lit("TOWN OF NATION_"), "c_nationkey").alias("place"))
+    return registry.only_member(places, v("tb_systems").filter("system_type = 'COMMUNITY'").select("pwsid", "city"), "c_custkey", "place", "city").select("c_custkey", "pwsid")
+
+
+@query("ag28_alias_map", "SELECT label, count(DISTINCT pwsid) AS systems FROM (SELECT upper(name) AS label, pwsid FROM tb_systems UNION ALL SELECT upper(city), pwsid FROM tb_systems UNION ALL SELECT system_type, pwsid FROM tb_systems) GROUP BY 1")
+def _(v):
+    return v("tb_systems").unpivot("pwsid", ["name", "city", "system_type"], "kind", "label").groupBy(F.upper("label").alias("label")).agg(F.count_distinct("pwsid").alias("systems"))
+
+
+@query(
+    "rp03_claims",
+    """WITH x AS (SELECT pwsid, count(DISTINCT lab_id) AS labs, count(CASE WHEN result = 'ND' THEN 1 END) AS nd, count(*) AS n FROM tb_samples GROUP BY 1)
+    SELECT pwsid, 'boundary' AS topic, CASE WHEN n % 4 <> 0 THEN 'support' ELSE 'oppose' END AS stance, 0.9 AS confidence, false AS hard_veto FROM x
+    UNION ALL SELECT pwsid, 'independence', 'support', CASE WHEN labs > 1 THEN 1.0 ELSE 0.7 END, false FROM x UNION ALL SELECT pwsid, 'contradiction', 'oppose', least(1.0, 0.55 + 0.05 * (nd % 10)), nd % 10 = 9 FROM x WHERE nd > 0""",
+)
+def _(v):
+    x = v("tb_samples").groupBy("pwsid").agg(F.count_distinct("lab_id").alias("labs"), F.count_if(F.col("result") == "ND").alias("nd"), F.count("*").alias("n"))
+    claim = lambda topic, stance, confidence, veto: F.struct(F.lit(topic).alias("topic"), stance.alias("stance"), confidence.cast("double").alias("confidence"), veto.alias("hard_veto"))
+    no, tens = F.lit(False), F.col("nd") % 10
+    claims = F.array(
+        claim("boundary", F.when(F.col("n") % 4 != 0, "support").otherwise("oppose"), F.lit(0.9), no), claim("independence", F.lit("support"), F.when(F.col("labs") > 1, 1.0).otherwise(0.7), no),
+        F.when(F.col("nd") > 0, claim("contradiction", F.lit("oppose"), F.least(F.lit(1.0), 0.55 + 0.05 * tens), tens == 9)),
+    )
+    return x.select("pwsid", F.inline(F.filter(claims, lambda c: c.isNotNull())))
+
+
+@query(
+    "rp05_status",
+    """SELECT violation_id, CASE WHEN s.pwsid IS NULL THEN 'provider-not-resolved' WHEN status = 'OPEN' AND category = 'MCL EXCEEDED' THEN 'health' WHEN status = 'OPEN' THEN 'watch' ELSE 'clear' END AS level,
+       CASE WHEN s.population > 5000 THEN 'very-high' WHEN s.population > 0 THEN 'moderate' ELSE 'insufficient' END AS confidence FROM tb_violations v LEFT JOIN tb_systems s ON v.pwsid = s.pwsid""",
+)
+def _(v):
+    rows = v("tb_violations").join(v("tb_systems").select("pwsid", "population", F.lit(True).alias("known")), "pwsid", "left")
+    is_open = F.col("status") == "OPEN"
+    level = F.when(F.col("known").isNull(), "provider-not-resolved").when(is_open & (F.col("category") == "MCL EXCEEDED"), "health").when(is_open, "watch").otherwise("clear")
+    return rows.select("violation_id", level.alias("level"), F.when(F.col("population") > 5000, "very-high").when(F.col("population") > 0, "moderate").otherwise("insufficient").alias("confidence"))
+
+
+@query("sa09_ridge_residuals")
+def _(v):
+    from tidewell.operators.stats import ridge_residuals
+
+    d = v("tb_results").groupBy("station_id", "result_date").agg(F.avg("value").alias("x"), F.sum("value").alias("rain"))
+    w = Window.partitionBy("station_id").orderBy(F.unix_date("result_date"))
+    lags = {f"lag_{n}": F.coalesce(F.sum("rain").over(w.rangeBetween(-n, -1)), F.lit(0.0)) for n in (1, 3, 7)}
+    return ridge_residuals(d.withColumns(lags), "station_id", "result_date", "x", list(lags))
