@@ -43,7 +43,7 @@ SLICES = 16
 LOW, HIGH = 4, 8
 #: Bytes of a posting and of a token sent for verification, and the postings that a rare token may be counted wrong by.
 POSTING, TOKEN, CHANCE = 12, 8, 0.05
-#: Orders that choose centres, and the documents of a token from which on it has an order of its own.
+#: Hashes that choose centres, and the documents of a token from which on places choose them.
 CENTRES, MANY = 8, 16
 STRIP = 2_000_000
 
@@ -212,40 +212,47 @@ def verified(pairs: DataFrame, kept: DataFrame, words: int, percent: int) -> Dat
     return here.cogroup(told.groupBy("to")).applyInArrow(check, "a long, b long")
 
 
-SETS_DDL = "g int, doc_id long, size int, level int, packed binary, prefix array<long>, place array<int>"
+SETS_DDL = "g int, doc_id long, size int, level int, packed binary, low_at int, own_at int, prefix array<long>, place array<int>"
+
+
+#: What a posting has of its document: size, level, and the places of the repeated tokens that make the lowest level and its own.
+FACTS = ("size", "level", "low_at", "own_at")
 
 
 def postings(rows: DataFrame, *columns: str) -> DataFrame:
     """A row for each prefix token of each document, with the token's place in the document's order."""
-    each = rows.select("doc_id", "size", "level", *columns, F.explode(F.arrays_zip("prefix", "place")).alias("p"))
-    return each.select("doc_id", "size", "level", *columns, F.col("p.prefix").alias("token"), F.col("p.place").alias("place"))
+    each = rows.select("doc_id", *FACTS, *columns, F.explode(F.arrays_zip("prefix", "place")).alias("p"))
+    return each.select("doc_id", *FACTS, *columns, F.col("p.prefix").alias("token"), F.col("p.place").alias("place"))
 
 
 def sides(rows: DataFrame, side: str, *columns: str) -> list:
-    """doc_id, size, level and place under the names of one side of a pair."""
-    return [F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", "level", "place", *columns)]]
+    """doc_id, its facts and the token's place under the names of one side of a pair."""
+    return [F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in (*FACTS, "place", *columns)]]
 
 
 def in_both_prefixes(percent: int) -> str:
     """Whether a common token counts for a pair: sets that link share `least` tokens at least, so they share `level` of
-    the first size - least + level tokens of either; the shorter set has the shorter prefix."""
+    the first size - least + level tokens of either; the shorter set has the shorter prefix. Either must have that many
+    repeated tokens there at all."""
     least = f"(({percent} * (a_size + b_size) + {99 + percent}) div {100 + percent})"
     level = "least(a_level, b_level)"
-    return f"{least} <= least(a_size, b_size) and a_place < a_size - {least} + {level} and b_place < b_size - {least} + {level}"
+    of = lambda x, y: f"greatest({x}_place, if({x}_level <= {y}_level, {x}_own_at, {x}_low_at)) < {x}_size - {least} + {level}"
+    return f"{least} <= least(a_size, b_size) and {of('a', 'b')} and {of('b', 'a')}"
 
 
 def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a token's centre and the token's other documents.
 
-    A token of few documents says so together with another one at least, and has one of CENTRES orders; one of many
-    documents has an order of its own, so that a document of a large group meets many of its fellows. What star pairs
-    leave out is left to the exact step.
+    A token of few documents says so together with another one at least, and its centre is the least by one of CENTRES
+    hashes. One of many documents has the document for centre in which it stands earliest: the one with the fewest rare
+    tokens of its own, which is nearest to all others of a large group. What star pairs leave out is left to the exact step.
     """
-    least = lambda order: F.min(F.struct(F.xxhash64("doc_id", order).alias("o"), "doc_id", "size", "level", "place"))
-    low = rows.groupBy("token").agg(F.count("*").alias("n"), least(F.pmod("token", F.lit(CENTRES))).alias("few"), least(F.col("token")).alias("more")).filter("n > 1")
+    facts = ("doc_id", *FACTS, "place")
+    order = F.xxhash64("doc_id", F.pmod("token", F.lit(CENTRES)))
+    low = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), *facts)).alias("few"), F.min(F.struct(F.col("place").cast("long").alias("o"), *facts)).alias("more")).filter("n > 1")
     low = low.withColumn("c", F.when(F.col("n") > MANY, F.col("more")).otherwise(F.col("few")))
-    near = rows.join(low.select("token", "n", *[F.col(f"c.{c}").alias(a) for c, a in (("doc_id", "a"), ("size", "a_size"), ("level", "a_level"), ("place", "a_place"))]), "token")
-    near = near.select("a", "a_size", "a_level", "a_place", *sides(near, "b"), (F.col("n") > MANY).alias("many")).filter("a <> b").filter(in_both_prefixes(percent))
+    near = rows.join(low.select("token", "n", F.col("c.doc_id").alias("a"), *[F.col(f"c.{c}").alias(f"a_{c}") for c in facts[1:]]), "token")
+    near = near.select("a", *[f"a_{c}" for c in facts[1:]], *sides(near, "b"), (F.col("n") > MANY).alias("many")).filter("a <> b").filter(in_both_prefixes(percent))
     return near.groupBy("a", "b").agg(F.count("*").alias("n"), F.bool_or("many").alias("many")).filter("n > 1 or many").select("a", "b")
 
 
@@ -325,10 +332,11 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
                 lead, level = prefix(tokens, shared.value, noise, percent)
                 hit = np.flatnonzero(find(keys, lead))
                 if may_link(len(tokens), level, hit, percent):
-                    out.append((d, len(tokens), level, zlib.compress((text.as_py() or '').encode(), 6), lead[hit].view(np.int64), hit.astype(np.int32)))
+                    out.append((d, len(tokens), level, zlib.compress((text.as_py() or '').encode(), 6), lead[hit].view(np.int64), hit.astype(np.int32), *(int(hit[k - 1]) if len(hit) >= k else 1 << 30 for k in (max(1, min(LOW, need(need(len(tokens), percent), percent))), level))))
         g = table["g"][0].as_py() if table.num_rows else 0
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        return pa.table([pa.array([g] * len(out), pa.int32()), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], names=[x.split()[0] for x in SETS_DDL.split(", ")])
+        kinds = {"doc_id": pa.int64(), "size": pa.int32(), "level": pa.int32(), "packed": pa.binary(), "prefix": pa.list_(pa.int64()), "place": pa.list_(pa.int32()), "low_at": pa.int32(), "own_at": pa.int32()}
+        made = pa.table([pa.array([g] * len(out), pa.int32()), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds.values())]], names=["g", *kinds])
+        return made.select([x.split()[0] for x in SETS_DDL.split(", ")])
 
     kept = _shuffle.cut(texts.groupBy("g").cogroup(copies.unionByName(repeated).groupBy("g")).applyInArrow(keep, SETS_DDL))
     roots = class_roots(kept, words, percent)
