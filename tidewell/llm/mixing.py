@@ -47,8 +47,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, cap: int = 3) -> DataFra
     order = Window.orderBy((F.col("_full").cast("double") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_full_before", F.coalesce(F.sum("_full").over(before), F.lit(0))).withColumn("_weight_before", F.coalesce(F.sum("weight").over(before), F.lit(0))).withColumn("_rank", F.row_number().over(order))
-    total = rows.agg(F.sum("source_size").alias("_words"), F.sum("weight").alias("_weights"))
-    rows = rows.crossJoin(F.broadcast(total))  # one row
+    every = Window.partitionBy(F.lit(1))
+    rows = rows.withColumn("_words", F.sum("source_size").over(every)).withColumn("_weights", F.sum("weight").over(every))
     rows = rows.withColumn("_level", (F.col("_words") - F.col("_full_before")).cast("double") / (F.col("_weights") - F.col("_weight_before")).cast("double"))
     open_ = F.col("_full").cast("double") > F.col("_level") * F.col("weight")
     level = F.min(F.when(open_, F.struct("_rank", "_level"))).over(Window.partitionBy(F.lit(1)))["_level"]
