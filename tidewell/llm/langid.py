@@ -13,6 +13,7 @@ predicted, and with none every text is `und`; empty tables give no rows; other c
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,14 +173,19 @@ def predict(data: np.ndarray, off: np.ndarray, model) -> tuple[np.ndarray, np.nd
 
 
 def fit(docs: DataFrame, per_class: int = PER_CLASS):
-    """The model from the learnable rows; `per_class` texts of each language reach the driver at most."""
+    """The model from the learnable rows, trained in one task on `per_class` texts of each language at most."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null and text is not null").filter(~_shuffle.held_out())
     count, total = document_counts(rows)
     chosen = _shuffle.first_by_hash(rows, "doc_id", "lang", per_class)
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "lang", "text"], kind="stable")
-    if not len(sample):
-        return None
-    return train(list(sample["text"]), list(sample["lang"]), np.log((1.0 + total) / (1.0 + count)) + 1.0)
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang")
+    idf = np.log((1.0 + total) / (1.0 + count)) + 1.0
+
+    def learn(table: pa.Table) -> bytes:
+        table = table.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+        return pickle.dumps(train(table["text"].to_pylist(), table["lang"].to_pylist(), idf))
+
+    model = _shuffle.in_one_task(sample, learn)
+    return None if model is None else pickle.loads(model)
 
 
 def languages(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

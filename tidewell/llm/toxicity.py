@@ -151,18 +151,25 @@ def text_scores(data: np.ndarray, off: np.ndarray, table: np.ndarray, intercept:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    """The model from the learnable labelled rows; `per_class` texts of each label reach the driver at most."""
+    """The model from the learnable labelled rows, trained in one task on `per_class` texts of each label at most."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(~_shuffle.held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = _shuffle.first_by_hash(known, "doc_id", "toxic", per_class)
     # 2 * per_class ids at most
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    if not len(rows):
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    shares = np.array([count.get(0, 0), count.get(1, 0)], float) / max(1, sum(count.values()))
+
+    def learn(table: pa.Table) -> bytes:
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        weights, intercept = train([t or "" for t in table["text"].to_pylist()], table["toxic"].to_numpy().astype(np.int64), shares)
+        return np.append(weights.astype(np.float64), intercept).tobytes()
+
+    model = _shuffle.in_one_task(sample, learn)
+    if model is None:
         return np.zeros(SLOTS, np.float32), -1e3
-    shares = np.array([count.get(0, 0), count.get(1, 0)], float)
-    return train([t or "" for t in rows["text"]], rows["toxic"].to_numpy().astype(np.int64), shares / shares.sum())
+    numbers = np.frombuffer(model, np.float64)
+    return numbers[:-1].astype(np.float32), float(numbers[-1])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
