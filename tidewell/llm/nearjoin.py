@@ -220,24 +220,26 @@ FACTS = ("size", "level", "low_at", "own_at")
 
 
 def postings(rows: DataFrame, *columns: str) -> DataFrame:
-    """A row for each prefix token of each document, with the token's place in the document's order."""
-    each = rows.select("doc_id", *FACTS, *columns, F.explode(F.arrays_zip("prefix", "place")).alias("p"))
-    return each.select("doc_id", *FACTS, *columns, F.col("p.prefix").alias("token"), F.col("p.place").alias("place"))
+    """A row for each repeated prefix token: its place in the document's order, and how many repeated ones stand before it."""
+    each = rows.select("doc_id", *FACTS, *columns, F.posexplode(F.arrays_zip("prefix", "place")).alias("ahead", "p"))
+    return each.select("doc_id", *FACTS, *columns, "ahead", F.col("p.prefix").alias("token"), F.col("p.place").alias("place"))
 
 
 def sides(rows: DataFrame, side: str, *columns: str) -> list:
     """doc_id, its facts and the token's place under the names of one side of a pair."""
-    return [F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in (*FACTS, "place", *columns)]]
+    return [F.col("doc_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in (*FACTS, "place", "ahead", *columns)]]
 
 
 def in_both_prefixes(percent: int) -> str:
     """Whether a common token counts for a pair: sets that link share `least` tokens at least, so they share `level` of
     the first size - least + level tokens of either; the shorter set has the shorter prefix. Either must have that many
-    repeated tokens there at all."""
+    repeated tokens there at all. What stands before a common token and is not repeated is not common, so common tokens
+    are at most the repeated ones before it and all that follow."""
     least = f"(({percent} * (a_size + b_size) + {99 + percent}) div {100 + percent})"
     level = "least(a_level, b_level)"
     of = lambda x, y: f"greatest({x}_place, if({x}_level <= {y}_level, {x}_own_at, {x}_low_at)) < {x}_size - {least} + {level}"
-    return f"{least} <= least(a_size, b_size) and {of('a', 'b')} and {of('b', 'a')}"
+    most = "least(a_ahead, b_ahead) + least(a_size - a_place, b_size - b_place)"
+    return f"{least} <= {most} and {of('a', 'b')} and {of('b', 'a')}"
 
 
 def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +249,7 @@ def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     hashes. One of many documents has the document for centre in which it stands earliest: the one with the fewest rare
     tokens of its own, which is nearest to all others of a large group. What star pairs leave out is left to the exact step.
     """
-    facts = ("doc_id", *FACTS, "place")
+    facts = ("doc_id", *FACTS, "place", "ahead")
     order = F.xxhash64("doc_id", F.pmod("token", F.lit(CENTRES)))
     low = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("o"), *facts)).alias("few"), F.min(F.struct(F.col("place").cast("long").alias("o"), *facts)).alias("more")).filter("n > 1")
     low = low.withColumn("c", F.when(F.col("n") > MANY, F.col("more")).otherwise(F.col("few")))
