@@ -326,8 +326,8 @@ def _(v):
     return v("tb_systems").join(v("tb_violations").filter("status = 'OPEN' and rule_code = 'R3'"), "pwsid", "left_anti").select("pwsid", "name")
 
 
-RECON = """WITH a AS (SELECT pwsid, rule_code, contaminant_code, year(begin_date) AS period, max(status) AS status FROM tb_violations WHERE violation_id % 3 <> 0 GROUP BY ALL),
-b AS (SELECT pwsid, rule_code, contaminant_code, year(begin_date) AS period, max(status) AS status FROM tb_violations WHERE violation_id % 3 <> 1 GROUP BY ALL),
+RECON = """WITH a AS (SELECT pwsid, rule_code, contaminant_code, year(begin_date) AS period, max(status) AS status FROM tb_violations WHERE category <> 'OTHER' GROUP BY ALL),
+b AS (SELECT pwsid, rule_code, contaminant_code, year(begin_date) AS period, max(status) AS status FROM tb_violations WHERE category <> 'PUBLIC NOTICE' GROUP BY ALL),
 d AS (SELECT coalesce(a.pwsid, b.pwsid) AS pwsid, coalesce(a.rule_code, b.rule_code) AS rule_code, coalesce(a.contaminant_code, b.contaminant_code) AS contaminant_code, CAST(coalesce(a.period, b.period) AS INT) AS period,
   a.status AS our_status, b.status AS their_status, CASE WHEN b.pwsid IS NULL THEN 'ours-only' WHEN a.pwsid IS NULL THEN 'theirs-only' WHEN a.status <> b.status THEN 'status-mismatch' END AS difference
   FROM a FULL JOIN b ON a.pwsid = b.pwsid AND a.rule_code = b.rule_code AND a.contaminant_code = b.contaminant_code AND a.period = b.period)
@@ -337,8 +337,8 @@ d AS (SELECT coalesce(a.pwsid, b.pwsid) AS pwsid, coalesce(a.rule_code, b.rule_c
 def _sides(v):
     key = ["pwsid", "rule_code", "contaminant_code", "period"]
     rows = v("tb_violations").withColumn("period", F.year("begin_date"))
-    side = lambda m: rows.filter(F.col("violation_id") % 3 != m).groupBy(*key).agg(F.max("status").alias("status"))
-    return evidence.reconcile(side(0), side(1), key)
+    side = lambda left_out: rows.filter(F.col("category") != left_out).groupBy(*key).agg(F.max("status").alias("status"))
+    return evidence.reconcile(side("OTHER"), side("PUBLIC NOTICE"), key)
 
 
 @query("jn05_reconcile", RECON + "SELECT *, CASE WHEN difference = 'theirs-only' THEN 'critical' ELSE 'high' END AS severity FROM d WHERE difference IS NOT NULL")
@@ -388,11 +388,11 @@ def _(v):
 
 @query(
     "jn23_series_correlation",
-    """WITH d AS (SELECT station_id, result_date, avg(value) AS x FROM tb_results WHERE station_id < 25 GROUP BY 1, 2)
+    """WITH d AS (SELECT station_id, result_date, avg(value) AS x FROM tb_results GROUP BY 1, 2)
        SELECT a.station_id AS a, b.station_id AS b, count(*) AS days, round(corr(a.x, b.x), 5) AS r FROM d a JOIN d b ON a.result_date = b.result_date AND a.station_id < b.station_id GROUP BY 1, 2 HAVING count(*) >= 6 AND corr(a.x, b.x) >= 0.3""",
 )
 def _(v):
-    d = v("tb_results").filter("station_id < 25").groupBy("station_id", "result_date").agg(F.avg("value").alias("x"))
+    d = v("tb_results").groupBy("station_id", "result_date").agg(F.avg("value").alias("x"))
     pairs = d.select("result_date", F.col("station_id").alias("a"), F.col("x").alias("xa")).join(d.select("result_date", F.col("station_id").alias("b"), F.col("x").alias("xb")), "result_date").filter("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("days"), F.round(F.corr("xa", "xb"), 5).alias("r"), F.corr("xa", "xb").alias("_r")).filter("days >= 6 and _r >= 0.3").drop("_r")
 
@@ -731,7 +731,7 @@ def _(v):
 
 @query("sp05_perturbation_stability")
 def _(v):
-    around = spatial.perturbed(v("tb_points").filter("address_id < 200"))
+    around = spatial.perturbed(v("tb_points"))
     hit = spatial.point_polygon_join(around, _rings(v)).groupBy("address_id", "radius", "bearing").agg(F.min("feature_id").alias("answer"))
     return spatial.stability(around.join(hit, ["address_id", "radius", "bearing"], "left").select("address_id", "radius", "bearing", "answer"), "address_id")
 
@@ -750,12 +750,12 @@ def _(v):
 
 @query(
     "gr01_reachability",
-    """WITH RECURSIVE p AS (SELECT src AS origin, src AS node, 0 AS hops, CAST(1.0 AS DOUBLE) AS certainty FROM (SELECT DISTINCT src FROM tb_edges WHERE src < 3)
+    """WITH RECURSIVE p AS (SELECT src AS origin, src AS node, 0 AS hops, CAST(1.0 AS DOUBLE) AS certainty FROM (SELECT DISTINCT src FROM tb_edges)
     UNION ALL SELECT origin, dst, hops + 1, certainty * b FROM (SELECT p.origin, e.dst, p.hops, p.certainty, e.certainty AS b FROM p JOIN tb_edges e ON p.node = e.src WHERE p.hops < 4)),
     m AS (SELECT origin, node, min(hops) AS hops FROM p GROUP BY 1, 2)
     SELECT m.origin, m.node, m.hops, round(max(p.certainty), 6) AS certainty, max(p.certainty) >= 0.5 AS admissible FROM m JOIN p ON p.origin = m.origin AND p.node = m.node AND p.hops = m.hops GROUP BY 1, 2, 3""",
 )
 def _(v):
     edges = v("tb_edges")
-    start = edges.filter("src < 3").select(F.col("src").alias("node")).distinct()
+    start = edges.select(F.col("src").alias("node")).distinct()
     return reachable(edges, start, 4).select("origin", "node", "hops", r("certainty", 6), (F.col("certainty") >= 0.5).alias("admissible"))

@@ -50,7 +50,7 @@ SELECT event_id AS claim_id, event_type AS topic, concat('P', CAST(user_id % 7 A
     "tb_subject_claims": """
 SELECT event_id AS claim_id, event_type AS topic, concat('U', CAST(user_id AS STRING)) AS proposition, CASE WHEN event_id % 3 = 0 THEN 'oppose' ELSE 'support' END AS stance, concat('O', CAST(event_id % 11 AS STRING)) AS origin FROM {events}""",
     "tb_edges": """
-SELECT DISTINCT a AS src, b AS dst, 0.5 + 0.01 * ((a * 7 + b * 3) % 50) AS certainty FROM (SELECT l_partkey % 40 AS a, l_suppkey % 40 AS b FROM {lineitem}) t WHERE a < b AND (a + b) % 5 = 0""",
+SELECT DISTINCT a AS src, b AS dst, 0.5 + 0.01 * ((a * 7 + b * 3) % 50) AS certainty FROM (SELECT l_partkey % 40 AS a, l_suppkey % 40 AS b FROM {lineitem}) t WHERE a < b""",
     "tb_rules": """
 SELECT r_regionkey AS rule_id, CASE WHEN r_regionkey < 3 THEN 'LEAD' ELSE 'NITRATE' END AS analyte, CAST(concat(CAST(1990 + 3 * r_regionkey AS STRING), '-01-01') AS DATE) AS valid_from,
   CASE WHEN r_regionkey < 4 THEN CAST(concat(CAST(1993 + 3 * r_regionkey AS STRING), '-01-01') AS DATE) END AS valid_to, CAST(10 * (r_regionkey + 1) AS DOUBLE) AS threshold,
