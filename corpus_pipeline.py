@@ -2,7 +2,8 @@
 
 Every stage works on all rows that the one before kept. A null or empty text passes toxicity by the model's intercept,
 is alone in its near-duplicate class, loses nothing to substring dedup, is mixed without adding words, and is packed as
-a closing token. Repeated rows of an id leave the second stage once; later copies of a document are the mix's repeats.
+a closing token. Repeated rows of an id and text leave the second stage once, unlike texts of a shared or null id each;
+later copies of a document are the mix's repeats.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays."""
+    """Of each group of near duplicates the smallest id stays; rows without an id are told apart by their texts."""
     return nearjoin.one_of_each(docs)
 
 

@@ -316,6 +316,23 @@ def packed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether several rows share an id; null counts as one."""
+    most = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > 1
+
+
+def digested(docs: DataFrame) -> DataFrame:
+    """packed_rows with a digest of the text; id and digest tell texts of one id (or of none) apart."""
+    return packed_rows(docs).withColumn("digest", F.coalesce(F.md5(F.col("row.text").cast("string").cast("binary")), F.lit("")))
+
+
+def numbers(rows: DataFrame) -> DataFrame:
+    """(id, digest, n): a number for each id and digest, in their order; a checkpoint holds the order."""
+    ordered = _shuffle.cut(rows.select("id", "digest").distinct().orderBy("id", "digest"))
+    return ordered.select("id", "digest", F.monotonically_increasing_id().alias("n"))
+
+
 def true_runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Half-open bounds of the runs of true values."""
     edge = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))

@@ -17,8 +17,10 @@ but asks for more common tokens before a pair is verified; a pair goes by the lo
    multi-match test are verified. So no pair of two known fellows is made, and no link between components is lost.
 
 Edge cases: a null or empty text or one without words has the empty set and is linked with nothing; one with fewer words
-than a shingle has one token, its whole sequence. Repeated rows are copies. Rows that share an id are one node. A null
-id counts as the smallest and is given back as null. Very long texts are one set each; empty tables give no rows.
+than a shingle has one token, its whole sequence. Repeated rows are copies. Where ids are shared or null in several rows,
+each id and text digest is a node of its own, numbered in order of id and digest. A null id counts as the smallest and is
+given back as null, so the column component_id alone doesn't tell the classes of several null ids (or of the unlike texts
+of one id) apart; `one_of_each` goes by nodes and does. Very long texts are one set each; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import _seq, _shuffle
-from tidewell.llm._repeats import COPY, KEYS, NOTE_DDL, NULL_ID, copied, find, group_of, join_hashes, note_rows, notes, packed_rows
+from tidewell.llm._repeats import COPY, KEYS, NOTE_DDL, NULL_ID, copied, digested, find, group_of, ids_repeat, join_hashes, note_rows, notes, numbers, packed_rows
 
 WORDS, PERCENT = 5, 80
 #: Hashed counters for the token order: 2 MB in all, whatever the input.
@@ -282,10 +284,9 @@ def among(kept: DataFrame, pairs: DataFrame) -> DataFrame:
     return kept.join(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "doc_id", "left_semi")
 
 
-def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def node_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of (doc_id, text), whose ids are nodes."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     groups = _shuffle.group_count(docs)
     rows = _shuffle.cut(profiles(docs, words))
     counts = token_counts(rows)
@@ -343,14 +344,40 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     kept = _shuffle.cut(texts.groupBy("g").cogroup(copies.unionByName(repeated).groupBy("g")).applyInArrow(keep, SETS_DDL))
     roots = class_roots(kept, words, percent)
     own = own.join(first.select("digest", "rep"), "digest", "left").withColumn("rep", F.when(F.col("size") > 0, F.col("rep")))
-    out = own.join(roots, own["rep"] == roots["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    return own.join(roots, own["rep"] == roots["node"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+
+
+def nodes(rows: DataFrame, node: str) -> DataFrame:
+    """(doc_id, text) of packed rows, with their nodes for ids."""
+    return rows.select(F.col(node).alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+
+
+def apart(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """(n, row): one row of each id and digest. Repeated rows are taken together before they are shuffled."""
+    return _shuffle.cut(rows.groupBy("id", "digest").agg(F.first("row").alias("row")).join(of, ["id", "digest"]).select("n", "row"))
+
+
+def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    docs = docs.select("doc_id", "text")
+    if ids_repeat(docs):
+        rows = digested(docs)
+        of = numbers(rows)
+        found = node_classes(nodes(apart(rows, of), "n"), words, percent).join(of.select(F.col("n").alias("component_id"), F.col("id").alias("least")), "component_id")
+        told = of.join(found.select(F.col("doc_id").alias("n"), "n_shingles", "least"), "n").drop("n")
+        out = rows.select("id", "digest").join(told, ["id", "digest"]).select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    else:
+        out = node_classes(nodes(packed_rows(docs), "id"), words, percent)
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return out.select(real("doc_id"), "n_shingles", real("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents that have the smallest id of their component; rows that share an id are kept once."""
-    kept = near_classes(docs, words, percent).filter("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id")).distinct()
-    rows = packed_rows(docs).join(kept, "id", "left_semi")
-    first = Window.partitionBy("id").orderBy(F.length("row.text"), "row.text")
-    return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")
+    """The documents that have the smallest node of their component; of rows with one id and text one is kept."""
+    if ids_repeat(docs):
+        rows = digested(docs)
+        rows = apart(rows, numbers(rows)).withColumnRenamed("n", "id")
+    else:
+        rows = packed_rows(docs)
+    kept = node_classes(nodes(rows, "id"), words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("id"))
+    return rows.join(kept, "id", "left_semi").select("row.*")

@@ -10,7 +10,8 @@ however large the corpus, in place of one broadcast of all automata to all tasks
 Edge cases: null and empty texts and texts of fewer words than a window lose nothing (null: no words, the hash of the
 empty string). Very long texts are read in strips. Rows that share an id are one document's: neither is earlier than
 the other by its row. A null id counts as the smallest. Empty tables give no rows; other columns are ignored by
-`substring_report` and handed on by `without_repeats`, which takes ids to be distinct.
+`substring_report` and handed on by `without_repeats`, which takes the texts of a shared or null id for documents of
+their own, in order of their digests.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm import _seq
-from tidewell.llm._repeats import NULL_ID, Texts, Unit, join_hashes, judged, packed_rows, true_runs
+from tidewell.llm import _seq, _shuffle
+from tidewell.llm._repeats import NULL_ID, Texts, Unit, digested, ids_repeat, join_hashes, judged, numbers, packed_rows, true_runs
 
 WINDOW = 20
 
@@ -199,7 +200,13 @@ def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with repeated words taken out of `text`; texts without any stay as they are, and a text of which nothing is left goes."""
-    kept = judged(docs, Unit(True, window, max(1, min(6, window))), automaton_index(window), True, _text, "doc_id long, kept string, n_removed long").filter("n_removed > 0")
+    rows = packed_rows(docs)
+    if repeat := ids_repeat(docs):
+        rows = digested(docs)
+        rows = _shuffle.cut(rows.join(numbers(rows), ["id", "digest"]).select(F.col("n").alias("id"), "row"))
+    texts = rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"))
+    kept = judged(texts, Unit(True, window, max(1, min(6, window))), automaton_index(window), True, _text, "doc_id long, kept string, n_removed long").filter("n_removed > 0")
     kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("kept"))
-    rows = packed_rows(docs).join(kept, "id", "left").filter("kept is null or kept <> ''")
+    kept = kept.dropDuplicates(["id"]) if repeat else kept
+    rows = rows.join(kept, "id", "left").filter("kept is null or kept <> ''")
     return rows.select(F.col("row").withField("text", F.coalesce("kept", F.col("row.text"))).alias("row")).select("row.*")
