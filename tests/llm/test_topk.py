@@ -44,3 +44,15 @@ def test_few_and_none(spark):
     assert sorted(map(tuple, topk.top_products(frame(spark, rows)).collect())) == brute(rows)
     assert topk.top_products(frame(spark, [])).count() == 0
     assert topk.top_products(frame(spark, [(7, [1.0])])).count() == 0
+
+
+def test_many_vectors_of_one_length(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    sizes, pack = [], topk.blocks
+    monkeypatch.setattr(topk, "blocks", lambda rows, block: sizes.append(pack(rows, block)) or sizes[-1])
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(i, [1.5, -2.0] + [0.0] * 6) for i in range(300, 600)]
+    got = sorted(map(tuple, topk.top_products(frame(spark, rows)).collect()))
+    assert got == brute(rows)
+    assert max(r["n"] for r in sizes[0].select("n").collect()) <= 40

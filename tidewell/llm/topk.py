@@ -2,7 +2,7 @@
 
 Components become floor(256 * x). All vectors' second moments (one small matrix a task) give the rotation whose leading
 axes carry most of the length, as in a singular value decomposition. Vectors are cut by length into strata and these
-into blocks of bounded size. The longest block meets all queries first, which gives each its k-th best score so far; a
+into blocks of bounded size, each stratum by its own count. The longest block meets all queries first, which gives each its k-th best score so far; a
 further block is sent to a block of queries only if length times length can reach one of these. Inside a pair of blocks,
 vectors come by descending length: a query drops those whose length, then whose partial sum over the leading axes plus
 the product of the residual lengths, stays below its k-th best. What is left gets its exact integer product.
@@ -84,6 +84,16 @@ def blocks(rows: DataFrame, block: F.Column) -> DataFrame:
     return rows.select(block.alias("block"), "vec_id", "v", "norm").groupBy("block").applyInArrow(pack, BLOCK_DDL)
 
 
+def cell_numbers(rows: DataFrame, stratum: F.Column) -> F.Column:
+    """The block of each vector. A stratum of more than BLOCK vectors, as many of one length make, is cut by a hash of
+    the id into parts of half a block on average; STRATA counts at most reach the driver."""
+    count = {r["s"]: r["n"] for r in rows.groupBy(stratum.cast("int").alias("s")).agg(F.count("*").alias("n")).collect()}
+    parts = [1 if count.get(s, 0) <= BLOCK else -(-2 * count[s] // BLOCK) for s in range(max(count, default=0) + 1)]
+    first = np.cumsum([0, *parts]).tolist()
+    of = lambda x: F.get(F.array(*[F.lit(n).cast("long") for n in x]), stratum.cast("int"))
+    return of(first[:-1]) + F.pmod(F.xxhash64("vec_id"), of(parts))
+
+
 class Best:
     """Each query's k best (score, id) so far, by descending score and ascending id."""
 
@@ -147,10 +157,9 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     total = -(-n // BLOCK)
     strata = min(STRATA, max(1, total))
     edges = sorted(set(data.approxQuantile("norm", [i / strata for i in range(1, strata)], 0.2 / strata))) if strata > 1 else []
-    salts = max(1, -(-total // strata))
     # stratum 0 has the longest vectors; its number is that of the edges at or above the length
     stratum = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e > F.col("norm"))) if edges else F.lit(0)
-    cells = blocks(data, stratum.cast("long") * salts + F.pmod(F.xxhash64("vec_id"), F.lit(salts)))
+    cells = blocks(data, cell_numbers(data, stratum))
     asked = data.filter(F.pmod("vec_id", F.lit(every)) == 0)
     groups = max(1, -(-asked.count() // QUERIES))
     packed = blocks(asked, F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
