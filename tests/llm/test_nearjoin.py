@@ -32,3 +32,35 @@ def test_one_of_each_and_empty(spark):
     want = {d for d, (_, c) in brute_near(rows).items() if d == c}
     assert sorted(kept, key=str) == sorted(want, key=str)
     assert nearjoin.near_classes(frame(spark, [])).count() == 0
+
+
+def test_template_texts_make_no_pairs(spark, monkeypatch):
+    """Texts of one template with words of their own lie below the threshold: their common tokens must not pair them."""
+    monkeypatch.setattr(_shuffle, "GROUP_BYTES", 20000)
+    rng = random.Random(3)
+    template = " ".join(f"c{i}" for i in range(12))
+    rows = [(i, f"{template} o{rng.randrange(10**9)} p{rng.randrange(10**9)}", None, None) for i in range(300)]
+    rows += [(300 + i, f"{template} o{rng.randrange(10**9)}", None, None) for i in range(30)]  # these link
+    made, exact = [], nearjoin.exact_pairs
+    monkeypatch.setattr(nearjoin, "exact_pairs", lambda *a: made.append(exact(*a)) or made[-1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nearjoin.near_classes(frame(spark, rows)).collect()}
+    assert got == brute_near(rows)
+    assert made[0].count() <= 30
+
+
+def test_salts_bands_and_strips(spark, monkeypatch):
+    """Answers of a token split into salts, and texts longer than a strip."""
+    monkeypatch.setattr(_shuffle, "GROUP_BYTES", 20000)
+    monkeypatch.setattr(nearjoin, "SALT", 3)
+    monkeypatch.setattr(nearjoin, "STRIP", 200)
+    monkeypatch.setattr(nearjoin, "MANY", 4)
+    rng = random.Random(5)
+    base = [[f"t{b}x{i}" for i in range(60)] for b in range(3)]
+    rows = []
+    for i in range(120):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(words[rng.randint(0, 6) :]), None, None))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nearjoin.near_classes(frame(spark, rows)).collect()}
+    assert got == brute_near(rows)

@@ -14,7 +14,9 @@ but asks for more common tokens before a pair is verified; a pair goes by the lo
 3. Star pairs: for each token every document is paired with one centre. That is linear in the postings. Verified pairs
    are links and give first components.
 4. All remaining pairs that lie in different components, share a token that not all of one component have and pass the
-   multi-match test are verified. So no pair of two known fellows is made, and no link between components is lost.
+   multi-match test are verified. Documents meet by token and size band, and only where the places of the token leave
+   room for enough common tokens, so these filters stand in the join's key. No pair of two known fellows is verified,
+   and no link between components is lost.
 
 Edge cases: a null or empty text or one without words has the empty set and is linked with nothing; one with fewer words
 than a shingle has one token, its whole sequence. Repeated rows are copies. Where ids are shared or null in several rows,
@@ -26,16 +28,17 @@ of one id) apart; `one_of_each` goes by nodes and does. Very long texts are one
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import _seq, _shuffle
-from tidewell.llm._repeats import COPY, KEYS, NOTE_DDL, NULL_ID, copied, digested, find, group_of, ids_repeat, join_hashes, note_rows, notes, numbers, packed_rows
+from tidewell.llm._repeats import COPY, KEYS, NOTE_DDL, NULL_ID, digested, find, group_of, ids_repeat, join_hashes, note_rows, notes, numbers, packed_rows
 
 WORDS, PERCENT = 5, 80
 #: Hashed counters for the token order: 2 MB in all, whatever the input.
@@ -47,6 +50,8 @@ LOW, HIGH = 4, 8
 POSTING, TOKEN, CHANCE = 12, 8, 0.05
 #: Hashes that choose centres, and the documents of a token from which on places choose them.
 CENTRES, MANY = 8, 16
+#: Ratio of the sizes in one band, and the answers of a token that stand together in the exact join.
+BAND, SALT = 1.06, 512
 STRIP = 2_000_000
 
 
@@ -260,19 +265,60 @@ def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return near.groupBy("a", "b").agg(F.count("*").alias("n"), F.bool_or("many").alias("many")).filter("n > 1 or many").select("a", "b")
 
 
+def size_band(size) -> Column:
+    """The band of a size; sizes in one band differ by BAND at most."""
+    return F.floor(F.log(size) / math.log(BAND)).cast("int")
+
+
+def with_reach(rows: DataFrame, percent: int) -> DataFrame:
+    """Postings with `reach`, the largest size of a partner that the token can be common with.
+
+    Sets of sizes a and b that link share percent * (a + b) / (100 + percent) tokens at least. What a posting leaves room
+    for (the repeated tokens ahead of it and all that follow, and the place of its last counted prefix token) bounds the
+    tokens shared, and so the partner's size.
+    """
+    room = F.expr("least(ahead + size - place, size - place + level - 1, size - low_at + level - 1)")
+    return rows.withColumn("reach", (F.floor(room * (100 + percent) / percent) - F.col("size")).cast("int"))
+
+
+def exact_pairs(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share enough prefix tokens, each once.
+
+    Of a pair the larger set asks and the smaller answers (of equal ones the larger id asks). A set answers only at
+    postings whose reach is its own size or more, and asks only in the bands between its least partner's size and its
+    reach, so sets whose own tokens rule out every partner of a size never meet them, however common the token is.
+    Most documents of a token may lie in one component (`main`); these are met only by documents of others. A token's
+    answers are split into salts of SALT.
+    """
+    by_root = known.groupBy("token", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("token", "main")
+    both = with_reach(known.join(mixed, "token"), percent).withColumn("in_main", F.col("root") == F.col("main"))
+    answers = both.filter("reach >= size").withColumn("band", size_band(F.col("size")))
+    least = F.expr(f"({percent} * size + 99) div 100")
+    top = F.least("size", "reach")
+    asks = both.filter(top >= least).withColumn("band", F.explode(F.sequence(size_band(least), size_band(top))))
+    count = answers.groupBy("token", "band").agg(F.count("*").alias("every"), F.count_if(~F.col("in_main")).alias("outside"), F.min("root").alias("one"), F.max("root").alias("other"))
+    asks = asks.join(count, ["token", "band"]).filter("(one <> other or one <> root) and (not in_main or outside > 0)")
+    # within `main` documents ask those outside only
+    salts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / SALT)).cast("int")
+    asks = asks.withColumn("salts", F.when(F.col("in_main"), salts("outside")).otherwise(salts("every")))
+    asks = asks.select("token", "band", F.col("in_main").alias("a_in_main"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *sides(both, "a", "root"))
+    answers = answers.join(count.select("token", "band", "every", "outside"), ["token", "band"])
+    # an answer stands once for askers outside `main`, and once more for those inside if it is outside itself
+    dealt = lambda n: F.pmod(F.xxhash64("doc_id"), salts(n)).cast("int")
+    kinds = F.array(F.struct(F.lit(False).alias("to_main"), dealt("every").alias("salt")), F.when(~F.col("in_main"), F.struct(F.lit(True).alias("to_main"), dealt("outside").alias("salt"))))
+    answers = answers.withColumn("k", F.explode(F.filter(kinds, lambda x: x.isNotNull()))).select("token", "band", F.col("k.to_main").alias("a_in_main"), F.col("k.salt").alias("salt"), *sides(both, "b", "root"))
+    near = asks.join(answers, ["token", "band", "a_in_main", "salt"]).filter("a_root <> b_root and (b_size < a_size or (b_size = a_size and b < a))").filter(in_both_prefixes(percent))
+    near = near.groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.least("a_level", "b_level")).alias("level")).filter("n >= level")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def class_roots(kept: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the documents that link: star pairs first, then every pair left between components."""
     links = _shuffle.cut(verified(star_pairs(postings(kept), percent), kept, words, percent))
     roots = components(links)
     known = postings(kept.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "root")
-    # tokens that several components have, and the component that most of a token's documents are in
-    by_root = known.groupBy("token", "root").agg(F.count("*").alias("n"))
-    mixed = by_root.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("token", "main")
-    both = known.join(mixed, "token")
-    a = both.filter("root <> main").select("token", "main", *sides(both, "a", "root"))
-    rest = a.join(both.select("token", *sides(both, "b", "root")), "token").filter("a_root <> b_root and (b_root = main or a < b)").filter(in_both_prefixes(percent))
-    rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("a_level", "b_level")).alias("level")).filter("n >= level").select("a", "b")
-    rest = _shuffle.cut(rest)
+    rest = _shuffle.cut(exact_pairs(known, percent))
     more = _shuffle.cut(verified(rest, among(kept, rest), words, percent))
     if more.isEmpty():
         return roots
@@ -305,14 +351,11 @@ def node_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     copies = again.select(group_of(groups).alias("g"), "doc_id").mapInArrow(blob, NOTE_DDL)
     texts = docs.select(group_of(groups).alias("g"), "doc_id", "text")
 
-    class _Ids:  # what `copied` reads
-        def __init__(self, ids: np.ndarray):
-            self.ids = ids
-
     def members(table: pa.Table, told: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray]]:
         """Ids, texts and sets of the group's class representatives."""
-        skip = copied(_Ids(table["doc_id"].to_numpy()), told)
-        keep = np.setdiff1d(np.arange(table.num_rows), skip)
+        blobs = notes(told, COPY)[0]
+        skip = np.concatenate([np.frombuffer(b, np.int64) for b in blobs]) if blobs else np.zeros(0, np.int64)
+        keep = np.flatnonzero(~np.isin(table["doc_id"].to_numpy(), skip))
         part = table.take(pa.array(keep))
         return zip(part["doc_id"].to_pylist(), part["text"], shingle_sets(*_seq.text_bytes(part["text"]), words))
 
