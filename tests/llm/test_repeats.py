@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import brute_runs, brute_substring, frame, odd_documents
-from tidewell.llm import _shuffle, runs_index, substring
+from tidewell.llm import _repeats, _shuffle, runs_index, substring
 
 
 def check(got, want):
@@ -50,9 +52,10 @@ def test_suffix_automaton():
         automaton, at = substring.SuffixAutomaton(), 0
         flat = []
         for p in passages:
-            automaton.add(p, at)
+            automaton.add(p, list(range(at, at + len(p))))
             flat.append((at, p))
             at += len(p)
+        automaton.settle()
         text = [rng.randrange(4) for _ in range(40)]
         for size in (1, 3, 5):
             for i, got in enumerate(automaton.matches(text, size)):
@@ -80,3 +83,51 @@ def test_run_index_matching_statistics():
             end = (i // 20 + 1) * 20
             best = max((k for k in range(end - i + 1) if any((text[j : j + k] == query[i : i + k]).all() for j in range(len(text) - k + 1))), default=0)
             assert got[i] == best, (i, got[i], best, body)
+
+
+def test_suffix_automaton_tells_the_earliest_place_in_any_order():
+    rng = random.Random(7)
+    for _ in range(30):
+        passages = [[rng.randrange(3) for _ in range(rng.randint(1, 20))] for _ in range(4)]
+        places = [[rng.randrange(1000)] for _ in passages]
+        automaton = substring.SuffixAutomaton()
+        for p, at in zip(passages, places):
+            automaton.add(p, list(range(at[0], at[0] + len(p))))
+        automaton.settle()
+        text = [rng.randrange(4) for _ in range(40)]
+        for size in (1, 3, 5):
+            for i, got in enumerate(automaton.matches(text, size)):
+                part = text[i - size + 1 : i + 1] if i + 1 >= size else None
+                ends = [a[0] + j + size - 1 for a, p in zip(places, passages) for j in range(len(p) - size + 1) if p[j : j + size] == part]
+                assert got == (min(ends) if ends else -1)
+
+
+@pytest.mark.parametrize("hot, strip", [(1, 97), (3, 400_000)])
+def test_hot_keys_and_strips(spark, monkeypatch, hot, strip):
+    """A passage that all texts have, with edges of their own; texts longer than a strip; keys looked at window by window."""
+    monkeypatch.setattr(_shuffle, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(_repeats, "HOT", hot)
+    monkeypatch.setattr(_repeats, "STRIP", strip)
+    rng = random.Random(8)
+    say = lambda k: " ".join(f"w{rng.randrange(900)}" for _ in range(k))
+    passage = say(50)
+    rows = [(i, f"{say(rng.randint(0, 60))} {passage} {say(rng.randint(0, 60))}", None, None) for i in range(60)] + odd_documents(9, 20)[-12:]
+    check(substring.substring_report(frame(spark, rows)).collect(), brute_substring(rows))
+    check(runs_index.run_report(frame(spark, rows)).collect(), brute_runs(rows))
+
+
+def test_straddling_windows_of_a_hot_key_stay_at_home(spark, monkeypatch):
+    """Of a hot key only windows that repeat go to its shard."""
+    monkeypatch.setattr(_repeats, "HOT", 8)
+    rng = random.Random(10)
+    say = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    passage = say(40)
+    unit = _repeats.Unit(True, 20, 6)
+    texts = pa.table({"doc_id": pa.array(range(30), pa.int64()), "text": [f"{say(30)} {passage} {say(30)}" for _ in range(30)]})
+    t, none = _repeats.load(unit, texts), np.zeros(0, np.int64)
+    key, count = _repeats.key_counts(unit, t, none, True)
+    hot = key[count > 8]
+    again, times = _repeats.hot_windows(unit, t, none, hot)
+    assert len(hot) and (times > 1).sum() == 21
+    _, windows, _, _ = _repeats.segments(unit, t, none, hot, hot, again[times > 1])
+    assert windows.sum() == 30 * 21

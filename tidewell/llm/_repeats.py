@@ -6,16 +6,20 @@ pieces, so equal windows have equal keys, and neighbours mostly share one. In on
 1. rows are dealt by a hash of the id into groups of bounded size; documents whose whole text a smaller id has are
    told apart by a grouped minimum over text digests and take part no further;
 2. each group sends its distinct keys once, to buckets, and gets back those that occur twice or more anywhere;
-3. runs of windows with such a key become segments; each group sends a segment's content once, to the key's shard;
-4. the shard's index judges every window of every distinct segment on exact content, and returns spans;
-5. each group unites the spans of each of its documents.
-
-A common passage is thus one key and one segment a group however many documents hold it; no pairs are made; texts
-are shuffled once and that exchange is reused; nothing goes through the driver but a count.
+3. of keys that occur more than HOT times (those of a very common passage, whose edges differ in every document) the
+   windows' own hashes go the same way, and only windows that occur twice or more stay;
+4. runs of windows that are left become segments; each group sends a segment's content once, to the key's shard;
+5. the shard's index judges every window of every distinct segment on exact content, and returns spans;
+6. each group unites the spans of each of its documents.
+
+Steps 2 and 3 only spare windows that can't repeat the way to a shard; what repeats is found in the shard's index. A
+common passage is one key and one segment a group however many documents hold it; no pairs are made; texts are shuffled
+once and that exchange is reused; nothing goes through the driver but a count. A doc_id of -2^63 stands for null.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,6 +34,8 @@ U64 = np.uint64
 NULL_ID = -(1 << 63)
 #: Window keys are made for so many units at a time.
 STRIP = 400_000
+#: Segments of one key from which on its windows are looked at one by one.
+HOT = 64
 
 
 @dataclass(frozen=True)
@@ -46,6 +52,7 @@ class Texts:
     """The texts of a group: a buffer, and where each unit of it begins and ends; words are followed by one space."""
 
     ids: np.ndarray
+    tags: np.ndarray  # of the texts, which tell rows that share an id apart
     data: np.ndarray
     begin: np.ndarray | None  # None: every byte is a unit
     end: np.ndarray | None
@@ -60,14 +67,16 @@ class Texts:
 def load(unit: Unit, table: pa.Table) -> Texts:
     ids = table["doc_id"].to_numpy()
     data, off = _seq.text_bytes(table["text"])
+    whole = data.tobytes()
+    tags = np.frombuffer(b"".join([hashlib.md5(whole[a:b]).digest()[:8] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]), np.int64)
     if not unit.words:
-        return Texts(ids, data, None, None, off)
+        return Texts(ids, tags, data, None, None, off)
     starts, ends, doc = _seq.word_spans(data, off)
     size = ends - starts
     to = np.cumsum(size + 1) - (size + 1)
     even = np.full(int((size + 1).sum()), 32, np.uint8)
     even[_seq.ragged(to, size)] = data[_seq.ragged(starts, size)]
-    return Texts(ids, even, to, to + size, np.searchsorted(doc, np.arange(len(off))))
+    return Texts(ids, tags, even, to, to + size, np.searchsorted(doc, np.arange(len(off))))
 
 
 def gram_hashes(unit: Unit, t: Texts, a: int, b: int) -> np.ndarray:
@@ -101,9 +110,9 @@ def join_hashes(h: np.ndarray, k: int) -> np.ndarray:
         level = _seq.mix(level[: -(size // 2)] * _seq._M2 + level[size // 2 :])
 
 
-def runs(unit: Unit, t: Texts, skip: np.ndarray, occurrences: bool = False):
-    """(start, windows, key, document, times) of runs of windows with one key; times: how often its least piece occurs."""
-    w, parts = unit.window - unit.gram + 1, []
+def strips(unit: Unit, t: Texts, skip: np.ndarray):
+    """(first unit, document, key, place among the strip's pieces) of every window, and the pieces' hashes, a strip at a time."""
+    w = unit.window - unit.gram + 1
     size = np.maximum(np.diff(t.off) - unit.window + 1, 0)
     size[skip] = 0
     ends = np.cumsum(size)
@@ -117,23 +126,45 @@ def runs(unit: Unit, t: Texts, skip: np.ndarray, occurrences: bool = False):
         n = np.minimum(ends[docs], b) - first
         docs, first, n = docs[n > 0], first[n > 0], n[n > 0]
         p = _seq.ragged(first + place[docs], n)
-        doc = np.repeat(docs, n)
         lo, hi = int(p[0]), int(p[-1]) + unit.window
         g = gram_hashes(unit, t, lo, hi)
-        key = _seq.sliding_min(g, w)[p - lo]
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
-        count = np.diff(np.concatenate([new, [len(p)]]))
+        yield p, np.repeat(docs, n), _seq.sliding_min(g, w)[p - lo], p - lo, g
+        a = b
+
+
+def window_hashes(unit: Unit, g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows at these places, from the hashes of pieces that cover them."""
+    h = np.zeros(len(at), U64)
+    for k in [*range(0, unit.window - unit.gram, unit.gram), unit.window - unit.gram]:
+        h = _seq.mix(h * _seq._M3 + g[at + k])
+    return h
+
+
+def breaks(p: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where runs of neighbouring windows with one key and document begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(p)), bool), (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (p[1:] != p[:-1] + 1)]))
+
+
+def key_counts(unit: Unit, t: Texts, skip: np.ndarray, occurrences: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The group's distinct keys and their runs; with occurrences each run counts as often as it has its least piece."""
+    w, keys, counts = unit.window - unit.gram + 1, [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for p, doc, key, at, g in strips(unit, t, skip):
+        new = breaks(p, key, doc)
         times = np.ones(len(new), np.int64)
         if occurrences:
-            span = count + w - 1
-            same = g[_seq.ragged(p[new] - lo, span)] == np.repeat(key[new], span)
+            span = np.diff(np.append(new, len(p))) + w - 1
+            same = g[_seq.ragged(at[new], span)] == np.repeat(key[new], span)
             times = np.add.reduceat(same.astype(np.int64), np.cumsum(span) - span)
-        parts.append((p[new], count, key[new], doc[new], times))
-        a = b
-    if not parts:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(U64), z, z
-    return tuple(np.concatenate(x) for x in zip(*parts))
+        keys.append(key[new])
+        counts.append(times)
+    return summed_by_key(np.concatenate(keys), np.concatenate(counts))
+
+
+def summed_by_key(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key[at], (np.add.reduceat(count, at) if len(at) else count)
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -146,7 +177,7 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 NOTE_DDL = "g int, kind int, a binary, b binary, c binary"
 SEGMENT_SCHEMA = pa.schema([("shard", pa.int32()), ("g", pa.int32()), ("docs", pa.binary()), ("at", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
 SEGMENT_DDL = "shard int, g int, docs binary, at binary, sizes binary, data binary"
-COPY, KEYS, SPANS = 0, 1, 2
+COPY, KEYS, SPANS, WINDOWS = 0, 1, 2, 3
 
 
 def notes(table: pa.Table, kind: int) -> list[list[bytes]]:
@@ -154,17 +185,51 @@ def notes(table: pa.Table, kind: int) -> list[list[bytes]]:
     return [rows[c].to_pylist() for c in "abc"]
 
 
+def pairs_of(ids: np.ndarray, tags: np.ndarray) -> bytes:
+    return np.stack([ids, tags], 1).tobytes()
+
+
 def copied(t: Texts, table: pa.Table) -> np.ndarray:
     """Numbers of the documents whose whole text a smaller id has."""
     blobs = notes(table, COPY)[0]
-    return np.flatnonzero(np.isin(t.ids, np.concatenate([np.frombuffer(b, np.int64) for b in blobs]))) if blobs else np.zeros(0, np.int64)
-
-
-def segments(unit: Unit, t: Texts, skip: np.ndarray, keys: np.ndarray):
-    """Runs whose key repeats, in order of (document id, start): start, windows, key, document."""
-    start, count, key, doc, _ = runs(unit, t, skip)
-    hit = find(keys, key)
-    start, count, key, doc = start[hit], count[hit], key[hit], doc[hit]
+    if not blobs:
+        return np.zeros(0, np.int64)
+    told = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs])
+    one = lambda ids, tags: _seq.mix(ids.astype(U64) * _seq._M1) ^ tags.astype(U64)
+    return np.flatnonzero(np.isin(one(t.ids, t.tags), one(told[:, 0], told[:, 1])))
+
+
+def told_keys(table: pa.Table, kind: int, above: int = 0) -> np.ndarray:
+    """The sorted keys of a group's notes of this kind that occur more than `above` times."""
+    keys, counts, _ = notes(table, kind)
+    if not keys:
+        return np.zeros(0, U64)
+    key, count = np.concatenate([np.frombuffer(b, U64) for b in keys]), np.concatenate([np.frombuffer(b, np.uint32) for b in counts])
+    return np.sort(key[count > above])
+
+
+def hot_windows(unit: Unit, t: Texts, skip: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the group's windows whose key is among the hot ones."""
+    found = [np.zeros(0, U64)]
+    for _, _, key, at, g in strips(unit, t, skip):
+        found.append(window_hashes(unit, g, at[find(hot, key)]))
+    h = np.concatenate(found)
+    return summed_by_key(h, np.ones(len(h), np.int64))
+
+
+def segments(unit: Unit, t: Texts, skip: np.ndarray, keys: np.ndarray, hot: np.ndarray, repeated: np.ndarray):
+    """Runs of windows whose key repeats, of a hot key those that repeat themselves, in order of (document id, start): start, windows, key, document."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))]
+    for p, doc, key, at, g in strips(unit, t, skip):
+        on = find(keys, key)
+        if len(hot):
+            close = np.flatnonzero(on)
+            close = close[find(hot, key[close])]
+            on[close] = find(repeated, window_hashes(unit, g, at[close]))
+        p, doc, key = p[on], doc[on], key[on]
+        new = breaks(p, key, doc)
+        parts.append((p[new], np.diff(np.append(new, len(p))), key[new], doc[new]))
+    start, count, key, doc = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((start, t.ids[doc]))
     return start[order], count[order], key[order], doc[order]
 
@@ -188,16 +253,17 @@ def text_copies(docs: DataFrame, groups: int) -> DataFrame:
     rows = docs.filter("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("_digest"))
     first = rows.groupBy("_digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_last > _first")
     # the rows of one digest meet a single row; joined by another form of it, both sides are exchanged and Spark may split a large digest
-    found = rows.withColumn("_key", F.unhex("_digest")).join(first.select(F.unhex("_digest").alias("_key"), "_first"), "_key").filter("doc_id > _first").select(group_of(groups).alias("g"), "doc_id")
+    found = rows.withColumn("_key", F.unhex("_digest")).join(first.select(F.unhex("_digest").alias("_key"), "_first"), "_key").filter("doc_id > _first").select(group_of(groups).alias("g"), "doc_id", F.col("_key").alias("digest"))
 
     def blob(batches):
         for batch in batches:
             g, ids = batch["g"].to_numpy(), batch["doc_id"].to_numpy()
+            tags = np.frombuffer(b"".join([x[:8] for x in batch["digest"].to_pylist()]), np.int64)
             order = np.argsort(g, kind="stable")
-            g, ids = g[order], ids[order]
+            g, ids, tags = g[order], ids[order], tags[order]
             cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
             to = np.concatenate([cut[1:], [len(g)]]).astype(np.int64)
-            yield note_rows(g[cut], COPY, [ids[a:b].tobytes() for a, b in zip(cut, to)])
+            yield note_rows(g[cut], COPY, [pairs_of(ids[a:b], tags[a:b]) for a, b in zip(cut, to)])
 
     return found.mapInArrow(blob, NOTE_DDL)
 
@@ -226,23 +292,26 @@ def judged(docs: DataFrame, unit: Unit, index: Callable, own_too: bool, result:
         if not own.num_rows:
             return _shuffle.KEYS_SCHEMA.empty_table()
         t = load(unit, own)
-        _, _, key, _, times = runs(unit, t, copied(t, told), own_too)
-        order = np.argsort(key)
-        key, times = key[order], times[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        total = np.add.reduceat(times, at) if len(at) else times
-        return _shuffle.key_rows(own["g"][0].as_py(), key[at], total, groups)
+        return _shuffle.key_rows(own["g"][0].as_py(), *key_counts(unit, t, copied(t, told), own_too), groups)
 
     sent = texts.groupBy("g").cogroup(copies.groupBy("g")).applyInArrow(keys, _shuffle.KEYS_DDL)
-    repeated = _shuffle.repeated_keys(sent).select("g", F.lit(KEYS).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.lit(None).cast("binary").alias("c"))
-    known = copies.unionByName(repeated)
+    back = lambda rows, kind: _shuffle.repeated_keys(rows).select("g", F.lit(kind).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.lit(None).cast("binary").alias("c"))
+    repeated = copies.unionByName(back(sent, KEYS))
+
+    def closely(own: pa.Table, told: pa.Table) -> pa.Table:
+        hot = told_keys(told, KEYS, HOT) if own.num_rows else np.zeros(0, U64)
+        if not len(hot):
+            return _shuffle.KEYS_SCHEMA.empty_table()
+        t = load(unit, own)
+        return _shuffle.key_rows(own["g"][0].as_py(), *hot_windows(unit, t, copied(t, told), hot), groups)
+
+    again = texts.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(closely, _shuffle.KEYS_DDL)
+    known = repeated.unionByName(back(again, WINDOWS))
 
     def local(own: pa.Table, told: pa.Table):
         t = load(unit, own)
         skip = copied(t, told)
-        blobs = notes(told, KEYS)[0]
-        keys = np.sort(np.concatenate([np.frombuffer(b, U64) for b in blobs])) if blobs else np.zeros(0, U64)
-        start, count, key, doc = segments(unit, t, skip, keys)
+        start, count, key, doc = segments(unit, t, skip, told_keys(told, KEYS), told_keys(told, KEYS, HOT), told_keys(told, WINDOWS))
         keep, content = first_of_content(unit, t, start, count, doc, own_too)
         return t, skip, start, count, key, doc, keep, content
 
@@ -251,24 +320,24 @@ def judged(docs: DataFrame, unit: Unit, index: Callable, own_too: bool, result:
             return SEGMENT_SCHEMA.empty_table()
         t, _, start, count, key, doc, keep, content = local(own, told)
         shard = _shuffle.bucket_of(key[keep], groups)
-        ids, at = t.ids[doc[keep]], (start - t.off[doc])[keep]
+        ids, tags, at = t.ids[doc[keep]], t.tags[doc[keep]], (start - t.off[doc])[keep]
         sizes = np.array([len(c) for c in content], np.int32)
         order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(groups + 1))
         full = np.flatnonzero(bounds[1:] > bounds[:-1])
         rows = [order[bounds[s] : bounds[s + 1]] for s in full]
-        return pa.table([pa.array(full, pa.int32()), pa.array(np.full(len(full), own["g"][0].as_py(), np.int32)), pa.array([ids[r].tobytes() for r in rows], pa.binary()), pa.array([at[r].tobytes() for r in rows], pa.binary()), pa.array([sizes[r].tobytes() for r in rows], pa.binary()), pa.array([b"".join([content[i] for i in r.tolist()]) for r in rows], pa.binary())], schema=SEGMENT_SCHEMA)
+        return pa.table([pa.array(full, pa.int32()), pa.array(np.full(len(full), own["g"][0].as_py(), np.int32)), pa.array([pairs_of(ids[r], tags[r]) for r in rows], pa.binary()), pa.array([at[r].tobytes() for r in rows], pa.binary()), pa.array([sizes[r].tobytes() for r in rows], pa.binary()), pa.array([b"".join([content[i] for i in r.tolist()]) for r in rows], pa.binary())], schema=SEGMENT_SCHEMA)
 
     def judge(table: pa.Table) -> pa.Table:
-        members: list[tuple[int, int, int]] = []
+        members: list[tuple[int, int, int, int]] = []
         by_content: dict[bytes, list[int]] = {}
         for g, docs_, at, sizes, data in zip(*[table[c].to_pylist() for c in ("g", "docs", "at", "sizes", "data")]):
             to = 0
-            for d, p, n in zip(np.frombuffer(docs_, np.int64).tolist(), np.frombuffer(at, np.int64).tolist(), np.frombuffer(sizes, np.int32).tolist()):
+            for (d, tag), p, n in zip(np.frombuffer(docs_, np.int64).reshape(-1, 2).tolist(), np.frombuffer(at, np.int64).tolist(), np.frombuffer(sizes, np.int32).tolist()):
                 by_content.setdefault(data[to : to + n], []).append(len(members))
-                members.append((d, p, g))
+                members.append((d, p, g, tag))
                 to += n
-        place = np.array(members, np.int64).reshape(-1, 3)
+        place = np.array(members, np.int64).reshape(-1, 4)
         who, first, last = index(list(by_content), list(by_content.values()), place[:, 0], place[:, 1])
         g = place[who, 2]
         order = np.argsort(g, kind="stable")
@@ -276,7 +345,7 @@ def judged(docs: DataFrame, unit: Unit, index: Callable, own_too: bool, result:
         cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
         to = np.concatenate([cut[1:], [len(g)]]).astype(np.int64)
         parts = list(zip(cut.tolist(), to.tolist()))
-        a = [place[who[i:j], 0].tobytes() for i, j in parts]
+        a = [pairs_of(place[who[i:j], 0], place[who[i:j], 3]) for i, j in parts]
         return pa.Table.from_batches([note_rows(g[cut], SPANS, a, [(place[who[i:j], 1] + first[i:j]).tobytes() for i, j in parts], [(place[who[i:j], 1] + last[i:j]).tobytes() for i, j in parts])])
 
     segs = texts.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(send, SEGMENT_DDL)
@@ -295,16 +364,17 @@ def judged(docs: DataFrame, unit: Unit, index: Callable, own_too: bool, result:
         np.add.at(change, (start + count + unit.window - 1)[~keep], -1)
         a, b, c = notes(told, SPANS)
         if a:
-            ids, first, last = (np.concatenate([np.frombuffer(x, np.int64) for x in y]) for y in (a, b, c))
+            pair, first, last = (np.concatenate([np.frombuffer(x, np.int64) for x in y]) for y in (a, b, c))
+            ids, tags = pair.reshape(-1, 2).T
             order = np.argsort(t.ids, kind="stable")
             lo, hi = np.searchsorted(t.ids[order], ids, "left"), np.searchsorted(t.ids[order], ids, "right")
             for i in range(int((hi - lo).max())):  # more than once only for rows that share an id
                 ok = hi - lo > i
                 d = order[lo[ok] + i]
-                f, e = first[ok] + t.off[d], last[ok] + t.off[d]
-                ok = e <= t.off[d + 1]
-                np.add.at(change, f[ok], 1)
-                np.add.at(change, e[ok], -1)
+                own = t.tags[d] == tags[ok]
+                d = d[own]
+                np.add.at(change, first[ok][own] + t.off[d], 1)
+                np.add.at(change, last[ok][own] + t.off[d], -1)
         return result(t, np.cumsum(change[:-1]) > 0)
 
     every = known.unionByName(spans)

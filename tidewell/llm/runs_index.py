@@ -1,15 +1,18 @@
-"""Suffix-array dedup: a run-compressed Burrows-Wheeler index of repeated passages, with matching statistics against it.
-
-A byte is removed if it lies in `window` bytes that also start in a document of smaller id. `_repeats` deals windows
-that may repeat to shards. In a shard the reference is the owner's place of every repeated window, that of the smallest
-id. Its suffix array gives the Burrows-Wheeler transform, of which only the runs stay, with the suffix array's values
-at both ends of each run. Passages of other documents are read from right to left, many side by side: a step inside a
-run follows the last-to-first mapping; at another character it jumps to the nearer run end of that character, whose
-sampled place tells how much of the match stays. Where the match reaches the window's length, the owner's id decides.
+"""Suffix-array dedup: a run-compressed Burrows-Wheeler index of repetitive passages, with matching statistics against it.
+
+A byte is removed if it lies in `window` bytes that also start in a document of smaller id. `_repeats` deals passages
+whose windows may repeat to shards; texts equal as a whole, and passages equal as a whole, are told by digest or by
+content before. A shard's index is built of all its passages as they are. Of the suffix array, which is needed to build
+it only, stay the runs of the Burrows-Wheeler transform, the suffix array's values at both ends of each run, and of each
+interval of suffixes that begin with one window in several documents its place and its smallest document. So what stays
+beside the text's own bytes grows with the runs and the distinct windows that repeat. The passages are then read from
+right to left, many side by side: a step inside a run follows the last-to-first mapping; at another character it jumps
+to the nearer run end of that character, whose sampled place tells how much of the match stays. Where the match reaches
+the window's length, its interval tells whether a smaller document has it.
 
 Edge cases: null and empty texts have no bytes; texts shorter than a window lose nothing; very long texts are read in
-strips; rows that share an id are one document's, which never takes bytes from itself; a null id counts as the smallest;
-spans are of bytes and may cut a character; empty tables give no rows; other columns are ignored.
+strips; rows that share an id are one document's, which never takes bytes from itself; a null id (or -2^63) counts as
+the smallest; spans are of bytes and may cut a character; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,42 +24,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewell.llm import _seq
-from tidewell.llm._repeats import NULL_ID, Texts, Unit, join_hashes, judged, true_runs
+from tidewell.llm._repeats import NULL_ID, Texts, Unit, judged, true_runs
 
 WINDOW, GRAM = 50, 16
 #: Windows of a passage that one lane reads at most.
 LANE = 256
-SEPARATOR, END = 256, -1
-
-
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of an integer array, by prefix doubling; a suffix that ends is the smaller one."""
-    n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
-    k = 1
-    while True:
+SEPARATOR, END = 255, -1
+#: Common prefixes are measured up to this many bytes; matches of a window's length or more need no more.
+FAR = 64
+NOBODY = np.iinfo(np.int32).max
+
+
+def eights(text: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes from there as a number, without a copy of them; zeros follow the end."""
+    padded = np.concatenate([text, np.zeros(FAR + 8, np.uint8)])
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of bytes, by prefix doubling from eight bytes on; a suffix that ends is the smaller one."""
+    n = len(text)
+    ending = np.arange(n - 1, max(n - 8, -1), -1)  # suffixes of less than eight bytes, the shortest first
+    places = np.concatenate([ending, np.arange(n - len(ending))])
+    first = eights(text)[places].byteswap()
+    by = np.argsort(first, kind="stable")
+    order, first = places[by], first[by]
+    new = np.ones(n, np.int64)
+    new[1:] = (first[1:] != first[:-1]) | (order[1:] > n - 8) | (order[:-1] > n - 8)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new)
+    del first, by, places
+    k = 8
+    while rank[order[-1]] < n if n else False:
         key = rank * (n + 2)
-        key[: n - k] += rank[k:]
+        key[: max(n - k, 0)] += rank[k:]
         order = np.argsort(key, kind="stable")
         key = key[order]
-        new = np.cumsum(np.concatenate([[1], (key[1:] != key[:-1]).astype(np.int64)]))
-        rank[order] = new
+        rank[order] = np.cumsum(np.concatenate([[1], (key[1:] != key[:-1]).astype(np.int64)]))
         k *= 2
-        if new[-1] == n or k >= n:
-            return order
+    return order
 
 
 class RunIndex:
-    """The run-compressed transform of a text of small integers, with suffix array samples at run ends."""
-
-    def __init__(self, text: np.ndarray):
-        s = np.concatenate([text, [END]])
-        sa = suffix_array(s)
-        before = s[sa - 1]
+    """The run-compressed transform of a text of bytes, with suffix array samples at run ends.
+
+    owner: for each place the number of the document that has a window there, or NOBODY. Intervals of one window and
+    several owners keep their smallest.
+    """
+
+    def __init__(self, text: np.ndarray, owner: np.ndarray | None = None, window: int = WINDOW):
+        text = text.astype(np.uint8)
+        n = len(text)
+        self.size, self.eights = n, eights(text)
+        sa = np.concatenate([[n], suffix_array(text)])  # the end comes first
+        before = np.where(sa > 0, text[sa - 1].astype(np.int16), np.int16(END))
         start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        last = np.concatenate([start[1:] - 1, [len(s) - 1]])
-        self.start, self.char = start, before[start]
-        self.sa_first, self.sa_last, self.last = sa[start], sa[last], last
+        last = np.concatenate([start[1:] - 1, [n]])
+        self.start, self.char, self.last = start, before[start], last
+        self.sa_first, self.sa_last = sa[start], sa[last]
         self.runs = len(start)
         size = last - start + 1
         # runs by character, then place: where each character's runs begin, and how many of it come before each run
@@ -69,23 +94,46 @@ class RunIndex:
         self.mapped[self.by_char] = whole
         self.symbols, self.symbol_at = ordered[fresh], np.append(np.flatnonzero(fresh), self.runs)
         self.key = group * self.runs + self.by_char
-        self.hashes = []
-        h = _seq.mix((s + 2).astype(np.uint64) * _seq._M1)
-        for _ in range(6):  # of 1, 2, 4, ... 32 characters
-            self.hashes.append(np.concatenate([h, np.arange(len(s) + 64 - len(h), dtype=np.uint64)]))
-            step = 1 << (len(self.hashes) - 1)
-            h = _seq.mix(h[:-step] * _seq._M2 + h[step:]) if len(h) > step else h[:0]
+        self.from_row, self.to_row, self.smallest = self._intervals(sa, owner, window) if owner is not None else (np.zeros(0, np.int64),) * 3
+
+    def _intervals(self, sa: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        same = np.ones(len(sa) - 1, bool)
+        for k in [*range(0, window - 8, 8), window - 8] if window >= 8 else [0]:
+            x = self.eights[np.minimum(sa + k, self.size)]
+            if window < 8:
+                x = x & _seq._LANE_MASK[window]
+            same &= x[1:] == x[:-1]
+        row = np.flatnonzero(np.concatenate([[True], ~same]))
+        who = np.append(owner, NOBODY)[sa]
+        low = np.minimum.reduceat(who, row)
+        high = np.maximum.reduceat(np.where(who == NOBODY, -1, who), row)
+        several = (low < high) & (high >= 0)
+        return row[several], np.append(row[1:], len(sa))[several], low[several].astype(np.int64)
+
+    def smallest_owner(self, row: np.ndarray) -> np.ndarray:
+        """The smallest owner of the window that the suffixes at these rows begin with, NOBODY where one owner has it."""
+        if not len(self.from_row):
+            return np.full(len(row), NOBODY, np.int64)
+        k = np.maximum(np.searchsorted(self.from_row, row, "right") - 1, 0)
+        return np.where((self.from_row[k] <= row) & (row < self.to_row[k]), self.smallest[k], NOBODY)
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the suffixes at x and y, up to 63."""
-        n = np.zeros(len(x), np.int64)
-        for level in range(5, -1, -1):
-            h = self.hashes[level]
-            n += (h[x + n] == h[y + n]) * (1 << level)
-        return np.where(x == y, 63, n)
+        """Length of the common prefix of the suffixes at x and y, up to FAR."""
+        n = np.full(len(x), FAR, np.int64)
+        on = np.arange(len(x))
+        for k in range(0, FAR, 8):
+            d = self.eights[np.minimum(x[on] + k, self.size)] ^ self.eights[np.minimum(y[on] + k, self.size)]
+            differ = np.flatnonzero(d)
+            low = d[differ] & (~d[differ] + np.uint64(1))  # the lowest bit that differs
+            n[on[differ]] = k + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+            on = on[d == 0]
+            if not len(on):
+                break
+        return np.minimum(n, self.size - np.maximum(x, y))
 
     def matching(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, emit) -> None:
-        """Calls emit(positions, lengths, places) for the longest match of text[position:end] in the index, for every position of each lane."""
+        """Calls emit(positions, lengths, rows) for the longest match of text[position:end] in the index, for every position
+        of each lane; lengths of FAR or more may be stated less, but never below FAR."""
         order = np.argsort(begin - end, kind="stable")
         begin, end = begin[order], end[order]
         n = len(begin)
@@ -94,7 +142,7 @@ class RunIndex:
         for t in range(int(size[0]) if n else 0):
             m = int(np.searchsorted(-size, -t, "left"))
             at = end[:m] - 1 - t
-            c = text[at]
+            c = text[at].astype(np.int16)
             run = np.searchsorted(self.start, j[:m], "right") - 1
             off = np.flatnonzero(self.char[run] != c)
             jump, to_sa, to_len = j[:m], sa[:m].copy(), length[:m].copy()
@@ -119,7 +167,7 @@ class RunIndex:
             j[:m] = np.where(stays, self.mapped[run] + jump - self.start[run], 0)
             sa[:m] = np.where(stays, to_sa - 1, self.sa_first[0])
             length[:m] = to_len + 1
-            emit(at, length[:m], sa[:m])
+            emit(at, length[:m], j[:m])
 
 
 def run_index(window: int):
@@ -131,78 +179,42 @@ def run_index(window: int):
         lead = np.empty(len(contents), np.int64)
         for k, m in enumerate(members):
             if len(m) > 1:
-                m.sort(key=lambda i: (doc[i], at[i]))
-                low = doc[m[0]]
+                low = min(doc[i] for i in m)
                 more = [i for i in m if doc[i] > low]  # a smaller id has all of it
                 if more:
                     who.append(np.array(more, np.int64))
                     first.append(np.zeros(len(more), np.int64))
                     last.append(np.full(len(more), sizes[k]))
-                    del m[len(m) - len(more) :]
+                    m[:] = [i for i in m if doc[i] == low]
             lead[k] = m[0]
-        order = np.lexsort((at[lead], doc[lead]))
-        text = np.frombuffer(b"".join([contents[k] for k in order.tolist()]), np.uint8)
-        begin = np.cumsum(sizes[order]) - sizes[order]
-        valid = _seq.ragged(begin, sizes[order] - window + 1)
-        content = np.repeat(np.arange(len(order)), sizes[order] - window + 1)
-        hashes = np.zeros(len(valid), np.uint64)
-        for a in range(0, len(valid), 1 << 19):  # in strips
-            p = valid[a : a + (1 << 19)]
-            h = join_hashes(_seq.mix((text[p[0] : p[-1] + window].astype(np.uint64) + np.uint64(1)) * _seq._M1), window)
-            hashes[a : a + len(p)] = h[p - p[0]]
-        owner = doc[lead[order]]
-        by_hash = np.argsort(hashes, kind="stable")
-        h = hashes[by_hash]
-        fresh = np.concatenate([[True], h[1:] != h[:-1]])
-        head_of = by_hash[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        own = owner[content]
-        other = own[by_hash] > own[head_of]
-        head, later = np.zeros(len(valid) + 1, bool), np.zeros(len(valid) + 1, bool)
-        head[head_of[other]] = True
-        later[by_hash[other]] = True
-        if not later.any():
+        owner = np.unique(doc[lead], return_inverse=True)[1].astype(np.int32)
+        if len(owner) < 2 or owner.max() == 0:
             return np.concatenate(who), np.concatenate(first), np.concatenate(last)
-
-        def spans(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Bounds in the text of runs of flagged windows of one content, of LANE windows at most."""
-            flagged = np.flatnonzero(flag)
-            new = np.concatenate([[True], (flagged[1:] != flagged[:-1] + 1) | (content[flagged[1:]] != content[flagged[:-1]])])
-            a = np.flatnonzero(new)
-            n = np.diff(np.append(a, len(flagged)))
-            return valid[flagged[a]], n
-
-        a, n = spans(head[:-1])
-        piece = n + window - 1
-        filled = np.full(int((piece + 1).sum()), SEPARATOR, np.int64)
-        to = np.cumsum(piece + 1) - (piece + 1)
-        source = _seq.ragged(a, piece)
-        filled[_seq.ragged(to, piece)] = text[source]
-        place_doc = np.zeros(len(filled), np.int64)
-        place_doc[_seq.ragged(to, piece)] = np.repeat(owner[np.searchsorted(begin, a, "right") - 1], piece)
-        built = RunIndex(filled)
-        a, n = spans(later[:-1])
-        parts = -(-n // LANE)
-        lane = np.repeat(a, parts) + LANE * _seq.ragged(np.zeros(len(a), np.int64), parts)
-        end = np.minimum(lane + LANE, np.repeat(a + n, parts)) + window - 1
+        text = np.frombuffer(b"".join([c + bytes([SEPARATOR]) for c in contents]), np.uint8)
+        begin = np.cumsum(sizes + 1) - (sizes + 1)
+        windows = sizes - window + 1
+        at_owner = np.full(len(text), NOBODY, np.int32)
+        at_owner[_seq.ragged(begin, windows)] = np.repeat(owner, windows)
+        built = RunIndex(text, at_owner, window)
+        parts = -(-windows // LANE)
+        lane = np.repeat(begin, parts) + LANE * _seq.ragged(np.zeros(len(begin), np.int64), parts)
+        end = np.minimum(lane + LANE, np.repeat(begin + windows, parts)) + window - 1
         mark = np.zeros(len(text), bool)
-        own_at = np.repeat(owner, sizes[order])
 
-        def emit(at_: np.ndarray, length: np.ndarray, place: np.ndarray) -> None:
+        def emit(place: np.ndarray, length: np.ndarray, row: np.ndarray) -> None:
             hit = length >= window
-            p = at_[hit]
-            mark[p] |= place_doc[place[hit]] < own_at[p]
+            p = place[hit]
+            mark[p] |= built.smallest_owner(row[hit]) < at_owner[p]
 
         built.matching(text, lane, end, emit)
         # a mark is a window's start; windows of one content stand together
-        a = np.flatnonzero(mark)
-        k = np.searchsorted(begin, a, "right") - 1
-        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1] + 1) | (k[1:] != k[:-1])])) if len(a) else np.zeros(0, np.int64)
-        to = np.append(new[1:], len(a)) - 1 if len(new) else new
-        for x, y, c in zip(a[new].tolist(), a[to].tolist(), k[new].tolist()):
-            for i in members[order[c]]:
+        mark &= at_owner != NOBODY
+        for x, y in zip(*true_runs(mark)):
+            k = int(np.searchsorted(begin, x, "right")) - 1
+            for i in members[k]:
                 who.append(np.array([i]))
-                first.append(np.array([x - begin[c]]))
-                last.append(np.array([y - begin[c] + window]))
+                first.append(np.array([x - begin[k]]))
+                last.append(np.array([y - 1 - begin[k] + window]))
         return np.concatenate(who), np.concatenate(first), np.concatenate(last)
 
     return index

@@ -1,15 +1,16 @@
 """Substring dedup: suffix automata of reference shards, documents streamed through them for matching statistics.
 
 A word is removed if it lies in `window` consecutive words whose sequence also starts earlier (in a document of smaller
-id, or earlier in the same one). `_repeats` deals windows that may repeat to shards. In a shard the reference is the
-first place of every repeated window; a suffix automaton is built of these passages, its states know their first place,
-and every later passage is streamed through: where the match reaches the window's length at an earlier place, the
-maximal span is marked. The reference of a whole corpus grows with it, so shards are dealt out by key, of some MB each
-however large the corpus, in place of one broadcast of all automata to all tasks.
+id, or earlier in the same one). `_repeats` deals passages whose windows may repeat to shards; texts and passages equal
+as a whole are told by digest or by content before. In a shard a suffix automaton is built of all its passages as they
+are, whose states know their earliest place; then the passages are streamed through it for matching statistics: where
+the match reaches the window's length at an earlier place, the maximal span is marked. The reference of a whole corpus
+grows with it, so shards are dealt out by key, of some MB each however large the corpus, in place of one broadcast of
+all automata to all tasks.
 
 Edge cases: null and empty texts and texts of fewer words than a window lose nothing (null: no words, the hash of the
 empty string). Very long texts are read in strips. Rows that share an id are one document's: neither is earlier than
-the other by its row. A null id counts as the smallest. Empty tables give no rows; other columns are ignored by
+the other by its row. A null id (or -2^63) counts as the smallest. Empty tables give no rows; other columns are ignored by
 `substring_report` and handed on by `without_repeats`, which takes the texts of a shared or null id for documents of
 their own, in order of their digests.
 """
@@ -23,21 +24,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm import _seq, _shuffle
-from tidewell.llm._repeats import NULL_ID, Texts, Unit, digested, ids_repeat, join_hashes, judged, numbers, packed_rows, true_runs
+from tidewell.llm import _shuffle
+from tidewell.llm._repeats import NULL_ID, Texts, Unit, digested, ids_repeat, judged, numbers, packed_rows, true_runs
 
 WINDOW = 20
 
 
 class SuffixAutomaton:
-    """A suffix automaton of several passages; a state's `first` is the end of its earliest place."""
+    """A suffix automaton of several passages; a state's `first` is the end of its earliest place.
+
+    Most states have one edge, which stands in two lists; only states of several edges have a dictionary.
+    """
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.unit, self.to = [-1], [0]
+        self.more: dict[int, dict[int, int]] = {}
         self.link, self.length, self.first = [-1], [0], [-1]
 
-    def _state(self, edges: dict[int, int], link: int, length: int, first: int) -> int:
-        self.next.append(edges)
+    def step(self, state: int, unit: int) -> int:
+        """The state after one more unit, or -1."""
+        if self.unit[state] == unit:
+            return self.to[state]
+        edges = self.more.get(state)
+        return -1 if edges is None else edges.get(unit, -1)
+
+    def _point(self, state: int, unit: int, to: int) -> None:
+        if self.unit[state] in (-1, unit):
+            self.unit[state], self.to[state] = unit, to
+        else:
+            self.more.setdefault(state, {})[unit] = to
+
+    def _state(self, link: int, length: int, first: int) -> int:
+        self.unit.append(-1)
+        self.to.append(0)
         self.link.append(link)
         self.length.append(length)
         self.first.append(first)
@@ -45,44 +64,67 @@ class SuffixAutomaton:
 
     def _split(self, p: int, q: int, c: int) -> int:
         """The state of exactly the strings that p reaches by c, taken out of q if q also has longer ones."""
-        nxt, link, length = self.next, self.link, self.length
+        link, length = self.link, self.length
         if length[p] + 1 == length[q]:
             return q
-        copy = self._state(nxt[q].copy(), link[q], length[p] + 1, self.first[q])
+        copy = self._state(link[q], length[p] + 1, self.first[q])
+        self.unit[copy], self.to[copy] = self.unit[q], self.to[q]
+        if q in self.more:
+            self.more[copy] = self.more[q].copy()
         link[q] = copy
-        while p >= 0 and nxt[p].get(c) == q:
-            nxt[p][c] = copy
+        while p >= 0 and self.step(p, c) == q:
+            self._point(p, c, copy)
             p = link[p]
         return copy
 
-    def add(self, passage: list[int], place: int) -> None:
-        """One more passage, whose units stand at place, place + 1, ..."""
-        nxt, link, length = self.next, self.link, self.length
+    def add(self, passage: list[int], places: list[int]) -> None:
+        """One more passage, with the places of its units."""
+        link, length, first = self.link, self.length, self.first
         last = 0
-        for i, c in enumerate(passage, place):
-            q = nxt[last].get(c)
-            if q is not None:  # an earlier passage has it
+        for c, i in zip(passage, places):
+            q = self.step(last, c)
+            if q >= 0:  # an earlier passage has it
                 last = self._split(last, q, c)
+                if i < first[last]:
+                    first[last] = i
                 continue
-            made = self._state({}, 0, length[last] + 1, i)
+            made = self._state(0, length[last] + 1, i)
             p = last
-            while p >= 0 and c not in nxt[p]:
-                nxt[p][c] = made
+            while p >= 0 and self.step(p, c) < 0:
+                self._point(p, c, made)
                 p = link[p]
             if p >= 0:
-                link[made] = self._split(p, nxt[p][c], c)
+                link[made] = self._split(p, self.step(p, c), c)
             last = made
 
+    def settle(self) -> None:
+        """Hands each state's earliest place on to the states of its suffixes; after all passages are added."""
+        link, first = self.link, self.first
+        for state in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
+            up = link[state]
+            if up > 0 and first[state] < first[up]:
+                first[up] = first[state]
+
     def matches(self, text: list[int], size: int) -> list[int]:
         """For each unit the end of the earliest place of the `size` units up to it, or -1 if they are nowhere."""
-        nxt, link, length, first = self.next, self.link, self.length, self.first
+        link, length, first, unit, to, more = self.link, self.length, self.first, self.unit, self.to, self.more
         out, v, n = [], 0, 0
         for c in text:
-            while v and c not in nxt[v]:
+            while True:
+                if unit[v] == c:
+                    v = to[v]
+                    n += 1
+                    break
+                edges = more.get(v)
+                if edges is not None and c in edges:
+                    v = edges[c]
+                    n += 1
+                    break
+                if v == 0:
+                    n = 0
+                    break
                 v = link[v]
                 n = length[v]
-            v = nxt[v].get(c, 0)
-            n = n + 1 if v else 0
             if n >= size:
                 while length[link[v]] >= size:
                     v = link[v]
@@ -93,70 +135,51 @@ class SuffixAutomaton:
         return out
 
 
-def later_windows(hashes: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flags over windows in order of place: the first of a hash that occurs again, and those that come after it."""
-    at = np.flatnonzero(valid)
-    order = at[np.argsort(hashes[at], kind="stable")]
-    h = hashes[order]
-    same = h[1:] == h[:-1]
-    later, first = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
-    later[order[1:][same]] = True
-    first[order[:-1][same]] = True
-    return first & ~later, later
-
-
 def automaton_index(window: int):
     """The shard index of `_repeats.judged` for words."""
 
     def index(contents: list[bytes], members: list[list[int]], doc: np.ndarray, at: np.ndarray):
         who, first, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        lead = np.empty(len(contents), np.int64)
-        sizes = np.empty(len(contents), np.int64)
+        lead, sizes = np.empty(len(contents), np.int64), np.empty(len(contents), np.int64)
+        passages: list[list[int]] = []
         words: dict[bytes, int] = {}
-        flat: list[int] = []
         for k, (c, m) in enumerate(zip(contents, members)):
-            m.sort(key=lambda i: (doc[i], at[i]))
-            lead[k] = m[0]
-        order = np.lexsort((at[lead], doc[lead]))  # contents by their earliest place
-        for k in order.tolist():
-            ids = [words.setdefault(w, len(words)) for w in contents[k].split(b" ")]
-            sizes[k] = len(ids)
-            flat += ids
-        for k, m in enumerate(members):  # the same content at a later place: every window of it starts earlier
-            more = [i for i in m[1:] if (doc[i], at[i]) != (doc[m[0]], at[m[0]])]
-            again = [i for i in m[1:] if (doc[i], at[i]) == (doc[m[0]], at[m[0]])]
-            if more:
-                who.append(np.array(more, np.int64))
-                first.append(np.zeros(len(more), np.int64))
-                last.append(np.full(len(more), sizes[k]))
-            del m[1:]
-            m += again
-        units = np.array(flat, np.uint64)
-        begin = np.cumsum(sizes[order]) - sizes[order]
-        content = np.repeat(np.arange(len(order)), sizes[order])
-        hashes = join_hashes(_seq.mix(units * _seq._M1), window)
-        left = sizes[order][content] - (np.arange(len(units)) - begin[content])
-        valid = left[: len(hashes)] >= window
-        head, later = later_windows(hashes, valid)
+            passages.append([words.setdefault(w, len(words)) for w in c.split(b" ")])
+            sizes[k] = len(passages[k])
+            lead[k] = low = min(m, key=lambda i: (doc[i], at[i]))
+            later = [i for i in m if (doc[i], at[i]) != (doc[low], at[low])]
+            if later:  # the same content at a later place: every window of it starts earlier
+                who.append(np.array(later, np.int64))
+                first.append(np.zeros(len(later), np.int64))
+                last.append(np.full(len(later), sizes[k]))
+                m[:] = [i for i in m if (doc[i], at[i]) == (doc[low], at[low])]
+        # contents are laid out by their earliest places, so that a unit's number tells its place
+        order = np.lexsort((at[lead], doc[lead]))
+        begin = np.empty(len(contents), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        unit_doc = np.repeat(doc[lead[order]], sizes[order])
+        unit_at = np.repeat(at[lead[order]] - begin[order], sizes[order]) + np.arange(len(unit_doc))
+        # only rows that share an id can have places in another order, or places that are one
+        rank = unit_doc.astype(np.int64)
+        later_place = (unit_doc[1:] > unit_doc[:-1]) | (unit_at[1:] > unit_at[:-1])
+        if later_place.all():
+            rank = np.arange(len(unit_doc))
+        else:
+            by_place = np.lexsort((unit_at, unit_doc))
+            fresh = np.concatenate([[True], (unit_doc[by_place[1:]] != unit_doc[by_place[:-1]]) | (unit_at[by_place[1:]] != unit_at[by_place[:-1]])])
+            rank[by_place] = np.cumsum(fresh) - 1
         automaton = SuffixAutomaton()
-        for a, b in zip(*true_runs(head)):
-            automaton.add(flat[a : b + window - 1], int(a))
-        unit_doc, unit_at = doc[lead[order]][content], at[lead[order]][content] + np.arange(len(units)) - begin[content]
-        mark = np.zeros(len(units), bool)
-        for a, b in zip(*true_runs(later)):
-            found = np.array(automaton.matches(flat[a : b + window - 1], window)[window - 1 :])
-            end = np.arange(a, b) + window - 1
-            earlier = (found >= 0) & ((unit_doc[found] < unit_doc[end]) | ((unit_doc[found] == unit_doc[end]) & (unit_at[found] < unit_at[end])))
-            mark[a:b] = earlier
-        for a, b in zip(*true_runs(mark)):
-            while a < b:  # a run may go over from one content to the next
-                k = content[a]
-                e = min(b, begin[k] + sizes[order][k] - window + 1)
-                for i in members[order[k]]:
+        for k in order.tolist():
+            automaton.add(passages[k], rank[begin[k] : begin[k] + sizes[k]].tolist())
+        automaton.settle()
+        for k, passage in enumerate(passages):
+            found = np.array(automaton.matches(passage, window)[window - 1 :], np.int64)
+            own = rank[begin[k] + window - 1 : begin[k] + sizes[k]]
+            for a, b in zip(*true_runs((found >= 0) & (found < own))):
+                for i in members[k]:
                     who.append(np.array([i]))
-                    first.append(np.array([a - begin[k]]))
-                    last.append(np.array([e - begin[k] + window - 1]))
-                a = max(e, a + 1)
+                    first.append(np.array([a]))
+                    last.append(np.array([b + window - 1]))
         return np.concatenate(who), np.concatenate(first), np.concatenate(last)
 
     return index
