@@ -21,6 +21,10 @@ def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(table(spark, sf_dir, "documents"))
 
 
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_pages(table(spark, sf_dir, "documents"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repaired(table(spark, sf_dir, "conversations"))
 
@@ -57,5 +61,5 @@ def op9_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_index.run_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_tiff": op1_tiff, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_topk": op5_topk, "op6_packing": op6_packing, "op7_nearjoin": op7_nearjoin, "op8_toxicity": op8_toxicity, "op9_runs": op9_runs, "op10_substring": op10_substring}
+QUERIES = {"op1_tiff": op1_tiff, "op2_chat": op2_chat, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op5_topk": op5_topk, "op6_packing": op6_packing, "op7_nearjoin": op7_nearjoin, "op8_toxicity": op8_toxicity, "op9_runs": op9_runs, "op10_substring": op10_substring, "op1_tiff_pages": op1_tiff_pages}
 OP_SQL = {"op3_mixing": mixing.OP3_SQL, "op5_topk": topk.OP5_SQL}

@@ -4,9 +4,11 @@
 are plain, PackBits, LZW or deflate coded, undoes the horizontal difference predictor, and yields one page a directory.
 `tiff_pages` emits one row per page of a binary column; `encode` writes a file whose pages it can read back.
 
-Edge cases: a null file gives no pages; an empty or truncated file, an unknown compression or a loop of directories
-gives one row with page -1 and the reason in `error`, and the job goes on. Repeated rows each give their pages.
-Columns besides those named are not read, so their names cannot clash.
+Edge cases: a null file gives no pages; an empty, truncated or otherwise damaged file, an unknown compression, a loop of
+directories, or dimensions that the stored bytes cannot fill give the pages before the fault and one row with page -1
+and the reason in `error`, and the job goes on. No page takes more than MOST_PIXELS bytes, however large it says it is,
+and nothing is inflated beyond the size of its strip or tile. Bits of either fill order are read. Repeated rows each
+give their pages. Columns besides those named are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,11 +27,19 @@ from pyspark.sql import functions as F
 
 # Fixed values of the TIFF 6.0 specification: tags, compressions and the sizes of its field types.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
+FILL_ORDER = 266
 PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: What a stored byte can become at most: PackBits repeats 128 of two, LZW's longest entry of 12 bits, deflate's 258 of two bits.
+MOST_GROWTH = {NONE: 1, PACKBITS: 64, LZW: 2730, DEFLATE: 1032, OLD_DEFLATE: 1032}
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
+#: Bytes of pixels that a page may have at most.
+MOST_PIXELS = 1 << 28
+REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
 class TiffError(ValueError):
     """The bytes are not a TIFF file that this module reads."""
 
@@ -241,22 +251,32 @@ def decode_pages(data: bytes) -> Iterator[Page]:
             how, predictor = f.get(COMPRESSION, [NONE])[0], f.get(PREDICTOR, [1])[0]
             if any(b != 8 for b in f.get(BITS, [1])) or predictor not in (1, 2):
                 raise TiffError("only 8-bit samples without or with horizontal differences")
+            if how not in MOST_GROWTH:
+                raise TiffError(f"compression {how}")
             tiled = TILE_OFFSETS in f
             bw, bh = (f[TILE_WIDTH][0], f[TILE_LENGTH][0]) if tiled else (w, min(f.get(ROWS, [h])[0], h))
+            places, sizes = f[TILE_OFFSETS if tiled else STRIP_OFFSETS], f[TILE_BYTES if tiled else STRIP_BYTES]
+            if not (w and h and s and bw and bh):
+                raise TiffError("a page, strip or tile without pixels")
+            across, down = -(-w // bw), -(-h // bh)
+            stored = sum(min(n, len(data)) for n in sizes[: across * down])
+            if min(len(places), len(sizes)) < across * down or across * down * bw * bh * s > MOST_GROWTH[how] * stored + across * bw * bh * s or max(h * w * s, bw * bh * s) > MOST_PIXELS:
+                raise TiffError("more pixels than the stored bytes can hold")
             pixels = np.zeros((h, w, s), np.uint8)
-            across = -(-w // bw) if w else 0
-            for i, (o, n) in enumerate(zip(f[TILE_OFFSETS if tiled else STRIP_OFFSETS], f[TILE_BYTES if tiled else STRIP_BYTES])):
+            for i in range(across * down):
                 y, x = (i // across) * bh, (i % across) * bw
                 rows = bh if tiled else min(bh, h - y)
-                size, raw = rows * bw * s, data[o : o + n]
+                size, raw = rows * bw * s, data[places[i] : places[i] + sizes[i]]
+                if size > MOST_GROWTH[how] * len(raw):
+                    raise TiffError("truncated strip or tile")
+                if f.get(FILL_ORDER, [1])[0] == 2:
+                    raw = raw.translate(REVERSED)
                 if how in (DEFLATE, OLD_DEFLATE):
-                    raw = zlib.decompress(raw)
+                    raw = zlib.decompressobj().decompress(raw, size)
                 elif how == PACKBITS:
                     raw = unpack_bits(raw, size)
                 elif how == LZW:
                     raw = unpack_lzw(raw, size)
-                elif how != NONE:
-                    raise TiffError(f"compression {how}")
                 if len(raw) < size:
                     raise TiffError("truncated strip or tile")
                 block = np.frombuffer(raw, np.uint8, count=size).reshape(rows, bw, s)
@@ -265,7 +285,9 @@ def decode_pages(data: bytes) -> Iterator[Page]:
                 pixels[y : y + rows, x : x + bw] = block[: h - y, : w - x]
             yield Page(index, w, h, s, how, predictor, tiled, pixels)
             index += 1
-    except (struct.error, KeyError, IndexError, zlib.error, ZeroDivisionError) as e:
+    except TiffError:
+        raise
+    except (struct.error, LookupError, zlib.error, ArithmeticError, ValueError, MemoryError) as e:
         raise TiffError(f"damaged file: {e}") from e
 
 
@@ -303,19 +325,50 @@ def tiff_pages(df: DataFrame, id_col: str, file_col: str) -> DataFrame:
 
 #: Samples across a page, and bytes on a page at most: longer payloads go on to further pages.
 PAGE_WIDTH, PAGE_BYTES = 64, 1 << 20
+#: Compression, tile or none, and predictor of the stored forms; a payload's checksum chooses one. The slow codecs come seldom.
+LAYOUTS = [(DEFLATE, None, 2), (DEFLATE, (64, 64), 1), (NONE, None, 1), (DEFLATE, (128, 32), 2), (PACKBITS, None, 1), (DEFLATE, None, 1), (LZW, (64, 64), 1), (PACKBITS, (32, 64), 2)]
+NAMES = {NONE: "plain", PACKBITS: "packbits", LZW: "lzw", DEFLATE: "deflate"}
+
 
+def layout_of(payload: bytes) -> tuple[int, tuple[int, int] | None, int]:
+    return LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
 
-def payload_to_tiff(payload: bytes, compression: int = DEFLATE) -> bytes:
+
+def payload_to_tiff(payload: bytes, compression: int = DEFLATE, tile: tuple[int, int] | None = None, predictor: int = 2) -> bytes:
     """A payload of a multiple of 64 bytes as 8-bit grey pages, 64 samples across."""
     a = np.frombuffer(payload, np.uint8).reshape(-1, PAGE_WIDTH)
     rows = PAGE_BYTES // PAGE_WIDTH
-    return encode([a[i : i + rows] for i in range(0, len(a), rows)], compression)
+    return encode([a[i : i + rows] for i in range(0, len(a), rows)], compression, predictor, tile=tile)
+
+
+def text_payload(text: bytes) -> bytes:
+    """The bytes, filled with zeros up to a positive multiple of 64."""
+    return text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text))
+
+
+def text_files(docs: DataFrame) -> DataFrame:
+    """(doc_id, file): every whole text stored as a TIFF file, in the layout that its payload chooses."""
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                payloads = [text_payload(t) for t in pc.cast(pc.fill_null(part["text"], ""), pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([payload_to_tiff(p, *layout_of(p)) for p in payloads], pa.binary())], names=["doc_id", "file"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(store, "doc_id long, file binary")
+
+
+def text_pages(docs: DataFrame) -> DataFrame:
+    """One row per page of the files that `text_files` makes of all texts."""
+    return tiff_pages(text_files(docs), "doc_id", "file")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
     """Every whole text through a TIFF file and back: digests of the payload read back and of the file, and a feature.
 
-    Null text counts as empty, whose payload is 64 zero bytes. Each text is encoded, decoded and reduced by itself,
+    Null text counts as empty, whose payload is 64 zero bytes. The payload's checksum chooses the file's layout, so that
+    equal texts give equal files and all codecs, strips and tiles are in use. Each text is encoded, decoded and reduced by itself,
     so memory is bounded by the longest text; there is no shuffle.
     """
 
@@ -323,19 +376,21 @@ def text_media(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in pc.cast(pc.fill_null(batch["text"], ""), pa.binary()).to_pylist():
-                size = max(64, -(-len(text) // 64) * 64)
-                media = payload_to_tiff(text + b"\0" * (size - len(text)))
-                sha, tail, hist, cols, got = hashlib.sha256(), b"", np.zeros(256, np.int64), np.zeros(PAGE_WIDTH, np.int64), 0
+                payload = text_payload(text)
+                layout = layout_of(payload)
+                media = payload_to_tiff(payload, *layout)
+                sha, tail, hist, cols, got, pages = hashlib.sha256(), b"", np.zeros(256, np.int64), np.zeros(PAGE_WIDTH, np.int64), 0, 0
                 for page in decode_pages(media):
+                    pages += 1
                     raw = page.pixels.tobytes()
                     sha.update(raw)
                     tail = (tail + raw)[-64:]
                     hist += np.bincount(page.pixels.ravel(), minlength=256)
                     cols += page.pixels.sum((0, 2), dtype=np.int64)
                     got += len(raw)
-                rows.append((len(text), got, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), page_feature(hist, cols, got)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((len(text), got, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), page_feature(hist, cols, got), pages, f"{NAMES[layout[0]]}{'-tiles' if layout[1] else ''}"))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages", "layout"])
 
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages long, layout string"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digest, ddl)
