@@ -8,6 +8,8 @@ dealt by ranges of (conversation, turn); a conversation inside one range is solv
 however long, is solved from its stretches' matrices and then rendered stretch by stretch. Each given turn yields one row;
 the `fragment`s of a conversation, in order, concatenate to its rendering.
 
+A turn's text can't forge a turn: in it `<|` is written `<\\|` (and `<\\` as `<\\\\`), which `unescaped` undoes.
+
 Edge cases: a null or unknown role must be relabelled; null text is empty; turns are ordered by turn (null first), then
 role and text, so repeated rows are turns next to each other; a null conversation is one of its own; equally cheap ways
 are told apart by a fixed hash, so results don't depend on how rows are dealt; empty tables give no rows.
@@ -15,6 +17,7 @@ are told apart by a fixed hash, so results don't depend on how rows are dealt; e
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -36,6 +39,14 @@ NEVER = (1 << 60, 0)
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 
 
+def escaped(text: str) -> str:
+    return text.replace("<\\", "<\\\\").replace("<|", "<\\|")
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\([\\|])", r"<\1", text)
+
+
 def given_role(role: str | None) -> int:
     name = (role or "").strip().lower()
     name = ALIASES.get(name, name)
@@ -111,7 +122,7 @@ def fragments(turns: list[tuple], path: list[tuple[int, str, int]], begins: bool
             if put >= 0:
                 out += OPEN.format(ROLES[put]) + CLOSE
             out += OPEN.format(ROLES[to])
-        out += text
+        out += escaped(text)
         if ends and i == len(turns) - 1:
             out += CLOSE
             if to == 0:
@@ -123,14 +134,15 @@ ROWS = "conv_id long, turn long, role string, text string, stretch int"
 OUT = "conv_id long, turn long, given_role string, role string, action string, cost long, fragment string"
 
 
-def _turns(rows: list[dict]) -> list[tuple]:
+def _turns(rows: list[tuple]) -> list[tuple]:
     """(key, role, text); the key tells the turn in its conversation, whatever range it is in."""
-    return [(f"{r['conv_id']}/{r['turn']}/{r['role']}".encode(), given_role(r["role"]), r["text"] or "") for r in rows]
+    return [(f"{conv}/{turn}/{role}".encode(), given_role(role), text or "") for conv, turn, role, text, *_ in rows]
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
-    rows = (r for b in batches for r in b.to_pylist())
-    for key, group in groupby(rows, lambda r: (r["conv_id"], r["stretch"])):
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of ROWS and what follows them, as tuples, a stretch of a conversation at a time."""
+    rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
+    for key, group in groupby(rows, lambda r: (r[0], r[4])):
         yield key, list(group)
 
 
@@ -139,8 +151,8 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
-def _rendered(rows: list[dict], turns: list[tuple], path: list, begins: bool, ends: bool, cost: int) -> pa.RecordBatch:
-    return _emit([(r["conv_id"], r["turn"], r["role"], role, way, cost, f) for r, (role, way, f) in zip(rows, fragments(turns, path, begins, ends))])
+def _rendered(rows: list[tuple], turns: list[tuple], path: list, begins: bool, ends: bool, cost: int) -> pa.RecordBatch:
+    return _emit([(r[0], r[1], r[2], role, way, cost, f) for r, (role, way, f) in zip(rows, fragments(turns, path, begins, ends))])
 
 
 def repaired(conversations: DataFrame) -> DataFrame:
@@ -149,7 +161,8 @@ def repaired(conversations: DataFrame) -> DataFrame:
     rows = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text").withColumn("stretch", F.spark_partition_id())
     rows = _shuffle.cut(rows)  # ranges stay as they are
     parts = rows.groupBy("conv_id").agg(F.min("stretch").alias("first"), F.max("stretch").alias("last"))
-    split = parts.filter("last > first")
+    # a conversation over two ranges or more ends one of them, so there are fewer of these than ranges
+    split = F.broadcast(parts.filter("last > first"))
     whole = rows.join(split.select("conv_id").withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c")), "left_anti")
     long_ = rows.join(split.select(F.col("conv_id").alias("_c"), "first", "last"), F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
 
@@ -162,7 +175,8 @@ def repaired(conversations: DataFrame) -> DataFrame:
 
     order = ["conv_id", "stretch", "turn", "role", "text"]
     by_stretch = ["conv_id", "stretch"]
-    done = whole.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", "stretch").mapInArrow(solve, OUT)
+    columns = ["conv_id", "turn", "role", "text", "stretch"]
+    done = whole.select(*columns).mapInArrow(solve, OUT)  # in the order that the checkpoint holds
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, stretch), own in _stretches(batches):
@@ -172,7 +186,7 @@ def repaired(conversations: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([stretch], pa.int32()), pa.array([[c[0] for c in flat]], pa.list_(pa.int64())), pa.array([[c[1] for c in flat]], pa.list_(pa.int64()))], names=["conv_id", "stretch", "costs", "ties"])
 
     long_ = long_.repartition(*by_stretch).sortWithinPartitions(*order)
-    cells = long_.select("conv_id", "turn", "role", "text", "stretch").mapInArrow(matrix, "conv_id long, stretch int, costs array<long>, ties array<long>")
+    cells = long_.select(*columns).mapInArrow(matrix, "conv_id long, stretch int, costs array<long>, ties array<long>")
 
     def walk(table: pa.Table) -> pa.Table:
         """The states at the ends of each stretch; a conversation has one matrix for each range that it reaches into."""
@@ -197,13 +211,13 @@ def repaired(conversations: DataFrame) -> DataFrame:
         return pa.table([pa.array([r["conv_id"] for r in own], pa.int64()), pa.array([r["stretch"] for r in own], pa.int32()), pa.array(enter[::-1], pa.int32()), pa.array(leave[::-1], pa.int32()), pa.array([total[0]] * n, pa.int64())], names=["c", "s", "enter", "leave", "cost"])
 
     ends = cells.groupBy("conv_id").applyInArrow(walk, "c long, s int, enter int, leave int, cost long")
-    known = long_.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))).drop("c", "s")
+    known = long_.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))).select(*columns, "first", "last", "enter", "leave", "cost")
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _stretches(batches):
             turns = _turns(own)
-            r = own[0]
-            _, back = forward(turns, [(0, 0) if s == r["enter"] else NEVER for s in range(4)])
-            yield _rendered(own, turns, trace(back, r["leave"]), r["stretch"] == r["first"], r["stretch"] == r["last"], r["cost"])
+            *_, stretch, first, last, enter, leave, cost = own[0]
+            _, back = forward(turns, [(0, 0) if s == enter else NEVER for s in range(4)])
+            yield _rendered(own, turns, trace(back, leave), stretch == first, stretch == last, cost)
 
     return done.unionByName(known.repartition(*by_stretch).sortWithinPartitions(*order).mapInArrow(render, OUT))
