@@ -1,7 +1,9 @@
 import random
 
+import pyarrow as pa
+
 from tests.llm.cases import brute_near, frame, odd_documents
-from tidewell.llm import _shuffle, nearjoin
+from tidewell.llm import _seq, _shuffle, nearjoin
 
 
 def test_odd_documents(spark, monkeypatch):
@@ -48,11 +50,18 @@ def test_template_texts_make_no_pairs(spark, monkeypatch):
     assert made[0].count() <= 30
 
 
-def test_salts_bands_and_strips(spark, monkeypatch):
-    """Answers of a token split into salts, and texts longer than a strip."""
+def test_texts_longer_than_a_strip(monkeypatch):
+    texts = pa.array([" ".join(f"w{i * k % 97}" for i in range(n)) for k, n in ((1, 400), (3, 2), (5, 0), (7, 90), (2, 700))])
+    sets = lambda: [x.tolist() for x in nearjoin.shingle_sets(*_seq.text_bytes(texts))]
+    want = sets()
+    monkeypatch.setattr(nearjoin, "STRIP", 200)
+    assert sets() == want and len(want) == 5
+
+
+def test_salts_and_bands(spark, monkeypatch):
+    """Answers of a token split into salts."""
     monkeypatch.setattr(_shuffle, "GROUP_BYTES", 20000)
     monkeypatch.setattr(nearjoin, "SALT", 3)
-    monkeypatch.setattr(nearjoin, "STRIP", 200)
     monkeypatch.setattr(nearjoin, "MANY", 4)
     rng = random.Random(5)
     base = [[f"t{b}x{i}" for i in range(60)] for b in range(3)]
