@@ -1,7 +1,12 @@
+import math
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from tests.llm.cases import frame, held_out, odd_documents
-from tidewell.llm import langid, toxicity
+from tidewell.llm import _seq, langid, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -34,7 +39,7 @@ def test_held_out_toxicity(spark):
     own = [r for r in rows if r["held_out"]]
     bad, good = [r["score"] for r in own if r["toxic"] == 1], [r["score"] for r in own if r["toxic"] == 0]
     ranked = sum(b > g for b in bad for g in good) / max(1, len(bad) * len(good))
-    assert bad and good and ranked > 0.7  # some 40 toxic rows to learn from
+    assert bad and good and ranked > 0.75  # 37 toxic rows to learn from, 14 to rank
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows)
 
 
@@ -47,8 +52,8 @@ def test_unseen_spelling():
     rng = np.random.default_rng(0)
     words = [f"{a}{b}{c}" for a in ("ba", "lo", "mi", "ter") for b in ("na", "ro", "ki") for c in ("s", "th", "m")]
     say = lambda n: " ".join(rng.choice(words, n))
-    texts = [say(30) for _ in range(400)] + [f"{say(15)} horridfool {say(10)} horridfools {say(5)}" for _ in range(200)]
-    model = toxicity.train(texts, np.array([0] * 400 + [1] * 200), np.array([0.66, 0.34]))
+    texts = [say(30) for _ in range(150)] + [f"{say(15)} horridfool {say(10)} horridfools {say(5)}" for _ in range(50)]
+    model = toxicity.train(texts, np.array([0] * 150 + [1] * 50), np.array([0.75, 0.25]))
     data, off = _seq.text_bytes(pa.array([say(25), f"{say(12)} horidfool {say(12)}"]))
     clean, misspelt = toxicity.text_scores(data, off, *model)
     assert clean < 0.3 < misspelt
@@ -63,3 +68,80 @@ def test_toxicity_edges(spark):
     assert kept.columns == frame(spark, rows).columns and kept.count() == sum(r["predicted"] == 0 for r in got)
     assert {r["score"] for r in toxicity.toxicity_scores(frame(spark, rows[:3]), labels.limit(0)).collect()} == {0.0}
     assert toxicity.toxicity_scores(frame(spark, []), labels).count() == 0
+
+
+def naive_toxicity(text, table, intercept):
+    """The mean over words of the mean over a word's n-grams of the learned weights, word by word."""
+    from tidewell.llm import _grams, _seq
+
+    words = bytes(_grams.WORD_BYTES[list((text or "").encode())]).split()
+    values = []
+    for w in words:
+        marked = b"<" + w + b">"
+        grams = [marked[i : i + n] for n in toxicity.SIZES for i in range(len(marked) - n + 1)]
+        slots = [int(_grams.gram_slots(_seq.lanes(np.frombuffer(g, np.uint8))[:1], len(g), toxicity.SLOTS)[0]) for g in grams]
+        values.append(sum(float(table[s]) for s in slots) / max(1, len(slots)))
+    return 1 / (1 + math.exp(-(sum(values) / max(1, len(values)) + intercept)))
+
+
+@pytest.mark.parametrize("strip", [1_500_000, 50])
+def test_toxicity_scores_are_the_naive_sums(monkeypatch, strip):
+    monkeypatch.setattr(toxicity, "STRIP", strip)
+    texts = [t for _, t, *_ in odd_documents(3, 25)] + ["x" * 300, "w*rd @ $1 it's"]
+    rng = np.random.default_rng(2)
+    table = rng.normal(0, 1, toxicity.SLOTS).astype(np.float32)
+    got = toxicity.text_scores(*_seq.text_bytes(pa.array(texts, pa.large_string())), table, -0.4)
+    whole = [i for i, t in enumerate(texts) if t is None or max(map(len, t.split()), default=0) < 50]  # a word is cut only where it is longer than a strip
+    for i in whole if strip == 50 else range(len(texts)):
+        assert got[i] == pytest.approx(naive_toxicity(texts[i], table, -0.4), abs=1e-6), texts[i]
+
+
+def test_bags_of_texts_together_are_those_of_each():
+    texts = [t or "" for _, t, *_ in odd_documents(5, 30)]
+    s, w, b = toxicity.bag_matrix(texts, 7)
+    for i, t in enumerate(texts):
+        own, weight, _ = toxicity.bag_matrix([t])
+        assert np.array_equal(s[b[i] : b[i + 1]], own) and np.allclose(w[b[i] : b[i + 1]], weight)
+
+
+@pytest.mark.parametrize("strip", [1_000_000, 40])
+def test_language_scores_are_the_naive_sums(monkeypatch, strip):
+    monkeypatch.setattr(langid, "STRIP", strip)
+    texts = [t or "" for _, t, *_ in odd_documents(3, 25)] + ["ΑΣ Σ İstanbul ÄÖÜ 日本語の文", "12 34"]
+    rng = np.random.default_rng(4)
+    names, weights, intercept, t = ["a", "b", "c"], rng.normal(0, 300, (langid.SLOTS, 3)).astype(np.float32), rng.normal(0, 1, 3), 1.7
+    best, score = langid.predict(texts, (names, weights, intercept, t))
+    for i, text in enumerate(texts):
+        low = "".join(c.lower() for c in text)
+        z, n = np.zeros(3), 0
+        for k in langid.SIZES:
+            for a in range(len(low) - k + 1):
+                u = sum(ord(c) << (21 * j) for j, c in enumerate(low[a : a + k]))
+                slot = int((_seq.mix((np.array([u], np.uint64) + np.uint64(k)) * _seq._M1) & np.uint64(langid.SLOTS - 1))[0])
+                z, n = z + weights[slot], n + 1
+        p = langid.softmax(((z / max(1, n) + intercept) / t)[None, :])[0]
+        if any(c.isalpha() for c in text):
+            assert best[i] == p.argmax() and score[i] == pytest.approx(p.max(), abs=1e-6)
+        else:
+            assert best[i] == -1 and score[i] == 0
+
+
+def test_document_counts(spark):
+    texts = ["ab" * 40, "", "abc", "xyz " * 30]
+    want = langid.document_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+    again = np.zeros(langid.SLOTS, int)
+    for t in texts:
+        slots = {s for k in langid.SIZES for a in range(len(t) - k + 1) for s in _seq.mix((np.array([sum(ord(c) << (21 * j) for j, c in enumerate(t[a : a + k]))], np.uint64) + np.uint64(k)) * _seq._M1) & np.uint64(langid.SLOTS - 1)}
+        for s in slots:
+            again[int(s)] += 1
+    assert want[1] == 4 and np.array_equal(want[0], again)
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from tidewell.llm import _shuffle
+
+    rows = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"), (F.col("id") % 2).alias("lang"), F.col("id").cast("int").alias("place"))
+    got = _shuffle.within_bytes(rows, "lang", 350).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 1, 2, 3, 4, 5]

@@ -101,19 +101,3 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
         m, s = np.minimum(m[:-s], m[s:]), 2 * s
     return np.minimum(m[: len(m) - (w - s)], m[w - s :]) if s < w else m
 
-
-def merge_spans(start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union of half-open spans with the same key, as maximal spans ordered by key and start."""
-    if len(start) == 0:
-        return start, end, key
-    order = np.lexsort((start, key))
-    start, end, key = start[order], end[order], key[order]
-    fresh = np.empty(len(start), bool)
-    fresh[0] = True
-    # the running maximum of ends within a key: lift each key above the one before
-    lift = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)])) * (int(end.max()) + 2)
-    reach = np.maximum.accumulate(end + lift)
-    fresh[1:] = start[1:] + lift[1:] > reach[:-1]
-    at = np.flatnonzero(fresh)
-    last = np.concatenate([at[1:] - 1, [len(start) - 1]])
-    return start[at], reach[last] - lift[last], key[at]

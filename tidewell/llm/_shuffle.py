@@ -14,10 +14,14 @@ GROUP_BYTES = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; only where it is unset (tests) to a new local one."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """Checkpoints go to the folder in spark.checkpoint.dir. Only a local master may do without it, with a new folder of
+    its own; on a cluster that would lose what other machines need."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,11 +36,6 @@ def group_count(docs: DataFrame, text: str = "text") -> int:
     return max(8, -(-((total["b"] or 0) + 64 * (total["n"] or 0)) // GROUP_BYTES))
 
 
-def grouped(docs: DataFrame, groups: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(g, doc_id, text): rows dealt by a hash of the id into groups of bounded size; a null id gets group 0."""
-    return docs.select(F.expr(f"cast(pmod(xxhash64(`{id_col}`), {groups}) as int)").alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-
-
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the keys by bucket and key, and where each bucket begins (buckets + 1 places)."""
     b = bucket_of(keys, buckets)
@@ -128,7 +127,7 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
 
 
 def first_by_hash(rows: DataFrame, id_col: str, class_col: str, per_class: int, seed: int = 11) -> DataFrame:
-    """(id, class) of the `per_class` rows of each class with the least hashes: the same rows at every run.
+    """(id, class, place) of the `per_class` rows of each class with the least hashes: the same rows at every run.
 
     Hashes above three times the share that is wanted are dropped before rows are ranked, so ranking sees a few times
     `per_class` rows of a class however many it has.
@@ -137,7 +136,17 @@ def first_by_hash(rows: DataFrame, id_col: str, class_col: str, per_class: int,
     size = rows.groupBy(class_col).agg(F.count("*").alias("_n"))
     few = rows.join(size, class_col).filter(F.col("_u") * F.col("_n") <= 3 * per_class + 200)
     rank = F.row_number().over(Window.partitionBy(class_col).orderBy("_u", id_col))
-    return few.withColumn("_rank", rank).filter(F.col("_rank") <= per_class).select(id_col, class_col)
+    return few.withColumn("place", rank).filter(F.col("place") <= per_class).select(id_col, class_col, "place")
+
+
+def within_bytes(sample: DataFrame, class_col: str, most: int) -> DataFrame:
+    """The rows of a sample, with columns place and text, that come before the first one to exceed `most` bytes in its class.
+
+    A running sum over a bounded number of rows a class; the class's texts pass through it one by one.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sofar = F.sum(size).over(Window.partitionBy(class_col).orderBy("place", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    return sample.withColumn("_sofar", sofar).filter((F.col("_sofar") <= most)).drop("_sofar", "place")
 
 
 def in_one_task(sample: DataFrame, fit) -> bytes | None:

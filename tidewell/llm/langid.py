@@ -1,8 +1,9 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams, trained with follow-the-regularised-leader.
 
-Features are a text's n-grams of 1 to 3 bytes, in lower case and hashed to SLOTS: their share of the text times their
-inverse document frequency, which is counted over all learnable documents. Training is FTRL-proximal with elastic-net
-penalties on PER_CLASS texts of each language at most (those with the least hashes); one in VALID of them only sets the
+Features are a text's n-grams of 1 to 3 characters, in lower case and hashed to SLOTS: their share of the text times
+their inverse document frequency, which is counted over all learnable documents. Training is FTRL-proximal with
+elastic-net penalties on a sample: of each language the PER_CLASS texts with the least hashes, SAMPLE_ROWS and
+SAMPLE_BYTES in all at most (a text that would exceed its language's share ends it). One in VALID of them only sets the
 temperature of the softmax, by least negative log-likelihood. As the scores are linear in the shares, a task that
 predicts needs one weight for each slot and language, which is broadcast.
 
@@ -18,53 +19,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm import _grams, _seq, _shuffle
+from tidewell.llm import _seq, _shuffle
 
 PER_CLASS, VALID = 800, 5
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64_000_000
 SLOTS, SIZES, SCALE = 1 << 15, (1, 2, 3), 30.0
 #: FTRL's learning rate parameters and elastic-net penalties, passes over the sample and texts a step.
-ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 0.002, 0.001, 4, 16
+ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 0.012, 0.001, 4, 16
+#: Characters that are looked at together.
 STRIP = 1_000_000
 UNKNOWN = "und"
 
 
-def text_slots(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n-gram size the slots of all texts, and the offsets of the texts."""
-    u = _seq.lanes(_seq.lower_ascii(data)) if len(data) else np.zeros(0, np.uint64)
+def code_points(text: str) -> np.ndarray:
+    """The characters of a text in lower case, each by itself (so a capital sigma gives the same letter anywhere)."""
+    return np.frombuffer(text.replace("\u03a3", "\u03c3").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def strips(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(first text, characters, offsets of the texts, characters ahead that were told before) of STRIP characters about.
+
+    A text longer than a strip comes in several, each of one text alone, with the last characters of the one before ahead.
+    """
+    held, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > STRIP:
+            yield first, np.concatenate(held), np.cumsum([0, *map(len, held)]), 0
+            held, size, first = [], 0, i
+        if len(t) <= STRIP:
+            held.append(code_points(t))
+            size += len(t)
+            continue
+        ahead = np.zeros(0, np.uint64)
+        for a in range(0, len(t), STRIP):
+            part = np.concatenate([ahead, code_points(t[a : a + STRIP])])
+            yield i, part, np.array([0, len(part)]), len(ahead)
+            ahead = part[-(SIZES[-1] - 1) :]
+        first = i + 1
+    if held:
+        yield first, np.concatenate(held), np.cumsum([0, *map(len, held)]), 0
+
+
+def gram_slots(c: np.ndarray, off: np.ndarray, ahead: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n-gram size the slots of a strip's texts, and the offsets of the texts; a character has 21 bits."""
     for n in SIZES:
-        size, at = _grams.within(off, n)
-        yield _grams.gram_slots(u[at], n, SLOTS), np.concatenate([[0], np.cumsum(size)])
+        begin = off[:-1] + max(0, ahead - n + 1)
+        size = np.maximum(off[1:] - begin - n + 1, 0)
+        at = _seq.ragged(begin, size)
+        u = c[at]
+        for k in range(1, n):
+            u = u | (c[at + k] << np.uint64(21 * k))
+        yield (_seq.mix((u + np.uint64(n)) * _seq._M1) & np.uint64(SLOTS - 1)).astype(np.int32), np.concatenate([[0], np.cumsum(size)])
 
 
-def letters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+def letters(texts: list[str], data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Whether each text has a letter; only texts without ASCII letters are looked at one by one."""
     low = _seq.lower_ascii(data)
     count = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
     out = count[off[1:]] > count[off[:-1]]
     for d in np.flatnonzero(~out & (np.diff(off) > 0)):
-        out[d] = any(c.isalpha() for c in data[off[d] : off[d + 1]].tobytes().decode())
+        out[d] = any(c.isalpha() for c in texts[d])
     return out
 
 
+def strings(column) -> list[str]:
+    return pc.fill_null(column, "").to_pylist()
+
+
 def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each slot occurs, and how many texts there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS + 1, np.uint32)
+        seen, current = np.zeros(SLOTS, bool), -1
         for batch in batches:
-            data, off = _seq.text_bytes(batch["text"])
-            seen = np.zeros(SLOTS, bool)
-            for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                seen[:] = False
-                for i in range(a, b, STRIP):  # strips overlap, as no n-gram may be missed
-                    part = data[i : min(b, i + STRIP + SIZES[-1] - 1)]
-                    for s, _ in text_slots(part, np.array([0, len(part)])):
-                        seen[s] = True
-                total[:SLOTS] += seen
-                total[SLOTS] += 1
+            for first, c, off, ahead in strips(strings(batch["text"])):
+                slots = list(gram_slots(c, off, ahead))
+                for d in range(len(off) - 1):
+                    if (first + d, ahead > 0) != (current, True):  # else the same long text goes on
+                        total[:SLOTS] += seen
+                        seen[:] = False
+                    for s, at in slots:
+                        seen[s[at[d] : at[d + 1]]] = True
+                    current = first + d
+            total[:SLOTS] += seen
+            seen[:], current = False, -1
+            total[SLOTS] += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
     total = _shuffle.summed(texts.select("text").mapInArrow(count, "v binary"), SLOTS + 1)
@@ -75,8 +119,7 @@ def features(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.nda
     """Each text's slots and TF-IDF values."""
     out = []
     for t in texts:
-        data, off = _seq.text_bytes(pa.array([t], pa.string()))
-        slots = np.concatenate([s for s, _ in text_slots(data, off)])
+        slots = np.concatenate([np.zeros(0, np.int32), *[s for _, c, off, ahead in strips([t]) for s, _ in gram_slots(c, off, ahead)]])
         own, times = np.unique(slots, return_counts=True)
         out.append((own, SCALE * times / max(1, len(slots)) * idf[own]))
     return out
@@ -115,11 +158,17 @@ class Ftrl:
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of the logits with the least negative log-likelihood, by a search in steps of 2 %."""
+    """The divisor of the logits with the least negative log-likelihood, by a search in steps of 2 %.
+
+    Each label stands for all but one in n + 2 of itself, so that a sample without a fault doesn't call for certainty.
+    """
     if not len(labels):
         return 1.0
-    grid = np.exp(np.arange(-3, 3, 0.02))
-    loss = [-np.log(softmax(logits / t)[np.arange(len(labels)), labels] + 1e-12).mean() for t in grid]
+    n, classes = logits.shape
+    soft = np.full((n, classes), 1 / (n + 2) / max(1, classes - 1))
+    soft[np.arange(n), labels] = 1 - 1 / (n + 2)
+    grid = np.exp(np.arange(-4, 4, 0.02))
+    loss = [-(soft * np.log(softmax(logits / t) + 1e-12)).sum(1).mean() for t in grid]
     return float(grid[int(np.argmin(loss))])
 
 
@@ -141,43 +190,33 @@ def train(texts: list[str], langs: list[str], idf: np.ndarray, seed: int = 3) ->
     return names, (SCALE * idf[:, None] * w[:SLOTS]).astype(np.float32), w[SLOTS], temperature(logits, y[valid])
 
 
-def predict(data: np.ndarray, off: np.ndarray, model) -> tuple[np.ndarray, np.ndarray]:
+def predict(texts: list[str], model) -> tuple[np.ndarray, np.ndarray]:
     """Number of the likeliest language, or -1 for none, and its calibrated probability; texts are read in strips."""
     names, weights, intercept, t = model
-    n = len(off) - 1
+    n = len(texts)
     total, count = np.zeros((n, len(names))), np.zeros(n)
-    reach, a = SIZES[-1] - 1, 0
-    while a < len(data):
-        b = min(a + STRIP, len(data))
-        d0, d1 = int(np.searchsorted(off, a, "right")) - 1, int(np.searchsorted(off, b, "left"))
-        # n-grams that start in this strip; the last text may go on past it
-        end = min(b + reach, int(off[d1])) if d1 <= n else b
-        own = np.clip(off[d0 : d1 + 1], a, None) - a
-        own[-1] = min(int(off[d1]), end) - a
-        u = _seq.lanes(_seq.lower_ascii(data[a:end]))
-        for size in SIZES:
-            k = np.maximum(np.minimum(own[1:] - size + 1, b - a) - own[:-1], 0)
-            s = _grams.gram_slots(u[_seq.ragged(own[:-1], k)], size, SLOTS)
-            at = np.concatenate([[0], np.cumsum(k)])
+    for first, c, off, ahead in strips(texts):
+        for s, at in gram_slots(c, off, ahead):
+            k = np.diff(at)
             full = np.flatnonzero(k)
-            for c in range(len(names)):
-                if len(full):
-                    total[d0 + full, c] += np.add.reduceat(weights[:, c][s].astype(np.float64), at[full])
-            count[d0:d1] += k
-        a = b
+            if len(full):
+                for name in range(len(names)):
+                    total[first + full, name] += np.add.reduceat(weights[:, name][s].astype(np.float64), at[full])
+            count[first : first + len(k)] += k
     p = softmax((total / np.maximum(count, 1)[:, None] + intercept) / t)
     best = p.argmax(1)
     score = p[np.arange(n), best]
-    none = ~letters(data, off)
+    none = ~letters(texts, *_seq.text_bytes(pa.array(texts, pa.large_string())))
     return np.where(none, -1, best), np.where(none, 0.0, score)
 
 
 def fit(docs: DataFrame, per_class: int = PER_CLASS):
-    """The model from the learnable rows, trained in one task on `per_class` texts of each language at most."""
+    """The model from the learnable rows, trained in one task on the sample; its size doesn't grow with the input."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null and text is not null").filter(~_shuffle.held_out())
     count, total = document_counts(rows)
-    chosen = _shuffle.first_by_hash(rows, "doc_id", "lang", per_class)
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang")
+    langs = max(1, rows.select(F.count_distinct("lang")).first()[0])
+    chosen = _shuffle.first_by_hash(rows, "doc_id", "lang", max(1, min(per_class, SAMPLE_ROWS // langs)))  # SAMPLE_ROWS ids, or one a language
+    sample = _shuffle.within_bytes(rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang", "place"), "lang", SAMPLE_BYTES // langs)
     idf = np.log((1.0 + total) / (1.0 + count)) + 1.0
 
     def learn(table: pa.Table) -> bytes:
@@ -194,11 +233,10 @@ def languages(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = _seq.text_bytes(batch["text"])
             if model.value is None:
                 names, best, score = [], np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             else:
-                names, (best, score) = model.value[0], predict(data, off, model.value)
+                names, (best, score) = model.value[0], predict(strings(batch["text"]), model.value)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array([names[i] if i >= 0 else UNKNOWN for i in best.tolist()], pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shuffle.held_out().alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -3,12 +3,12 @@
 A word is the bag of its character n-grams (3 to 6 bytes of the word between marks, hashed to slots), its vector the
 mean of their embeddings; a text is the mean of its words. A softmax over that mean gives the score. An unseen spelling
 thus has the n-grams, and so the vectors, that it shares with known ones. Training takes PER_CLASS labelled rows of each
-label at most (the ones with the least hashes) and corrects the intercept for the labels' true shares, counted on all
+label at most (the ones with the least hashes, SAMPLE_BYTES in all; a text that would exceed its label's half ends it) and corrects the intercept for the labels' true shares, counted on all
 learnable rows. As mean and softmax are linear, a task that scores needs one number a slot, SLOTS in all, broadcast.
 
 Edge cases: null, empty and wordless texts get the score of the intercept alone; very long texts are averaged whole, in
-strips; repeated rows get equal scores; labels that are null or of unknown documents are left out, and an id with several
-labels counts as toxic if one says so; without labelled rows every score is 0; other columns are not read.
+strips; repeated rows get equal scores; null labels are left out, those of unknown documents count in the shares only, and an
+id with several labels counts as toxic if one says so; without labelled rows every score is 0; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import _grams, _seq, _shuffle
 
-PER_CLASS = 2000
+PER_CLASS, SAMPLE_BYTES = 2000, 64_000_000
 SLOTS, DIMS, SIZES = 1 << 17, 8, (3, 4, 5, 6)
-#: Passes over the sample, texts a step, rate of Adagrad, pull of embeddings towards zero, and the squares it starts from.
-EPOCHS, BATCH, RATE, DECAY, FLOOR = 8, 64, 1.0, 2e-5, 1e-6
+#: Passes over the sample at most, texts a step, rate of Adagrad, pull of embeddings towards zero for each text of the
+#: sample, the squares Adagrad starts from, and the share of a pass's loss below which the next one must stay.
+EPOCHS, BATCH, RATE, DECAY, FLOOR, FLAT = 8, 64, 0.3, 5e-9, 1e-6, 0.97
 THRESHOLD = 0.3
 #: Short passages taken of each clean text in training.
 PASSAGES = 6
@@ -61,23 +62,25 @@ def _rows_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def bag_matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bag_matrix(texts: list[str], together: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's slots and weights, whose sum over the embeddings is the text's mean: (slots, weights, offsets)."""
-    slots, weights, bounds = [], [], [0]
-    for t in texts:
-        data, off = _seq.text_bytes(pa.array([t], pa.string()))
-        flat, at, words, _ = word_bags(data, off)
-        if not len(words):
-            bounds.append(bounds[-1])
-            continue
-        times = np.bincount(words, minlength=len(at) - 1) / len(words)
-        size = np.diff(at)
-        each = np.repeat(np.where(size > 0, times / np.maximum(size, 1), 0.0), size)
-        own, back = np.unique(flat, return_inverse=True)
-        slots.append(own)
-        weights.append(np.bincount(back, weights=each, minlength=len(own)).astype(np.float32))
-        bounds.append(bounds[-1] + len(own))
-    return (np.concatenate(slots) if slots else np.zeros(0, np.int32)), (np.concatenate(weights) if weights else np.zeros(0, np.float32)), np.array(bounds)
+    slots, weights, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(texts), together):
+        data, off = _seq.text_bytes(pa.array(texts[i : i + together], pa.large_string()))
+        flat, at, word, doc_at = word_bags(data, off)
+        n, words = len(off) - 1, len(at) - 1
+        # distinct (text, word) pairs with their share of the text, then their n-grams
+        doc = np.repeat(np.arange(n), np.diff(doc_at))
+        pair, times = np.unique(doc * words + word, return_counts=True)
+        doc, word = np.divmod(pair, max(words, 1))
+        size = np.diff(at)[word]
+        share = times / np.diff(doc_at)[doc] / np.maximum(size, 1)
+        key = np.repeat(doc * SLOTS, size) + flat[_seq.ragged(at[:-1][word], size)]
+        own, back = np.unique(key, return_inverse=True)
+        slots.append((own % SLOTS).astype(np.int32))
+        weights.append(np.bincount(back, weights=np.repeat(share, size), minlength=len(own)).astype(np.float32))
+        sizes.append(np.bincount(own // SLOTS, minlength=n))
+    return np.concatenate(slots), np.concatenate(weights), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def train(texts: list[str], labels: np.ndarray, shares: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float]:
@@ -95,11 +98,12 @@ def train(texts: list[str], labels: np.ndarray, shares: np.ndarray, seed: int =
     mine = np.bincount(labels, minlength=2) / max(len(labels), 1)
     slots, weights, bounds = bag_matrix([*texts, *short])
     emb = np.zeros((SLOTS, DIMS), np.float32)  # an n-gram that training never met says nothing
+    decay, best = DECAY * len(texts), np.inf
     out, bias = rng.normal(0, 1, (DIMS, 2)), np.zeros(2)
     seen_emb, seen_out, seen_bias = np.full(SLOTS, FLOOR, np.float32), np.full((DIMS, 2), 1e-8), np.full(2, 1e-8)
-    n, scale = len(labels), 20.0
+    n, scale, number = len(labels), 20.0, np.zeros(SLOTS, np.int64)
     for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate, loss = RATE * (1 - epoch / EPOCHS), 0.0
         order = rng.permutation(n)
         for a in range(0, n, BATCH):
             docs = order[a : a + BATCH]
@@ -107,24 +111,33 @@ def train(texts: list[str], labels: np.ndarray, shares: np.ndarray, seed: int =
             at = _seq.ragged(bounds[docs], size)
             s, w = slots[at], weights[at] * scale
             own = np.concatenate([[0], np.cumsum(size)])
-            mean = _rows_sum(emb[s] * w[:, None], own)
+            mean = np.zeros((len(docs), DIMS))
+            full = size > 0
+            if full.any():
+                mean[full] = np.add.reduceat(emb[s] * w[:, None], own[:-1][full], axis=0)
             z = mean @ out + bias
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
+            loss -= np.log(p[np.arange(len(docs)), labels[docs]] + 1e-12).sum()
             p[np.arange(len(docs)), labels[docs]] -= 1
             p /= len(docs)
             g_out, g_bias, g_mean = mean.T @ p, p.sum(0), p @ out.T
             g = np.repeat(g_mean, size, axis=0) * w[:, None]
-            used, back = np.unique(s, return_inverse=True)
+            used = np.flatnonzero(np.bincount(s, minlength=SLOTS))
+            number[used] = np.arange(len(used))
+            back = number[s]
             g_emb = np.stack([np.bincount(back, weights=g[:, d], minlength=len(used)) for d in range(DIMS)], axis=1)
-            g_emb += DECAY * emb[used]
+            g_emb += decay * emb[used]
             seen_emb[used] += (g_emb**2).sum(1)
             emb[used] -= rate * g_emb / np.sqrt(seen_emb[used])[:, None]
             seen_out += g_out**2
             out -= rate * g_out / np.sqrt(seen_out)
             seen_bias += g_bias**2
             bias -= rate * g_bias / np.sqrt(seen_bias)
+        if loss > best * FLAT:
+            break
+        best = loss
     shift = np.log(shares[1] / shares[0]) - np.log(mine[1] / mine[0]) if min(*shares, *mine) > 0 else 0.0
     return ((emb @ (out[:, 1] - out[:, 0])) * scale).astype(np.float32), float(bias[1] - bias[0] + shift)
 
@@ -157,7 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = _shuffle.first_by_hash(known, "doc_id", "toxic", per_class)
     # 2 * per_class ids at most
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = _shuffle.within_bytes(sample.select("doc_id", "text", "toxic", "place"), "toxic", SAMPLE_BYTES // 2)
     shares = np.array([count.get(0, 0), count.get(1, 0)], float) / max(1, sum(count.values()))
 
     def learn(table: pa.Table) -> bytes:
