@@ -7,12 +7,14 @@ further block is sent to a block of queries only if length times length can reac
 vectors come by descending length: a query drops those whose length, then whose partial sum over the leading axes plus
 the product of the residual lengths, stays below its k-th best. What is left gets its exact integer product.
 
-Queries are a stated set (ids divisible by `every`); they meet all vectors in blocks, and no side is broadcast.
+Queries are a stated set (ids divisible by `every`); they meet all vectors in blocks, and no side is broadcast. What
+travels are the queries, TOGETHER of their blocks at a time, in the narrowest integers that hold all components; a block
+of vectors goes once to each such batch of query blocks that it may matter to.
 
 Edge cases: vectors that are null or have null or non-finite components, and rows of null id, take no part; shorter
 vectors count as zeros beyond their end; rows that share an id count once, the smallest vector; fewer candidates than k
 give all of them; ties go to the smaller id; an empty table gives no rows; other columns are not read.
-Scores are exact for components below 2^27 and any below 2^62 in sum.
+Scores are exact for components below 2^27 and any below 2^62 in sum; components beyond 2^62 count as 2^62.
 """
 
 from __future__ import annotations
@@ -31,15 +33,22 @@ K, EVERY, SCALE = 5, 50, 256
 BLOCK, QUERIES, STRATA = 8192, 2048, 512
 #: Leading axes of the partial sums, and vectors taken at a time.
 LEAD, STEP = 16, 512
+#: Blocks of queries that meet a block of vectors in one task call.
+TOGETHER = 16
 VECTOR_DDL = "vec_id long, v binary, norm double"
 BLOCK_DDL = "block long, n int, top double, ids binary, v binary"
 
 
-def _matrix(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, np.int64).reshape(n, -1)
+def _matrix(blob: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(blob, f"<i{width}").reshape(n, -1)
 
 
-def vectors(rows: DataFrame, id_col: str, vec_col: str, dims: int) -> DataFrame:
+def width_of(largest: float) -> int:
+    """Bytes of the narrowest integer that holds floor(SCALE * x) for every |x| up to this."""
+    return next((w for w in (2, 4) if SCALE * largest + 1 < 2 ** (8 * w - 1)), 8)
+
+
+def vectors(rows: DataFrame, dims: int, width: int) -> DataFrame:
     """(vec_id, v, norm): integer components as bytes, `dims` of them, and the length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,22 +56,22 @@ def vectors(rows: DataFrame, id_col: str, vec_col: str, dims: int) -> DataFrame:
             lists = batch["v"]
             size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            m = np.zeros((len(lists), dims), np.int64)
+            m = np.zeros((len(lists), dims), f"<i{width}")
             row = np.repeat(np.arange(len(lists)), size)
-            m[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.floor(SCALE * flat)
+            m[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.clip(np.floor(SCALE * flat), -(2.0**62), 2.0**62)
             norm = np.sqrt((m.astype(np.float64) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array([x.tobytes() for x in m], pa.binary()), pa.array(norm)], names=["vec_id", "v", "norm"])
 
     return rows.mapInArrow(run, VECTOR_DDL)
 
 
-def rotation(rows: DataFrame, dims: int) -> np.ndarray:
+def rotation(rows: DataFrame, dims: int, width: int) -> np.ndarray:
     """Orthonormal axes in order of the length that all vectors have along them; dims * dims numbers a task reach the driver's sum."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
         for batch in batches:
-            m = np.frombuffer(b"".join(batch["v"].to_pylist()), np.int64).reshape(-1, dims).astype(np.float64)
+            m = _matrix(b"".join(batch["v"].to_pylist()), batch.num_rows, width).astype(np.float64)
             total += m.T @ m
         r, c = np.divmod(np.arange(dims * dims), dims)
         yield pa.RecordBatch.from_arrays([pa.array(r * dims + c), pa.array(total.ravel())], names=["at", "x"])
@@ -150,38 +159,46 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     """query_id, rank, vec_id, score: the k highest inner products of every query."""
     usable = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).filter("vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     usable = usable.groupBy("vec_id").agg(F.min("v").alias("v"))
-    size = usable.agg(F.max(F.size("v")).alias("dims"), F.count("*").alias("n")).first()
-    dims, n = max(1, size["dims"] or 1), size["n"]
-    data = _shuffle.cut(vectors(usable, id_col, vec_col, dims))
-    axes = rotation(data, dims)
+    size = usable.agg(F.max(F.size("v")).alias("dims"), F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0d, (a, x) -> greatest(a, abs(x)))")).alias("largest")).first()
+    dims, n, width = max(1, size["dims"] or 1), size["n"], width_of(size["largest"] or 0.0)
+    data = _shuffle.cut(vectors(usable, dims, width))
+    axes = rotation(data, dims, width)
     total = -(-n // BLOCK)
     strata = min(STRATA, max(1, total))
     edges = sorted(set(data.approxQuantile("norm", [i / strata for i in range(1, strata)], 0.2 / strata))) if strata > 1 else []
     # stratum 0 has the longest vectors; its number is that of the edges at or above the length
     stratum = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e > F.col("norm"))) if edges else F.lit(0)
-    cells = blocks(data, cell_numbers(data, stratum))
+    cells = _shuffle.cut(blocks(data, cell_numbers(data, stratum)))
     asked = data.filter(F.pmod("vec_id", F.lit(every)) == 0)
     groups = max(1, -(-asked.count() // QUERIES))
     packed = blocks(asked, F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
     questions = _shuffle.cut(packed.select(F.col("block").alias("qb"), F.col("n").alias("qn"), F.col("top").alias("q_top"), F.col("ids").alias("qids"), F.col("v").alias("q")))
-    cells = _shuffle.cut(cells)
     found_ddl = "qb long, query_id long, vec_id long, score long"
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
-                kth = np.frombuffer(r["kth"], np.float64) if r["kth"] else np.full(len(qids), -(2.0**62))
-                b = search(ids, _matrix(r["v"], r["n"]), qids, _matrix(r["q"], r["qn"]), kth, axes, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b.q), r["qb"])), pa.array(qids[b.q]), pa.array(b.ids), pa.array(b.score)], names=["qb", "query_id", "vec_id", "score"])
-
-    columns = ["qb", "qn", "qids", "q", "n", "ids", "v", "kth"]
-    longest = cells.filter(F.col("block") == 0).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qb"), "n", "ids", "v").withColumn("qb", F.col("qb").cast("long"))
-    ahead = _shuffle.cut(longest.join(questions, "qb").withColumn("kth", F.lit(None).cast("binary")).select(*columns).mapInArrow(scored, found_ddl))
+    def scored(block: pa.Table, asking: pa.Table) -> pa.Table:
+        """A block's best for each of the query blocks that meet it here."""
+        out = [(np.zeros(0, np.int64),) * 4]
+        for r in block.to_pylist():
+            ids, m = np.frombuffer(r["ids"], np.int64), _matrix(r["v"], r["n"], width)
+            for x in asking.to_pylist():
+                qids = np.frombuffer(x["qids"], np.int64)
+                kth = np.frombuffer(x["kth"], np.float64) if x["kth"] else np.full(len(qids), -(2.0**62))
+                b = search(ids, m, qids, _matrix(x["q"], x["qn"], width), kth, axes, k)
+                out.append((np.full(len(b.q), x["qb"]), qids[b.q], b.ids, b.score))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["qb", "query_id", "vec_id", "score"])
+
+    def meet(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Scores of the pairs (block, qb), in batches of query blocks; `known` has each query block's numbers."""
+        batch = (F.col("qb") / TOGETHER).cast("long")
+        asking = pairs.join(known, "qb").select(F.col("block").alias("at"), batch.alias("of"), "qb", "qn", "qids", "q", "kth")
+        sent = pairs.select("block", batch.alias("batch")).distinct().join(cells.select("block", "n", "ids", "v"), "block")
+        return sent.groupBy("block", "batch").cogroup(asking.groupBy("at", "of")).applyInArrow(scored, found_ddl)
+
+    ahead = _shuffle.cut(meet(questions.select(F.lit(0).cast("long").alias("block"), "qb"), questions.withColumn("kth", F.lit(None).cast("binary"))))
 
     def limits(table: pa.Table, scores: pa.Table) -> pa.Table:
         r = table.to_pylist()[0]
-        qids, q = np.frombuffer(r["qids"], np.int64), _matrix(r["q"], r["qn"])
+        qids, q = np.frombuffer(r["qids"], np.int64), _matrix(r["q"], r["qn"], width)
         kth = np.full(len(qids), -(2.0**62))
         order = np.argsort(qids)
         at = order[np.searchsorted(qids[order], scores["query_id"].to_numpy())]
@@ -193,11 +210,10 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
         ratio = np.where(norm > 0, (kth - 0.5) / np.maximum(norm, 1e-300), np.where(kth > 0.5, np.inf, -np.inf))
         return pa.table([pa.array([r["qb"]]), pa.array([kth.tobytes()], pa.binary()), pa.array([float(ratio.min(initial=np.inf)) * (1 - 1e-9)])], names=["qb", "kth", "reach"])
 
-    bounds = questions.groupBy("qb").cogroup(ahead.groupBy("qb")).applyInArrow(limits, "qb long, kth binary, reach double")
-    known = questions.join(bounds, "qb")
+    bounds = _shuffle.cut(questions.groupBy("qb").cogroup(ahead.groupBy("qb")).applyInArrow(limits, "qb long, kth binary, reach double"))
     meta = cells.filter(F.col("block") > 0).select("block", "top", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("qb")).withColumn("qb", F.col("qb").cast("long"))
     pairs = meta.join(bounds.select("qb", "reach"), "qb").filter("top >= reach").select("block", "qb")
-    rest = pairs.join(cells.select("block", "n", "ids", "v"), "block").join(known, "qb").select(*columns).mapInArrow(scored, found_ddl)
+    rest = meet(pairs, questions.join(bounds, "qb"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     found = ahead.unionByName(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
