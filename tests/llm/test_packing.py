@@ -3,10 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+
 from tokenizers import Tokenizer
 
 from tests.llm.cases import frame, odd_documents
-from tidewell.llm import packing
+from tidewell.llm import _seq, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -52,3 +54,40 @@ def test_differencing_is_near_equal():
 def test_window_count_rises():
     window, _ = packing.pack(np.array([60, 60, 60]), 100)
     assert len(set(window)) == 3
+
+
+def test_ids_come_along_and_texts_may_be_longer_than_a_strip(monkeypatch):
+    texts = [t for _, t, *_ in odd_documents(6, 40)]
+    coder, full = packing.tokenizer(PATH), Tokenizer.from_file(PATH)
+    for strip in (packing.STRIP_BYTES, 300):
+        monkeypatch.setattr(packing, "STRIP_BYTES", strip)
+        coder.clear()
+        ids, bounds = coder.encode(*_seq.text_bytes(pa.array(texts)), 1)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [[*full.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_sequences_can_be_read_from_the_pieces(spark):
+    rows = [r for r in odd_documents(7, 40) if r[0] is not None]
+    got = packing.pack_documents(frame(spark, rows), PATH, ids=True).toPandas()
+    full = Tokenizer.from_file(PATH)
+    for p in got.itertuples():
+        assert len(p.ids) == p.length and zlib.crc32(struct.pack(f"<{p.length}I", *p.ids)) == p.ids_crc32
+    text = dict((r[0], r[1]) for r in reversed(rows))
+    for d, own in got.groupby("doc_id"):
+        ids = [i for p in own.sort_values("start").drop_duplicates("start").itertuples() for i in p.ids]
+        assert ids == [*full.encode(text[d] or "", add_special_tokens=False).ids, 1]
+
+
+def test_another_tokenizer_goes_by_its_own_rules(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.tokenizer(path).by_words and packing.tokenizer(PATH).by_words
+    rows = [(1, "Two  spaces\n and CASE count, don't they?", None, None), (2, None, None, None)]
+    got = {r["doc_id"]: list(r["ids"]) for r in packing.pack_documents(frame(spark, rows), path, ids=True).collect()}
+    assert got == {1: [*Tokenizer.from_file(path).encode(rows[0][1], add_special_tokens=False).ids, 1], 2: [1]}
+
+
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_BYTES", 2_000)
+    rows = [(None, "one text that many rows without an id share " * 4, None, None)] * 200
+    got = packing.pack_documents(frame(spark, rows), PATH).toPandas()
+    assert len(got) == 200 and (got["sequence_id"] // (1 << 24)).value_counts().max() < 60

@@ -1,7 +1,8 @@
 """Packing token sequences: documents are tokenised, cut into pieces, and pieces packed into near-equal windows.
 
 Each document becomes its token ids and a closing id. Whole windows of `capacity` ids are cut off as they are; the
-rest is cut into pieces of at most `piece` ids. Pieces are dealt to batches of bounded size by a hash, and each batch
+rest is cut into pieces of at most `piece` ids. A document's pieces are dealt to one batch of bounded size by a hash of
+its id and ids (rows without an id by their place, as they may be copies), its whole windows each by itself, and each batch
 is split by Karmarkar-Karp multiway differencing: every piece starts as a partial partition with one filled slot,
 the two partial partitions of largest imbalance are merged slot by slot, the fullest slot of one with the emptiest of
 the other, until one is left. If a slot exceeds the capacity, the number of windows rises and the batch is split anew.
@@ -19,14 +20,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import _seq
 
-CAPACITY, PIECE, CLOSING = 2048, 256, 1
+CAPACITY, PIECE, CLOSING = 2048, 512, 1
 #: Text bytes whose pieces make a batch, about; some hundreds of windows.
 BATCH_BYTES = 1_000_000
 #: Words that a worker remembers with their ids; beyond it starts anew.
@@ -36,19 +36,36 @@ STRIP_BYTES = 1_500_000
 # The pre-tokeniser's fixed pattern, for lower-case text of ASCII and Latin letters; a line end parts two words.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|\n|(?:[^\w\s]|_)+")
 
+# The normaliser and pre-tokeniser of a tokenizer file that can be read word by word.
+KNOWN_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 
 class WordTokenizer:
     """Ids of whole texts by a word-end BPE tokenizer file, with each distinct word encoded once.
 
     No token crosses white space, so a text's ids are its words' ids. Words of ASCII and Latin letters go through the
-    same vocabulary in bulk; any other word goes through the tokenizer itself.
+    same vocabulary in bulk; any other word goes through the tokenizer itself. That holds for files whose normaliser and
+    pre-tokeniser are KNOWN_PARTS; texts for any other file go through its tokenizer whole, one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        spec = json.load(open(path))
+        with open(path) as f:
+            spec = json.load(f)
+        self.by_words = {k: spec.get(k) for k in KNOWN_PARTS} == KNOWN_PARTS and spec["model"].get("type") == "BPE" and bool(spec["model"].get("end_of_word_suffix"))
+        if not self.by_words:
+            return
         spec["normalizer"], spec["added_tokens"] = None, []
         spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.bulk = Tokenizer.from_str(json.dumps(spec))
@@ -118,6 +135,10 @@ class WordTokenizer:
 
     def encode(self, data: np.ndarray, off: np.ndarray, closing: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, the closing id after each, and the offsets of the texts; in strips of some MB."""
+        if not self.by_words:
+            whole = data.tobytes()
+            own = [[*self.full.encode(whole[a:b].decode(), add_special_tokens=False).ids, closing] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            return np.array([i for x in own for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
         texts, a, ids, bounds = len(off) - 1, 0, [], [np.zeros(1, np.int64)]
         while a < texts:
             b = max(a + 1, int(np.searchsorted(off, off[a] + STRIP_BYTES, "right")) - 1)
@@ -169,23 +190,33 @@ def piece_bounds(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]
     return [(s, capacity) for s in range(0, whole, capacity)] + [(s, min(piece, tokens - s)) for s in range(whole, tokens, piece)]
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, closing: int = CLOSING) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens for every piece of every document."""
+PIECES = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("doc_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))]
+DDL = {"doc_id": "long", "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long", "doc_crc32": "long", "ids": "array<int>"}
+
+
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, closing: int = CLOSING, ids: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, doc_crc32 (of all ids) for every piece of every document; with `ids` the ids too."""
+    fields = PIECES if ids else PIECES[:-1]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path)
         for batch in batches:
             data, off = _seq.text_bytes(batch["text"])
-            ids, bounds = coder.encode(data, off, closing)
+            codes, bounds = coder.encode(data, off, closing)
             rows, sums = [], []
             for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                whole = zlib.crc32(codes[a:b])
                 for s, n in piece_bounds(b - a, capacity, piece):
-                    rows.append((d, s, n, b - a))
-                    sums.append(zlib.crc32(ids[a + s : a + s + n]))
-            d, s, n, t = np.array(rows, np.int64).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(d)), *[pa.array(np.ascontiguousarray(x)) for x in (s, n, np.array(sums, np.int64), t)]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    rows.append((d, s, n, b - a, whole))
+                    sums.append(zlib.crc32(codes[a + s : a + s + n]))
+            d, s, n, t, whole = np.array(rows, np.int64).reshape(-1, 5).T
+            columns = [batch["doc_id"].take(pa.array(d)), *[pa.array(np.ascontiguousarray(x)) for x in (s, n, np.array(sums, np.int64), t, whole)]]
+            if ids:  # pieces follow each other as the ids do
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(codes.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=[x for x, _ in fields])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    ddl = ", ".join(f"{x} {DDL[x]}" for x, _ in fields)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, ddl)
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -262,19 +293,24 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return window, offset
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, closing: int = CLOSING) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece of every document."""
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, closing: int = CLOSING, ids: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece of every document.
+
+    With `ids` each piece brings its token ids along, from which the sequences can be read in order of offset.
+    """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-total // BATCH_BYTES))
-    pieces = token_pieces(docs, path, capacity, piece, closing)
+    pieces = token_pieces(docs, path, capacity, piece, closing, ids)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
-    def batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        window, offset = pack(pdf["length"].to_numpy(), capacity)
-        out = pdf[names].copy()
-        out["sequence_id"], out["offset"] = pdf["_batch"].to_numpy().astype(np.int64) * (1 << 24) + window, offset
-        return out
-
-    dealt = pieces.withColumn("_batch", F.expr(f"cast(pmod(xxhash64(doc_id, start, ids_crc32), {batches}) as long)"))
-    return dealt.groupBy("_batch").applyInPandas(batch, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    def batch(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        window, offset = pack(table["length"].to_numpy(), capacity)
+        sequence = table["_batch"].to_numpy() * (1 << 24) + window
+        return pa.table([*[table[c] for c in names], pa.array(sequence), pa.array(offset), *([table["ids"]] if ids else [])], names=[*names, "sequence_id", "offset", *(["ids"] if ids else [])])
+
+    whole = F.when(F.col("length") == capacity, F.col("start")).otherwise(-1)
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    dealt = pieces.withColumn("_batch", F.pmod(F.xxhash64("doc_id", "doc_crc32", whole, place), F.lit(batches)).cast("long")).drop("doc_crc32")
+    ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if ids else "")
+    return dealt.groupBy("_batch").applyInArrow(batch, ddl)
