@@ -44,3 +44,9 @@ def test_mixed_rows_repeat_documents(spark):
     assert {d: sum(r["doc_id"] == d for r in mixed) for d in copies} == copies and all(r["copies"] == "copies" for r in mixed)
     words = {d: len(WORD.findall(t or "")) for d, t, *_ in rows}
     assert {r["doc_id"]: r["taken"] for r in mixing.mix_report(docs).collect()} == {d: words[d] * n for d, n in copies.items()}
+
+
+def test_texts_of_one_id_and_size_are_taken_alike_at_every_run(spark):
+    rows = [(7, f"word{i:03d} more", "en", "a") for i in range(40)] + [(8 + i, "w " * 40, "en", "b") for i in range(40)]
+    one, two = (sorted(r["text"] for r in mixing.mixed_rows(frame(spark, x)).collect()) for x in (rows, list(reversed(rows))))
+    assert one == two

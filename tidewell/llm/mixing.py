@@ -75,7 +75,9 @@ def systematic_copies(docs: DataFrame, seed: int = 17, cap: int = 3, weights=WEI
     sources = sources.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("_source"), "source_size", "target")
     before = Window.partitionBy("_source").orderBy("_class", "_part").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_s").join(sources, "_source")
-    inside = Window.partitionBy(*cell).orderBy("size", "doc_id")
+    # rows of one id and size are told apart by their texts, so that reruns agree on what is taken
+    tie = [F.xxhash64("row.text")] if carry else []
+    inside = Window.partitionBy(*cell).orderBy("size", "doc_id", *tie)
     rows = rows.withColumn("_row", F.row_number().over(inside)).join(cells, cell).withColumn("_at", F.col("_before") + F.col("_row"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     offset = hash_part(F.concat(F.col("_source"), F.lit(f"/{seed}")), 1 << 28) / F.lit(float(1 << 28))
