@@ -39,8 +39,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Token pieces with their ids, sequence and offset."""
+    return packing.pack_documents(docs, tokenizer_path(), ids=True)
 
 
 STAGES = [("toxicity", clean), ("near_duplicates", distinct), ("substring_dedup", unrepeated), ("mixing", mixed), ("packing", packed)]
