@@ -174,6 +174,20 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
 
 
+def shared_pieces(hashes: np.ndarray, owner: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the runs of windows, neighbours in one content, whose hash several owners have; all others match nothing."""
+    order = np.argsort(hashes, kind="stable")
+    h, who = hashes[order], owner[order]
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+    keep = np.zeros(len(h), bool)
+    if len(at):
+        several = np.minimum.reduceat(who, at) < np.maximum.reduceat(who, at)
+        keep[order] = np.repeat(several, np.diff(np.append(at, len(h))))
+    on = np.flatnonzero(keep)
+    new = breaks(on, content[on], content[on])
+    return on[new], np.append(on[new[1:] - 1], on[-1:]) + 1
+
+
 NOTE_DDL = "g int, kind int, a binary, b binary, c binary"
 SEGMENT_SCHEMA = pa.schema([("shard", pa.int32()), ("g", pa.int32()), ("docs", pa.binary()), ("at", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
 SEGMENT_DDL = "shard int, g int, docs binary, at binary, sizes binary, data binary"

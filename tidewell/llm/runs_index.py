@@ -2,7 +2,8 @@
 
 A byte is removed if it lies in `window` bytes that also start in a document of smaller id. `_repeats` deals passages
 whose windows may repeat to shards; texts equal as a whole, and passages equal as a whole, are told by digest or by
-content before. A shard's index is built of all its passages as they are. Of the suffix array, which is needed to build
+content before. A shard's index is built of its passages as they are, all but windows that by their hash no other
+document of the shard has. Of the suffix array, which is needed to build
 it only, stay the runs of the Burrows-Wheeler transform, the suffix array's values at both ends of each run, and of each
 interval of suffixes that begin with one window in several documents its place and its smallest document. So what stays
 beside the text's own bytes grows with the runs and the distinct windows that repeat. The passages are then read from
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewell.llm import _seq
-from tidewell.llm._repeats import NULL_ID, Texts, Unit, judged, true_runs
+from tidewell.llm._repeats import NULL_ID, Texts, Unit, judged, shared_pieces, true_runs
 
 WINDOW, GRAM = 50, 16
 #: Windows of a passage that one lane reads at most.
@@ -170,6 +171,14 @@ class RunIndex:
             emit(at, length[:m], j[:m])
 
 
+def window_hashes(text: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of the bytes from these places."""
+    u, h = eights(text), np.zeros(len(at), np.uint64)
+    for k in range(0, window, 8):
+        h = _seq.mix(h * _seq._M3 + (u[at + k] & _seq._LANE_MASK[min(8, window - k)]))
+    return h
+
+
 def run_index(window: int):
     """The shard index of `_repeats.judged` for bytes."""
 
@@ -190,31 +199,43 @@ def run_index(window: int):
         owner = np.unique(doc[lead], return_inverse=True)[1].astype(np.int32)
         if len(owner) < 2 or owner.max() == 0:
             return np.concatenate(who), np.concatenate(first), np.concatenate(last)
-        text = np.frombuffer(b"".join([c + bytes([SEPARATOR]) for c in contents]), np.uint8)
-        begin = np.cumsum(sizes + 1) - (sizes + 1)
+        whole = np.frombuffer(b"".join(contents), np.uint8)
+        begin = np.cumsum(sizes) - sizes
         windows = sizes - window + 1
+        content = np.repeat(np.arange(len(contents)), windows)
+        place = _seq.ragged(begin, windows)
+        # windows that one document alone has match nothing; the index holds all others, as often as they are there
+        piece, to = shared_pieces(window_hashes(whole, place, window), owner[content], content)
+        if not len(piece):
+            return np.concatenate(who), np.concatenate(first), np.concatenate(last)
+        count, of = to - piece, content[piece]
+        size = count + window
+        start = np.cumsum(size) - size
+        text = np.full(int(size.sum()), SEPARATOR, np.uint8)
+        text[_seq.ragged(start, size - 1)] = whole[_seq.ragged(place[piece], size - 1)]
         at_owner = np.full(len(text), NOBODY, np.int32)
-        at_owner[_seq.ragged(begin, windows)] = np.repeat(owner, windows)
+        at_owner[_seq.ragged(start, count)] = np.repeat(owner[of], count)
         built = RunIndex(text, at_owner, window)
-        parts = -(-windows // LANE)
-        lane = np.repeat(begin, parts) + LANE * _seq.ragged(np.zeros(len(begin), np.int64), parts)
-        end = np.minimum(lane + LANE, np.repeat(begin + windows, parts)) + window - 1
+        parts = -(-count // LANE)
+        lane = np.repeat(start, parts) + LANE * _seq.ragged(np.zeros(len(start), np.int64), parts)
+        end = np.minimum(lane + LANE, np.repeat(start + count, parts)) + window - 1
         mark = np.zeros(len(text), bool)
 
-        def emit(place: np.ndarray, length: np.ndarray, row: np.ndarray) -> None:
+        def emit(at_: np.ndarray, length: np.ndarray, row: np.ndarray) -> None:
             hit = length >= window
-            p = place[hit]
+            p = at_[hit]
             mark[p] |= built.smallest_owner(row[hit]) < at_owner[p]
 
         built.matching(text, lane, end, emit)
         # a mark is a window's start; windows of one content stand together
         mark &= at_owner != NOBODY
         for x, y in zip(*true_runs(mark)):
-            k = int(np.searchsorted(begin, x, "right")) - 1
-            for i in members[k]:
+            k = int(np.searchsorted(start, x, "right")) - 1
+            ahead = int(place[piece[k]] - begin[of[k]] - start[k])
+            for i in members[of[k]]:
                 who.append(np.array([i]))
-                first.append(np.array([x - begin[k]]))
-                last.append(np.array([y - 1 - begin[k] + window]))
+                first.append(np.array([x + ahead]))
+                last.append(np.array([y - 1 + ahead + window]))
         return np.concatenate(who), np.concatenate(first), np.concatenate(last)
 
     return index

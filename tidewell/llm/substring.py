@@ -2,8 +2,8 @@
 
 A word is removed if it lies in `window` consecutive words whose sequence also starts earlier (in a document of smaller
 id, or earlier in the same one). `_repeats` deals passages whose windows may repeat to shards; texts and passages equal
-as a whole are told by digest or by content before. In a shard a suffix automaton is built of all its passages as they
-are, whose states know their earliest place; then the passages are streamed through it for matching statistics: where
+as a whole are told by digest or by content before. In a shard a suffix automaton is built of its passages as they
+are, all but windows that by their hash are at one place alone, whose states know their earliest place; then the passages are streamed through it for matching statistics: where
 the match reaches the window's length at an earlier place, the maximal span is marked. The reference of a whole corpus
 grows with it, so shards are dealt out by key, of some MB each however large the corpus, in place of one broadcast of
 all automata to all tasks.
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm import _shuffle
-from tidewell.llm._repeats import NULL_ID, Texts, Unit, digested, ids_repeat, judged, numbers, packed_rows, true_runs
+from tidewell.llm import _seq, _shuffle
+from tidewell.llm._repeats import NULL_ID, Texts, Unit, digested, ids_repeat, join_hashes, judged, numbers, packed_rows, shared_pieces, true_runs
 
 WINDOW = 20
 
@@ -168,18 +168,26 @@ def automaton_index(window: int):
             by_place = np.lexsort((unit_at, unit_doc))
             fresh = np.concatenate([[True], (unit_doc[by_place[1:]] != unit_doc[by_place[:-1]]) | (unit_at[by_place[1:]] != unit_at[by_place[:-1]])])
             rank[by_place] = np.cumsum(fresh) - 1
+        # windows that by their hash are at one place alone match nothing; all others stand in the automaton
+        flat = np.array([w for k in order.tolist() for w in passages[k]], np.uint64)
+        content = np.repeat(order, sizes[order])
+        hashes = join_hashes(_seq.mix((flat + np.uint64(1)) * _seq._M1), window)
+        valid = np.flatnonzero(content[: len(hashes)] == content[window - 1 :])
+        piece, to = shared_pieces(hashes[valid], rank[valid], content[valid])
+        piece, to, units = valid[piece].tolist(), (valid[to - 1] + window).tolist(), flat.tolist()
         automaton = SuffixAutomaton()
-        for k in order.tolist():
-            automaton.add(passages[k], rank[begin[k] : begin[k] + sizes[k]].tolist())
+        for a, b in zip(piece, to):
+            automaton.add(units[a:b], rank[a:b].tolist())
         automaton.settle()
-        for k, passage in enumerate(passages):
-            found = np.array(automaton.matches(passage, window)[window - 1 :], np.int64)
-            own = rank[begin[k] + window - 1 : begin[k] + sizes[k]]
-            for a, b in zip(*true_runs((found >= 0) & (found < own))):
+        for a, b in zip(piece, to):
+            k = content[a]
+            found = np.array(automaton.matches(units[a:b], window)[window - 1 :], np.int64)
+            ahead = a - begin[k]
+            for x, y in zip(*true_runs((found >= 0) & (found < rank[a + window - 1 : b]))):
                 for i in members[k]:
                     who.append(np.array([i]))
-                    first.append(np.array([a]))
-                    last.append(np.array([b + window - 1]))
+                    first.append(np.array([ahead + x]))
+                    last.append(np.array([ahead + y + window - 1]))
         return np.concatenate(who), np.concatenate(first), np.concatenate(last)
 
     return index
