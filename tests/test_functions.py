@@ -1,6 +1,7 @@
 """Small cases with known answers, nulls among them."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import measure as M
 from tidewell.functions import scores as S
 from tidewell.functions import text as X
-from tidewell.operators import choice, compliance, evidence, graph, spatial, stats, versions
+from tidewell.operators import choice, compliance, evidence, graph, registry, spatial, stats, versions
 from tidewell.sources import readers
 
 
@@ -85,12 +86,90 @@ def test_compliance(spark):
     assert got["hazard_index"] == pytest.approx(1.0) and got["exceeds"]
 
 
+CLAIMS = "claim_id long, topic string, proposition string, stance string, agent string, confidence double, origins array<string>, hard_veto boolean"
+
+
 def test_votes(spark):
-    ddl = "claim_id long, topic string, proposition string, stance string, agent string, confidence double, origins array<string>, hard_veto boolean"
-    rows = [(1, "t", "p", "support", "a", 0.9, ["o"], False), (2, "t", "p", "support", "b", 0.8, ["o"], False), (3, "t", "q", "support", "a", 0.9, ["x"], False), (4, "t", "q", "oppose", "b", 0.1, ["y"], True)]
+    rows = [
+        (1, "t", "p", "support", "a", 0.9, ["o"], False), (2, "t", "p", "support", "b", 0.8, ["o"], False), (3, "t", "q", "support", "a", 0.9, ["x"], False), (4, "t", "q", "oppose", "b", 0.1, ["y"], True),
+        (5, "t", "one", "support", "a", 0.1, ["o"], False), (6, "t", "two", "support", "a", 0.9, ["o"], False), (7, "t", "two", "oppose", "a", 0.7, ["y"], False), (8, "t", "none", "support", "new", 1.0, None, False), (9, "t", "known", "support", "WQP Context Agent", 1.0, [], False),
+    ]
     weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "agent string, weight double")
-    got = {r["proposition"]: r for r in evidence.negotiate(spark.createDataFrame(rows, ddl), weights).collect()}
-    assert got["p"]["origins"] == 1 and got["p"]["support"] == pytest.approx(0.9) and got["p"]["verdict"] == "accepted" and got["q"]["verdict"] == "rejected-veto"
+    got = {r["proposition"]: r for r in evidence.negotiate(spark.createDataFrame(rows, CLAIMS), weights).collect()}
+    assert got["p"]["origins"] == 1 and got["p"]["support"] == pytest.approx(0.9) and got["p"]["verdict"] == "accepted"
+    assert got["q"]["verdict"] == "rejected" and got["q"]["vetoed"] and got["q"]["dissent"]
+    assert got["one"]["verdict"] == "undecided"  # scores, not shares
+    assert got["two"]["verdict"] == "accepted" and got["two"]["dissent"]
+    assert got["none"]["support"] == pytest.approx(0.8) and got["none"]["origins"] == 0
+    assert got["known"]["support"] == pytest.approx(0.99)
+
+
+def test_leave_one_out(spark):
+    rows = [(1, "t", "p", "support", "a", 0.9, ["o"], False), (2, "t", "p", "oppose", "a", 0.9, ["x", "y"], False), (3, "t", "q", "support", "a", 0.9, None, False)]
+    got = {r["left_out"]: r for r in evidence.leave_one_origin_out(spark.createDataFrame(rows, CLAIMS), spark.createDataFrame([("a", 1.0)], "agent string, weight double")).collect()}
+    assert set(got) == {"o", "x", "y", "claim 3"}
+    assert got["claim 3"]["flips"] == 1 and got["claim 3"]["max_change"] == pytest.approx(1.0)
+    assert got["x"]["flips"] == 1 and got["x"]["total_change"] == pytest.approx(0.5)
+
+
+def test_cut_sets(spark):
+    claim = lambda i, p, stance, *o: (i, "t", p, stance, "a", 1.0, list(o), False)
+    cuts = lambda rows: sorted((r["status"], r["cut_size"], tuple(r["cut"] or ())) for r in evidence.cut_sets(spark.createDataFrame(rows, CLAIMS)).collect())
+    assert cuts([claim(1, "p", "support", "a"), claim(2, "p", "oppose", "b")]) == [("computed", 1, ("a",)), ("computed", 1, ("b",))]
+    two = [claim(1, "p", "support", "a"), claim(2, "p", "support", "b"), claim(3, "p", "oppose", "c"), claim(4, "p", "oppose", "d"), claim(5, "q", "support", "a", "z"), claim(6, "q", "oppose", "c", "z")]
+    assert cuts(two) == [("computed", 2, ("a", "b")), ("computed", 2, ("c", "d"))]
+    many = [claim(i, "p", stance, f"{stance}{i}") for i in range(4) for stance in ("support", "oppose")]
+    assert cuts(many) == [("cutset-exceeds-search-limit", None, ())]
+    assert cuts([claim(1, "p", "support", "a")]) == []
+
+
+def test_corroboration(spark):
+    ddl = "id int, k string, result string, origin string, source string"
+    rows = [(1, "a", "100", "o1", "s1"), (2, "a", "102", "o2", "s1"), (3, "a", "104", "o3", "s1"), (4, "a", "110", "o4", "s1"), (5, "a", "100", "o1", "s1"), (6, "a", "100", "o1", "s2"), (7, "a", "ND", "o1", "s1"), (8, "a", "nd", "o2", "s1"), (9, "a", "BDL", "o3", "s1"), (10, "b", "100", "o9", "s1"), (11, "c", "0", "o1", "s1"), (12, "c", "0", "o2", "s1"), (13, "c", "-5", "o3", "s1"), (14, "c", "5", "o4", "s1"), (15, "d", None, "o1", "s1")]
+    got = {r["id"]: (r["independent_origins"], r["publisher_replicas"]) for r in evidence.corroborate(spark.createDataFrame(rows, ddl), ["k"], "id", "result", "origin", "source").collect()}
+    assert got == {1: (2, 1), 2: (3, 0), 3: (2, 0), 4: (1, 0), 5: (2, 1), 6: (2, 2), 7: (2, 0), 8: (2, 0), 9: (1, 0), 10: (1, 0), 11: (2, 0), 12: (2, 0), 13: (1, 0), 14: (1, 0), 15: (1, 0)}
+
+
+def test_peers(spark):
+    ddl = "s string, a string, g string, v double, c boolean, d date"
+    day = dt.date(2024, 1, 1)
+    rows = [(f"p{i}", "X", "INOR", float(i), False, day) for i in range(6)] + [("far", "X", "INOR", 1.0, False, dt.date(2020, 1, 1)), ("cens", "X", "INOR", None, True, day), ("other", "X", "WQP", 3.0, False, day)]
+    got = {r["s"]: r for r in evidence.peer_percentile(spark.createDataFrame(rows, ddl), "s", "a", "g", "v", "c", "d").collect()}
+    assert got["p5"]["percentile"] == 1.0 and got["p5"]["band"] == "upper-decile" and got["p5"]["peer_count"] == 5 and got["p5"]["peer_median"] == 2.0
+    assert got["far"]["status"] == "insufficient-peer-coverage" and got["cens"]["status"] == "current-result-censored" and "other" not in got
+
+
+def test_confirmation(spark):
+    ddl = "pwsid string, analyte string, sample_date date, value double, id int"
+    d = lambda n: dt.date(2024, 1, n)
+    rows = [("a", "NITRATE", d(1), 20000.0, 1), ("a", "NITRATE", d(20), 5.0, 2), ("b", "NITRATE", d(1), 20000.0, 1), ("b", "NITRATE", d(20), 20000.0, 2), ("c", "NITRATE", d(20), 20000.0, 1)]
+    got = compliance.confirmed_exceedance(spark.createDataFrame(rows, ddl), [F.col("sample_date").desc(), F.col("id")]).collect()
+    assert {r["pwsid"]: r["status"] for r in got} == {"a": "below-mcl", "b": "confirmed-exceedance", "c": "confirmation-required"}
+
+
+def test_fallback_without_a_default(spark):
+    rows, reg = spark.createDataFrame([(1, "x"), (2, None)], "id int, src string"), spark.createDataFrame([("x", "X"), ("x", "Y")], "src string, name string")
+    assert sorted((r["id"], r["name"]) for r in registry.with_fallback(rows, reg, "src", "none").collect()) == [(1, "X"), (2, None)]
+    assert sorted((r["id"], r["name"]) for r in registry.with_fallback(rows, reg, "src", "x").collect()) == [(1, "X"), (2, "X")]
+
+
+@pytest.mark.parametrize("lat, lon", [(60.0, 10.0), (28.5, -81.5), (-70.0, 179.99), (0.0, -179.99), (89.95, 0.0), (45.0, 0.0)])
+def test_nearest_at_any_latitude(spark, lat, lon):
+    import random
+
+    rng = random.Random(3)
+    wrap = lambda x: (x + 180) % 360 - 180
+    spread = 0.15 / max(0.02, math.cos(math.radians(lat)))
+    centres = [(i, wrap(lon + rng.uniform(-spread, spread)), max(-90.0, min(90.0, lat + rng.uniform(-0.1, 0.1)))) for i in range(12)]
+    sites = [(i, wrap(lon + rng.uniform(-spread, spread)), max(-90.0, min(90.0, lat + rng.uniform(-0.1, 0.1)))) for i in range(120)]
+
+    def miles(a, b):
+        (x, y), (u, w) = [(math.radians(p[1]), math.radians(p[2])) for p in (a, b)]
+        h = math.sin((w - y) / 2) ** 2 + math.cos(y) * math.cos(w) * math.sin((u - x) / 2) ** 2
+        return 2 * spatial.MILES * math.asin(min(1, math.sqrt(h)))
+
+    got = spatial.nearest(spark.createDataFrame(centres, "c int, lon double, lat double"), spark.createDataFrame(sites, "s int, lon double, lat double"), 5.0, 1000, "c", "s").collect()
+    assert {(r["c"], r["s"]) for r in got} == {(c[0], s[0]) for c in centres for s in sites if miles(c, s) <= 5.0} and len(got) == len({(r["c"], r["s"]) for r in got})
 
 
 def test_space(spark):
@@ -103,7 +182,7 @@ def test_space(spark):
 
 def test_graph_and_series(spark):
     edges = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8), ("x", "y", 1.0), ("c", "a", 0.5)], "src string, dst string, certainty double")
-    got = {r["node"]: r for r in graph.reachable(edges, spark.createDataFrame([("a",)], "node string"), 5).collect()}
+    got = {r["node"]: r for r in graph.reachable(edges, spark.createDataFrame([("a",)], "node string")).collect()}
     assert set(got) == {"a", "b", "c"} and got["c"]["certainty"] == pytest.approx(0.72) and got["c"]["hops"] == 2
     series = spark.createDataFrame([("s", i, v) for i, v in enumerate([1.0] * 4 + [10.0] * 4)], "k string, t int, v double")
     assert [r["position"] for r in stats.change_points(series, "k", "t", "v").collect()] == [4]
@@ -124,3 +203,22 @@ def test_readers(spark, tmp_path):
     assert readers.table_kind("SDWA_VIOLATIONS.csv", []) == "violations"
     parts = spark.createDataFrame([(True,), (False,)], "ok boolean")
     assert readers.manifest_status(parts).first()["status"] == "partial"
+
+
+def test_paths_are_the_first_found_and_dated(spark):
+    day = lambda y: dt.date(y, 1, 1)
+    ddl = "src string, dst string, certainty double, valid_from date, valid_to date"
+    edges = [("a", "b", 0.2, None, None), ("a", "c", 0.9, day(2000), None), ("b", "d", 1.0, None, day(2021)), ("c", "d", 1.0, None, None), ("d", "e", None, day(2020), day(2021))]
+    start = spark.createDataFrame([("a",)], "node string")
+    at = lambda y: {r["node"]: r for r in graph.reachable(spark.createDataFrame(edges, ddl), start, F.lit(day(y))).collect()}
+    got = at(2020)
+    assert got["d"]["certainty"] == pytest.approx(0.2) and not got["d"]["admissible"] and got["e"]["hops"] == 3  # the first path, not the most certain
+    assert at(2021)["d"]["certainty"] == pytest.approx(0.9) and "e" not in at(2021)
+    chain = spark.createDataFrame([(i, i + 1, 0.99) for i in range(12)], "src int, dst int, certainty double")
+    far = {r["node"]: r["hops"] for r in graph.reachable(chain, spark.createDataFrame([(0,)], "node int")).collect()}
+    assert far == {i: i for i in range(13)}
+
+
+def test_freshness_edges(spark):
+    fresh = lambda age, life: value(spark, S.freshness(F.lit(age).cast("double"), F.lit(life).cast("double")))
+    assert fresh(-1.0, 365.0) == 0 and fresh(None, 365.0) == 0 and fresh(100.0, math.inf) == 1 and fresh(1.0, 0.0) is None and fresh(1.0, None) is None

@@ -32,6 +32,11 @@ def anchored_number(value: Column) -> Column:
     return F.regexp_extract(F.trim(value), rf"^(?:[<>]=?|~)?\s*({NUMBER})\s*$", 1).try_cast("double")
 
 
+def normalized(value: Column) -> Column:
+    """Upper case, trimmed, white space as one space."""
+    return F.regexp_replace(F.upper(F.trim(value.cast("string"))), r"\s+", " ")
+
+
 def normalize_unit(unit: Column) -> Column:
     """Upper case with any micro sign written U."""
     return F.upper(F.translate(F.regexp_replace(unit, r"\s", ""), "µμΜ", "UUU"))

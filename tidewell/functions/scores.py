@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,9 +17,10 @@ def confidence_label(x: Column) -> Column:
     return F.when(x >= 0.9, "very-high").when(x >= 0.75, "high").when(x >= 0.55, "moderate").when(x >= 0.35, "low").otherwise("insufficient")
 
 
-def freshness(age_days: Column, half_life_days: float) -> Column:
-    """Halves with every half-life; an age before the reference date counts as none."""
-    return F.pow(F.lit(0.5), F.greatest(age_days, F.lit(0)) / F.lit(float(half_life_days)))
+def freshness(age_days: Column, half_life_days: float | Column) -> Column:
+    """Halves with every half-life; a missing or negative age weighs nothing, an endless half-life keeps all, and one that is missing or not above 0 says nothing."""
+    life = half_life_days if isinstance(half_life_days, Column) else F.lit(float(half_life_days))
+    return F.when(age_days.isNull() | (age_days < 0), 0.0).when(life == math.inf, 1.0).when(life > 0, F.pow(F.lit(0.5), age_days / life))
 
 
 def geometric_mean(*xs: Column) -> Column:
@@ -33,6 +35,10 @@ def coverage_cap(received: Column, expected: Column, fresh: Column, spatial: Col
     return F.least(F.lit(1.0), received / F.nullif(expected, F.lit(0))) * fresh * spatial
 
 
+def coverage_band(cap: Column) -> Column:
+    return F.when(cap >= 0.9, "complete").when(cap >= 0.65, "substantial").when(cap >= 0.35, "partial").otherwise("sparse")
+
+
 def langelier(ph: Column, tds: Column, temp_c: Column, calcium: Column, alkalinity: Column) -> Column:
     """Saturation index from pH, dissolved solids, temperature, calcium hardness and alkalinity."""
     a = (F.log10(F.greatest(tds, F.lit(1.0))) - 1) / 10

@@ -11,8 +11,8 @@ from tidewell.functions.measure import year_quarter
 
 # Action levels in ug/L.
 P90_LEVELS = {"LEAD": 10.0, "COPPER": 1300.0}
-LRAA_LEVELS = {"TOTAL THMS": 80.0, "TTHM": 80.0, "HAA5": 60.0}
-RAA_LEVELS = {"URANIUM": 30.0}
+LRAA_LEVELS = {"TOTAL THMS": 80.0, "TTHM": 80.0, "TOTAL HALOACETIC ACIDS (HAA5)": 60.0, "HAA5": 60.0}
+RAA_LEVELS = {"URANIUM": 30.0, "COMBINED RADIUM 226/228": 5.0, "GROSS ALPHA": 15.0}  # the last two in pCi/L
 SINGLE_LEVELS = {"NITRATE": 10000.0, "NITRITE": 1000.0}
 
 
@@ -22,7 +22,7 @@ def _level(levels: dict[str, float], analyte: Column) -> Column:
 
 def percentile_90(rows: DataFrame, value: str = "value", least: int = 5) -> DataFrame:
     """Nearest-rank 90th percentile of tap samples for each system and analyte, with its status."""
-    rows = rows.filter(F.col("analyte").isin(*P90_LEVELS) & F.col("sample_type").rlike("TAP"))
+    rows = rows.filter(F.col("analyte").isin(*P90_LEVELS) & F.col("sample_type").rlike("(?i)TAP|LCR|FIRST"))
     out = rows.groupBy("pwsid", "analyte").agg(F.expr(f"percentile_disc(0.9) within group (order by {value})").alias("p90"), F.count(value).alias("samples"))
     status = F.when(F.col("samples") < least, "insufficient-samples").when(F.col("p90") > _level(P90_LEVELS, F.col("analyte")), "exceeds").otherwise("within")
     return out.withColumn("status", status)
@@ -45,12 +45,29 @@ def running_average(rows: DataFrame, order: Sequence[Column], value: str = "valu
     return out.withColumn("status", F.when(F.col("samples") < samples, "incomplete-window").when(F.col("raa") > _level(RAA_LEVELS, F.col("analyte")), "exceeds").otherwise("within"))
 
 
-def confirmed_exceedance(rows: DataFrame, value: str = "value", days: int = 30) -> DataFrame:
-    """Whether a system's latest day above the level is confirmed by another day above it within `days`."""
-    high = rows.filter(F.col("analyte").isin(*SINGLE_LEVELS)).filter(F.col(value) > _level(SINGLE_LEVELS, F.col("analyte"))).select("pwsid", "analyte", "sample_date").distinct()
-    before = F.lag("sample_date").over(Window.partitionBy("pwsid", "analyte").orderBy("sample_date"))
-    last = high.withColumn("before", before).groupBy("pwsid", "analyte").agg(F.max("sample_date").alias("latest"), F.max_by("before", "sample_date").alias("before"), F.count("*").alias("days_above"))
-    return last.withColumn("status", F.when(F.datediff("latest", "before") <= days, "confirmed").otherwise("unconfirmed"))
+def confirmed_exceedance(rows: DataFrame, order: Sequence[Column], value: str = "value", days: int = 30) -> DataFrame:
+    """A system's latest sample against the level; above it, whether another day's sample within `days` is above it too."""
+    key = ["pwsid", "analyte"]
+    rows = rows.filter(F.col("analyte").isin(*SINGLE_LEVELS) & F.col(value).isNotNull() & F.col("sample_date").isNotNull()).withColumn("_level", _level(SINGLE_LEVELS, F.col("analyte")))
+    w = Window.partitionBy(*key)
+    rows = rows.withColumns({"_last": F.max("sample_date").over(w), "_n": F.row_number().over(w.orderBy(*order))})
+    again = (F.col("sample_date") < F.col("_last")) & (F.datediff("_last", "sample_date") <= days) & (F.col(value) > F.col("_level"))
+    out = rows.groupBy(*key).agg(F.max("sample_date").alias("latest"), F.max(F.when(F.col("_n") == 1, F.col(value))).alias("value"), F.bool_or(again).alias("confirmation_found"), F.first("_level").alias("_level"))
+    status = F.when(F.col("value") <= F.col("_level"), "below-mcl").when(F.col("confirmation_found"), "confirmed-exceedance").otherwise("confirmation-required")
+    return out.withColumn("status", status).drop("_level")
+
+
+def positives(rows: DataFrame, result: str, analytes: Sequence[str] = ("TOTAL COLIFORM", "E. COLI")) -> DataFrame:
+    """Positive records of microbial analytes; any calls for an assessment, none proves nothing."""
+    out = rows.filter(F.col("analyte").isin(*analytes)).groupBy("pwsid", "analyte").agg(F.count_if(F.col(result).rlike("(?i)POS|PRESENT|DETECT")).alias("positive_count"), F.count("*").alias("records"))
+    return out.withColumn("status", F.when(F.col("positive_count") > 0, "assessment-or-condition-review-required").otherwise("no-positive-records-in-input"))
+
+
+def screening(rows: DataFrame, order: Sequence[Column], value: str = "value") -> DataFrame:
+    """The latest result of analytes without a rule of their own, which allows no claim of compliance."""
+    ruled = [*P90_LEVELS, *LRAA_LEVELS, *RAA_LEVELS, *SINGLE_LEVELS]
+    rest = rows.filter(~F.col("analyte").isin(*ruled) & F.col(value).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy("pwsid", "analyte").orderBy(*order))).filter("_n = 1")
+    return rest.select("pwsid", "analyte", value, F.lit("screening-result-only").alias("status"))
 
 
 def trailing_average(rows: DataFrame, key: Sequence[str], value: str, date: str, days: int = 365, least: int = 4) -> DataFrame:

@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.measure import first_number, normalized
+from tidewell.functions.scores import clamp
 
-def corroborate(rows: DataFrame, key: Sequence[str], row_id: str, value: str, origin: str, tolerance: float = 0.02) -> DataFrame:
-    """For each row how many rows and origins of its logical key agree with it, chained by steps within the tolerance.
 
-    Sorted by value, rows that agree stand next to each other, so a running count of larger steps tells the bands apart
-    and no pairs are made.
+#: Steps of a logarithm's unit in which results are compared, as ranges of windows are whole numbers.
+FINE = 10**12
+
+
+def corroborate(rows: DataFrame, key: Sequence[str], row_id: str, result: str, origin: str, source: str, tolerance: float = 0.02) -> DataFrame:
+    """For each row how many others of its logical key agree with it, from other origins and as replicas of its own.
+
+    Two results agree if their first numbers differ by the tolerance of the larger at most, or, where either has none, if
+    their texts are equal. Rows of one origin and source are one publication; the same origin from another source is a
+    replica; another origin is an independent sample. Agreement is a range of logarithms, so rows are counted by range
+    windows and origins by a sweep over each origin's stretches of values, and no pairs are made.
     """
-    log = F.log(F.when(F.col(value) > 0, F.col(value)))
-    near = -F.log(F.lit(1 - tolerance)) + 1e-12
-    rows = rows.withColumn("_log", log)
-    step = Window.partitionBy(*key).orderBy("_log")
-    # rows chained by steps within the tolerance are compared as one band
-    band = F.sum(F.when(F.col("_log") - F.lag("_log").over(step) <= near, 0).otherwise(1)).over(step.rowsBetween(Window.unboundedPreceding, 0))
-    banded = rows.withColumn("_band", band)
-    sizes = banded.filter("_log is not null").groupBy(*key, "_band").agg(F.count("*").alias("agreeing"), F.count_distinct(origin).alias("origins"))
-    out = banded.join(sizes, [*key, "_band"], "left").select(row_id, F.coalesce("agreeing", F.lit(1)).alias("agreeing"), F.coalesce("origins", F.lit(1)).alias("origins"))
-    return out.withColumn("factual_status", F.when(F.col("origins") > 1, "independently-corroborated").when(F.col("agreeing") > 1, "replicated-same-origin").otherwise("single-origin-sample"))
+    number = first_number(F.col(result))
+    near = math.ceil(-math.log(1 - tolerance) * FINE) + 1
+    kind = F.when(number.isNull(), F.concat(F.lit("text "), normalized(F.col(result)))).otherwise(F.signum(number).cast("string"))
+    at = F.when(number.isNull() | (number == 0), F.lit(0)).otherwise(F.round(F.ln(F.abs(number)) * FINE)).cast("long")
+    rows = rows.withColumns({"_kind": F.coalesce(kind, F.lit("none")), "_at": at})
+    group = [*key, "_kind"]
+    within = lambda *more: Window.partitionBy(*group, *more).orderBy("_at").rangeBetween(-near, near)
+    counted = rows.withColumns({"_origin": F.count("*").over(within(origin)), "_own": F.count("*").over(within(origin, source))})
+    step = Window.partitionBy(*group, origin).orderBy("_at")
+    apart = F.when(F.col("_at") - F.lag("_at").over(step) <= 2 * near, 0).otherwise(1)
+    stretches = rows.withColumn("_new", apart).withColumn("_n", F.sum("_new").over(step.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*group, origin, "_n").agg((F.min("_at") - near).alias("_from"), (F.max("_at") + near).alias("_to"))
+    event = lambda df, at, order, change: df.select(*group, at.alias("_at"), F.lit(order).alias("_order"), F.lit(change).alias("_change"), *(F.lit(None).alias(c) for c in ("_origin", "_own", row_id)))
+    seen = counted.select(*group, "_at", F.lit(1).alias("_order"), F.lit(0).alias("_change"), "_origin", "_own", row_id)
+    events = seen.unionByName(event(stretches, F.col("_from"), 0, 1)).unionByName(event(stretches, F.col("_to"), 2, -1))
+    sofar = Window.partitionBy(*group).orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    out = events.withColumn("independent_origins", F.sum("_change").over(sofar)).filter("_order = 1")
+    out = out.select(row_id, "independent_origins", (F.col("_origin") - F.col("_own")).alias("publisher_replicas"))
+    return out.withColumn("factual_status", F.when(F.col("independent_origins") > 1, "confirmed-independent-sample").otherwise("single-origin-sample"))
 
 
 def reconcile(ours: DataFrame, theirs: DataFrame, key: Sequence[str], status: str = "status") -> DataFrame:
@@ -36,15 +56,48 @@ def reconcile(ours: DataFrame, theirs: DataFrame, key: Sequence[str], status: st
     return out.withColumn("severity", severity).drop("_a", "_b")
 
 
-def peer_percentile(latest: DataFrame, group: str, value: str) -> DataFrame:
-    """Mid-rank percentile of each row among the others of its group: below, plus half of the equal ones, over the others."""
-    g = Window.partitionBy(group)
-    rank = F.rank().over(g.orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(group, value))
-    n = F.count("*").over(g) - 1
-    out = latest.withColumns({"peers": n, "percentile": ((rank - 1) + 0.5 * (ties - 1)) / F.nullif(n, F.lit(0))})
-    band = F.when(F.col("peers") < 5, "too-few-peers").when(F.col("percentile") >= 0.9, "highest").when(F.col("percentile") >= 0.75, "high").when(F.col("percentile") <= 0.1, "lowest").when(F.col("percentile") <= 0.25, "low").otherwise("typical")
-    return out.withColumn("band", band)
+#: Groups of analytes that systems are compared in.
+COMPARABLE = ("INOR", "DBP", "VOC", "SOC", "RAD", "PFAS", "MICRO", "METAL")
+PEERS = "status string, peer_count long, percentile double, band string, peer_median double, peer_min double, peer_max double"
+
+
+def peer_percentile(latest: DataFrame, system: str, analyte: str, group: str, value: str, censored: str, date: str, least: int = 5, days: int = 366) -> DataFrame:
+    """Each system's latest result among the latest uncensored ones of other systems whose dates are near.
+
+    latest: one row for each system and analyte. The share of peers below, plus half of the equal ones, gives the band.
+    An analyte's rows, one a system, are sorted by date in one task; a row's peers are then a stretch of them.
+    """
+    near = [c for c in (system, analyte)]
+    rows = latest.filter(F.col(group).isNull() | (F.trim(group) == "") | F.upper(F.trim(group)).isin(*COMPARABLE)).filter(F.col(censored) | F.col(value).isNotNull())
+    rows = rows.select(*near, F.when(~F.col(censored), F.col(value)).cast("double").alias("_v"), F.unix_date(F.col(date).cast("date")).cast("double").alias("_d"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        v, d = table["_v"].to_numpy(zero_copy_only=False).astype(float), table["_d"].to_numpy(zero_copy_only=False).astype(float)
+        usable = np.flatnonzero(~np.isnan(v))
+        usable = usable[np.argsort(d[usable], kind="stable")]  # dates that are missing come last
+        dates, values = d[usable], v[usable]
+        dated = int((~np.isnan(dates)).sum())
+        out = []
+        for x, t in zip(v.tolist(), d.tolist()):
+            if np.isnan(x):
+                out.append(("current-result-censored", 0, None, None, None, None, None))
+                continue
+            lo, hi = (0, dated) if np.isnan(t) else (int(np.searchsorted(dates[:dated], t - days, "left")), int(np.searchsorted(dates[:dated], t + days, "right")))
+            peers = np.concatenate([values[lo:hi], values[dated:]])
+            n = len(peers) - 1  # the row itself is among them
+            if n < least:
+                out.append(("insufficient-peer-coverage", n, None, None, None, None, None))
+                continue
+            others = np.delete(peers, int(np.flatnonzero(peers == x)[0]))
+            share = float((others < x).sum() + 0.5 * (others == x).sum()) / n
+            band = "upper-decile" if share >= 0.9 else "upper-quartile" if share >= 0.75 else "lower-decile" if share <= 0.1 else "lower-quartile" if share <= 0.25 else "middle-half"
+            out.append(("comparable", n, share, band, float(np.median(others)), float(others.min()), float(others.max())))
+        kinds = [pa.string(), pa.int64(), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
+        names = [c.split()[0] for c in PEERS.split(", ")]
+        return pa.table([*[table[c] for c in near], *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], names=[*near, *names])
+
+    types = dict(rows.dtypes)
+    return rows.groupBy(analyte).applyInArrow(compare, ", ".join(f"{c} {types[c]}" for c in near) + ", " + PEERS)
 
 
 def coverage_cells(rows: DataFrame, axes: Sequence[str], censored: str, value: str) -> DataFrame:
@@ -68,35 +121,55 @@ def effective_n(rows: DataFrame, key: Sequence[str], origin: str, rho: float = 0
     return out.withColumns({"replicas": F.col("raw") - F.col("origins"), "independence": F.sqrt(F.col("origins") / F.col("raw"))})
 
 
+# How far agents are trusted where no reliability is given, and any other agent.
+RELIABILITY = {
+    "Provider Identity Agent": 0.98, "Boundary Robustness Agent": 0.96, "Evidence Scope Guardian": 0.995, "SDWIS Compliance Agent": 0.97, "CCR Context Agent": 0.94,
+    "WQP Context Agent": 0.99, "Originating-Sample Independence Agent": 0.98, "Temporal Freshness Agent": 0.95, "Contradiction Agent": 0.97, "Direct Household Sample Agent": 0.995,
+}
+OTHER_AGENT = 0.8
+
+
+def origins_of(claims: DataFrame) -> DataFrame:
+    """The claims with `_origins`: their distinct origins, or the claim's own id where they name none."""
+    named = F.array_distinct(F.filter(F.coalesce("origins", F.array().cast("array<string>")), lambda o: o.isNotNull() & (o != "")))
+    return claims.withColumn("_origins", F.when(F.size(named) > 0, named).otherwise(F.array(F.concat(F.lit("claim "), F.col("claim_id").cast("string")))))
+
+
 def negotiate(claims: DataFrame, reliability: DataFrame, accept: float = 0.62, margin: float = 0.12) -> DataFrame:
     """Verdict for each topic and proposition: an origin counts once, at its strongest claim, for each stance.
 
-    claims: topic, proposition, stance, agent, confidence, origins (array), hard_veto. reliability: agent, weight.
+    claims: claim_id, topic, proposition, stance, agent, confidence, origins (array), hard_veto. reliability: agent,
+    weight. A hard veto against rejects; else the scores themselves, not their shares, must reach `accept` and lead by
+    `margin`. A claim's confidence is shared among its origins.
     """
-    weighted = claims.join(reliability, "agent", "left").withColumn("w", F.col("confidence") * F.coalesce("weight", F.lit(0.5)) / F.greatest(F.size("origins"), F.lit(1)))
-    by_origin = weighted.select("topic", "proposition", "stance", "w", F.explode("origins").alias("origin")).groupBy("topic", "proposition", "stance", "origin").agg(F.max("w").alias("w"))
-    score = by_origin.groupBy("topic", "proposition").agg(F.sum(F.when(F.col("stance") == "support", F.col("w")).otherwise(0.0)).alias("support"), F.sum(F.when(F.col("stance") == "oppose", F.col("w")).otherwise(0.0)).alias("oppose"), F.count_distinct("origin").alias("origins"))
-    veto = claims.groupBy("topic", "proposition").agg(F.bool_or(F.col("hard_veto") & (F.col("stance") == "oppose")).alias("vetoed"), F.count("*").alias("claims"))
-    out = score.join(veto, ["topic", "proposition"])
-    share = F.col("support") / F.nullif(F.col("support") + F.col("oppose"), F.lit(0.0))
-    out = out.withColumn("consensus", F.coalesce(share, F.lit(0.0)))
-    lead = 2 * F.col("consensus") - 1
-    verdict = F.when(F.col("vetoed"), "rejected-veto").when((F.col("consensus") >= accept) & (lead >= margin), "accepted").when((1 - F.col("consensus") >= accept) & (-lead >= margin), "rejected").otherwise("undecided")
-    return out.withColumns({"verdict": verdict, "dissent": (F.col("support") > 0) & (F.col("oppose") > 0)})
+    known = F.create_map(*[F.lit(x) for pair in RELIABILITY.items() for x in pair])
+    trust = clamp(F.coalesce("weight", F.try_element_at(known, F.col("agent")), F.lit(OTHER_AGENT)), 0.0, 1.0)
+    weighted = origins_of(claims.join(reliability, "agent", "left")).withColumn("w", clamp(F.coalesce("confidence", F.lit(0.0)), 0.0, 1.0) * trust / F.size("_origins"))
+    group = ["topic", "proposition"]
+    by_origin = weighted.select(*group, "stance", "w", F.explode("_origins").alias("origin")).groupBy(*group, "stance", "origin").agg(F.max("w").alias("w"))
+    opposes = F.col("stance") == "oppose"
+    score = by_origin.groupBy(*group).agg(F.sum(F.when(~opposes, F.col("w")).otherwise(0.0)).alias("support"), F.sum(F.when(opposes, F.col("w")).otherwise(0.0)).alias("oppose"), F.count_if(~opposes & ~F.col("origin").startswith("claim ")).alias("origins"))
+    told = claims.groupBy(*group).agg(F.bool_or(F.coalesce("hard_veto", F.lit(False)) & opposes).alias("vetoed"), F.count("*").alias("claims"), F.bool_or(opposes).alias("dissent"))
+    lead = F.col("support") - F.col("oppose")
+    verdict = F.when(F.col("vetoed"), "rejected").when((F.col("support") >= accept) & (lead >= margin), "accepted").when((F.col("oppose") >= accept) & (-lead >= margin), "rejected").otherwise("undecided")
+    return score.join(told, group).withColumns({"confidence": clamp(F.col("support") / (F.col("support") + F.col("oppose") + 1e-9), 0.0, 1.0), "verdict": verdict})
 
 
 def leave_one_origin_out(claims: DataFrame, reliability: DataFrame) -> DataFrame:
-    """How many verdicts flip when one origin's claims are taken away.
+    """How many verdicts of a topic flip, and by how much confidences move, when one origin's claims are taken away.
 
-    Each claim is repeated once for every other origin of its own topic only, so rows grow with a topic's origins.
+    Each claim is repeated once for every other origin of its own topic only, so rows grow with a topic's origins. A
+    proposition that loses all its claims is absent, with confidence 0.
     """
-    origins = claims.select("topic", F.explode("origins").alias("left_out")).distinct()
-    rest = claims.join(origins, "topic").filter(~F.array_contains("origins", F.col("left_out")))
+    told = origins_of(claims)
+    origins = told.select("topic", F.explode("_origins").alias("left_out")).distinct()
+    rest = told.join(origins, "topic").filter(~F.array_contains("_origins", F.col("left_out"))).drop("_origins")
     again = negotiate(rest.withColumn("topic", F.concat_ws("\t", "topic", "left_out")), reliability).withColumns({"left_out": F.substring_index("topic", "\t", -1), "topic": F.substring_index("topic", "\t", 1)})
-    base = negotiate(claims, reliability).select("topic", "proposition", F.col("verdict").alias("base_verdict"), F.col("consensus").alias("base_consensus"))
-    every = base.join(origins, "topic").join(again.select("topic", "proposition", "left_out", "verdict", "consensus"), ["topic", "proposition", "left_out"], "left")
-    changed = F.coalesce(F.col("verdict"), F.lit("no-claims")) != F.col("base_verdict")
-    return every.groupBy("topic", "left_out").agg(F.count_if(changed).alias("flips"), F.max(F.abs(F.coalesce("consensus", F.lit(0.0)) - F.col("base_consensus"))).alias("max_change"))
+    base = negotiate(claims, reliability).select("topic", "proposition", F.col("verdict").alias("base_verdict"), F.col("confidence").alias("base_confidence"))
+    every = base.join(origins, "topic").join(again.select("topic", "proposition", "left_out", "verdict", "confidence"), ["topic", "proposition", "left_out"], "left")
+    changed = F.coalesce(F.col("verdict"), F.lit("absent")) != F.col("base_verdict")
+    change = F.abs(F.coalesce("confidence", F.lit(0.0)) - F.col("base_confidence"))
+    return every.groupBy("topic", "left_out").agg(F.count_if(changed).alias("flips"), F.sum(change).alias("total_change"), F.max(change).alias("max_change"))
 
 
 def beta_posterior(rows: DataFrame, priors: DataFrame, key: str = "agent") -> DataFrame:
@@ -119,23 +192,53 @@ def pareto_front(rows: DataFrame, utility: str, cost: str, row_id: str) -> DataF
 
 def prediction_set(scores: DataFrame, key: str, candidate: str, score: str, calibration: Sequence[float], alpha: float = 0.1) -> DataFrame:
     """Split-conformal set of each key: candidates whose nonconformity 1 - score is within the calibrated quantile."""
-    import math
-
     ordered = sorted(calibration)
     q = ordered[min(len(ordered) - 1, max(0, math.ceil((len(ordered) + 1) * (1 - alpha)) - 1))]
     kept = scores.filter(1 - F.col(score) <= q + 1e-12)
     return kept.groupBy(key).agg(F.count("*").alias("set_size"), F.max_by(candidate, F.struct(score, candidate)).alias("top"))
 
 
-def contradiction_origins(claims: DataFrame) -> DataFrame:
-    """Origins whose removal alone leaves no group of a topic with both stances: cut-sets of size one."""
-    stance = claims.select("topic", "proposition", "stance", F.explode("origins").alias("origin"), F.size("origins").alias("n"), "claim_id")
+CUTS = "status string, groups int, cut_size int, cut array<string>"
+
+
+def cut_sets(claims: DataFrame, most: int = 3, sets: int = 20) -> DataFrame:
+    """The smallest sets of origins, `most` at most, whose removal leaves no group of a topic with both stances.
+
+    A claim falls with any of its origins. One row for each set (the first `sets` in order), or one without a set where
+    none is small enough. Only groups with both stances leave the shuffle; a topic's are searched by branching: some
+    side of the first open group must fall, so some origin of one of its claims must be in the set.
+    """
+    told = origins_of(claims)
     group = ["topic", "proposition"]
-    both = claims.groupBy(*group).agg(F.count_if(F.col("stance") == "support").alias("s"), F.count_if(F.col("stance") == "oppose").alias("o")).filter("s > 0 and o > 0")
-    own = stance.join(both, group).groupBy(*group, "s", "o", "origin").agg(F.count_distinct(F.when(F.col("stance") == "support", F.col("claim_id"))).alias("ks"), F.count_distinct(F.when(F.col("stance") == "oppose", F.col("claim_id"))).alias("ko"))
-    resolves = own.filter("ks = s or ko = o").groupBy("topic", "origin").agg(F.count("*").alias("resolved"))
-    total = both.groupBy("topic").agg(F.count("*").alias("groups"))
-    return resolves.join(total, "topic").withColumn("cuts_all", F.col("resolved") == F.col("groups"))
+    both = claims.groupBy(*group).agg(F.bool_or(F.col("stance") == "oppose").alias("o"), F.bool_or(F.col("stance") != "oppose").alias("s")).filter("o and s").select(*group)
+    open_ = told.join(both, group).select(*group, (F.col("stance") == "oppose").alias("against"), F.array_sort("_origins").alias("origins")).distinct()
+
+    def search(table: pa.Table) -> pa.Table:
+        groups: dict[str, tuple[list, list]] = {}
+        for p, against, origins in zip(*[table[c].to_pylist() for c in ("proposition", "against", "origins")]):
+            groups.setdefault(p, ([], []))[against].append(frozenset(origins))
+        found: set[frozenset] = set()
+
+        def branch(cut: frozenset, left: int) -> None:
+            for sides in groups.values():
+                alive = [[c for c in side if not c & cut] for side in sides]
+                if alive[0] and alive[1]:
+                    if left:
+                        for side in alive:
+                            for o in min(side, key=len):  # some claim of this side must fall if the side does
+                                branch(cut | {o}, left - 1)
+                    return
+            found.add(cut)
+
+        size = 0
+        while not found and size < most:
+            size += 1
+            branch(frozenset(), size)
+        cuts = sorted(sorted(c) for c in found if len(c) == size)[:sets]
+        n, topic = len(cuts) or 1, table["topic"][0].as_py()
+        return pa.table([pa.array([topic] * n), pa.array(["computed" if cuts else "cutset-exceeds-search-limit"] * n), pa.array([len(groups)] * n, pa.int32()), pa.array([size if cuts else None] * n, pa.int32()), pa.array(cuts or [None], pa.list_(pa.string()))], names=["topic", *[c.split()[0] for c in CUTS.split(", ")]])
+
+    return open_.groupBy("topic").applyInArrow(search, f"topic {dict(claims.dtypes)['topic']}, " + CUTS)
 
 
 def buckets(rows: DataFrame, p: Column, correct: Column, bins: int = 5) -> DataFrame:

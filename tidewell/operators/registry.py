@@ -22,8 +22,9 @@ def merge(parts: Sequence[DataFrame], key: str, columns: Sequence[str]) -> DataF
 def with_fallback(rows: DataFrame, registry: DataFrame, key: str, default: str) -> DataFrame:
     """Each row's registry entry, or the default entry's where its own is missing or unknown."""
     names = [c for c in registry.columns if c != key]
-    fallback = registry.filter(F.col(key) == default).select(*[F.col(c).alias(f"_{c}") for c in names])
-    out = rows.join(registry, key, "left").crossJoin(F.broadcast(fallback.limit(1)))  # one row
+    first = registry.groupBy(key).agg(F.min(F.struct(*names)).alias("_r")).select(key, "_r.*")  # an id that stands twice gives its first entry
+    fallback = first.filter(F.col(key) == default).select(F.lit(1).alias("_one"), *[F.col(c).alias(f"_{c}") for c in names])
+    out = rows.join(first, key, "left").withColumn("_one", F.lit(1)).join(fallback, "_one", "left")  # one row at most; without it rows stay
     return out.select(*rows.columns, *[F.coalesce(c, f"_{c}").alias(c) for c in names])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,25 @@ def to_ring(ring: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(1), n), segment))
 
 
+def to_boundary(rings: Column, x: Column, y: Column) -> Column:
+    """Metres from a point to the nearest segment of any ring, holes among them."""
+    return F.array_min(F.transform(rings, lambda ring: to_ring(ring, x, y)))
+
+
+def ambiguity(points: DataFrame, polygons: DataFrame, point_id: str, edge: float = 75.0) -> DataFrame:
+    """For each point the polygons that it lies in, whether it lies in none or several, and whether a boundary of theirs is within `edge` metres."""
+    hit = point_polygon_join(points, polygons).select(point_id, to_boundary(F.col("rings"), F.col("lon"), F.col("lat")).alias("_m"))
+    near = hit.groupBy(point_id).agg(F.count("*").alias("polygons"), F.min("_m").alias("_m"))
+    out = points.select(point_id).join(near, point_id, "left").withColumn("polygons", F.coalesce("polygons", F.lit(0).cast("long")))
+    return out.select(point_id, "polygons", (F.col("polygons") > 1).alias("overlap"), (F.col("polygons") == 0).alias("gap"), F.coalesce(F.col("_m") <= edge, F.lit(False)).alias("near_boundary"), F.round("_m", 1).alias("min_boundary_distance_m"))
+
+
+def centroid(ring: Column) -> Column:
+    """The mean of a ring's vertices."""
+    mean = lambda i: F.aggregate(ring, F.lit(0.0), lambda a, p: a + p[i]) / F.size(ring)
+    return F.struct(mean(0).alias("lon"), mean(1).alias("lat"))
+
+
 def cell(x: Column, y: Column, size: float) -> list[Column]:
     return [F.floor(x / size).alias("cell_x"), F.floor(y / size).alias("cell_y")]
 
@@ -67,11 +88,23 @@ def point_polygon_join(points: DataFrame, polygons: DataFrame, size: float = 0.1
 
 
 def nearest(centres: DataFrame, sites: DataFrame, radius_miles: float, k: int, centre_id: str, site_id: str) -> DataFrame:
-    """The k nearest sites within the radius of each centre; sites meet centres by grid cells of the radius' size."""
-    size = radius_miles / 69.0 * 1.3
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    c = centres.withColumn("_d", around).withColumns({"cell_x": F.floor(F.col("lon") / size) + F.col("_d.i"), "cell_y": F.floor(F.col("lat") / size) + F.col("_d.j")}).drop("_d")
-    s = sites.select(F.col(site_id), F.col("lon").alias("site_lon"), F.col("lat").alias("site_lat"), *cell(F.col("lon"), F.col("lat"), size))
+    """The k nearest sites within the radius of each centre, at any latitude and over the date line.
+
+    Cells are rows of the radius' height; a row is cut into equal cells, as wide as the radius reaches in longitude at
+    the highest latitude of the row and its neighbours. A site stands in its cell, a centre in the three cells around it
+    in each of three rows.
+    """
+    angle = math.degrees(radius_miles / MILES)
+    row = lambda lat: F.floor((lat + 90) / angle)
+    # the highest latitude from the row below to the row above, and how far the radius reaches there in longitude
+    high = lambda r: F.least(F.lit(90.0), F.greatest(F.abs((r - 1) * angle - 90), F.abs((r + 2) * angle - 90)))
+    reach = lambda r: F.when(high(r) + angle >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(angle)) / F.cos(F.radians(high(r)))))))
+    cells = lambda r: F.greatest(F.lit(1), F.floor(360 / (reach(r) * (1 + 1e-9)))).cast("long")
+    column = lambda lon, r: F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * cells(r)), cells(r))
+    c = centres.withColumn("cell_y", F.explode(F.array(*[row(F.col("lat")) + i for i in (-1, 0, 1)])))
+    around = F.array_distinct(F.array(*[F.pmod(column(F.col("lon"), F.col("cell_y")) + i, cells(F.col("cell_y"))) for i in (-1, 0, 1)]))
+    c = c.withColumn("cell_x", F.explode(around))
+    s = sites.filter("lon is not null and lat is not null").withColumn("cell_y", row(F.col("lat"))).select(F.col(site_id), F.col("lon").alias("site_lon"), F.col("lat").alias("site_lat"), column(F.col("lon"), F.col("cell_y")).alias("cell_x"), "cell_y")
     near = c.join(s, ["cell_x", "cell_y"]).withColumn("miles", haversine(F.col("lon"), F.col("lat"), F.col("site_lon"), F.col("site_lat"))).filter(F.col("miles") <= radius_miles)
     w = Window.partitionBy(centre_id).orderBy("miles", site_id)
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(centre_id, site_id, "miles", "rank")

@@ -16,15 +16,15 @@ def mann_kendall(rows: DataFrame, key: Sequence[str], order: Column, value: str)
 
     A series is a bounded group (its dates), so its pairs are compared inside one array, not by a self join.
     """
-    series = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(value).alias("v")))).alias("s"))
-    v = F.transform("s", lambda p: p["v"])
-    later = lambda i: F.aggregate(F.slice(v, i + 2, F.size(v)), F.lit(0.0), lambda acc, x: acc + F.signum(x - F.element_at(v, i + 1)))
-    s = F.aggregate(F.sequence(F.lit(0), F.size(v) - 1), F.lit(0.0), lambda acc, i: acc + later(i))
-    out = series.select(*key, F.size("s").alias("n"), s.alias("s_stat"))
+    listed = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(value).alias("v"))))
+    series = rows.filter(F.col(value).isNotNull()).groupBy(*key).agg(F.transform(listed, lambda p: p["v"]).alias("_v"))  # a column, so that it is made once
+    later = lambda x, i: F.aggregate(F.slice("_v", i + 2, F.size("_v")), F.lit(0.0), lambda acc, y: acc + F.signum(y - x))
+    s = F.aggregate(F.transform("_v", later), F.lit(0.0), lambda acc, x: acc + x)
+    out = series.select(*key, F.size("_v").alias("n"), s.alias("s_stat"))
     var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18
-    z = F.when(F.col("s_stat") > 0, F.col("s_stat") - 1).when(F.col("s_stat") < 0, F.col("s_stat") + 1).otherwise(0.0) / F.sqrt(F.nullif(F.col("variance"), F.lit(0)))
+    z = F.when(F.col("variance") == 0, 0.0).when(F.col("s_stat") > 0, (F.col("s_stat") - 1) / F.sqrt("variance")).when(F.col("s_stat") < 0, (F.col("s_stat") + 1) / F.sqrt("variance")).otherwise(0.0)
     out = out.withColumn("variance", var).withColumn("z", z)
-    return out.withColumn("direction", F.when(F.col("z") > 1.96, "increasing").when(F.col("z") < -1.96, "decreasing").otherwise("no-trend"))
+    return out.withColumn("direction", F.when(F.col("z") > 0, "increasing").when(F.col("z") < 0, "decreasing").otherwise("no-monotonic-direction"))
 
 
 def benjamini_hochberg(rows: DataFrame, row_id: str, p: str) -> DataFrame:

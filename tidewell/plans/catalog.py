@@ -147,10 +147,10 @@ def _(v):
 
 @query(
     "fn37_freshness",
-    "SELECT pwsid, round(max(pow(0.5, greatest(datediff('day', sample_date, DATE '2002-01-01'), 0) / 365.0)), 6) AS freshness FROM tb_samples GROUP BY pwsid",
+    "SELECT pwsid, round(max(CASE WHEN sample_date <= DATE '1997-01-01' THEN pow(0.5, datediff('day', sample_date, DATE '1997-01-01') / 365.0) ELSE 0 END), 6) AS freshness FROM tb_samples GROUP BY pwsid",
 )
 def _(v):
-    return v("tb_samples").groupBy("pwsid").agg(F.round(F.max(S.freshness(F.datediff(F.lit("2002-01-01").cast("date"), "sample_date"), 365.0)), 6).alias("freshness"))
+    return v("tb_samples").groupBy("pwsid").agg(F.round(F.max(S.freshness(F.datediff(F.lit("1997-01-01").cast("date"), "sample_date"), 365.0)), 6).alias("freshness"))
 
 
 @query(
@@ -362,17 +362,16 @@ def _(v):
 
 @query(
     "jn13_corroborate",
-    f"""WITH m AS (SELECT DISTINCT rid, {KEY}, publisher, CASE WHEN value > 0 THEN ln(value) END AS lv FROM {MEASURED}),
-    g AS (SELECT *, CASE WHEN lv - lag(lv) OVER (PARTITION BY {KEY} ORDER BY lv NULLS FIRST) <= -ln(0.98) + 1e-12 THEN 0 ELSE 1 END AS st FROM m),
-    b AS (SELECT *, sum(st) OVER (PARTITION BY {KEY} ORDER BY lv NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS band FROM g),
-    s AS (SELECT {KEY}, band, count(*) AS agreeing, count(DISTINCT publisher) AS origins FROM b WHERE lv IS NOT NULL GROUP BY {KEY}, band)
-    SELECT b.rid, coalesce(CASE WHEN b.lv IS NOT NULL THEN s.agreeing END, 1) AS agreeing, coalesce(CASE WHEN b.lv IS NOT NULL THEN s.origins END, 1) AS origins,
-    CASE WHEN coalesce(CASE WHEN b.lv IS NOT NULL THEN s.origins END, 1) > 1 THEN 'independently-corroborated' WHEN coalesce(CASE WHEN b.lv IS NOT NULL THEN s.agreeing END, 1) > 1 THEN 'replicated-same-origin' ELSE 'single-origin-sample' END AS factual_status
-    FROM b LEFT JOIN s ON b.pwsid = s.pwsid AND b.analyte = s.analyte AND b.location_code = s.location_code AND b.band = s.band""",
+    f"""WITH m AS (SELECT DISTINCT rid, {KEY}, publisher, source_id, result, TRY_CAST(nullif(regexp_extract(result, '[-+]?[0-9]*\\.?[0-9]+'), '') AS DOUBLE) AS x FROM tb_samples),
+    p AS (SELECT a.rid, b.publisher <> a.publisher AS other, b.publisher AS origin, b.publisher = a.publisher AND b.source_id <> a.source_id AS replica
+      FROM m a JOIN m b ON a.pwsid = b.pwsid AND a.analyte = b.analyte AND a.location_code = b.location_code AND a.rid <> b.rid
+      AND CASE WHEN a.x IS NULL OR b.x IS NULL THEN upper(a.result) = upper(b.result) ELSE abs(a.x - b.x) <= 0.02 * greatest(abs(a.x), abs(b.x), 1e-12) + 1e-9 END),
+    n AS (SELECT rid, count(DISTINCT CASE WHEN other THEN origin END) AS others, count(CASE WHEN replica THEN 1 END) AS replicas FROM p GROUP BY 1)
+    SELECT m.rid, CAST(1 + coalesce(others, 0) AS BIGINT) AS independent_origins, coalesce(replicas, 0) AS publisher_replicas, CASE WHEN others > 0 THEN 'confirmed-independent-sample' ELSE 'single-origin-sample' END AS factual_status FROM m LEFT JOIN n ON m.rid = n.rid""",
 )
 def _(v):
-    rows = measured(v).select("rid", "pwsid", "analyte", "location_code", "publisher", "value").distinct()
-    return evidence.corroborate(rows, ["pwsid", "analyte", "location_code"], "rid", "value", "publisher")
+    rows = v("tb_samples").select("rid", "pwsid", "analyte", "location_code", "publisher", "source_id", "result").distinct()
+    return evidence.corroborate(rows, ["pwsid", "analyte", "location_code"], "rid", "result", "publisher", "source_id")
 
 
 @query(
@@ -402,13 +401,17 @@ LATEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pwsid, anal
 
 @query(
     "jn24_peer_percentile",
-    f"""SELECT pwsid, analyte, n - 1 AS peers, round((below + 0.5 * (same - 1)) / (n - 1), 6) AS percentile,
-        CASE WHEN n - 1 < 5 THEN 'too-few-peers' WHEN (below + 0.5 * (same - 1)) / (n - 1) >= 0.9 THEN 'highest' WHEN (below + 0.5 * (same - 1)) / (n - 1) >= 0.75 THEN 'high' WHEN (below + 0.5 * (same - 1)) / (n - 1) <= 0.1 THEN 'lowest' WHEN (below + 0.5 * (same - 1)) / (n - 1) <= 0.25 THEN 'low' ELSE 'typical' END AS band
-        FROM (SELECT pwsid, analyte, count(*) OVER (PARTITION BY analyte) AS n, rank() OVER (PARTITION BY analyte ORDER BY value) - 1 AS below, count(*) OVER (PARTITION BY analyte, value) AS same FROM {LATEST})""",
+    f"""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pwsid, analyte ORDER BY sample_date DESC, rid) AS k FROM {MEASURED}) WHERE k = 1),
+    p AS (SELECT a.pwsid, a.analyte, count(b.value) AS n, sum(CASE WHEN b.value < a.value THEN 1.0 WHEN b.value = a.value THEN 0.5 ELSE 0 END) / nullif(count(b.value), 0) AS share, median(b.value) AS md, min(b.value) AS lo, max(b.value) AS hi
+      FROM t a LEFT JOIN t b ON a.analyte = b.analyte AND a.pwsid <> b.pwsid AND NOT b.censored AND abs(datediff('day', a.sample_date, b.sample_date)) <= 366 WHERE NOT a.censored GROUP BY 1, 2)
+    SELECT t.pwsid, t.analyte, CASE WHEN censored THEN 'current-result-censored' WHEN n < 5 THEN 'insufficient-peer-coverage' ELSE 'comparable' END AS status, coalesce(n, 0) AS peer_count, CASE WHEN n >= 5 THEN round(share, 4) END AS percentile,
+      CASE WHEN n < 5 THEN NULL WHEN share >= 0.9 THEN 'upper-decile' WHEN share >= 0.75 THEN 'upper-quartile' WHEN share <= 0.1 THEN 'lower-decile' WHEN share <= 0.25 THEN 'lower-quartile' WHEN n >= 5 THEN 'middle-half' END AS band,
+      CASE WHEN n >= 5 THEN round(md, 4) END AS peer_median, CASE WHEN n >= 5 THEN round(lo, 4) END AS peer_min, CASE WHEN n >= 5 THEN round(hi, 4) END AS peer_max FROM t LEFT JOIN p ON t.pwsid = p.pwsid AND t.analyte = p.analyte""",
 )
 def _(v):
-    rows = versions.latest(measured(v).filter("not censored"), ["pwsid", "analyte"], [F.col("sample_date").desc(), F.col("rid")])
-    return evidence.peer_percentile(rows, "analyte", "value").select("pwsid", "analyte", "peers", r("percentile", 6), "band")
+    rows = versions.latest(measured(v), ["pwsid", "analyte"], [F.col("sample_date").desc(), F.col("rid")])
+    out = evidence.peer_percentile(rows, "pwsid", "analyte", "contaminant_group", "value", "censored", "sample_date")
+    return out.select("pwsid", "analyte", "status", "peer_count", r("percentile"), "band", r("peer_median"), r("peer_min"), r("peer_max"))
 
 
 @query("st04_keep_first", "SELECT violation_id FROM (SELECT violation_id, row_number() OVER (PARTITION BY pwsid, lower(category) ORDER BY begin_date, violation_id) AS k FROM tb_violations) WHERE k = 1")
@@ -464,11 +467,28 @@ def _(v):
 
 @query(
     "ag09_confirmed",
-    f"""WITH h AS (SELECT DISTINCT pwsid, analyte, sample_date FROM {MEASURED} WHERE analyte = 'NITRATE' AND value > 10000), w AS (SELECT *, lag(sample_date) OVER (PARTITION BY pwsid, analyte ORDER BY sample_date) AS before FROM h)
-    SELECT pwsid, analyte, CAST(max(sample_date) AS STRING) AS latest, count(*) AS days_above, CASE WHEN datediff('day', arg_max(coalesce(before, DATE '1900-01-01'), sample_date), max(sample_date)) <= 30 THEN 'confirmed' ELSE 'unconfirmed' END AS status FROM w GROUP BY 1, 2""",
+    f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY pwsid ORDER BY sample_date DESC, rid) AS k, max(sample_date) OVER (PARTITION BY pwsid) AS last FROM {MEASURED} WHERE analyte = 'NITRATE' AND value IS NOT NULL)
+    SELECT pwsid, analyte, CAST(max(last) AS STRING) AS latest, round(max(CASE WHEN k = 1 THEN value END), 4) AS value, bool_or(sample_date <> last AND datediff('day', sample_date, last) <= 30 AND value > 10000) AS confirmation_found,
+      CASE WHEN max(CASE WHEN k = 1 THEN value END) <= 10000 THEN 'below-mcl' WHEN bool_or(sample_date <> last AND datediff('day', sample_date, last) <= 30 AND value > 10000) THEN 'confirmed-exceedance' ELSE 'confirmation-required' END AS status FROM s GROUP BY 1, 2""",
 )
 def _(v):
-    return compliance.confirmed_exceedance(measured(v)).select("pwsid", "analyte", F.col("latest").cast("string").alias("latest"), "days_above", "status")
+    out = compliance.confirmed_exceedance(measured(v), [F.col("sample_date").desc(), F.col("rid")])
+    return out.select("pwsid", "analyte", F.col("latest").cast("string").alias("latest"), r("value"), "confirmation_found", "status")
+
+
+@query(
+    "ag10_positives",
+    """SELECT pwsid, CASE WHEN revision % 2 = 0 THEN 'E. COLI' ELSE 'TOTAL COLIFORM' END AS analyte, count(CASE WHEN unit = 'mg/L' THEN 1 END) AS positive_count, count(*) AS records,
+       CASE WHEN count(CASE WHEN unit = 'mg/L' THEN 1 END) > 0 THEN 'assessment-or-condition-review-required' ELSE 'no-positive-records-in-input' END AS status FROM tb_samples WHERE analyte = 'ARSENIC' GROUP BY 1, 2""",
+)
+def _(v):
+    rows = v("tb_samples").filter("analyte = 'ARSENIC'").select("pwsid", F.when(F.col("revision") % 2 == 0, "E. COLI").otherwise("TOTAL COLIFORM").alias("analyte"), F.when(F.col("unit") == "mg/L", "Present").otherwise("absent").alias("result"))
+    return compliance.positives(rows, "result")
+
+
+@query("ag10_screening", f"SELECT pwsid, analyte, round(value, 4) AS value, 'screening-result-only' AS status FROM (SELECT *, row_number() OVER (PARTITION BY pwsid, analyte ORDER BY sample_date DESC, rid) AS k FROM {MEASURED} WHERE analyte = 'ARSENIC' AND value IS NOT NULL) WHERE k = 1")
+def _(v):
+    return compliance.screening(measured(v), [F.col("sample_date").desc(), F.col("rid")]).select("pwsid", "analyte", r("value"), "status")
 
 
 @query(
@@ -554,47 +574,53 @@ def _weights(v):
     return v("tb_claims").select("agent").distinct().withColumn("weight", 0.5 + 0.1 * F.substring("agent", 6, 1).cast("int"))
 
 
-VOTES = """WITH w AS (SELECT topic, proposition, stance, origin, max(confidence * (0.5 + 0.1 * CAST(substr(agent, 6, 1) AS INT))) AS w FROM tb_claims GROUP BY 1, 2, 3, 4),
-s AS (SELECT topic, proposition, sum(CASE WHEN stance = 'support' THEN w ELSE 0 END) AS support, sum(CASE WHEN stance = 'oppose' THEN w ELSE 0 END) AS oppose, count(DISTINCT origin) AS origins FROM w GROUP BY 1, 2),
-t AS (SELECT topic, proposition, bool_or(hard_veto AND stance = 'oppose') AS vetoed, count(*) AS claims FROM tb_claims GROUP BY 1, 2),
-u AS (SELECT s.*, t.vetoed, t.claims, support / (support + oppose) AS consensus FROM s JOIN t ON s.topic = t.topic AND s.proposition = t.proposition)
-"""
+TRUST = "(0.5 + 0.1 * CAST(substr(agent, 6, 1) AS INT))"
+VERDICT = "CASE WHEN vetoed THEN 'rejected' WHEN support >= 0.62 AND support - oppose >= 0.12 THEN 'accepted' WHEN oppose >= 0.62 AND oppose - support >= 0.12 THEN 'rejected' ELSE 'undecided' END"
 
 
 @query(
     "ag24_negotiate",
-    VOTES + """SELECT topic, proposition, round(support, 7) AS support, round(oppose, 7) AS oppose, origins, claims, round(consensus, 6) AS consensus,
-    CASE WHEN vetoed THEN 'rejected-veto' WHEN consensus >= 0.62 AND 2 * consensus - 1 >= 0.12 THEN 'accepted' WHEN 1 - consensus >= 0.62 THEN 'rejected' ELSE 'undecided' END AS verdict, support > 0 AND oppose > 0 AS dissent FROM u""",
+    f"""WITH c AS (SELECT *, CASE WHEN claim_id % 13 = 0 THEN concat('claim ', CAST(claim_id AS STRING)) ELSE origin END AS o FROM tb_claims),
+    w AS (SELECT topic, proposition, stance, o, max(confidence * CASE WHEN agent = 'agent4' THEN 0.8 ELSE {TRUST} END) AS w FROM c GROUP BY 1, 2, 3, 4),
+    s AS (SELECT topic, proposition, sum(CASE WHEN stance = 'support' THEN w ELSE 0 END) AS support, sum(CASE WHEN stance = 'oppose' THEN w ELSE 0 END) AS oppose, count(CASE WHEN stance = 'support' AND o NOT LIKE 'claim %' THEN 1 END) AS origins FROM w GROUP BY 1, 2),
+    t AS (SELECT topic, proposition, bool_or(hard_veto AND stance = 'oppose') AS vetoed, count(*) AS claims, bool_or(stance = 'oppose') AS dissent FROM c GROUP BY 1, 2)
+    SELECT s.topic, s.proposition, round(support, 6) AS support, round(oppose, 6) AS oppose, origins, claims, dissent, vetoed, round(support / (support + oppose + 1e-9), 6) AS confidence, {VERDICT} AS verdict FROM s JOIN t ON s.topic = t.topic AND s.proposition = t.proposition""",
 )
 def _(v):
-    return evidence.negotiate(_claims(v), _weights(v)).select("topic", "proposition", r("support", 7), r("oppose", 7), "origins", "claims", r("consensus", 6), "verdict", "dissent")
+    claims = v("tb_claims").withColumn("origins", F.when(F.col("claim_id") % 13 != 0, F.array("origin")))
+    return evidence.negotiate(claims, _weights(v).filter("agent <> 'agent4'")).select("topic", "proposition", r("support", 6), r("oppose", 6), "origins", "claims", "dissent", "vetoed", r("confidence", 6), "verdict")
 
 
 @query(
     "gr05_leave_one_out",
-    """WITH c AS (SELECT *, confidence * (0.5 + 0.1 * CAST(substr(agent, 6, 1) AS INT)) AS cw FROM tb_claims),
-    o AS (SELECT DISTINCT topic, origin AS left_out FROM c),
+    f"""WITH c AS (SELECT *, confidence * {TRUST} AS cw FROM tb_claims), o AS (SELECT DISTINCT topic, origin AS left_out FROM c),
     x AS (SELECT c.topic, proposition, NULL AS left_out, stance, origin, cw, hard_veto FROM c UNION ALL SELECT c.topic, proposition, o.left_out, stance, origin, cw, hard_veto FROM c JOIN o ON c.topic = o.topic AND c.origin <> o.left_out),
     w AS (SELECT topic, proposition, left_out, stance, origin, max(cw) AS w FROM x GROUP BY ALL),
-    s AS (SELECT topic, proposition, left_out, sum(CASE WHEN stance = 'support' THEN w ELSE 0 END) / sum(w) AS consensus FROM w GROUP BY ALL),
+    s AS (SELECT topic, proposition, left_out, sum(CASE WHEN stance = 'support' THEN w ELSE 0 END) AS support, sum(CASE WHEN stance = 'oppose' THEN w ELSE 0 END) AS oppose FROM w GROUP BY ALL),
     t AS (SELECT topic, proposition, left_out, bool_or(hard_veto AND stance = 'oppose') AS vetoed FROM x GROUP BY ALL),
-    u AS (SELECT s.*, CASE WHEN t.vetoed THEN 'rejected-veto' WHEN consensus >= 0.62 THEN 'accepted' WHEN 1 - consensus >= 0.62 THEN 'rejected' ELSE 'undecided' END AS verdict FROM s JOIN t ON s.topic = t.topic AND s.proposition = t.proposition AND s.left_out IS NOT DISTINCT FROM t.left_out),
+    u AS (SELECT s.topic, s.proposition, s.left_out, support / (support + oppose + 1e-9) AS confidence, {VERDICT} AS verdict FROM s JOIN t ON s.topic = t.topic AND s.proposition = t.proposition AND s.left_out IS NOT DISTINCT FROM t.left_out),
     b AS (SELECT * FROM u WHERE left_out IS NULL)
-    SELECT b.topic, o.left_out, count(CASE WHEN coalesce(u.verdict, 'no-claims') <> b.verdict THEN 1 END) AS flips, round(max(abs(coalesce(u.consensus, 0) - b.consensus)), 6) AS max_change
+    SELECT b.topic, o.left_out, count(CASE WHEN coalesce(u.verdict, 'absent') <> b.verdict THEN 1 END) AS flips, round(sum(abs(coalesce(u.confidence, 0) - b.confidence)), 6) AS total_change, round(max(abs(coalesce(u.confidence, 0) - b.confidence)), 6) AS max_change
     FROM b JOIN o ON b.topic = o.topic LEFT JOIN u ON u.topic = b.topic AND u.proposition = b.proposition AND u.left_out = o.left_out GROUP BY 1, 2""",
 )
 def _(v):
-    return evidence.leave_one_origin_out(_claims(v), _weights(v)).select("topic", "left_out", "flips", r("max_change", 6))
+    return evidence.leave_one_origin_out(_claims(v), _weights(v)).select("topic", "left_out", "flips", r("total_change", 6), r("max_change", 6))
 
 
 @query(
     "gr04_cut_sets",
-    """WITH g AS (SELECT topic, proposition, count(CASE WHEN stance = 'support' THEN 1 END) AS s, count(CASE WHEN stance = 'oppose' THEN 1 END) AS o FROM tb_subject_claims GROUP BY 1, 2),
-    k AS (SELECT c.topic, c.proposition, c.origin, g.s, g.o, count(CASE WHEN stance = 'support' THEN 1 END) AS ks, count(CASE WHEN stance = 'oppose' THEN 1 END) AS ko FROM tb_subject_claims c JOIN g ON c.topic = g.topic AND c.proposition = g.proposition WHERE g.s > 0 AND g.o > 0 GROUP BY ALL)
-    SELECT k.topic, k.origin, count(*) AS resolved, n.groups, count(*) = n.groups AS cuts_all FROM k JOIN (SELECT topic, count(*) AS groups FROM g WHERE s > 0 AND o > 0 GROUP BY topic) n ON k.topic = n.topic WHERE ks = s OR ko = o GROUP BY k.topic, k.origin, n.groups""",
+    """WITH c AS (SELECT concat('T', CAST(user_id AS STRING)) AS topic, event_type AS proposition, event_id % 3 = 0 AS against, concat('O', CAST(event_id % 7 AS STRING)) AS o FROM events),
+    g AS (SELECT topic, proposition FROM c GROUP BY 1, 2 HAVING bool_or(against) AND bool_or(NOT against)), k AS (SELECT DISTINCT c.* FROM c JOIN g ON c.topic = g.topic AND c.proposition = g.proposition),
+    n AS (SELECT DISTINCT topic, o FROM k), ng AS (SELECT topic, count(*) AS groups FROM g GROUP BY 1),
+    s AS (SELECT topic, [o] AS cut FROM n UNION ALL SELECT a.topic, [a.o, b.o] FROM n a JOIN n b ON a.topic = b.topic AND a.o < b.o UNION ALL SELECT a.topic, [a.o, b.o, d.o] FROM n a JOIN n b ON a.topic = b.topic AND a.o < b.o JOIN n d ON a.topic = d.topic AND b.o < d.o),
+    left_ AS (SELECT s.topic, s.cut, k.proposition, bool_or(k.against) AND bool_or(NOT k.against) AS still FROM s JOIN k ON s.topic = k.topic AND NOT list_contains(s.cut, k.o) GROUP BY 1, 2, 3),
+    ok AS (SELECT s.topic, s.cut FROM s LEFT JOIN left_ l ON s.topic = l.topic AND s.cut = l.cut GROUP BY 1, 2 HAVING NOT coalesce(bool_or(l.still), false)),
+    m AS (SELECT *, len(cut) AS size, min(len(cut)) OVER (PARTITION BY topic) AS least, row_number() OVER (PARTITION BY topic, len(cut) ORDER BY cut) AS i FROM ok)
+    SELECT ng.topic, CASE WHEN m.cut IS NULL THEN 'cutset-exceeds-search-limit' ELSE 'computed' END AS status, CAST(groups AS INT) AS groups, CAST(size AS INT) AS cut_size, array_to_string(cut, ' ') AS cut FROM ng LEFT JOIN m ON ng.topic = m.topic AND size = least AND i <= 20""",
 )
 def _(v):
-    return evidence.contradiction_origins(v("tb_subject_claims").withColumn("origins", F.array("origin")))
+    claims = v("events").select(F.col("event_id").alias("claim_id"), F.concat(F.lit("T"), "user_id").alias("topic"), F.col("event_type").alias("proposition"), F.when(F.col("event_id") % 3 == 0, "oppose").otherwise("support").alias("stance"), F.array(F.concat(F.lit("O"), F.col("event_id") % 7)).alias("origins"))
+    return evidence.cut_sets(claims).withColumn("cut", F.array_join("cut", " "))
 
 
 @query(
@@ -624,8 +650,8 @@ def _daily(v):
     "sa01_mann_kendall",
     f"""WITH d AS {DAILY}, s AS (SELECT a.station_id, CAST(sum(sign(b.x - a.x)) AS DOUBLE) AS s_stat FROM d a JOIN d b ON a.station_id = b.station_id AND a.result_date < b.result_date GROUP BY 1),
     n AS (SELECT station_id, count(*) AS n FROM d GROUP BY 1), z AS (SELECT n.station_id, CAST(n AS INT) AS n, coalesce(s_stat, 0.0) AS s_stat, n * (n - 1) * (2 * n + 5) / 18.0 AS va FROM n LEFT JOIN s ON n.station_id = s.station_id)
-    SELECT station_id, n, s_stat, round(CASE WHEN va = 0 THEN NULL WHEN s_stat > 0 THEN (s_stat - 1) / sqrt(va) WHEN s_stat < 0 THEN (s_stat + 1) / sqrt(va) ELSE 0 END, 5) AS z,
-    CASE WHEN va > 0 AND s_stat > 0 AND (s_stat - 1) / sqrt(va) > 1.96 THEN 'increasing' WHEN va > 0 AND s_stat < 0 AND (s_stat + 1) / sqrt(va) < -1.96 THEN 'decreasing' ELSE 'no-trend' END AS direction FROM z""",
+    SELECT station_id, n, s_stat, round(CASE WHEN va = 0 THEN 0 WHEN s_stat > 0 THEN (s_stat - 1) / sqrt(va) WHEN s_stat < 0 THEN (s_stat + 1) / sqrt(va) ELSE 0 END, 5) AS z,
+    CASE WHEN va > 0 AND s_stat > 1 THEN 'increasing' WHEN va > 0 AND s_stat < -1 THEN 'decreasing' ELSE 'no-monotonic-direction' END AS direction FROM z""",
 )
 def _(v):
     return stats.mann_kendall(_daily(v), ["station_id"], F.col("result_date"), "x").select("station_id", "n", "s_stat", r("z", 5), "direction")
@@ -709,24 +735,24 @@ def _(v):
     return spatial.point_polygon_join(v("tb_points"), _rings(v)).select("address_id", "feature_id")
 
 
-@query(
-    "sp02_boundary_distance",
-    f"""SELECT p.address_id, g.feature_id, round(least((p.lon - g.x0) * 111320.0 * cos(radians(p.lat)), (g.x1 - p.lon) * 111320.0 * cos(radians(p.lat)), (p.lat - g.y0) * 110540.0, (g.y1 - p.lat) * 110540.0), 4) AS metres
-        FROM tb_points p JOIN tb_polygons g ON {INSIDE}""",
-)
+SIDES = "least((p.lon - g.x0) * 111320.0 * cos(radians(p.lat)), (g.x1 - p.lon) * 111320.0 * cos(radians(p.lat)), (p.lat - g.y0) * 110540.0, (g.y1 - p.lat) * 110540.0)"
+# the square hole: distance to it along each axis, then as the crow flies
+HOLE_X, HOLE_Y = "greatest(abs(p.lon - (g.x0 + g.x1) / 2) - 0.0203, 0) * 111320.0 * cos(radians(p.lat))", "greatest(abs(p.lat - (g.y0 + g.y1) / 2) - 0.0203, 0) * 110540.0"
+BOUNDARY = f"least({SIDES}, CASE WHEN g.has_hole THEN sqrt(pow({HOLE_X}, 2) + pow({HOLE_Y}, 2)) ELSE 1e18 END)"
+
+
+@query("sp02_boundary_distance", f"SELECT p.address_id, g.feature_id, round({BOUNDARY}, 3) AS metres FROM tb_points p JOIN tb_polygons g ON {INSIDE}")
 def _(v):
     hit = spatial.point_polygon_join(v("tb_points"), _rings(v))
-    return hit.select("address_id", "feature_id", F.round(spatial.to_ring(F.element_at("rings", 1), F.col("lon"), F.col("lat")), 4).alias("metres"))
+    return hit.select("address_id", "feature_id", F.round(spatial.to_boundary(F.col("rings"), F.col("lon"), F.col("lat")), 3).alias("metres"))
 
 
 @query(
     "sp03_ambiguity",
-    f"""SELECT p.address_id, count(g.feature_id) AS polygons, CASE WHEN count(g.feature_id) = 0 THEN 'gap' WHEN count(g.feature_id) > 1 THEN 'overlap' ELSE 'single' END AS status FROM tb_points p LEFT JOIN tb_polygons g ON {INSIDE} GROUP BY 1""",
+    f"""SELECT address_id, n AS polygons, n > 1 AS overlap, n = 0 AS gap, coalesce(m <= 75, false) AS near_boundary, round(m, 1) AS min_boundary_distance_m FROM (SELECT p.address_id, count(g.feature_id) AS n, min(CASE WHEN g.feature_id IS NOT NULL THEN {BOUNDARY} END) AS m FROM tb_points p LEFT JOIN tb_polygons g ON {INSIDE} GROUP BY 1)""",
 )
 def _(v):
-    hit = spatial.point_polygon_join(v("tb_points"), _rings(v)).groupBy("address_id").agg(F.count("*").alias("polygons"))
-    out = v("tb_points").select("address_id").join(hit, "address_id", "left").select("address_id", F.coalesce("polygons", F.lit(0)).alias("polygons"))
-    return out.withColumn("status", F.when(F.col("polygons") == 0, "gap").when(F.col("polygons") > 1, "overlap").otherwise("single"))
+    return spatial.ambiguity(v("tb_points"), _rings(v), "address_id")
 
 
 @query("sp05_perturbation_stability")
@@ -750,12 +776,15 @@ def _(v):
 
 @query(
     "gr01_reachability",
-    """WITH RECURSIVE p AS (SELECT src AS origin, src AS node, 0 AS hops, CAST(1.0 AS DOUBLE) AS certainty FROM (SELECT DISTINCT src FROM tb_edges)
-    UNION ALL SELECT origin, dst, hops + 1, certainty * b FROM (SELECT p.origin, e.dst, p.hops, p.certainty, e.certainty AS b FROM p JOIN tb_edges e ON p.node = e.src WHERE p.hops < 4)),
-    m AS (SELECT origin, node, min(hops) AS hops FROM p GROUP BY 1, 2)
-    SELECT m.origin, m.node, m.hops, round(max(p.certainty), 6) AS certainty, max(p.certainty) >= 0.5 AS admissible FROM m JOIN p ON p.origin = m.origin AND p.node = m.node AND p.hops = m.hops GROUP BY 1, 2, 3""",
-)
-def _(v):
-    edges = v("tb_edges")
-    start = edges.select(F.col("src").alias("node")).distinct()
-    return reachable(edges, start, 4).select("origin", "node", "hops", r("certainty", 6), (F.col("certainty") >= 0.5).alias("admissible"))
+    """WITH RECURSIVE e AS (SELECT src, dst, certainty FROM tb_edges WHERE (src + dst) % 5 <> 0),
+    p AS (SELECT src AS origin, src AS node, 0 AS hops, CAST(1.0 AS DOUBLE) AS certainty, [src] AS path FROM (SELECT DISTINCT src FROM tb_edges WHERE src % 4 = 0)
+    UNION ALL SELECT origin, node, hops, certainty, path FROM (SELECT p.origin, e.dst AS node, p.hops + 1 AS hops, p.certainty * e.certainty AS certainty, list_append(p.path, e.dst) AS path, row_number() OVER (PARTITION BY p.origin, e.dst ORDER BY list_append(p.path, e.dst)) AS k FROM p JOIN e ON p.node = e.src) WHERE k = 1),
+    m AS (SELECT *, row_number() OVER (PARTITION BY origin, node ORDER BY hops, path) AS k FROM p)
+    SELECT origin, node, hops, round(certainty, 6) AS certainty, certainty >= 0.5 AS admissible FROM m WHERE k = 1""",
+)
+def _(v):
+    day = lambda d: F.lit(d).cast("date")
+    ended = (F.col("src") + F.col("dst")) % 5 == 0
+    edges = v("tb_edges").withColumns({"valid_from": F.when(F.col("src") % 2 == 0, day("1990-01-01")), "valid_to": F.when(ended, day("1995-01-01"))})
+    start = edges.filter("src % 4 = 0").select(F.col("src").alias("node")).distinct()
+    return reachable(edges, start, day("1995-01-01")).select("origin", "node", "hops", r("certainty", 6), "admissible")

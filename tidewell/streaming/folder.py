@@ -8,8 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where it has none (tests) a new local one."""
-    jsc = spark.sparkContext._jsc.sc()
+    """The session's checkpoint folder. Only a local master may do without one, with a new folder of its own; on a cluster
+    that would lose what other machines need."""
+    sc = spark.sparkContext
+    jsc = sc._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return jsc.getCheckpointDir().get()
