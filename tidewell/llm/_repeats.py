@@ -35,7 +35,7 @@ NULL_ID = -(1 << 63)
 #: Window keys are made for so many units at a time.
 STRIP = 400_000
 #: Segments of one key from which on its windows are looked at one by one.
-HOT = 64
+HOT = 1024
 
 
 @dataclass(frozen=True)
