@@ -222,3 +222,41 @@ def test_paths_are_the_first_found_and_dated(spark):
 def test_freshness_edges(spark):
     fresh = lambda age, life: value(spark, S.freshness(F.lit(age).cast("double"), F.lit(life).cast("double")))
     assert fresh(-1.0, 365.0) == 0 and fresh(None, 365.0) == 0 and fresh(100.0, math.inf) == 1 and fresh(1.0, 0.0) is None and fresh(1.0, None) is None
+
+
+def test_manifest_hash_is_of_the_set(spark):
+    rows = [("g", f"{i:064x}") for i in range(20)] + [("h", "ab" * 32)]
+    digest = lambda x: {r["g"]: r["digest"] for r in registry.manifest_hash(spark.createDataFrame(x, "g string, fp string"), "g", "fp").collect()}
+    assert digest(rows) == digest(list(reversed(rows))) and digest(rows[:-2] + rows[-1:])["g"] != digest(rows)["g"]
+
+
+def test_stability(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "p int, lon double, lat double")
+    around = spatial.perturbed(points)
+    assert around.count() == 25
+    to = around.withColumn("m", spatial.haversine(F.lit(0.0), F.lit(0.0), F.col("lon"), F.col("lat"), spatial.METRES)).filter("radius = 30").agg(F.min("m"), F.max("m")).first()
+    assert to[0] == pytest.approx(30, abs=0.01) and to[1] == pytest.approx(30, abs=0.01)
+    status = lambda c: spatial.stability(around.withColumn("answer", c), "p").first()
+    assert status(F.lit(7))["status"] == "stable"
+    half = status(F.when(F.col("lon") >= -1e-12, 7))
+    assert half["status"] == "fragile" and half["stable_fraction"] == pytest.approx(15 / 24) and half["score"] == pytest.approx(15 / 24 * (1 - 0.5 * 9 / 24))
+    assert status(F.lit(None).cast("int"))["status"] == "unstable"
+
+
+def test_ridge_residuals(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30, 2))
+    y = 3 * x[:, 0] - x[:, 1] + rng.normal(size=30) * 0.1
+    rows = spark.createDataFrame([("k", i, float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(30)], "k string, t int, y double, a double, b double")
+    got = [r["residual"] for r in stats.ridge_residuals(rows, "k", "t", "y", ["a", "b"]).orderBy("position").collect()]
+    z = (x - x.mean(0)) / x.std(0)
+    beta = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y - y.mean()))
+    assert got == pytest.approx((y - y.mean() - z @ beta).tolist(), abs=1e-5)
+
+
+def test_order_statistics_fit(spark):
+    rows = spark.createDataFrame([("k", math.exp(1 + 0.5 * z)) for z in (-1.2, -0.5, 0.0, 0.5, 1.2)], "k string, v double")
+    got = stats.order_statistics_fit(rows, ["k"], "v").first()
+    assert got["detects"] == 5 and got["intercept"] == pytest.approx(1.0, abs=1e-6) and got["slope"] == pytest.approx(0.5, rel=0.1)

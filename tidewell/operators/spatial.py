@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Earth radii, and metres in a degree of longitude at the equator and of latitude.
 MILES, METRES = 3958.7613, 6371000.0
 DEGREE_X, DEGREE_Y = 111320.0, 110540.0
-BEARINGS, RADII = 8, (5, 15, 30)
+BEARINGS, RADII, EARTH = 8, (5, 15, 30), 6371008.8
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = MILES) -> Column:
@@ -116,17 +116,16 @@ def perturbed(points: DataFrame) -> DataFrame:
     o = F.explode(F.array(*[F.struct(F.lit(r).alias("radius"), F.lit(b).alias("bearing")) for r, b in offsets]))
     rows = points.withColumn("_o", o).withColumns({"radius": F.col("_o.radius"), "bearing": F.col("_o.bearing")}).drop("_o")
     angle = 2 * 3.141592653589793 * F.col("bearing") / BEARINGS
-    return rows.withColumns({"lon": F.col("lon") + F.col("radius") * F.sin(angle) / (DEGREE_X * F.cos(F.radians("lat"))), "lat": F.col("lat") + F.col("radius") * F.cos(angle) / DEGREE_Y})
+    return rows.withColumns({"lon": F.col("lon") + F.degrees(F.col("radius") * F.sin(angle) / (EARTH * F.greatest(F.lit(1e-9), F.cos(F.radians("lat"))))), "lat": F.col("lat") + F.degrees(F.col("radius") * F.cos(angle) / EARTH)})
 
 
 def stability(resolved: DataFrame, point_id: str) -> DataFrame:
-    """Share of the perturbed places that resolve as the centre does, with a label.
+    """Share of the places around a point that resolve as the point itself does, with a label; an unresolved point is unstable.
 
-    resolved: point_id, radius, bearing, answer (null: none).
+    resolved: point_id, radius (0: the point itself), bearing, answer (null: none).
     """
-    centre = resolved.filter("radius = 0").select(point_id, F.col("answer").alias("centre_answer"))
-    both = resolved.join(centre, point_id)
-    same = F.count_if(F.col("answer").eqNullSafe(F.col("centre_answer"))) / F.count("*")
-    out = both.groupBy(point_id).agg(same.alias("stable_fraction"), (F.count_if(F.col("answer").isNull()) / F.count("*")).alias("unresolved"))
-    label = F.when((F.col("stable_fraction") >= 0.95) & (F.col("unresolved") == 0), "stable").when(F.col("stable_fraction") >= 0.75, "boundary-sensitive").when(F.col("stable_fraction") >= 0.5, "fragile").otherwise("unstable")
+    centre = resolved.filter("radius = 0").select(point_id, F.col("answer").alias("reference"))
+    both = resolved.filter("radius > 0").join(centre, point_id)
+    out = both.groupBy(point_id).agg(F.first("reference").alias("reference"), (F.count_if(F.col("answer") == F.col("reference")) / F.count("*")).alias("stable_fraction"), (F.count_if(F.col("answer").isNull()) / F.count("*")).alias("unresolved"))
+    label = F.when(F.col("reference").isNull(), "unstable").when((F.col("stable_fraction") >= 0.95) & (F.col("unresolved") == 0), "stable").when(F.col("stable_fraction") >= 0.75, "boundary-sensitive").when(F.col("stable_fraction") >= 0.5, "fragile").otherwise("unstable")
     return out.withColumns({"status": label, "score": F.col("stable_fraction") * (1 - 0.5 * F.col("unresolved"))})
