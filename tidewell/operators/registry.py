@@ -63,9 +63,9 @@ def discover_field(features: DataFrame, feature_id: str, properties: str, hint:
 
 
 def manifest_hash(rows: DataFrame, group: str, fingerprint: str) -> DataFrame:
-    """A digest of each group's fingerprints that no order of rows changes: 60-bit parts are summed, so no group is gathered."""
-    part = lambda i: F.sum(F.conv(F.substring(fingerprint, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))
-    return rows.groupBy(group).agg(F.count("*").alias("n"), F.sha2(F.concat_ws("-", *[part(i).cast("string") for i in range(4)]), 256).alias("digest"))
+    """A digest of each group's fingerprints that no order of rows changes: 64-bit parts are summed, so no group is gathered."""
+    part = lambda i: F.sum(F.conv(F.substring(fingerprint, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)"))
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.sha2(F.concat_ws("-", F.count("*").cast("string"), *[part(i).cast("string") for i in range(4)]), 256).alias("digest"))
 
 
 def blend(rows: DataFrame, key: str, fraction: str, at: Column) -> DataFrame:
