@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.statistics import normal_quantile
+
 
 def mann_kendall(rows: DataFrame, key: Sequence[str], order: Column, value: str) -> DataFrame:
     """S, its variance without tie correction, continuity-corrected z and direction of each series.
@@ -127,3 +129,40 @@ def ridge_residuals(rows: DataFrame, key: str, order: str, value: str, features:
         return pd.DataFrame({key: pdf[key], "position": np.arange(len(pdf), dtype=np.int32), "residual": np.round(y - y.mean() - x @ beta, 6)})
 
     return rows.select(key, order, value, *features).dropna().groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, position int, residual double")
+
+
+def impute_censored(rows: DataFrame, key: Sequence[str], row_id: str, value: str, limit: str, censored: str, least: int = 3) -> DataFrame:
+    """Regression on order statistics: the detected values, and for each censored row one from their fitted line.
+
+    Returns key, row id, censored, value: a censored row's value is the line's at its rank among limits, never above its
+    own limit. A group with fewer than `least` detected values above zero gets no values for its censored rows.
+    Ranks are windows by group, so a group is sorted whole (with spill) in one task.
+    """
+    known = rows.filter(F.when(F.col(censored), F.col(limit).isNotNull()).otherwise(F.col(value) > 0))
+    w = Window.partitionBy(*key, censored)
+    known = known.withColumns({"_i": F.row_number().over(w.orderBy(F.when(F.col(censored), F.col(limit)).otherwise(F.col(value)), row_id)), "_m": F.count("*").over(w)})
+    z = normal_quantile((F.col("_i") - 0.375) / (F.col("_m") + 0.25))
+    found = known.filter(~F.col(censored)).select(*key, F.ln(value).alias("_y"), z.alias("_z"))
+    line = found.groupBy(*key).agg(F.count("*").alias("_n"), F.regr_slope("_y", "_z").alias("_slope"), F.regr_intercept("_y", "_z").alias("_at0"))
+    out = known.join(line, list(key), "left")
+    guess = F.exp(F.col("_at0") + F.col("_slope") * normal_quantile((F.col("_i") - 0.5) / (F.col("_m") + F.col("_n"))))
+    filled = F.when(~F.col(censored), F.col(value)).when(F.col("_n") >= least, F.least(F.col(limit), guess))
+    return out.select(*key, row_id, F.col(censored).alias("censored"), filled.alias("value"))
+
+
+def censored_summary(rows: DataFrame, key: Sequence[str], value: str, censored: str) -> DataFrame:
+    """How many results are detected and left-censored, and which method they call for; nothing is substituted."""
+    out = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(~F.col(censored) & F.col(value).isNotNull()).alias("detected_n"), F.count_if(censored).alias("left_censored_n"))
+    return out.withColumn("method", F.when((F.col("detected_n") >= 3) & (F.col("left_censored_n") > 0), "ROS/Kaplan-Meier-required").otherwise("descriptive-only"))
+
+
+def inferred_links(series: DataFrame, point: str, date: str, value: str, overlap: int = 6, least: float = 0.75) -> DataFrame:
+    """Pairs of points whose series correlate at `least` or more on enough common dates, with a certainty of 0.5 to 1.
+
+    Points meet on the dates they share, so a date pairs all points that have it.
+    """
+    one = series.groupBy(date, point).agg(F.avg(value).alias("_v"))
+    a, b = one.select(date, F.col(point).alias("a"), F.col("_v").alias("_a")), one.select(date, F.col(point).alias("b"), F.col("_v").alias("_b"))
+    out = a.join(b, date).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("days"), F.corr("_a", "_b").alias("correlation"))
+    certainty = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("correlation") - least) / (1 - least) * 0.5 + 0.5))
+    return out.filter((F.col("days") >= overlap) & (F.col("correlation") >= least)).withColumn("certainty", certainty)

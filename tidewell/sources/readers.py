@@ -72,3 +72,150 @@ def distinct_rows(rows: DataFrame) -> DataFrame:
 def manifest_status(parts: DataFrame, ok: str = "ok") -> DataFrame:
     """synced if every part is, partial if some are, else failed."""
     return parts.agg(F.when(F.bool_and(ok), "synced").when(F.bool_or(ok), "partial").otherwise("failed").alias("status"), F.count("*").alias("parts"))
+
+
+# Metals by the order in which a description is searched for them; columns and codes that name the county.
+METALS = ["ANTIMONY", "ARSENIC", "BARIUM", "BERYLLIUM", "CADMIUM", "CHROMIUM", "COPPER", "LEAD", "MERCURY", "SELENIUM", "THALLIUM", "NICKEL", "ALUMINUM", "IRON", "MANGANESE", "SILVER", "ZINC"]
+STATE_COLUMNS = ("state_code", "state", "state_served", "primacy_agency_code", "state_code_served")
+COUNTY_COLUMNS = ("county_served", "county_name", "county", "area_name", "geographic_area_name", "geographic_area_description", "counties_served")
+COUNTY_CODE_COLUMNS = ("county_code", "county_fips", "fips_county_code", "geographic_area_code")
+COUNTY_CODES = ("117", "12117", "12-117", "US:12:117")
+#: What a chemistry export calls its columns, and what they are called here.
+CHEMISTRY = {
+    "PWSID": "pwsid", "MAILINGNAME": "system_name", "SYSTEMTYPE": "system_type", "POPULATION": "population", "CONTAMGROUP": "contaminant_group", "CONTAMCODE": "analyte_code", "CONTAMDESC": "analyte",
+    "SAMPLETYPE": "sample_type", "RESULTS": "result", "UOM": "unit", "MCL": "mcl", "SAMPLEDATE": "sample_date", "SAMPTIMESTAMP": "sample_timestamp", "LOCATIONCODE": "location_code", "ENTRYPOINT": "entry_point",
+    "LAB": "lab_id", "METHOD": "method_id", "ANALYSISDATE": "analysis_date", "MDL": "mdl", "RDL": "rdl", "SAMPLENUMBER": "sample_id", "REMARKS": "remarks",
+}
+DIGEST = ("pwsid", "sample_id", "analyte_code", "sample_date", "location_code", "lab_id", "method_id", "result", "unit")
+
+
+def read_family(spark: SparkSession, folder: str, schemas: dict[str, T.StructType], key: str = "pwsid") -> tuple[dict[str, DataFrame], DataFrame]:
+    """A folder's JSON tables by name, their key normalised where they have it, and which of the files were there."""
+    from tidewell.functions.measure import normalize_pwsid
+
+    tables, there = {}, []
+    for name, schema in schemas.items():
+        df, found = read_json(spark, f"{folder}/{name}.json", schema)
+        tables[name] = df.withColumn(key, normalize_pwsid(F.col(key))) if key in df.columns else df
+        there.append((name, found))
+    return tables, spark.createDataFrame(there, "name string, ok boolean")
+
+
+def chemistry_rows(export: DataFrame, prefix: str, source: str, publisher: str) -> DataFrame:
+    """Rows of a chemistry export whose system id starts with `prefix`, in this library's column names, with a digest."""
+    rows = export.select(*[(F.col(old) if old in export.columns else F.lit(None)).cast("string").alias(new) for old, new in CHEMISTRY.items()]).filter(F.startswith("pwsid", F.lit(prefix)))
+    rows = rows.withColumns({"analyte": F.trim("analyte"), "contaminant_group": F.trim("contaminant_group"), "source_id": F.lit(source), "publisher": F.lit(publisher)})
+    return rows.withColumn("record_fingerprint", F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in DIGEST]), 256))
+
+
+def metal_of(description: Column) -> Column:
+    """The first metal in list order that a description contains; null without one."""
+    return F.get(F.filter(F.array(*[F.lit(m) for m in METALS]), lambda m: F.contains(F.upper(description), m)), F.lit(0))
+
+
+def in_county(df: DataFrame, name: str = "SEMINOLE", state: str = "FL", state_name: str = "FLORIDA") -> Column:
+    """Whether a row's fields name the county, and the state by its own field or by the prefix of the system id."""
+    joined = lambda names: F.upper(F.concat_ws(" ", *[F.trim(F.col(c).cast("string")) for c in names if c in df.columns]))
+    states, code = joined(STATE_COLUMNS), joined(COUNTY_CODE_COLUMNS)
+    in_state = F.array_contains(F.split(states, r"\s+"), state) | F.contains(states, F.lit(state_name))
+    pid = F.coalesce(F.upper(coalesced(df, "pwsid", "pws_id")), F.lit(""))
+    return (F.contains(joined(COUNTY_COLUMNS), F.lit(name)) | F.trim(code).isin(*COUNTY_CODES)) & (in_state | F.startswith(pid, F.lit(state)))
+
+
+def occurrence_rows(table: DataFrame, systems: DataFrame) -> DataFrame:
+    """Rows of a national occurrence table that belong to registered systems; a '<' sign is a non-detect."""
+    from tidewell.functions.measure import normalize_pwsid
+
+    col = lambda *names: coalesced(table, *names)
+    rows = table.select(
+        normalize_pwsid(col("pwsid", "pws_id", "pwsid_")).alias("pwsid"), col("pws_name").alias("pws_name"), col("contaminant").alias("characteristic_name"), col("analytical_result_value", "result").alias("result_value"),
+        F.coalesce(col("units"), F.lit("ng/L")).alias("result_unit"), col("collection_date", "sample_collection_date").alias("sample_date"), F.when(col("analytical_result_sign") == "<", "non-detect").alias("detection_condition"), F.lit("public-water-system").alias("granularity"),
+    )
+    return rows.join(systems.select("pwsid").distinct(), "pwsid", "left_semi")
+
+
+def of_characteristics(results: DataFrame, wanted: list[str], column: str = "characteristic_name") -> DataFrame:
+    """Rows of an earlier download that are about one of these characteristics, by name without regard to case."""
+    return results.filter(F.lower(F.trim(column)).isin(*[w.strip().lower() for w in wanted]))
+
+
+def well_samples(table: DataFrame, characteristic: str, source: str) -> DataFrame:
+    """Private-well samples from a table whose columns go by several names; unit ug/L unless it says otherwise."""
+    col = lambda *names: coalesced(table, *names)
+    return table.select(
+        col("well_id", "id", "sample_id").alias("well_id"), F.lit(characteristic).alias("characteristic_name"), col("result", "concentration", "value", "dioxane_ug_l").alias("result_value"), F.coalesce(col("unit"), F.lit("ug/L")).alias("result_unit"),
+        col("sample_date", "date").alias("sample_date"), col("latitude", "lat").alias("latitude"), col("longitude", "lon").alias("longitude"), F.lit("private-well-sample").alias("granularity"), F.lit(source).alias("source"),
+    )
+
+
+def labelled_union(parts: dict[str, DataFrame], label: str) -> DataFrame:
+    """Tables under each other with the name of the table each row is from; columns that one lacks are null there."""
+    out = None
+    for name, df in parts.items():
+        df = df.withColumn(label, F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def pdf_links(pages: DataFrame, page_id: str, html: str, preferred: str, origin: str) -> DataFrame:
+    """Each page's distinct PDF links in page order: those that fit `preferred`, else, if none does, every one."""
+    every = F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']([^"']+\.pdf)["']"""), F.lit(1))
+    fit = F.filter(every, lambda u: u.rlike(preferred))
+    full = lambda u: F.when(u.rlike("(?i)^http"), u).when(F.startswith(u, F.lit("/")), F.concat(F.lit(origin), u)).otherwise(F.concat(F.lit(origin + "/"), u))
+    links = F.array_distinct(F.transform(F.when(F.size(fit) > 0, fit).otherwise(every), full))
+    out = pages.select(page_id, F.posexplode(links).alias("position", "url"))
+    return out.withColumn("title", F.regexp_replace(F.regexp_replace(F.substring_index("url", "/", -1), "-", " "), r"(?i)\.pdf$", ""))
+
+
+UNIT_LINE = r"(?i)^\s*([A-Za-z][A-Za-z0-9 ()/.,+&'-]{2,90}?)\s+([<>≤≥]?\s*\d+(?:\.\d+)?)\s*(mg/L|ug/L|µg/L|ppm|ppb|pCi/L|NTU)\b"
+
+
+def report_rows(reports: DataFrame, report_id: str, text: str, most: int = 100) -> DataFrame:
+    """Lines of a report that state a name, a value and a unit; a number without a unit is never guessed at.
+
+    Only the first `most` lines of a report count, and lines about definitions don't.
+    """
+    lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    name = lambda x: F.regexp_replace(F.regexp_extract(x, UNIT_LINE, 1), r"^[ .:\-]+|[ .:\-]+$", "")
+    found = F.slice(F.filter(lines, lambda x: x.rlike(UNIT_LINE) & ~F.upper(name(x)).rlike("MCLG|DEFINITION|ABBREVIATION|UNIT OF MEASURE")), 1, most)
+    line = F.col("source_line")
+    out = reports.select(report_id, F.posexplode(found).alias("position", "source_line"))
+    return out.select(report_id, "position", name(line).alias("contaminant"), F.regexp_replace(F.regexp_extract(line, UNIT_LINE, 2), " ", "").alias("reported_value"), F.regexp_extract(line, UNIT_LINE, 3).alias("unit"), F.substring(line, 1, 500).alias("source_line"))
+
+
+def report_index(configured: DataFrame, links: DataFrame, systems: DataFrame, finder: str) -> DataFrame:
+    """Reports by system: configured ones by each of their ids, discovered ones, and a finder row for community systems without any."""
+    own = configured.select(F.explode("pwsids").alias("pwsid"), "url", "report_year", F.lit("configured").alias("kind"))
+    found = links.select("pwsid", "url", "report_year", F.lit("discovered").alias("kind"))
+    known = own.unionByName(found)
+    rest = systems.filter(F.upper("system_type") == "COMMUNITY").join(known.select("pwsid").distinct(), "pwsid", "left_anti")
+    return known.unionByName(rest.select("pwsid", F.lit(finder).alias("url"), F.lit(None).cast(known.schema["report_year"].dataType).alias("report_year"), F.lit("finder").alias("kind")))
+
+
+def largest_member(archives: DataFrame) -> DataFrame:
+    """From zip files (path, content, as the binaryFile source gives them): each one's largest csv or txt member, as text.
+
+    A file that is no archive, or has no such member, gives no row; one archive is one task's row.
+    """
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, blob in zip(pdf["path"], pdf["content"], strict=True):
+                if blob is None or bytes(blob[:2]) != b"PK":
+                    continue
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(blob))) as z:
+                        members = [m for m in z.infolist() if m.filename.lower().endswith((".csv", ".txt"))]
+                        if members:
+                            best = max(members, key=lambda m: m.file_size)
+                            out.append((path, best.filename, z.read(best).decode("utf-8", "replace")))
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
+                    continue
+            yield pd.DataFrame(out, columns=["path", "member", "text"])
+
+    return archives.select("path", "content").mapInPandas(run, "path string, member string, text string")
