@@ -8,25 +8,73 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import canonical_tokens, jaccard
 
 
-def candidates(labels: DataFrame, systems: DataFrame) -> DataFrame:
+# Scores of a label's match by the kind of name that it meets: equal, within one another.
+LADDER = {"alternative": (0.995, 0.97), "system": (0.99, 0.96), "alias": (0.985, 0.92)}
+UNIQUE_TOKEN = 0.955
+
+
+def _by_rarity(names: DataFrame, every: DataFrame) -> DataFrame:
+    """Names (id, ts) with their tokens in one order for all: the rarest over all names first."""
+    counts = every.groupBy("t").agg(F.count("*").alias("df"))
+    sorted_tokens = F.transform(F.sort_array(F.collect_list(F.struct("df", "t"))), lambda p: p["t"])
+    return names.select("*", F.explode("ts").alias("t")).join(counts, "t").groupBy(*names.columns).agg(sorted_tokens.alias("rare"))
+
+
+def _overlap_keys(names: DataFrame) -> DataFrame:
+    """For each size n that an overlap of a half allows, the tokens of which a partner of that size shares one.
+
+    Of m and n tokens at least (m + n) / 3 are shared then, so one of the first m - that + 1 rarest is, on either side.
+    """
+    m = F.size("rare")
+    partner = F.explode(F.sequence(F.ceil(m / 2).cast("int"), m * 2)).alias("n")
+    keyed = names.select("*", m.alias("m"), partner)
+    return keyed.withColumn("t", F.explode(F.slice("rare", F.lit(1), F.col("m") - F.ceil((F.col("m") + F.col("n")) / 3).cast("int") + 1)))
+
+
+def candidates(labels: DataFrame, systems: DataFrame, alternatives: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """(label_id, pwsid, score, method) by the best rule for each pair.
 
-    labels: label_id, label, label_pwsid. systems: pwsid, name. Rules: the id itself, equal canonical names, one name's
-    tokens within the other's, and token overlap. Pairs meet by id or by a shared token, never all by all: a system is
-    found through its rarest shared tokens, of which every subset or overlap rule needs at least one.
+    labels: label_id, label, label_pwsid. systems: pwsid, name. alternatives: pwsid, name of a part of a system.
+    aliases: name, pwsids that it stands for. Rules: the id itself; equal canonical names; one name's tokens within the
+    other's, where the inner one has two tokens or is an alias or within one; a label's only token, if one system alone has
+    it; and for systems' own names token overlap. Only ids of systems count.
+
+    Pairs meet by the rarest token of the inner name, by the whole canonical name, or by a prefix of their rarest tokens
+    for their two sizes, so a token that very many names share makes no pairs of its own. Names without tokens meet nothing.
     """
     left = labels.withColumn("lt", canonical_tokens(F.col("label")))
-    right = systems.select("pwsid", canonical_tokens(F.col("name")).alias("rt"))
-    by_id = left.join(right.select("pwsid"), F.col("label_pwsid") == F.col("pwsid")).select("label_id", "pwsid", F.lit(1.0).alias("score"), F.lit("id").alias("method"))
-    pairs = left.select("label_id", "lt", F.explode("lt").alias("t")).join(right.select("pwsid", "rt", F.explode("rt").alias("t")), "t").select("label_id", "pwsid", "lt", "rt").distinct()
-    same, inside = F.array_sort("lt") == F.array_sort("rt"), (F.size(F.array_except("lt", "rt")) == 0) | (F.size(F.array_except("rt", "lt")) == 0)
+    known = systems.select("pwsid").distinct()
+    by_id = left.join(known, F.col("label_pwsid") == F.col("pwsid")).select("label_id", "pwsid", F.lit(1.0).alias("score"), F.lit("id").alias("method"))
+    names = systems.select(F.array("pwsid").alias("ids"), "name", F.lit("system").alias("kind"))
+    if alternatives is not None:
+        names = names.unionByName(alternatives.select(F.array("pwsid").alias("ids"), "name", F.lit("alternative").alias("kind")))
+    if aliases is not None:
+        names = names.unionByName(aliases.select(F.col("pwsids").alias("ids"), "name", F.lit("alias").alias("kind")))
+    names = names.select("ids", "kind", canonical_tokens(F.col("name")).alias("ts")).filter(F.size("ts") > 0).distinct()
+    left = left.select("label_id", F.col("lt").alias("ts")).filter(F.size("ts") > 0).distinct()
+    every = left.select(F.explode("ts").alias("t")).unionAll(names.select(F.explode("ts").alias("t")))
+    a = _by_rarity(left, every).select("label_id", F.col("ts").alias("lt"), "rare")
+    b = _by_rarity(names, every).select("ids", "kind", F.col("ts").alias("rt"), "rare")
+    out = ["label_id", "lt", "ids", "kind", "rt"]
+    enough = lambda ts: (F.size(ts) >= 2) | (F.col("kind") == "alias")
+    within_name = a.withColumn("t", F.get("rare", F.lit(0))).join(b.withColumn("t", F.explode("rt")), "t").filter(enough("lt")).select(*out)
+    within_label = a.withColumn("t", F.explode("lt")).join(b.filter(enough("rt")).withColumn("t", F.get("rare", F.lit(0))), "t").select(*out)
+    equal = a.withColumn("c", F.array_join("lt", " ")).join(b.withColumn("c", F.array_join("rt", " ")), "c").select(*out)
+    theirs = _overlap_keys(b.filter("kind = 'system'")).select("ids", "kind", "rt", "t", F.col("m").alias("n"), F.col("n").alias("m"))
+    overlap = _overlap_keys(a).drop("rare").join(theirs, ["t", "m", "n"]).select(*out)
+    pairs = within_name.unionAll(within_label).unionAll(equal).unionAll(overlap).distinct()
+    same = F.array_join("lt", " ") == F.array_join("rt", " ")
+    inside = (enough("rt") & (F.size(F.array_except("rt", "lt")) == 0)) | (enough("lt") & (F.size(F.array_except("lt", "rt")) == 0))
     j = jaccard(F.col("lt"), F.col("rt"))
-    wide = F.least(F.size("lt"), F.size("rt")) >= 2
-    score = F.when(same, 0.99).when(inside & wide, 0.96).when(j >= 0.5, 0.8 + 0.1 * j)
-    method = F.when(same, "exact-name").when(inside & wide, "token-subset").when(j >= 0.5, "token-overlap")
-    by_name = pairs.select("label_id", "pwsid", score.alias("score"), method.alias("method")).filter("score is not null")
-    every = by_id.unionByName(by_name)
-    return every.groupBy("label_id", "pwsid").agg(F.max("score").alias("score"), F.max_by("method", "score").alias("method"))
+    ladder = F.create_map(*[x for k, v in LADDER.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
+    own = F.col("kind") == "system"
+    score = F.when(same, ladder[F.col("kind")][0]).when(inside, ladder[F.col("kind")][1]).when(own & (j >= 0.5), 0.8 + 0.1 * j)
+    method = F.when(same, F.concat("kind", F.lit("-exact"))).when(inside, F.concat("kind", F.lit("-subset"))).otherwise("token-overlap")
+    by_name = pairs.select("label_id", F.explode("ids").alias("pwsid"), score.alias("score"), method.alias("method")).filter("score is not null")
+    lone = names.filter("kind = 'system'").select(F.explode("ts").alias("t"), F.explode("ids").alias("pwsid")).groupBy("t").agg(F.min("pwsid").alias("pwsid"), F.max("pwsid").alias("_other")).filter("pwsid = _other")
+    by_token = left.filter(F.size("ts") == 1).withColumn("t", F.get("ts", F.lit(0))).join(lone, "t").select("label_id", "pwsid", F.lit(UNIQUE_TOKEN).alias("score"), F.lit("unique-token").alias("method"))
+    found = by_id.unionByName(by_name.unionByName(by_token).join(known, "pwsid", "left_semi"))
+    return found.groupBy("label_id", "pwsid").agg(F.max("score").alias("score"), F.max_by("method", "score").alias("method"))
 
 
 def consensus(found: DataFrame, labels: DataFrame, accept: float = 0.9, margin: float = 0.02) -> DataFrame:
