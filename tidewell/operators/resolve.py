@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.measure import normalized
 from tidewell.functions.text import canonical_tokens, jaccard
 
 
@@ -77,6 +78,26 @@ def candidates(labels: DataFrame, systems: DataFrame, alternatives: DataFrame |
     return found.groupBy("label_id", "pwsid").agg(F.max("score").alias("score"), F.max_by("method", "score").alias("method"))
 
 
+def provider_candidates(labels: DataFrame, systems: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The older ladder: (label_id, pwsid, score) by the id, by an alias that holds or lies in the label, by a system's name likewise.
+
+    labels: label_id, label, label_pwsid; systems: pwsid, name; aliases: name, pwsids. Names of four characters or fewer
+    need an alias. Text within text is found by the inner one's first characters among the outer one's pieces of that
+    length, so no pairs without a common piece are made; an empty label meets nothing.
+    """
+    left = labels.select("label_id", normalized(F.col("label")).alias("l")).filter("l <> ''").distinct()
+    right = systems.select(normalized(F.col("name")).alias("r"), F.array("pwsid").alias("ids"), F.lit(0.94).alias("score"), F.lit(5).alias("least"))
+    right = right.unionByName(aliases.select(normalized(F.col("name")).alias("r"), F.col("pwsids").alias("ids"), F.lit(0.96).alias("score"), F.lit(1).alias("least"))).filter("r <> ''").distinct()
+    head = lambda c: F.substring(c, 1, 5)
+    pieces = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, k))))))
+    out = ["label_id", "ids", "score"]
+    inner_label = left.withColumn("g", head(F.col("l"))).join(right.withColumn("g", pieces(F.col("r"))), "g").filter(F.contains("r", F.col("l")) & (F.length("l") >= F.col("least"))).select(*out)
+    inner_name = left.withColumn("g", pieces(F.col("l"))).join(right.withColumn("g", head(F.col("r"))), "g").filter(F.contains("l", F.col("r")) & (F.length("r") >= F.col("least"))).select(*out)
+    by_name = inner_label.unionAll(inner_name).select("label_id", F.explode("ids").alias("pwsid"), "score")
+    by_id = labels.join(systems.select("pwsid").distinct(), F.trim("label_pwsid") == F.col("pwsid")).select("label_id", "pwsid", F.lit(1.0).alias("score"))
+    return by_id.unionAll(by_name).groupBy("label_id", "pwsid").agg(F.max("score").alias("score"))
+
+
 def consensus(found: DataFrame, labels: DataFrame, accept: float = 0.9, margin: float = 0.02) -> DataFrame:
     """The winning system of each label, if it is good enough and no other comes close; ambiguity is reported."""
     ranked = found.groupBy("label_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("score"), F.col("pwsid"))), asc=False), 1, 2).alias("top"), F.count("*").alias("candidates"))

@@ -9,7 +9,7 @@ from tidewell.functions import pfas as P
 from tidewell.functions import records as R
 from tidewell.functions import statistics as T
 from tidewell.operators import records as O
-from tidewell.operators import stats
+from tidewell.operators import resolve, stats
 from tidewell.plans.catalog import MEASURED, measured, query, r
 from tidewell.plans.testbed import VIEWS
 from tidewell.sources import readers
@@ -463,3 +463,88 @@ def _(v):
     configured = v("region").select(F.array((3590020 + 2 * k).cast("string"), (3590021 + 2 * k).cast("string")).alias("pwsids"), F.lit("u").alias("url"), F.lit(2020).alias("report_year"))
     links = v("tb_reports").filter("pwsid < '3590010'").select("pwsid", F.lit("v").alias("url"), "report_year")
     return readers.report_index(configured, links, v("tb_systems"), "https://finder.example").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    "src24_search_results",
+    """SELECT n_nationkey, concat(n_name, ' & water') AS title, concat('https://news.example/', lower(n_name), '?a=1') AS url, 'news.example' AS publisher, CASE WHEN n_nationkey % 2 = 0 THEN 'A bold note' ELSE '' END AS excerpt FROM nation
+       UNION ALL SELECT n_nationkey, 'second', 'https://www.epa.gov/x', 'www.epa.gov', 'other' FROM nation""",
+)
+def _(v):
+    slug = F.regexp_replace(F.lower("n_name"), " ", "%20")
+    first = F.concat(F.lit('<a rel="n" class="result__a" href="//duck.example/l/?uddg=https%3A%2F%2Fnews.example%2F'), slug, F.lit('%3Fa%3D1&amp;rut=9">'), F.col("n_name"), F.lit(" &amp; <b>water</b></a>"))
+    note = F.when(F.col("n_nationkey") % 2 == 0, '<a class="result__snippet" href="z">A <b>bold</b>  note</a>').otherwise("")
+    html = F.concat(F.lit("<html>"), first, note, F.lit('<a class="x result__a" href="https://www.epa.gov/x">second</a><div class="result__snippet">other</div>'))
+    return readers.search_results(v("nation"), "n_nationkey", html).select("n_nationkey", "title", "url", "publisher", "excerpt")
+
+
+@query(
+    "jn18_provider_candidates",
+    """WITH l AS (SELECT label_id, upper(replace(label, 'Supplier#', 'S ')) AS t, label_pwsid FROM tb_labels), s AS (SELECT pwsid, upper(replace(name, 'Supplier#', 'S ')) AS n FROM tb_systems),
+       c AS (SELECT label_id, pwsid, 1.0 AS score FROM l JOIN s ON label_pwsid = pwsid UNION ALL SELECT label_id, pwsid, 0.94 FROM l JOIN s ON t <> '' AND ((contains(n, t) AND length(t) > 4) OR (contains(t, n) AND length(n) > 4))
+         UNION ALL SELECT label_id, pwsid, 0.96 FROM l JOIN s ON t <> '' AND pwsid IN ('3590001', '3590002') AND (contains(t, 'MOBILE') OR contains('MOBILE', t)))
+       SELECT label_id, pwsid, CAST(max(score) AS DOUBLE) AS score FROM c GROUP BY 1, 2""",
+)
+def _(v):
+    short = lambda c: F.replace(F.col(c), F.lit("Supplier#"), F.lit("S "))
+    aliases = v("region").filter("r_regionkey = 0").select(F.lit("mobile").alias("name"), F.array(F.lit("3590001"), F.lit("3590002"), F.lit("1")).alias("pwsids"))
+    systems = v("tb_systems").withColumn("name", short("name"))
+    return resolve.provider_candidates(v("tb_labels").withColumn("label", short("label")), systems, aliases).join(systems.select("pwsid"), "pwsid", "left_semi").select("label_id", "pwsid", "score")
+
+
+@query("jn20_fingerprint_lookup", "SELECT s.analyte, c.passed, count(*) AS n FROM tb_samples s LEFT JOIN (SELECT DISTINCT rid, location_code = 'L1' AS passed FROM tb_samples WHERE location_code IN ('L1', 'L2')) c ON s.rid = c.rid GROUP BY 1, 2")
+def _(v):
+    checks = v("tb_samples").filter("location_code in ('L1', 'L2')").select("rid", (F.col("location_code") == "L1").alias("passed")).dropDuplicates(["rid"])
+    return v("tb_samples").join(checks, "rid", "left").groupBy("analyte", "passed").agg(F.count("*").alias("n"))
+
+
+@query(
+    "jn21_claim_scopes",
+    "SELECT scope, count(*) AS n, sum(CASE WHEN scope = 'exact-household-sample' AND sample_type <> 'TAP' THEN 0 ELSE 1 END)::BIGINT AS eligible FROM tb_samples, (SELECT unnest(['public-water-system-record', 'exact-household-sample']) AS scope) GROUP BY 1",
+)
+def _(v):
+    # A short fixed list, so each record carries it: no cross join.
+    rows = v("tb_samples").withColumn("scope", F.explode(F.array(F.lit("public-water-system-record"), F.lit("exact-household-sample"))))
+    return rows.groupBy("scope").agg(F.count("*").alias("n"), F.count_if((F.col("scope") == "public-water-system-record") | (F.col("sample_type") == "TAP")).alias("eligible"))
+
+
+@query(
+    "ag30_profile",
+    """WITH x AS (SELECT analyte, value, CAST(substr(ltrim(replace(CAST(CAST(value * 1000 AS BIGINT) AS STRING), '.', ''), '0'), 1, 1) AS INT) AS d, CAST(round(value * 1000) AS BIGINT) % 10 AS t FROM """
+    + MEASURED
+    + """ WHERE value > 0), c AS (SELECT analyte, d, count(*) AS c FROM x GROUP BY 1, 2), n AS (SELECT analyte, count(*) AS n FROM x GROUP BY 1), t AS (SELECT analyte, max(c) AS m FROM (SELECT analyte, t, count(*) AS c FROM x GROUP BY 1, 2) GROUP BY 1)
+       SELECT n.analyte, n.n, round(sum(pow(coalesce(c.c, 0) - n.n * log10(1 + 1.0 / g.d), 2) / (n.n * log10(1 + 1.0 / g.d))), 4) AS chi_square, round(any_value(t.m) / n.n, 6) AS terminal_share,
+         n.n >= 30 AND (sum(pow(coalesce(c.c, 0) - n.n * log10(1 + 1.0 / g.d), 2) / (n.n * log10(1 + 1.0 / g.d))) > 20.09 OR any_value(t.m) / n.n > 0.25) AS flag
+       FROM n CROSS JOIN (SELECT unnest(range(1, 10)) AS d) g LEFT JOIN c ON c.analyte = n.analyte AND c.d = g.d JOIN t ON t.analyte = n.analyte GROUP BY n.analyte, n.n""",
+)
+def _(v):
+    return stats.digit_profile(measured(v), ["analyte"], "value").select("analyte", "n", r("chi_square"), r("terminal_share", 6), "flag")
+
+
+@query("tk01_systems_by_name", "SELECT pwsid, name FROM tb_systems")
+def _(v):
+    return v("tb_systems").select("pwsid", "name").orderBy("name", "pwsid")
+
+
+@query(
+    "rp02_group_report",
+    f"""SELECT pwsid, analyte, count(*) AS records, count(value) AS detected_n, sum(CASE WHEN censored THEN 1 ELSE 0 END)::BIGINT AS left_censored_n, max(sample_date) AS latest_date, CASE WHEN analyte IN ('LEAD', 'COPPER', 'ARSENIC', 'NITRATE') THEN TRUE ELSE FALSE END AS actionable, TRUE AS validated
+        FROM {MEASURED} GROUP BY 1, 2""",
+)
+def _(v):
+    rows = measured(v).withColumn("_bad", F.col("sample_date").isNull() | (F.coalesce("unit", F.lit("")) == "") | (F.coalesce("pwsid", F.lit("")) == ""))
+    out = stats.censored_summary(rows, ["pwsid", "analyte"], "value", "censored").drop("method").withColumnRenamed("n", "records")
+    extra = rows.groupBy("pwsid", "analyte").agg(F.max("sample_date").alias("latest_date"), (~F.bool_or("_bad")).alias("validated"))
+    return out.join(extra, ["pwsid", "analyte"]).withColumn("actionable", F.size(R.actionability(F.col("analyte"))) > 0)
+
+
+@query(
+    "rp08_system_context",
+    """SELECT s.pwsid, coalesce(x.n, 0) AS violations, r.report_id AS newest_report, coalesce(p.n, 0) AS pfas_results FROM tb_systems s LEFT JOIN (SELECT pwsid, count(*) AS n FROM tb_violations GROUP BY 1) x ON s.pwsid = x.pwsid
+       LEFT JOIN (SELECT pwsid, report_id FROM (SELECT *, row_number() OVER (PARTITION BY pwsid ORDER BY report_year DESC, published_at DESC, report_id DESC) AS k FROM tb_reports) WHERE k = 1) r ON s.pwsid = r.pwsid LEFT JOIN (SELECT pwsid, count(*) AS n FROM tb_pfas GROUP BY 1) p ON s.pwsid = p.pwsid""",
+)
+def _(v):
+    count = lambda t, name: v(t).groupBy("pwsid").agg(F.count("*").alias(name))
+    newest = O.latest_row(v("tb_reports"), ["pwsid"], ["report_year"], "published_at", "report_id").select("pwsid", F.col("report_id").alias("newest_report"))
+    out = v("tb_systems").join(count("tb_violations", "violations"), "pwsid", "left").join(newest, "pwsid", "left").join(count("tb_pfas", "pfas_results"), "pwsid", "left")
+    return out.select("pwsid", F.coalesce("violations", F.lit(0)).alias("violations"), "newest_report", F.coalesce("pfas_results", F.lit(0)).alias("pfas_results"))

@@ -219,3 +219,20 @@ def largest_member(archives: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "member", "text"])
 
     return archives.select("path", "content").mapInPandas(run, "path string, member string, text string")
+
+
+def search_results(pages: DataFrame, page_id: str, html: Column, most: int = 10) -> DataFrame:
+    """A result page's first ten hits: title, address, publisher and snippet.
+
+    A redirecting link gives the address it carries; a snippet belongs to a hit only if it comes before the next hit.
+    """
+    link = r"""(?is)<a[^>]+class="[^"]*result__a[^"]*"[^>]+href="([^"]+)"[^>]*>(.*?)</a>"""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]+>", " "), "&amp;", "&"), r"\s+", " "))
+    parts = F.slice(F.split(F.regexp_replace(html, r"""(?is)(<a[^>]+class="[^"]*result__a)""", "\u0001$1"), "\u0001"), 2, most)
+    out = pages.select(page_id, F.posexplode(parts).alias("position", "_part")).filter(F.col("_part").rlike(link))
+    href = F.regexp_replace(F.regexp_extract("_part", link, 1), "&amp;", "&")
+    carried = F.nullif(F.regexp_extract(href, r"[?&]uddg=([^&]+)", 1), F.lit(""))
+    url = F.coalesce(F.try_url_decode(carried), F.when(F.startswith(href, F.lit("//")), F.concat(F.lit("https:"), href)).otherwise(href))
+    snippet = F.regexp_extract("_part", r"""(?is)class="[^"]*result__snippet[^"]*"[^>]*>(.*?)</(?:a|div)>""", 1)
+    out = out.select(page_id, "position", plain(F.regexp_extract("_part", link, 2)).alias("title"), url.alias("url"), plain(snippet).alias("excerpt"))
+    return out.withColumn("publisher", F.coalesce(F.lower(F.nullif(F.regexp_extract("url", r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit(""))), F.lit("")))
