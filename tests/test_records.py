@@ -88,3 +88,11 @@ def test_family_and_archives(spark, tmp_path):
 def test_report_rows_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Copper 1.3 ppm\r\nMCLG goal 5 ppb\nBarium ≤ 2 mg/L and more")], "i int, t string")
     assert [(r["i"], r["contaminant"], r["reported_value"], r["unit"]) for r in readers.report_rows(df, "i", F.col("t")).collect()] == [(3, "Copper", "1.3", "ppm"), (3, "Barium", "≤2", "mg/L")]
+
+
+def test_report_index_finds_the_uncovered(spark):
+    configured = spark.createDataFrame([(["1", "2"], "u", 2020)], "pwsids array<string>, url string, report_year int")
+    links = spark.createDataFrame([("3", "v", 2021)], "pwsid string, url string, report_year int")
+    systems = spark.createDataFrame([("1", "COMMUNITY"), ("4", "Community"), ("5", "TNC")], "pwsid string, system_type string")
+    got = sorted((r["kind"], r["pwsid"], r["report_year"]) for r in readers.report_index(configured, links, systems, "f").collect())
+    assert got == [("configured", "1", 2020), ("configured", "2", 2020), ("discovered", "3", 2021), ("finder", "4", None)]

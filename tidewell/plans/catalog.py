@@ -248,11 +248,11 @@ def _(v):
 
 @query(
     "wn04_latest_k_per_station",
-    "SELECT station_id, characteristic, result_id FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY ts DESC, result_id) AS j FROM (SELECT *, row_number() OVER (PARTITION BY station_id, characteristic ORDER BY ts DESC, result_id) AS k FROM tb_results) WHERE k = 1) WHERE j <= 3",
+    "SELECT station_id, characteristic, result_id FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY ts DESC, result_id) AS j FROM (SELECT *, row_number() OVER (PARTITION BY station_id, characteristic ORDER BY ts DESC, result_id) AS k FROM tb_results) WHERE k = 1) WHERE j <= 12",
 )
 def _(v):
     order = [F.col("ts").desc(), F.col("result_id")]
-    return versions.latest(versions.latest(v("tb_results"), ["station_id", "characteristic"], order), ["station_id"], order, 3).select("station_id", "characteristic", "result_id")
+    return versions.latest(versions.latest(v("tb_results"), ["station_id", "characteristic"], order), ["station_id"], order, 12).select("station_id", "characteristic", "result_id")
 
 
 @query(

@@ -9,7 +9,7 @@ from tidewell.functions import pfas as P
 from tidewell.functions import records as R
 from tidewell.functions import statistics as T
 from tidewell.operators import records as O
-from tidewell.operators import resolve, stats
+from tidewell.operators import certify, resolve, stats
 from tidewell.plans.catalog import MEASURED, measured, query, r
 from tidewell.plans.testbed import VIEWS
 from tidewell.sources import readers
@@ -204,7 +204,7 @@ def _(v):
 
 @query(
     "jn15_verification",
-    """WITH d AS (SELECT DISTINCT rid, pwsid, analyte, sample_date, CAST(TRY_CAST(replace(result, '<', '') AS DOUBLE) AS DOUBLE) AS x, result, sample_id, source_id, lab_id FROM tb_samples WHERE pwsid < '3590005'),
+    """WITH d AS (SELECT DISTINCT rid, pwsid, analyte, sample_date, CAST(TRY_CAST(replace(result, '<', '') AS DOUBLE) AS DOUBLE) AS x, result, sample_id, source_id, lab_id FROM tb_samples),
        p AS (SELECT a.rid, count(DISTINCT b.rid) AS other FROM d a LEFT JOIN d b ON a.pwsid = b.pwsid AND a.analyte = b.analyte AND year(a.sample_date) = year(b.sample_date) AND a.rid <> b.rid AND CASE WHEN a.x IS NULL OR b.x IS NULL THEN a.result = b.result ELSE abs(a.x - b.x) <= 0.02 * greatest(abs(a.x), abs(b.x), 1e-12) END GROUP BY 1)
        SELECT d.rid, CASE WHEN p.other > 0 THEN 'confirmed-independent-sample' ELSE 'single-origin-sample' END AS factual_status, 1 + p.other AS origins,
          CASE d.lab_id WHEN 'LAB0' THEN CASE WHEN d.sample_date <= DATE '1995-06-30' THEN 'accredited' ELSE 'unaccredited-or-unverified' END WHEN 'LAB1' THEN 'accredited' WHEN 'LAB2' THEN 'expired-accreditation' WHEN 'LAB3' THEN 'unaccredited-or-unverified' ELSE 'unknown-accreditation' END AS accreditation FROM d JOIN p ON d.rid = p.rid""",
@@ -214,7 +214,7 @@ def _(v):
     labs = v("region").filter(k < 4).select(
         F.when(k != 1, F.concat(F.lit("lab"), k)).alias("lab_id"), F.when(k == 1, " lab1 ").alias("name"), F.when(k == 2, "expired").otherwise("active").alias("status"), F.when(k == 0, F.lit("1995-06-30").cast("date")).alias("expires_on"), (k != 3).alias("certified")
     )
-    rows = v("tb_samples").filter("pwsid < '3590005'").dropDuplicates(["rid"]).withColumns({"origin": F.col("rid"), "year": F.year("sample_date"), "lab_name": F.col("lab_id")})
+    rows = v("tb_samples").dropDuplicates(["rid"]).withColumns({"origin": F.col("rid"), "year": F.year("sample_date"), "lab_name": F.col("lab_id")})
     out = O.verify(rows, ["pwsid", "analyte", "year"], "rid", "result", "origin", "source_id", labs, "lab_id", "lab_name", "sample_date")
     return out.select("rid", "factual_status", F.col("independent_origins").cast("long").alias("origins"), "accreditation")
 
@@ -455,13 +455,13 @@ def _(v):
 
 @query(
     "src27_report_index",
-    """SELECT kind, count(*) AS n FROM (SELECT 'configured' AS kind FROM region UNION ALL SELECT 'configured' FROM region UNION ALL SELECT 'discovered' FROM tb_reports WHERE pwsid < '3590010' UNION ALL
-       SELECT 'finder' FROM tb_systems WHERE system_type = 'COMMUNITY' AND pwsid NOT IN (SELECT pwsid FROM tb_reports WHERE pwsid < '3590010') AND CAST(pwsid AS INT) NOT BETWEEN 3590020 AND 3590029) GROUP BY 1""",
+    """SELECT kind, count(*) AS n FROM (SELECT 'configured' AS kind FROM region UNION ALL SELECT 'configured' FROM region UNION ALL SELECT 'discovered' FROM tb_reports UNION ALL
+       SELECT 'finder' FROM tb_systems WHERE system_type = 'COMMUNITY' AND pwsid NOT IN (SELECT pwsid FROM tb_reports) AND CAST(pwsid AS INT) NOT BETWEEN 3590020 AND 3590029) GROUP BY 1""",
 )
 def _(v):
     k = F.col("r_regionkey")
     configured = v("region").select(F.array((3590020 + 2 * k).cast("string"), (3590021 + 2 * k).cast("string")).alias("pwsids"), F.lit("u").alias("url"), F.lit(2020).alias("report_year"))
-    links = v("tb_reports").filter("pwsid < '3590010'").select("pwsid", F.lit("v").alias("url"), "report_year")
+    links = v("tb_reports").select("pwsid", F.lit("v").alias("url"), "report_year")
     return readers.report_index(configured, links, v("tb_systems"), "https://finder.example").groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -548,3 +548,51 @@ def _(v):
     newest = O.latest_row(v("tb_reports"), ["pwsid"], ["report_year"], "published_at", "report_id").select("pwsid", F.col("report_id").alias("newest_report"))
     out = v("tb_systems").join(count("tb_violations", "violations"), "pwsid", "left").join(newest, "pwsid", "left").join(count("tb_pfas", "pfas_results"), "pwsid", "left")
     return out.select("pwsid", F.coalesce("violations", F.lit(0)).alias("violations"), "newest_report", F.coalesce("pfas_results", F.lit(0)).alias("pfas_results"))
+
+
+# ---- judgements by rule -----------------------------------------------------------------------------------------
+
+STATES = """(SELECT action_id, action_id % 3 <> 0 AS accepted, gain AS stability, action_id % 5 AS household_samples, action_id % 4 AS unverified_labs, action_id % 2 = 0 AS has_ccr, action_id % 6 AS active_violations, flip AS freshness, severity AS coverage, action_id % 7 AS contradictions FROM tb_candidates)"""
+
+
+def states(v):
+    i = F.col("action_id")
+    return v("tb_candidates").select(
+        i, (i % 3 != 0).alias("accepted"), F.col("gain").alias("stability"), (i % 5).alias("household_samples"), (i % 4).alias("unverified_labs"), (i % 2 == 0).alias("has_ccr"), (i % 6).alias("active_violations"),
+        F.col("flip").alias("freshness"), F.col("severity").alias("coverage"), (i % 7).alias("contradictions"),
+    )
+
+
+@query(
+    "sa19_next_evidence",
+    "WITH a AS (" + " UNION ALL ".join(
+        f"SELECT action_id, '{name}' AS action, {round(f * g * s / max(0.1, e), 4)}::DOUBLE AS priority, {i} AS i FROM {STATES} WHERE {test}"
+        for i, ((name, (f, g, s, e)), test) in enumerate(zip(certify.ACTIONS.items(), ("NOT accepted OR stability < 0.75", "household_samples = 0", "unverified_labs > 0", "NOT has_ccr", "active_violations > 0", "freshness < 0.55", "coverage < 0.55", "contradictions > 0"), strict=True))
+    ) + ") SELECT action_id, action, priority, CAST(row_number() OVER (PARTITION BY action_id ORDER BY priority DESC, i) AS INT) AS rank FROM a",
+)
+def _(v):
+    return certify.next_evidence(states(v), "action_id")
+
+
+@query(
+    "sa20_robustness",
+    f"""SELECT action_id, CAST(p AS INT) AS passed, CASE WHEN p = 6 THEN 'robust' WHEN p = 5 THEN 'conditionally-robust' WHEN p >= 3 THEN 'limited' ELSE 'fragile' END AS level, CASE WHEN household_samples > 0 THEN 'household-and-system' ELSE 'system-level-only' END AS scope FROM (
+        SELECT *, accepted::INT + (stability >= 0.75)::INT + (household_samples > 0 OR has_ccr)::INT + (active_violations <> 1)::INT + (coverage >= 0.55)::INT + (contradictions <= 3)::INT AS p FROM {STATES})""",
+)
+def _(v):
+    c = F.col
+    return states(v).select("action_id", certify.robustness(c("accepted"), c("stability"), c("household_samples"), ~c("has_ccr"), c("active_violations") == 1, c("coverage"), c("contradictions")).alias("x")).select("action_id", "x.*")
+
+
+@query(
+    "ag29_composite",
+    f"""WITH e AS (SELECT pwsid, year(sample_date) AS y, avg(CASE WHEN censored THEN 1.0 ELSE 0.0 END) AS rate, count(value) AS n, sum(CASE WHEN value BETWEEN 15000 * 0.95 AND 15000 THEN 1 ELSE 0 END) AS near_, sum(CASE WHEN value < 15000 * 0.95 AND value >= 15000 * 0.9 THEN 1 ELSE 0 END) AS before_,
+         sum(CASE WHEN value BETWEEN mdl AND 1.05 * mdl THEN 1 ELSE 0 END) AS m, sum(CASE WHEN location_code = 'L1' THEN 1 ELSE 0 END) AS d, sum(CASE WHEN sample_type = 'TAP' THEN 0.5 ELSE 0 END) AS s, count(*) AS k FROM {MEASURED} GROUP BY 1, 2),
+       c AS (SELECT pwsid, greatest(0, (sum(near_) - sum(before_)) / sum(n)) AS a, sum(m) / sum(n) AS b, CASE WHEN count(*) > 1 THEN greatest(0, arg_max(rate, y) - arg_min(rate, y)) ELSE 0 END AS g, sum(d) / sum(k) AS p, sum(s) / sum(k) AS q FROM e GROUP BY 1)
+       SELECT pwsid, round(a, 6) AS limit_bunching, round(g, 6) AS censoring_drift, round(0.25 * a + 0.15 * b + 0.2 * g + 0.25 * p + 0.15 * q, 6) AS composite_score, CASE WHEN 0.25 * a + 0.15 * b + 0.2 * g + 0.25 * p + 0.15 * q >= 0.65 THEN 'high' WHEN 0.25 * a + 0.15 * b + 0.2 * g + 0.25 * p + 0.15 * q >= 0.35 THEN 'moderate' ELSE 'low' END AS tier FROM c""",
+)
+def _(v):
+    rows = measured(v).withColumn("y", F.year("sample_date"))
+    x = F.col("value")
+    out = certify.strategic_sampling(rows, "pwsid", "value", F.lit(15000.0), x.between(F.col("mdl"), 1.05 * F.col("mdl")), "censored", "y", F.when(F.col("location_code") == "L1", 1.0).otherwise(0.0), F.when(F.col("sample_type") == "TAP", 0.5).otherwise(0.0))
+    return out.select("pwsid", r("limit_bunching", 6), r("censoring_drift", 6), r("composite_score", 6), "tier")
