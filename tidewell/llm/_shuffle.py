@@ -111,19 +111,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def summed(parts: DataFrame, size: int) -> np.ndarray:
-    """Sum of the uint32 vectors of `size` numbers in column `v`, in two steps; one vector reaches the driver."""
+def summed(parts: DataFrame, size: int, kind: type = np.uint32) -> np.ndarray:
+    """Sum of the vectors of `size` numbers in column `v`, in two steps; one vector reaches the driver. Counts of type uint32 stop at its end."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.uint64)
+        total = np.zeros(size, np.uint64 if kind is np.uint32 else kind)
         for x in table["v"]:
-            total += np.frombuffer(x.as_py(), np.uint32)
-        return pa.table([table["part"][:1], pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["part", "v"])
+            total += np.frombuffer(x.as_py(), kind)
+        total = np.minimum(total, 2**32 - 1) if kind is np.uint32 else total
+        return pa.table([table["part"][:1], pa.array([total.astype(kind).tobytes()], pa.binary())], names=["part", "v"])
 
     salted = parts.select(F.expr("cast(rand(7) * 64 as int)").alias("part"), "v")
     once = salted.groupBy("part").applyInArrow(add, "part int, v binary").select(F.lit(0).alias("part"), "v")
     rows = once.groupBy("part").applyInArrow(add, "part int, v binary").collect()
-    return np.frombuffer(bytes(rows[0]["v"]), np.uint32).copy() if rows else np.zeros(size, np.uint32)
+    return np.frombuffer(bytes(rows[0]["v"]), kind).copy() if rows else np.zeros(size, kind)
 
 
 def first_by_hash(rows: DataFrame, id_col: str, class_col: str, per_class: int, seed: int = 11) -> DataFrame:
