@@ -143,5 +143,20 @@ def test_samples_are_bounded_in_bytes(spark):
     from tidewell.llm import _shuffle
 
     rows = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"), (F.col("id") % 2).alias("lang"), F.col("id").cast("int").alias("place"))
-    got = _shuffle.within_bytes(rows, "lang", 350).collect()
-    assert sorted(r["doc_id"] for r in got) == [0, 1, 2, 3, 4, 5]
+    got = _shuffle.within_bytes(rows, "lang", 450).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(8))
+    # an oversize text is passed over, and a class of such texts keeps its shortest, cut
+    texts = [("a", "y" * 900, 0), ("a", "x" * 50, 1), ("a", "z" * 150, 2), ("b", "w" * 800, 0), ("b", "v" * 700, 1), ("c", None, 0)]
+    got = _shuffle.within_bytes(spark.createDataFrame(texts, "lang string, text string, place int"), "lang", 400).collect()
+    assert sorted((r["lang"], r["text"]) for r in got) == [("a", "x" * 50), ("b", "v" * 25), ("c", None)]
+
+
+def test_no_learnt_language_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 6000)
+    words = {"de": "der hund und die katze", "en": "the dog and the cat"}
+    rows = [(i, (lang := ("de", "en")[i % 2], f"{words[lang]} {i} ")[1] * (400 if i in (8, 9, 10, 11) else 4), lang, "a") for i in range(160)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] == lang for i, _, lang, _ in rows)
+    every_long = [(i, f"{words[lang]} " * 600, lang, "a") for i, lang in enumerate(["de", "en"] * 40)]
+    got = [r["lang_pred"] for r in langid.languages(spark.createDataFrame(every_long, "doc_id long, text string, lang string, source string")).collect()]
+    assert set(got) == {"de", "en"}

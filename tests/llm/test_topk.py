@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 
 from tidewell.llm import topk
@@ -56,3 +57,24 @@ def test_many_vectors_of_one_length(spark, monkeypatch):
     got = sorted(map(tuple, topk.top_products(frame(spark, rows)).collect()))
     assert got == brute(rows)
     assert max(r["n"] for r in sizes[0].select("n").collect()) <= 40
+
+
+def test_large_components(spark):
+    """Sums beyond 2^53, of few large components and of many, and beyond a long."""
+    one = [(50, [(2.0**27 - 1) / 256, 1 / 256]), (51, [(2.0**27 - 1) / 256, 0.0]), (52, [(2.0**27 - 1) / 256, 1 / 256]), (53, [(2.0**27 - 2) / 256, 1 / 256])]
+    many = [(i, [(2.0**21 - 1) / 256] * 8192) for i in (50, 51)] + [(52, [(2.0**21 - 2) / 256] + [(2.0**21 - 1) / 256] * 8191)]
+    for rows in (one, many):
+        df = spark.createDataFrame([(*r, "n", "v") for r in rows], DDL.replace("float", "double"))
+        whole = {i: [math.floor(256 * x) for x in e] for i, e in rows}
+        want = sorted((-sum(a * b for a, b in zip(whole[50], e)), i) for i, e in whole.items() if i != 50)
+        assert sorted(map(tuple, topk.top_products(df).collect())) == [(50, n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    beyond = [(50, [2.0**30, 2.0**30]), (51, [2.0**30, 0.0]), (52, [-(2.0**30), 0.0]), (53, [1.0, 1.0])]
+    df = spark.createDataFrame([(*r, "n", "v") for r in beyond], DDL.replace("float", "double"))
+    assert sorted(map(tuple, topk.top_products(df).collect())) == [(50, 1, 51, 2**63 - 1), (50, 2, 53, 2**47), (50, 3, 52, -(2**63))]
+
+
+def test_sql_agrees(spark):
+    path = "/root/testdata/sf0.001/embeddings.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
+    assert sorted(map(tuple, topk.top_products(spark.read.parquet(path)).collect())) == sorted(con.execute(topk.OP5_SQL).fetchall())

@@ -141,13 +141,20 @@ def first_by_hash(rows: DataFrame, id_col: str, class_col: str, per_class: int,
 
 
 def within_bytes(sample: DataFrame, class_col: str, most: int) -> DataFrame:
-    """The rows of a sample, with columns place and text, that come before the first one to exceed `most` bytes in its class.
+    """The rows of a sample, with columns place and text, up to `most` bytes a class.
 
-    A running sum over a bounded number of rows a class; the class's texts pass through it one by one.
+    Texts above a quarter of that are passed over, the others taken by place while they fit; a class of which none is taken keeps
+    its shortest text, cut to a quarter. Windows over a bounded number of rows a class; texts pass through them one by one.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    sofar = F.sum(size).over(Window.partitionBy(class_col).orderBy("place", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    return sample.withColumn("_sofar", sofar).filter((F.col("_sofar") <= most)).drop("_sofar", "place")
+    in_order = Window.partitionBy(class_col).orderBy("place", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = sample.withColumn("_size", size).withColumn("_sofar", F.sum(F.when(F.col("_size") <= most // 4, F.col("_size"))).over(in_order))
+    rows = rows.withColumn("_in", (F.col("_size") <= most // 4) & (F.col("_sofar") <= most))
+    shortest = F.row_number().over(Window.partitionBy(class_col).orderBy("_size", "place", F.xxhash64("text"))) == 1
+    alone = shortest & ~F.max("_in").over(Window.partitionBy(class_col))
+    rows = rows.withColumn("_alone", alone).filter(F.col("_in") | F.col("_alone"))
+    cut = F.when(F.col("_alone"), F.substring("text", 1, max(1, most // 16))).otherwise(F.col("text"))  # a character has 4 bytes at most
+    return rows.withColumn("text", cut).drop("_size", "_sofar", "_in", "_alone", "place")
 
 
 def in_one_task(sample: DataFrame, fit) -> bytes | None:

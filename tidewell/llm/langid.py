@@ -3,7 +3,7 @@
 Features are a text's n-grams of 1 to 3 characters, in lower case and hashed to SLOTS: their share of the text times
 their inverse document frequency, which is counted over all learnable documents. Training is FTRL-proximal with
 elastic-net penalties on a sample: of each language the PER_CLASS texts with the least hashes, SAMPLE_ROWS and
-SAMPLE_BYTES in all at most (a text that would exceed its language's share ends it). One in VALID of them only sets the
+SAMPLE_BYTES in all at most (a text above a quarter of its language's share is passed over, or cut if the language has no other). One in VALID of them only sets the
 temperature of the softmax, by least negative log-likelihood. As the scores are linear in the shares, a task that
 predicts needs one weight for each slot and language, which is broadcast.
 

@@ -187,8 +187,8 @@ def relabelled(rows: DataFrame, id_col: str = "vec_id", label_col: str = "label"
 OP11_SQL = """
 WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-v AS (SELECT vec_id, m.label AS label, list_transform(m.e, lambda x: floor(256 * x)::HUGEINT) AS e FROM (SELECT vec_id, min({'label': label, 'e': e}) AS m FROM r GROUP BY vec_id)),
-s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_sum(list_transform(range(1, least(len(a.e), len(c.e)) + 1), lambda i: a.e[i] * c.e[i]))::HUGEINT AS score
+v AS (SELECT vec_id, m.label AS label, list_transform(m.e, lambda x: least(greatest(floor(256 * x), -4611686018427387904::DOUBLE), 4611686018427387904::DOUBLE)::HUGEINT) AS e FROM (SELECT vec_id, min({'label': label, 'e': e}) AS m FROM r GROUP BY vec_id)),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, coalesce(list_sum(list_transform(range(1, least(len(a.e), len(c.e)) + 1), lambda i: a.e[i] * c.e[i])), 0)::HUGEINT AS score
     FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
 p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
 n AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score FROM p JOIN s USING (anchor_id)

@@ -14,7 +14,8 @@ of vectors goes once to each such batch of query blocks that it may matter to.
 Edge cases: vectors that are null or have null or non-finite components, and rows of null id, take no part; shorter
 vectors count as zeros beyond their end; rows that share an id count once, the smallest vector; fewer candidates than k
 give all of them; ties go to the smaller id; an empty table gives no rows; other columns are not read.
-Scores are exact for components below 2^27 and any below 2^62 in sum; components beyond 2^62 count as 2^62.
+Scores are exact where they fit a long, whatever parts of the sum wrap to; beyond it they stop at its ends. Components beyond 2^62
+count as 2^62.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ from tidewell.llm import _shuffle
 K, EVERY, SCALE = 5, 50, 256
 #: Vectors in a block, queries in a block, and strata of length at most.
 BLOCK, QUERIES, STRATA = 8192, 2048, 512
-#: Leading axes of the partial sums, and vectors taken at a time.
-LEAD, STEP = 16, 512
+#: Leading axes of the partial sums, vectors taken at a time, and dimensions whose axes are worked out.
+LEAD, STEP, ROTATED = 16, 512, 1024
 #: Blocks of queries that meet a block of vectors in one task call.
 TOGETHER = 16
+LOWEST = np.iinfo(np.int64).min
 VECTOR_DDL = "vec_id long, v binary, norm double"
 BLOCK_DDL = "block long, n int, top double, ids binary, v binary"
 
@@ -66,20 +68,28 @@ def vectors(rows: DataFrame, dims: int, width: int) -> DataFrame:
 
 
 def rotation(rows: DataFrame, dims: int, width: int) -> np.ndarray:
-    """Orthonormal axes in order of the length that all vectors have along them; dims * dims numbers a task reach the driver's sum."""
+    """The LEAD orthonormal axes along which all vectors have most of their length, as columns; the tasks' matrices are added in two steps.
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dims, dims))
-        for batch in batches:
-            m = _matrix(b"".join(batch["v"].to_pylist()), batch.num_rows, width).astype(np.float64)
-            total += m.T @ m
-        r, c = np.divmod(np.arange(dims * dims), dims)
-        yield pa.RecordBatch.from_arrays([pa.array(r * dims + c), pa.array(total.ravel())], names=["at", "x"])
+    Beyond ROTATED dimensions the axes are those of the ROTATED dimensions with most length; any axes give right bounds.
+    """
+
+    def total(of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                total = total + of(_matrix(b"".join(batch["v"].to_pylist()), batch.num_rows, width).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array([] if isinstance(total, float) else [total.tobytes()], pa.binary())], names=["v"])
+
+        return rows.select("v").mapInArrow(run, "v binary")
 
-    out = np.zeros(dims * dims)
-    for r in rows.select("v").mapInArrow(moments, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
-        out[r["at"]] = r["x"]
-    return np.linalg.eigh(out.reshape(dims, dims))[1][:, ::-1]
+    chosen = np.arange(dims)
+    if dims > ROTATED:
+        chosen = np.sort(np.argsort(-_shuffle.summed(total(lambda m: (m**2).sum(0)), dims, np.float64))[:ROTATED])
+    n = len(chosen)
+    moments = _shuffle.summed(total(lambda m: m[:, chosen].T @ m[:, chosen]), n * n, np.float64).reshape(n, n)
+    axes = np.zeros((dims, min(LEAD, n)))
+    axes[chosen] = np.linalg.eigh(moments)[1][:, ::-1][:, :LEAD]
+    return axes
 
 
 def blocks(rows: DataFrame, block: F.Column) -> DataFrame:
@@ -109,11 +119,11 @@ class Best:
     def __init__(self, queries: int, k: int):
         self.k = k
         self.q, self.score, self.ids = (np.zeros(0, np.int64) for _ in range(3))
-        self.kth = np.full(queries, -(2.0**62))
+        self.kth = np.full(queries, LOWEST)
 
     def add(self, q: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         q, score, ids = np.concatenate([self.q, q]), np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
-        order = np.lexsort((ids, -score, q))
+        order = np.lexsort((ids, ~score, q))
         q = q[order]
         start = np.searchsorted(q, q, "left")
         rank = np.arange(len(q)) - start
@@ -127,29 +137,35 @@ def search(ids: np.ndarray, m: np.ndarray, qids: np.ndarray, q: np.ndarray, kth:
     """The k best vectors of a block for each query, among those that may reach the scores `kth` known before."""
     best = Best(len(qids), k)
     best.kth = np.maximum(best.kth, kth)
-    exact = float if (np.abs(m).max(initial=0) < 2**21 and np.abs(q).max(initial=0) < 2**21) else np.int64
+    largest = m.shape[1] * float(np.abs(m.astype(np.float64)).max(initial=0)) * float(np.abs(q.astype(np.float64)).max(initial=0))
+    exact = np.float64 if largest < 2.0**53 else np.int64  # sums that wrap still end where the whole one does
     qf, qr = q.astype(exact), q.astype(np.float64) @ axes
-    qn = np.sqrt((qr**2).sum(1))
-    lead = min(LEAD, m.shape[1])
-    q_rest = np.sqrt(np.maximum((qr[:, lead:] ** 2).sum(1), 0))
+    length = lambda x: np.sqrt((x.astype(np.float64) ** 2).sum(1))
+    rest_of = lambda norm, lead: np.sqrt(np.maximum(norm**2 - (lead**2).sum(1), 0))  # noqa: E731  beyond the leading axes
+    q_wide = q.astype(np.float64) if largest >= 2.0**62 else None
+    qn = length(q)
+    q_rest = rest_of(qn, qr)
     for a in range(0, len(ids), STEP):
         part = m[a : a + STEP]
         r = part.astype(np.float64) @ axes
-        norm = np.sqrt((r**2).sum(1))
-        slack = 1e-9 * qn * norm[0] + 0.5
-        on = np.flatnonzero(qn * norm[0] + slack >= best.kth)  # by length alone; all later vectors are shorter
+        norm = length(part)
+        slack = 1e-7 * qn * norm[0] + 0.5  # a residual that is nearly 0 is off by some 1e-8 of the length
+        reach = np.where(best.kth > LOWEST, np.nextafter(best.kth.astype(np.float64), -np.inf), -np.inf)  # not above the k-th best, whatever its float was rounded to
+        on = np.flatnonzero(qn * norm[0] + slack >= reach)  # by length alone; all later vectors are shorter
         if not len(on):
             break
-        rest = np.sqrt(np.maximum((r[:, lead:] ** 2).sum(1), 0))
-        bound = qr[on, :lead] @ r[:, :lead].T + q_rest[on, None] * rest[None, :]
-        open_ = (bound + slack[on, None] >= best.kth[on, None]) & (qids[on, None] != ids[None, a : a + STEP])
+        bound = qr[on] @ r.T + q_rest[on, None] * rest_of(norm, r)[None, :]
+        open_ = (bound + slack[on, None] >= reach[on, None]) & (qids[on, None] != ids[None, a : a + STEP])
         i, j = np.nonzero(open_)
         if not len(i):
             continue
         if len(i) * 8 > open_.size:
-            score = np.rint(qf[on] @ part.astype(exact).T).astype(np.int64)[i, j]
+            score = (qf[on] @ part.astype(exact).T).astype(np.int64)[i, j]
         else:
-            score = np.rint((qf[on[i]] * part[j].astype(exact)).sum(1)).astype(np.int64)
+            score = (qf[on[i]] * part[j].astype(exact)).sum(1).astype(np.int64)
+        if q_wide is not None:
+            size = (q_wide[on[i]] * part[j].astype(np.float64)).sum(1)
+            score = np.where(size >= 2.0**63, -(LOWEST + 1), np.where(size < -(2.0**63), LOWEST, score))
         ok = score >= best.kth[on[i]]
         best.add(on[i[ok]], score[ok], ids[a + j[ok]])
     return best
@@ -182,7 +198,7 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
             ids, m = np.frombuffer(r["ids"], np.int64), _matrix(r["v"], r["n"], width)
             for x in asking.to_pylist():
                 qids = np.frombuffer(x["qids"], np.int64)
-                kth = np.frombuffer(x["kth"], np.float64) if x["kth"] else np.full(len(qids), -(2.0**62))
+                kth = np.frombuffer(x["kth"], np.int64) if x["kth"] else np.full(len(qids), LOWEST)
                 b = search(ids, m, qids, _matrix(x["q"], x["qn"], width), kth, axes, k)
                 out.append((np.full(len(b.q), x["qb"]), qids[b.q], b.ids, b.score))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["qb", "query_id", "vec_id", "score"])
@@ -199,12 +215,12 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     def limits(table: pa.Table, scores: pa.Table) -> pa.Table:
         r = table.to_pylist()[0]
         qids, q = np.frombuffer(r["qids"], np.int64), _matrix(r["q"], r["qn"], width)
-        kth = np.full(len(qids), -(2.0**62))
+        kth = np.full(len(qids), LOWEST)
         order = np.argsort(qids)
         at = order[np.searchsorted(qids[order], scores["query_id"].to_numpy())]
         count = np.bincount(at, minlength=len(qids))
-        low = np.full(len(qids), np.inf)
-        np.minimum.at(low, at, scores["score"].to_numpy().astype(np.float64))
+        low = np.full(len(qids), -(LOWEST + 1))
+        np.minimum.at(low, at, scores["score"].to_numpy())
         kth[count >= k] = low[count >= k]
         norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
         ratio = np.where(norm > 0, (kth - 0.5) / np.maximum(norm, 1e-300), np.where(kth > 0.5, np.inf, -np.inf))
@@ -221,9 +237,10 @@ def top_products(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
 #: The same in DuckDB's SQL.
 OP5_SQL = """
-WITH v AS (SELECT vec_id, list_transform(min(embedding), lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(min(list_transform(embedding, lambda x: x::DOUBLE)), lambda x: least(greatest(floor(256 * x), -4611686018427387904::DOUBLE), 4611686018427387904::DOUBLE)::HUGEINT) AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])), 0)::HUGEINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+t AS (SELECT query_id, vec_id, least(greatest(score, -9223372036854775808::HUGEINT), 9223372036854775807::HUGEINT)::BIGINT AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM t)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """

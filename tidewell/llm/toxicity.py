@@ -3,7 +3,7 @@
 A word is the bag of its character n-grams (3 to 6 bytes of the word between marks, hashed to slots), its vector the
 mean of their embeddings; a text is the mean of its words. A softmax over that mean gives the score. An unseen spelling
 thus has the n-grams, and so the vectors, that it shares with known ones. Training takes PER_CLASS labelled rows of each
-label at most (the ones with the least hashes, SAMPLE_BYTES in all; a text that would exceed its label's half ends it) and corrects the intercept for the labels' true shares, counted on all
+label at most (the ones with the least hashes, SAMPLE_BYTES in all; a text above an eighth of that is passed over, or cut if its label has no other) and corrects the intercept for the labels' true shares, counted on all
 learnable rows. As mean and softmax are linear, a task that scores needs one number a slot, SLOTS in all, broadcast.
 
 Edge cases: null, empty and wordless texts get the score of the intercept alone; very long texts are averaged whole, in
