@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,18 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with up to `most` bytes of text, or one longer text."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(size), 0
+        while start < batch.num_rows:
+            told = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, told + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = (h ^ (h >> U64(30))) * _M2

@@ -30,8 +30,8 @@ SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64_000_000
 SLOTS, SIZES, SCALE = 1 << 15, (1, 2, 3), 30.0
 #: FTRL's learning rate parameters and elastic-net penalties, passes over the sample and texts a step.
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 0.012, 0.001, 4, 16
-#: Characters that are looked at together.
-STRIP = 1_000_000
+#: Characters that are looked at together, and bytes of text whose strings a task holds.
+STRIP, PORTION = 250_000, 4_000_000
 UNKNOWN = "und"
 
 
@@ -96,7 +96,7 @@ def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS + 1, np.uint32)
         seen, current = np.zeros(SLOTS, bool), -1
-        for batch in batches:
+        for batch in _seq.portions(batches, "text", PORTION):
             for first, c, off, ahead in strips(strings(batch["text"])):
                 slots = list(gram_slots(c, off, ahead))
                 for d in range(len(off) - 1):
@@ -179,7 +179,8 @@ def train(texts: list[str], langs: list[str], idf: np.ndarray, seed: int = 3) ->
     x = features(texts, idf)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
-    valid, fit = order[::VALID], np.delete(order, np.arange(0, len(order), VALID))
+    apart = np.setdiff1d(np.arange(0, len(order), VALID), np.unique(y[order], return_index=True)[1])  # each language's first text trains
+    valid, fit = order[apart], np.delete(order, apart)
     model = Ftrl(len(names))
     for _ in range(EPOCHS):
         fit = rng.permutation(fit)
@@ -232,7 +233,7 @@ def languages(docs: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_class))  # SLOTS weights for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _seq.portions(batches, "text", PORTION):
             if model.value is None:
                 names, best, score = [], np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             else:
