@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,108 @@ def test_order_statistics_fit(spark):
     rows = spark.createDataFrame([("k", math.exp(1 + 0.5 * z)) for z in (-1.2, -0.5, 0.0, 0.5, 1.2)], "k string, v double")
     got = stats.order_statistics_fit(rows, ["k"], "v").first()
     assert got["detects"] == 5 and got["intercept"] == pytest.approx(1.0, abs=1e-6) and got["slope"] == pytest.approx(0.5, rel=0.1)
+
+
+def test_cut_sets_over_all(spark):
+    """Against every set of up to three origins, over all topics at once."""
+    import itertools
+    import random
+
+    def brute(rows):
+        groups = {}
+        for _, topic, p, stance, _, _, origins, _ in rows:
+            groups.setdefault((topic, p), []).append((stance == "oppose", set(origins)))
+        groups = [g for g in groups.values() if len({a for a, _ in g}) == 2]
+        every = sorted({o for g in groups for _, os in g for o in os})
+        for k in range(1, 4) if groups else ():
+            cuts = [c for c in itertools.combinations(every, k) if all(len({a for a, os in g if not os & set(c)}) < 2 for g in groups)]
+            if cuts:
+                return [("computed", len(groups), k, c) for c in cuts[:20]]
+        return [("cutset-exceeds-search-limit", len(groups), None, ())] if groups else []
+
+    rng, seen = random.Random(4), set()
+    for size in (4, 8, 8, 14, 14, 14):
+        rows = [(i, rng.choice("tu"), rng.choice("pq"), rng.choice(["oppose", "support"]), "a", 1.0, rng.sample("abcdefg", rng.choice([1, 1, 2])), False) for i in range(size)]
+        got = [(r["status"], r["groups"], r["cut_size"], tuple(r["cut"] or ())) for r in evidence.cut_sets_over_all(spark.createDataFrame(rows, CLAIMS)).collect()]
+        assert got == brute(rows)
+        seen.add(got[0][2] if got else 0)
+    assert len(seen) > 2
+    assert evidence.cut_sets_over_all(spark.createDataFrame([], CLAIMS)).count() == 0
+
+
+def test_ranks():
+    from tidewell.operators.ranks import Ranks, rises
+
+    rng = np.random.default_rng(1)
+    for n, high in ((1, 1), (7, 3), (200, 20), (300, 10**6)):
+        values = rng.integers(0, high, n).astype(float)
+        ranks = Ranks(values)
+        lo = rng.integers(0, n + 1, 60)
+        hi = np.maximum(lo, rng.integers(0, n + 1, 60))
+        x = rng.integers(-1, high + 1, 60).astype(float)
+        assert ranks.below(lo, hi, x).tolist() == [int((values[a:b] < y).sum()) for a, b, y in zip(lo, hi, x)]
+        assert ranks.below(lo, hi, x, equal=True).tolist() == [int((values[a:b] <= y).sum()) for a, b, y in zip(lo, hi, x)]
+        full = hi > lo
+        two = (np.full(full.sum(), 0), np.full(full.sum(), min(3, n)))
+        parts = [np.sort(np.concatenate([values[a:b], values[: min(3, n)]])) for a, b in zip(lo[full], hi[full])]
+        k = np.array([rng.integers(0, len(p)) for p in parts])
+        assert ranks.kth([(lo[full], hi[full]), two], k).tolist() == [p[i] for p, i in zip(parts, k)]
+        assert rises(values) == sum(int(np.sign(values[j] - values[i])) for i in range(n) for j in range(i + 1, n))
+
+
+def test_peers_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    day = lambda: rng.choice([None, None, dt.date(2010, 1, 1)] + [dt.date(2010, 1, 1) + dt.timedelta(days=rng.randrange(3000)) for _ in range(9)])
+    rows = [(f"p{i}", rng.choice("XY"), "INOR", None if (c := rng.random() < 0.1) else float(rng.randrange(12)), c, day()) for i in range(240)]
+    got = {(r["s"], r["a"]): r for r in evidence.peer_percentile(spark.createDataFrame(rows, "s string, a string, g string, v double, c boolean, d date"), "s", "a", "g", "v", "c", "d").collect()}
+    assert len(got) == len(rows)
+    for s, a, _, v, c, d in rows:
+        peers = sorted(w for t, b, _, w, censored, e in rows if b == a and t != s and not censored and (d is None or e is None or abs((d - e).days) <= 366))
+        r = got[s, a]
+        if c:
+            assert r["status"] == "current-result-censored"
+            continue
+        assert r["peer_count"] == len(peers)
+        if len(peers) < 5:
+            assert r["status"] == "insufficient-peer-coverage" and r["percentile"] is None
+            continue
+        assert r["percentile"] == pytest.approx((sum(p < v for p in peers) + 0.5 * sum(p == v for p in peers)) / len(peers))
+        assert (r["peer_median"], r["peer_min"], r["peer_max"]) == (float(np.median(peers)), peers[0], peers[-1])
+
+
+def test_long_series(spark):
+    """Variances beyond an integer, ties, and a hundred thousand values."""
+    rows = spark.range(1023).selectExpr("'a' AS k", "id", "double(id) AS v").unionAll(spark.range(1024).selectExpr("'b'", "id", "double(-id)")).unionAll(spark.range(100_000).selectExpr("'c'", "id", "double(id % 1000)")).unionAll(spark.range(50).selectExpr("'d'", "id", "1.0D"))
+    got = {r["k"]: r for r in stats.mann_kendall(rows, ["k"], F.col("id"), "v").collect()}
+    n = 1024
+    assert got["a"]["s_stat"] == 1023 * 1022 / 2 and got["b"]["s_stat"] == -n * (n - 1) / 2 and got["b"]["variance"] == n * (n - 1) * (2 * n + 5) / 18
+    assert got["c"]["s_stat"] == 100 * 1000 * 999 / 2 and got["c"]["direction"] == "increasing"  # a saw: between two teeth rises and falls are even
+    assert got["d"]["s_stat"] == 0 and got["d"]["direction"] == "no-monotonic-direction"
+
+
+def test_seasonal_trend(spark):
+    rows = [("a", m, y, float(y)) for m in (1, 2) for y in range(4)] + [("b", 1, y, 1.0) for y in range(3)] + [("c", 1, 1, 1.0)]
+    got = {r["k"]: (r["s_stat"], r["pairs"], r["direction"]) for r in stats.seasonal_kendall(spark.createDataFrame(rows, "k string, m int, y int, v double"), ["k"], "m", F.col("y"), "v").collect()}
+    assert got == {"a": (12.0, 12, "increasing"), "b": (0.0, 3, "insufficient")}
+
+
+def test_scans_have_no_single_partition(spark):
+    """Ranks, q-values and fronts against a plain pass, with ties and a single value, and no window without a partition."""
+    import random
+
+    rng = random.Random(3)
+    for rows in ([(i, rng.choice([0.001, 0.5, 1.0, rng.random()])) for i in range(300)], [(1, 0.2)], [(i, 0.5) for i in range(40)]):
+        out = stats.benjamini_hochberg(spark.createDataFrame(rows, "id int, p double"), "id", "p")
+        assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+        ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+        least, want = 1.0, {}
+        for k in range(len(ordered), 0, -1):
+            least = min(least, ordered[k - 1][1] * len(rows) / k)
+            want[ordered[k - 1][0]] = (k, least)
+        assert {r["id"]: (r["rank"], pytest.approx(r["q"])) for r in out.collect()} == want
+    rows = [(i, float(rng.randrange(25)), float(rng.randrange(25))) for i in range(150)]
+    out = evidence.pareto_front(spark.createDataFrame(rows, "id int, u double, c double"), "u", "c", "id")
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"] for r in out.collect()} == {i for i, u, c in rows if not any(x >= u and y <= c and (x > u or y < c) for _, x, y in rows)}

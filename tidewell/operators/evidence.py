@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.measure import first_number, normalized
 from tidewell.functions.scores import clamp
+from tidewell.operators.ranks import Ranks
+from tidewell.operators.scan import PART, carried, in_ranges
+from tidewell.streaming.folder import shared_folder
 
 
 #: Steps of a logarithm's unit in which results are compared, as ranges of windows are whole numbers.
@@ -56,6 +59,8 @@ def reconcile(ours: DataFrame, theirs: DataFrame, key: Sequence[str], status: st
     return out.withColumn("severity", severity).drop("_a", "_b")
 
 
+#: The stretch of rows without a date.
+UNDATED = -(2**40)
 #: Groups of analytes that systems are compared in.
 COMPARABLE = ("INOR", "DBP", "VOC", "SOC", "RAD", "PFAS", "MICRO", "METAL")
 PEERS = "status string, peer_count long, percentile double, band string, peer_median double, peer_min double, peer_max double"
@@ -64,40 +69,57 @@ PEERS = "status string, peer_count long, percentile double, band string, peer_me
 def peer_percentile(latest: DataFrame, system: str, analyte: str, group: str, value: str, censored: str, date: str, least: int = 5, days: int = 366) -> DataFrame:
     """Each system's latest result among the latest uncensored ones of other systems whose dates are near.
 
-    latest: one row for each system and analyte. The share of peers below, plus half of the equal ones, gives the band.
-    An analyte's rows, one a system, are sorted by date in one task; a row's peers are then a stretch of them.
+    latest: one row for each system and analyte. The share of peers below, plus half of the equal ones, gives the band. A missing
+    date is near all. An analyte's dates are cut into stretches of `days`, and a stretch meets its two neighbours' rows; rows
+    without a date are peers in every stretch and meet all rows in one of their own. In a stretch peers stand by date,
+    and counts and order statistics of a window of dates come from its ranks in log time.
     """
     near = [c for c in (system, analyte)]
     rows = latest.filter(F.col(group).isNull() | (F.trim(group) == "") | F.upper(F.trim(group)).isin(*COMPARABLE)).filter(F.col(censored) | F.col(value).isNotNull())
-    rows = rows.select(*near, F.when(~F.col(censored), F.col(value)).cast("double").alias("_v"), F.unix_date(F.col(date).cast("date")).cast("double").alias("_d"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        v, d = table["_v"].to_numpy(zero_copy_only=False).astype(float), table["_d"].to_numpy(zero_copy_only=False).astype(float)
-        usable = np.flatnonzero(~np.isnan(v))
-        usable = usable[np.argsort(d[usable], kind="stable")]  # dates that are missing come last
-        dates, values = d[usable], v[usable]
-        dated = int((~np.isnan(dates)).sum())
-        out = []
-        for x, t in zip(v.tolist(), d.tolist()):
-            if np.isnan(x):
-                out.append(("current-result-censored", 0, None, None, None, None, None))
-                continue
-            lo, hi = (0, dated) if np.isnan(t) else (int(np.searchsorted(dates[:dated], t - days, "left")), int(np.searchsorted(dates[:dated], t + days, "right")))
-            peers = np.concatenate([values[lo:hi], values[dated:]])
-            n = len(peers) - 1  # the row itself is among them
-            if n < least:
-                out.append(("insufficient-peer-coverage", n, None, None, None, None, None))
-                continue
-            others = np.delete(peers, int(np.flatnonzero(peers == x)[0]))
-            share = float((others < x).sum() + 0.5 * (others == x).sum()) / n
-            band = "upper-decile" if share >= 0.9 else "upper-quartile" if share >= 0.75 else "lower-decile" if share <= 0.1 else "lower-quartile" if share <= 0.25 else "middle-half"
-            out.append(("comparable", n, share, band, float(np.median(others)), float(others.min()), float(others.max())))
-        kinds = [pa.string(), pa.int64(), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
-        names = [c.split()[0] for c in PEERS.split(", ")]
-        return pa.table([*[table[c] for c in near], *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]], names=[*near, *names])
+    day = F.unix_date(F.col(date).cast("date"))
+    rows = rows.select(*near, F.when(~F.col(censored), F.col(value)).cast("double").alias("_v"), day.cast("double").alias("_d"), F.floor(day / days).alias("_t"))
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  columns of their own, as both sides come from the same rows
+    asked = rows.withColumn("_t", F.coalesce("_t", F.lit(UNDATED)))
+    usable = rows.filter("_v is not null and not isnan(_v)")
+    open_ = asked.select(analyte, "_t").distinct()
+    dated, undated = usable.filter("_t is not null"), usable.filter("_t is null").drop("_t")
+    around = dated.withColumn("_t", F.explode(F.array(F.col("_t") - 1, F.col("_t"), F.col("_t") + 1))).join(open_, [analyte, "_t"], "left_semi")
+    peers = around.unionByName(undated.join(open_, analyte)).unionByName(dated.drop("_t").join(open_.filter(F.col("_t") == UNDATED), analyte))
+
+    def compare(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        x, t = (mine[c].to_numpy(zero_copy_only=False).astype(float) for c in ("_v", "_d"))
+        values, dates = (theirs[c].to_numpy(zero_copy_only=False).astype(float) for c in ("_v", "_d"))
+        order = np.argsort(dates, kind="stable")  # dates that are missing come last
+        values, dates = values[order], dates[order]
+        known = int((~np.isnan(dates)).sum())
+        told = np.flatnonzero(~np.isnan(x))
+        v, d = x[told], t[told]
+        lo = np.where(np.isnan(d), 0, np.searchsorted(dates[:known], d - days, "left"))
+        hi = np.where(np.isnan(d), known, np.searchsorted(dates[:known], d + days, "right"))
+        stretches = [(lo, hi), (np.full(len(v), known), np.full(len(v), len(values)))]
+        n = sum(b - a for a, b in stretches) - 1  # the row itself is among them
+        status = np.full(len(x), "current-result-censored", object)
+        status[told] = np.where(n >= least, "comparable", "insufficient-peer-coverage")
+        count = np.zeros(len(x), np.int64)
+        count[told] = n
+        out = {c: np.full(len(x), np.nan) for c in ("percentile", "peer_median", "peer_min", "peer_max")}
+        at = np.flatnonzero(n >= least)
+        if len(at):
+            ranks, stretches, n, v = Ranks(values), [(a[at], b[at]) for a, b in stretches], n[at], v[at]
+            below = sum(ranks.below(a, b, v) for a, b in stretches)
+            equal = sum(ranks.below(a, b, v, equal=True) for a, b in stretches) - below - 1
+            other = lambda k: ranks.kth(stretches, k + (k >= below))  # noqa: E731  its own place is passed over
+            out["percentile"][told[at]] = (below + 0.5 * equal) / n
+            out["peer_median"][told[at]] = (other((n - 1) // 2) + other(n // 2)) / 2
+            out["peer_min"][told[at]], out["peer_max"][told[at]] = other(np.zeros(len(n), np.int64)), other(n - 1)
+        share = out["percentile"]
+        band = np.select([np.isnan(share), share >= 0.9, share >= 0.75, share <= 0.1, share <= 0.25], ["", "upper-decile", "upper-quartile", "lower-decile", "lower-quartile"], "middle-half")
+        number = lambda c: pa.array(out[c], pa.float64(), from_pandas=True)
+        made = [pa.array(status, pa.string()), pa.array(count), number("percentile"), pa.array([b or None for b in band.tolist()], pa.string()), *map(number, ("peer_median", "peer_min", "peer_max"))]
+        return pa.table([*[mine[c] for c in near], *made], names=[*near, *[c.split()[0] for c in PEERS.split(", ")]])
 
     types = dict(rows.dtypes)
-    return rows.groupBy(analyte).applyInArrow(compare, ", ".join(f"{c} {types[c]}" for c in near) + ", " + PEERS)
+    return fresh(asked).groupBy(analyte, "_t").cogroup(fresh(peers).groupBy(analyte, "_t")).applyInArrow(compare, ", ".join(f"{c} {types[c]}" for c in near) + ", " + PEERS)
 
 
 def coverage_cells(rows: DataFrame, axes: Sequence[str], censored: str, value: str) -> DataFrame:
@@ -182,11 +204,13 @@ def beta_posterior(rows: DataFrame, priors: DataFrame, key: str = "agent") -> Da
 def pareto_front(rows: DataFrame, utility: str, cost: str, row_id: str) -> DataFrame:
     """Rows that no other row beats in one of higher utility and lower cost without being worse in the other.
 
-    By descending utility, a row is on the front if its cost is below every cost at a higher utility and the least at its own.
+    By descending utility, a row is on the front if its cost is below every cost at a higher utility and the least at its own;
+    least costs are carried over ranges of utility. Rows that lack one of the two are on no front.
     """
-    at = rows.groupBy(utility).agg(F.min(cost).alias("_least"))
-    w = Window.orderBy(F.col(utility).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    front = at.withColumn("_before", F.min("_least").over(w)).filter("_before is null or _least < _before")
+    at = in_ranges(rows.groupBy(utility).agg(F.min(cost).alias("_least")).filter(F.col(utility).isNotNull() & F.col("_least").isNotNull()), F.col(utility).desc())
+    w = Window.partitionBy(PART).orderBy(F.col(utility).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.least(F.min("_least").over(w), carried(at, F.min("_least"), min, None))
+    front = at.withColumn("_before", before).filter("_before is null or _least < _before")
     return rows.join(front.select(utility, F.col("_least").alias(cost)), [utility, cost]).select(row_id, utility, cost)
 
 
@@ -241,6 +265,34 @@ def cut_sets(claims: DataFrame, most: int = 3, sets: int = 20) -> DataFrame:
     return open_.groupBy("topic").applyInArrow(search, f"topic {dict(claims.dtypes)['topic']}, " + CUTS)
 
 
+def cut_sets_over_all(claims: DataFrame, most: int = 3, sets: int = 20) -> DataFrame:
+    """The smallest sets of origins whose removal leaves no group of any topic with both stances, searched over all topics at once.
+
+    One row for each set (the first `sets` in order), one without a set where none of up to `most` origins does, none without
+    contradictions. While a group is open under a set, some claim of its lesser ones on either side must fall, so the set
+    needs an origin of one of these two. A step holds all claims against the sets so far, in partial sums, and brings one open
+    group a set to the driver; sets are at most (origins of two claims) ** steps, however many claims there are.
+    """
+    told = origins_of(claims)
+    group = ["topic", "proposition"]
+    both = claims.groupBy(*group).agg(F.bool_or(F.col("stance") == "oppose").alias("o"), F.bool_or(F.col("stance") != "oppose").alias("s")).filter("o and s").select(*group)
+    shared_folder(claims.sparkSession)
+    rows = told.join(both, group).select(*group, (F.col("stance") == "oppose").alias("against"), F.array_sort("_origins").alias("origins")).distinct().checkpoint(eager=True)
+    n, schema = both.count(), "status string, groups long, cut_size int, cut array<string>"
+    spark, frontier = claims.sparkSession, [()]
+    for size in range(most + 1):
+        cuts = F.broadcast(spark.createDataFrame([(i, list(c)) for i, c in enumerate(frontier)], "i int, cut array<string>"))  # the frontier
+        alive = rows.crossJoin(cuts).filter(~F.arrays_overlap("origins", "cut"))
+        claim = F.struct(F.size("origins").alias("n"), F.col("origins"))
+        sides = alive.groupBy("i", *group).agg(F.min(F.when(F.col("against"), claim)).alias("o"), F.min(F.when(~F.col("against"), claim)).alias("s")).filter("o is not null and s is not null")
+        left = {r["i"]: r["g"] for r in sides.groupBy("i").agg(F.min(F.struct(F.col("o.n") + F.col("s.n"), *group, "o", "s")).alias("g")).collect()}
+        done = sorted(c for i, c in enumerate(frontier) if i not in left)
+        if done:
+            return spark.createDataFrame([("computed", n, size, list(c)) for c in done[:sets]] if n else [], schema)
+        frontier = sorted({tuple(sorted({*frontier[i], o})) for i, g in left.items() for o in {*g["o"]["origins"], *g["s"]["origins"]}})
+    return spark.createDataFrame([("cutset-exceeds-search-limit", n, None, None)], schema)
+
+
 def buckets(rows: DataFrame, p: Column, correct: Column, bins: int = 5) -> DataFrame:
     """Calibration bins of a probability: count, mean and how often it was right."""
     b = F.least(F.lit(bins - 1), F.floor(p * bins)).cast("int")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.measure import normalized
 from tidewell.functions.text import canonical_tokens, jaccard
+from tidewell.streaming.folder import shared_folder
 
 
 # Scores of a label's match by the kind of name that it meets: equal, within one another.
@@ -32,25 +33,29 @@ def _overlap_keys(names: DataFrame) -> DataFrame:
     return keyed.withColumn("t", F.explode(F.slice("rare", F.lit(1), F.col("m") - F.ceil((F.col("m") + F.col("n")) / 3).cast("int") + 1)))
 
 
-def candidates(labels: DataFrame, systems: DataFrame, alternatives: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
-    """(label_id, pwsid, score, method) by the best rule for each pair.
+def matches(labels: DataFrame, systems: DataFrame, alternatives: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """(label_id, entity, is_alias, pwsid, place, score, method, rung) for each system of each name that a label meets by a rule.
 
     labels: label_id, label, label_pwsid. systems: pwsid, name. alternatives: pwsid, name of a part of a system.
     aliases: name, pwsids that it stands for. Rules: the id itself; equal canonical names; one name's tokens within the
     other's, where the inner one has two tokens or is an alias or within one; a label's only token, if one system alone has
-    it; and for systems' own names token overlap. Only ids of systems count.
+    it; and for systems' own names token overlap. Only ids of systems count. An entity is a system, or an alias's canonical
+    name with its systems, so that spellings of one alias are one; place is a system's place in an alias, rung the rule's number.
 
     Pairs meet by the rarest token of the inner name, by the whole canonical name, or by a prefix of their rarest tokens
     for their two sizes, so a token that very many names share makes no pairs of its own. Names without tokens meet nothing.
     """
     left = labels.withColumn("lt", canonical_tokens(F.col("label")))
     known = systems.select("pwsid").distinct()
-    by_id = left.join(known, F.col("label_pwsid") == F.col("pwsid")).select("label_id", "pwsid", F.lit(1.0).alias("score"), F.lit("id").alias("method"))
+    itself = [F.concat(F.lit("SYS:"), F.col("pwsid")).alias("entity"), F.lit(False).alias("is_alias"), "pwsid", F.lit(0).alias("place")]
+    by_id = left.join(known, F.col("label_pwsid") == F.col("pwsid")).select("label_id", *itself, F.lit(1.0).alias("score"), F.lit("id").alias("method"), F.lit(0).alias("rung"))
     names = systems.select(F.array("pwsid").alias("ids"), "name", F.lit("system").alias("kind"))
     if alternatives is not None:
         names = names.unionByName(alternatives.select(F.array("pwsid").alias("ids"), "name", F.lit("alternative").alias("kind")))
     if aliases is not None:
-        names = names.unionByName(aliases.select(F.col("pwsids").alias("ids"), "name", F.lit("alias").alias("kind")))
+        every_id = aliases.select("name", "pwsids", F.posexplode("pwsids").alias("place", "pwsid")).join(known, "pwsid", "left_semi")
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "pwsid"))), lambda p: p["pwsid"])
+        names = names.unionByName(every_id.groupBy("name", "pwsids").agg(F.array_distinct(listed).alias("ids")).select("ids", "name", F.lit("alias").alias("kind")))
     names = names.select("ids", "kind", canonical_tokens(F.col("name")).alias("ts")).filter(F.size("ts") > 0).distinct()
     left = left.select("label_id", F.col("lt").alias("ts")).filter(F.size("ts") > 0).distinct()
     every = left.select(F.explode("ts").alias("t")).unionAll(names.select(F.explode("ts").alias("t")))
@@ -71,11 +76,20 @@ def candidates(labels: DataFrame, systems: DataFrame, alternatives: DataFrame |
     own = F.col("kind") == "system"
     score = F.when(same, ladder[F.col("kind")][0]).when(inside, ladder[F.col("kind")][1]).when(own & (j >= 0.5), 0.8 + 0.1 * j)
     method = F.when(same, F.concat("kind", F.lit("-exact"))).when(inside, F.concat("kind", F.lit("-subset"))).otherwise("token-overlap")
-    by_name = pairs.select("label_id", F.explode("ids").alias("pwsid"), score.alias("score"), method.alias("method")).filter("score is not null")
+    alias = F.col("kind") == "alias"
+    entity = F.when(alias, F.concat(F.lit("ALIAS:"), F.array_join("rt", " "), F.lit(":"), F.array_join(F.array_sort("ids"), ","))).otherwise(F.concat(F.lit("SYS:"), F.col("pwsid")))
+    rung = F.when(F.col("kind") == "alternative", 1).when(alias, 2).when(same, 3).when(inside, 4).otherwise(6)
+    by_name = pairs.withColumns({"score": score, "method": method, "rung": rung}).filter("score is not null").select("*", F.posexplode("ids").alias("place", "pwsid"))
+    by_name = by_name.select("label_id", entity.alias("entity"), alias.alias("is_alias"), "pwsid", "place", "score", "method", "rung")
     lone = names.filter("kind = 'system'").select(F.explode("ts").alias("t"), F.explode("ids").alias("pwsid")).groupBy("t").agg(F.min("pwsid").alias("pwsid"), F.max("pwsid").alias("_other")).filter("pwsid = _other")
-    by_token = left.filter(F.size("ts") == 1).withColumn("t", F.get("ts", F.lit(0))).join(lone, "t").select("label_id", "pwsid", F.lit(UNIQUE_TOKEN).alias("score"), F.lit("unique-token").alias("method"))
-    found = by_id.unionByName(by_name.unionByName(by_token).join(known, "pwsid", "left_semi"))
-    return found.groupBy("label_id", "pwsid").agg(F.max("score").alias("score"), F.max_by("method", "score").alias("method"))
+    by_token = left.filter(F.size("ts") == 1).withColumn("t", F.get("ts", F.lit(0))).join(lone, "t").select("label_id", *itself, F.lit(UNIQUE_TOKEN).alias("score"), F.lit("unique-token").alias("method"), F.lit(5).alias("rung"))
+    return by_id.unionByName(by_name.unionByName(by_token).join(known, "pwsid", "left_semi"))
+
+
+def candidates(labels: DataFrame, systems: DataFrame, alternatives: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """(label_id, pwsid, score, method) by the best rule for each pair of `matches`."""
+    found = matches(labels, systems, alternatives, aliases)
+    return found.groupBy("label_id", "pwsid").agg(F.max("score").alias("score"), F.max_by("method", F.struct("score", -F.col("rung"))).alias("method"))
 
 
 def provider_candidates(labels: DataFrame, systems: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -99,11 +113,82 @@ def provider_candidates(labels: DataFrame, systems: DataFrame, aliases: DataFram
 
 
 def consensus(found: DataFrame, labels: DataFrame, accept: float = 0.9, margin: float = 0.02) -> DataFrame:
-    """The winning system of each label, if it is good enough and no other comes close; ambiguity is reported."""
-    ranked = found.groupBy("label_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("score"), F.col("pwsid"))), asc=False), 1, 2).alias("top"), F.count("*").alias("candidates"))
-    first, second = F.get("top", F.lit(0)), F.get("top", F.lit(1))
-    out = labels.join(ranked, "label_id", "left").withColumns({"score": first["score"], "second": second["score"], "best": first["pwsid"]})
-    status = F.when(F.col("label").isNull() | (F.trim("label") == ""), "unassigned-no-provider-label").when(F.col("score").isNull() | (F.col("score") < accept), "named-provider-unresolved").when(F.col("score") - F.coalesce("second", F.lit(0.0)) < margin, "contested").otherwise("single-pws-resolved")
-    out = out.withColumn("status", status)
-    label = F.when(F.col("score") >= 0.98, "very-high").when(F.col("score") >= 0.95, "high").when(F.col("score") >= accept, "moderate")
-    return out.select("label_id", "status", F.when(F.col("status") == "single-pws-resolved", F.col("best")).alias("pwsid"), "score", F.when(F.col("status") == "single-pws-resolved", label).alias("confidence"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    """The decision on each label from its `matches`: one entity wins if its score is good enough and no other contests it.
+
+    The best entity wins (the earlier rung, then the lesser name, of equal ones). It is not contested by an entity of the very same systems, nor,
+    if it isn't an alias, by an alias that holds all its systems; an alias is contested by aliases alone. A contender within
+    `margin` leaves the label unresolved. A winner of several systems is ambiguous among them and stands by its first.
+
+    A label's entities are held against its winner, one row each, so a label that meets many names makes no pairs of them.
+    Labels that are null or blank and have no id are unassigned, whatever they meet.
+    """
+    best = F.struct(-F.col("score"), F.col("rung"), F.col("place"), F.col("pwsid"))
+    each = found.groupBy("label_id", "entity").agg(
+        F.first("is_alias").alias("is_alias"), F.array_sort(F.collect_set("pwsid")).alias("ids"), F.max("score").alias("score"), F.min("rung").alias("rung"), F.min_by("pwsid", best).alias("pwsid"), F.min_by("method", best).alias("method")
+    )
+    top = F.min(F.struct((-F.col("score")).alias("s"), F.col("rung").alias("r"), F.col("entity").alias("entity"), F.col("is_alias").alias("is_alias"), F.col("ids").alias("ids"), F.col("pwsid").alias("pwsid"), F.col("method").alias("method")))
+    each = each.withColumn("w", top.over(Window.partitionBy("label_id")))
+    parent = F.col("is_alias") & ~F.col("w.is_alias") & (F.size(F.array_except("w.ids", "ids")) == 0)
+    against = (F.col("entity") != F.col("w.entity")) & (F.col("ids") != F.col("w.ids")) & ~parent & (~F.col("w.is_alias") | F.col("is_alias"))
+    held = each.groupBy("label_id").agg(F.first("w").alias("w"), F.count("*").alias("entities"), F.max(F.when(against, F.col("score"))).alias("runner"))
+    out = labels.join(held, "label_id", "left").withColumn("score", -F.col("w.s"))
+    contested = F.coalesce(F.col("score") - F.col("runner") < margin, F.lit(False))
+    blank = (F.trim(F.coalesce("label", F.lit(""))) == "") & F.col("label_pwsid").isNull()
+    accepted = F.coalesce(~blank & (F.col("score") >= accept) & ~contested, F.lit(False))
+    many = F.size("w.ids") > 1
+    status = F.when(blank, "unassigned-no-provider-label").when(~F.col("accepted"), "named-provider-unresolved").when(many, "provider-only-multi-pws").otherwise("single-pws-resolved")
+    confidence = F.when(~F.col("accepted"), "unresolved").when(F.col("score") >= 0.98, "very-high").when(F.col("score") >= 0.95, "high").otherwise("moderate")
+    out = out.withColumns({"accepted": accepted, "contested": contested & ~blank})
+    return out.select(
+        *labels.columns, status.alias("status"), F.when(F.col("accepted"), F.col("w.pwsid")).alias("pwsid"), F.coalesce("w.ids", F.array().cast("array<string>")).alias("pwsids"), (F.col("accepted") & many).alias("sub_system_ambiguous"),
+        F.col("w.entity").alias("entity"), "score", F.col("w.method").alias("method"), confidence.alias("confidence"), "contested", F.coalesce("entities", F.lit(0)).alias("entities"),
+    )
+
+
+def narrowed(decided: DataFrame, systems: DataFrame, city: str = "city") -> DataFrame:
+    """Decisions among several systems settled by the label's city, where exactly one of them has it as its own.
+
+    Canonical cities match if one holds the other; the city adds no system that the decision doesn't have. systems: pwsid, city.
+    """
+    name = lambda c: F.array_join(canonical_tokens(c), " ")
+    members = decided.filter("sub_system_ambiguous").select("label_id", name(F.col(city)).alias("here"), F.explode("pwsids").alias("pwsid"))
+    theirs = systems.select("pwsid", name(F.col("city")).alias("there")).filter("there <> ''")
+    hit = members.filter("here <> ''").join(theirs, "pwsid").filter(F.contains("here", F.col("there")) | F.contains("there", F.col("here")))
+    one = hit.groupBy("label_id").agg(F.min("pwsid").alias("_one"), F.max("pwsid").alias("_other")).filter("_one = _other").drop("_other")
+    out = decided.join(one, "label_id", "left")
+    hit = F.col("_one").isNotNull()
+    put = lambda name, value: F.when(hit, value).otherwise(F.col(name))
+    return out.withColumns({
+        "status": put("status", F.lit("single-pws-resolved")), "pwsid": put("pwsid", F.col("_one")), "pwsids": put("pwsids", F.array("_one")), "sub_system_ambiguous": put("sub_system_ambiguous", F.lit(False)), "entity": put("entity", F.concat(F.lit("SYS:"), F.col("_one"))),
+        "method": put("method", F.concat("method", F.lit("+locality"))), "confidence": put("confidence", F.when(F.col("score") >= 0.98, "very-high").otherwise("high")),
+    }).drop("_one")
+
+
+def crosswalk(labels: DataFrame, systems: DataFrame, alternatives: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Each label's decision, by names and, where labels have a city, by place."""
+    decided = consensus(matches(labels, systems, alternatives, aliases), labels)
+    if "city" not in labels.columns:
+        return decided
+    shared_folder(labels.sparkSession)
+    return narrowed(decided.checkpoint(eager=True), systems)  # read twice
+
+
+def coverage(decided: DataFrame, sample: int = 25) -> DataFrame:
+    """One row of counts and shares over all decisions, with the first labels that stay unresolved or are ambiguous.
+
+    Samples are kept as the least of each task and then of all, so no list grows with the labels.
+    """
+    shared_folder(decided.sparkSession)
+    decided = decided.select("label_id", "status").checkpoint(eager=True)
+    n = lambda status: F.count_if(F.col("status") == status)
+    named = F.count("*") - n("unassigned-no-provider-label")
+    matched = n("single-pws-resolved") + n("provider-only-multi-pws")
+    pct = lambda part, of: F.coalesce(F.round(100.0 * part / F.nullif(of, F.lit(0)), 1), F.lit(0.0))
+    counts = decided.agg(
+        F.count("*").alias("labels"), named.alias("named"), n("unassigned-no-provider-label").alias("unassigned"), matched.alias("matched"), n("named-provider-unresolved").alias("unresolved"), n("provider-only-multi-pws").alias("multi"), n("single-pws-resolved").alias("single"),
+        pct(matched, named).alias("named_coverage_pct"), pct(n("single-pws-resolved"), named).alias("single_coverage_pct"),
+    )
+    for name, status in (("unresolved_sample", "named-provider-unresolved"), ("multi_sample", "provider-only-multi-pws"), ("unassigned_sample", "unassigned-no-provider-label")):
+        first = decided.filter(F.col("status") == status).select("label_id").orderBy("label_id").limit(sample).agg(F.sort_array(F.collect_list("label_id")).alias(name))
+        counts = counts.crossJoin(F.broadcast(first))  # one row each
+    return counts

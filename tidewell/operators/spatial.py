@@ -61,7 +61,7 @@ def ambiguity(points: DataFrame, polygons: DataFrame, point_id: str, edge: float
     hit = point_polygon_join(points, polygons).select(point_id, to_boundary(F.col("rings"), F.col("lon"), F.col("lat")).alias("_m"))
     near = hit.groupBy(point_id).agg(F.count("*").alias("polygons"), F.min("_m").alias("_m"))
     out = points.select(point_id).join(near, point_id, "left").withColumn("polygons", F.coalesce("polygons", F.lit(0).cast("long")))
-    return out.select(point_id, "polygons", (F.col("polygons") > 1).alias("overlap"), (F.col("polygons") == 0).alias("gap"), F.coalesce(F.col("_m") <= edge, F.lit(False)).alias("near_boundary"), F.round("_m", 1).alias("min_boundary_distance_m"))
+    return out.select(point_id, "polygons", (F.col("polygons") > 1).alias("overlap"), (F.col("polygons") == 0).alias("gap"), F.coalesce(F.col("_m") <= edge, F.lit(False)).alias("near_boundary"), F.col("_m").alias("min_boundary_distance_m"))
 
 
 def centroid(ring: Column) -> Column:

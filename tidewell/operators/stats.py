@@ -7,34 +7,53 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tidewell.functions.statistics import normal_quantile
+from tidewell.operators.ranks import rises
+from tidewell.operators.scan import PART, carried, in_ranges
 
 
-def mann_kendall(rows: DataFrame, key: Sequence[str], order: Column, value: str) -> DataFrame:
-    """S, its variance without tie correction, continuity-corrected z and direction of each series.
+def _rises(rows: DataFrame, key: Sequence[str], order: Column, value: str) -> DataFrame:
+    """(key, n, s_stat): each series' rising less its falling pairs. A series is sorted in one task, its values alone, in n log n."""
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    schema = StructType([*(StructField(k, types[k]) for k in key), StructField("n", IntegerType()), StructField("s_stat", DoubleType())])
 
-    A series is a bounded group (its dates), so its pairs are compared inside one array, not by a self join.
-    """
-    listed = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(value).alias("v"))))
-    series = rows.filter(F.col(value).isNotNull()).groupBy(*key).agg(F.transform(listed, lambda p: p["v"]).alias("_v"))  # a column, so that it is made once
-    later = lambda x, i: F.aggregate(F.slice("_v", i + 2, F.size("_v")), F.lit(0.0), lambda acc, y: acc + F.signum(y - x))
-    s = F.aggregate(F.transform("_v", later), F.lit(0.0), lambda acc, x: acc + x)
-    out = series.select(*key, F.size("_v").alias("n"), s.alias("s_stat"))
-    var = F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18
+    def count(table: pa.Table) -> pa.Table:
+        values = table.sort_by("_o")["_v"].to_numpy()
+        return pa.table([*(table[k][:1] for k in key), pa.array([len(values)], pa.int32()), pa.array([float(rises(values))])], names=[*key, "n", "s_stat"])
+
+    return rows.filter(F.col(value).isNotNull()).select(*key, order.alias("_o"), F.col(value).cast("double").alias("_v")).groupBy(*key).applyInArrow(count, schema)
+
+
+def mann_kendall(rows: DataFrame, key: Sequence[str], order: Column, value: str) -> DataFrame:
+    """S, its variance without tie correction, continuity-corrected z and direction of each series, of any length."""
+    n = F.col("n").cast("double")  # an integer's cube would overflow
     z = F.when(F.col("variance") == 0, 0.0).when(F.col("s_stat") > 0, (F.col("s_stat") - 1) / F.sqrt("variance")).when(F.col("s_stat") < 0, (F.col("s_stat") + 1) / F.sqrt("variance")).otherwise(0.0)
-    out = out.withColumn("variance", var).withColumn("z", z)
+    out = _rises(rows, key, order, value).withColumn("variance", n * (n - 1) * (2 * n + 5) / 18).withColumn("z", z)
     return out.withColumn("direction", F.when(F.col("z") > 0, "increasing").when(F.col("z") < 0, "decreasing").otherwise("no-monotonic-direction"))
 
 
+def seasonal_kendall(rows: DataFrame, key: Sequence[str], season: str, order: Column, value: str, least: int = 6) -> DataFrame:
+    """S and compared pairs of each series, summed over its seasons; fewer pairs than `least` give no direction."""
+    each = _rises(rows, [*key, season], order, value).withColumn("pairs", (F.col("n").cast("long") * (F.col("n") - 1) / 2).cast("long")).filter("pairs > 0")
+    out = each.groupBy(*key).agg(F.sum("s_stat").alias("s_stat"), F.sum("pairs").alias("pairs"))
+    return out.withColumn("direction", F.when(F.col("pairs") < least, "insufficient").when(F.col("s_stat") > 0, "increasing").when(F.col("s_stat") < 0, "decreasing").otherwise("no-trend"))
+
+
 def benjamini_hochberg(rows: DataFrame, row_id: str, p: str) -> DataFrame:
-    """q-values: running minimum from the largest p of p * n / rank."""
-    w = Window.orderBy(F.col(p).asc(), F.col(row_id).asc())
-    ranked = rows.withColumns({"rank": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy())})
-    down = Window.orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("n") / F.col("rank")).over(down))).select(row_id, p, "rank", "q")
+    """q-values: running minimum from the largest p of p * n / rank. Ranks and minima are carried over ranges of p."""
+    parted = in_ranges(rows.filter(F.col(p).isNotNull()), F.col(p), F.col(row_id))
+    w = Window.partitionBy(PART).orderBy(F.col(p).asc(), F.col(row_id).asc())
+    n = parted.count()
+    ranked = parted.withColumn("rank", (carried(parted, F.count("*"), lambda a, b: a + b, 0) + F.row_number().over(w)).cast("int"))
+    ratio = F.col(p) * F.lit(float(n)) / F.col("rank")
+    later = carried(ranked, F.min(ratio), min, 1.0, after=True)
+    own = F.min(ratio).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return ranked.withColumn("q", F.least(F.lit(1.0), own, later)).select(row_id, p, "rank", "q")
 
 
 def half_life(rows: DataFrame, key: Sequence[str], date: str, value: str) -> DataFrame:

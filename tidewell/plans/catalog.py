@@ -623,6 +623,25 @@ def _(v):
     return evidence.cut_sets(claims).withColumn("cut", F.array_join("cut", " "))
 
 
+GLOBAL_CLAIMS = "SELECT concat('T', CAST(user_id AS STRING)) AS topic, event_type AS proposition, event_id % 3 = 0 AS against, CASE WHEN event_id % 3 = 0 THEN concat('O', CAST(user_id % 3 AS STRING)) ELSE concat('O', CAST(3 + event_id % 8 AS STRING)) END AS o, concat('O', CAST(event_id % 4 AS STRING)) AS o2 FROM events"
+
+
+@query(
+    "gr04_cuts_over_all",
+    f"""WITH c AS ({GLOBAL_CLAIMS}), g AS (SELECT topic, proposition FROM c GROUP BY 1, 2 HAVING bool_or(against) AND bool_or(NOT against)),
+    k AS (SELECT DISTINCT topic, proposition, against, list_distinct([o, CASE WHEN against THEN o ELSE o2 END]) AS os FROM c JOIN g USING (topic, proposition)), n AS (SELECT DISTINCT unnest(os) AS o FROM k),
+    s AS (SELECT [o] AS cut FROM n UNION ALL SELECT [a.o, b.o] FROM n a JOIN n b ON a.o < b.o UNION ALL SELECT [a.o, b.o, d.o] FROM n a JOIN n b ON a.o < b.o JOIN n d ON b.o < d.o),
+    open_ AS (SELECT DISTINCT cut FROM (SELECT s.cut, topic, proposition FROM s JOIN k ON NOT list_has_any(s.cut, k.os) GROUP BY ALL HAVING bool_or(against) AND bool_or(NOT against))),
+    m AS (SELECT cut, len(cut) AS size, min(len(cut)) OVER () AS least, row_number() OVER (PARTITION BY len(cut) ORDER BY cut) AS i FROM s ANTI JOIN open_ USING (cut))
+    SELECT CASE WHEN m.cut IS NULL THEN 'cutset-exceeds-search-limit' ELSE 'computed' END AS status, groups, CAST(size AS INT) AS cut_size, array_to_string(cut, ' ') AS cut FROM (SELECT count(*) AS groups FROM g) LEFT JOIN m ON size = least AND i <= 20 WHERE groups > 0""",
+)
+def _(v):
+    o = F.concat(F.lit("O"), F.when(F.col("event_id") % 3 == 0, F.col("user_id") % 3).otherwise(3 + F.col("event_id") % 8))
+    origins = F.when(F.col("event_id") % 3 == 0, F.array(o)).otherwise(F.array(o, F.concat(F.lit("O"), F.col("event_id") % 4)))
+    claims = v("events").select(F.col("event_id").alias("claim_id"), F.concat(F.lit("T"), "user_id").alias("topic"), F.col("event_type").alias("proposition"), F.when(F.col("event_id") % 3 == 0, "oppose").otherwise("support").alias("stance"), origins.alias("origins"))
+    return evidence.cut_sets_over_all(claims).withColumn("cut", F.array_join("cut", " "))
+
+
 @query(
     "tk06_pareto",
     "SELECT claim_id, u, c FROM (SELECT event_id AS claim_id, round(value, 1) AS u, CAST(user_id % 97 AS DOUBLE) AS c FROM events) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT round(value, 1) AS u, CAST(user_id % 97 AS DOUBLE) AS c FROM events) b WHERE b.u >= a.u AND b.c <= a.c AND (b.u > a.u OR b.c < a.c))",
@@ -749,10 +768,10 @@ def _(v):
 
 @query(
     "sp03_ambiguity",
-    f"""SELECT address_id, n AS polygons, n > 1 AS overlap, n = 0 AS gap, coalesce(m <= 75, false) AS near_boundary, round(m, 1) AS min_boundary_distance_m FROM (SELECT p.address_id, count(g.feature_id) AS n, min(CASE WHEN g.feature_id IS NOT NULL THEN {BOUNDARY} END) AS m FROM tb_points p LEFT JOIN tb_polygons g ON {INSIDE} GROUP BY 1)""",
+    f"""SELECT address_id, n AS polygons, n > 1 AS overlap, n = 0 AS gap, coalesce(m <= 75, false) AS near_boundary, round(m, 5) AS min_boundary_distance_m FROM (SELECT p.address_id, count(g.feature_id) AS n, min(CASE WHEN g.feature_id IS NOT NULL THEN {BOUNDARY} END) AS m FROM tb_points p LEFT JOIN tb_polygons g ON {INSIDE} GROUP BY 1)""",
 )
 def _(v):
-    return spatial.ambiguity(v("tb_points"), _rings(v), "address_id")
+    return spatial.ambiguity(v("tb_points"), _rings(v), "address_id").withColumn("min_boundary_distance_m", r("min_boundary_distance_m", 5))  # places are a thousandth of a degree apart: no value is halfway
 
 
 @query("sp05_perturbation_stability")

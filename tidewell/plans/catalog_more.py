@@ -10,6 +10,7 @@ from tidewell.operators import choice, resolve
 from tidewell.plans.catalog import QUERIES, SQL, query, r
 from tidewell.plans.testbed import with_views
 from tidewell.streaming import events as E
+from tidewell.streaming import keyed as K
 
 TOKENS = """list_filter(list_transform(string_split(trim(regexp_replace(regexp_replace(upper({c}), '\\([^)]*\\)', ' ', 'g'), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda t: CASE WHEN regexp_full_match(t, '[0-9]{{5,}}') THEN '' ELSE t END),
  lambda t: t <> '' AND t NOT IN ('CITY', 'OF', 'WATER', 'SYSTEM', 'UTILITIES', 'INC', 'DISTRICT'))"""
@@ -88,29 +89,51 @@ def _(v):
     return v("pages").select("page_id", F.size(found).alias("links"), F.coalesce(F.get(found, F.lit(0))["href"], F.lit("")).alias("first_href"))
 
 
-@query(
-    "xw_crosswalk",
-    """WITH n AS (SELECT s_suppkey AS k FROM supplier)
-    SELECT l.label_id, CASE WHEN label = '' THEN 'unassigned-no-provider-label' WHEN label_pwsid IS NULL AND l.label_id % 6 = 3 THEN 'named-provider-unresolved' ELSE 'single-pws-resolved' END AS status,
-      CASE WHEN label = '' OR (label_pwsid IS NULL AND l.label_id % 6 = 3) THEN NULL ELSE CAST(3590000 + l.label_id AS STRING) END AS pwsid FROM tb_labels l""",
-)
+XW_LADDER = f"""known AS (SELECT DISTINCT pwsid FROM tb_xw_systems),
+lab AS (SELECT *, {TOKENS.format(c="coalesce(label, '')")} AS lt FROM tb_xw_labels),
+al AS (SELECT name, list(pwsid ORDER BY pwsid) AS ids FROM tb_xw_members WHERE pwsid IN (SELECT pwsid FROM known) GROUP BY name),
+nm AS (SELECT DISTINCT kind, ids, {TOKENS.format(c='name')} AS rt FROM (SELECT 'system' AS kind, [pwsid] AS ids, name FROM tb_xw_systems UNION ALL SELECT 'alternative', [pwsid], name FROM tb_xw_alternatives UNION ALL SELECT 'alias', ids, name FROM al)),
+pr AS (SELECT label_id, kind, ids, lt, rt, lt = rt AS same, len(list_intersect(lt, rt)) AS shared FROM lab, nm WHERE len(lt) > 0 AND len(rt) > 0),
+sc AS (SELECT *, CASE WHEN same THEN CASE kind WHEN 'alternative' THEN 0.995 WHEN 'system' THEN 0.99 ELSE 0.985 END
+    WHEN ((len(rt) >= 2 OR kind = 'alias') AND shared = len(rt)) OR ((len(lt) >= 2 OR kind = 'alias') AND shared = len(lt)) THEN CASE kind WHEN 'alternative' THEN 0.97 WHEN 'system' THEN 0.96 ELSE 0.92 END
+    WHEN kind = 'system' AND shared >= 0.5 * (len(lt) + len(rt) - shared) THEN 0.8::DOUBLE + 0.1::DOUBLE * (shared::DOUBLE / (len(lt) + len(rt) - shared)) END::DOUBLE AS score FROM pr),
+hits AS (SELECT label_id, CASE kind WHEN 'alias' THEN 'ALIAS:' || array_to_string(rt, ' ') || ':' || array_to_string(list_sort(ids), ',') ELSE 'SYS:' || ids[1] END AS entity, kind = 'alias' AS is_alias, list_sort(ids) AS ids, ids[1] AS pwsid, score,
+    CASE kind WHEN 'alternative' THEN 1 WHEN 'alias' THEN 2 ELSE CASE WHEN same THEN 3 WHEN score > 0.91 THEN 4 ELSE 6 END END AS rung FROM sc WHERE score IS NOT NULL AND (kind <> 'alternative' OR ids[1] IN (SELECT pwsid FROM known))
+    UNION ALL SELECT label_id, 'SYS:' || label_pwsid, false, [label_pwsid], label_pwsid, 1.0, 0 FROM lab WHERE label_pwsid IN (SELECT pwsid FROM known)
+    UNION ALL SELECT label_id, 'SYS:' || p, false, [p], p, 0.955, 5 FROM lab JOIN (SELECT t, min(p) AS p FROM (SELECT unnest(rt) AS t, ids[1] AS p FROM nm WHERE kind = 'system') GROUP BY t HAVING min(p) = max(p)) ON len(lt) = 1 AND lt[1] = t),
+ent AS (SELECT label_id, entity, bool_or(is_alias) AS is_alias, any_value(ids) AS ids, arg_min(pwsid, rung) AS pwsid, max(score) AS score, min(rung) AS rung FROM hits GROUP BY ALL),
+top AS (SELECT * FROM ent QUALIFY row_number() OVER (PARTITION BY label_id ORDER BY score DESC, rung, entity) = 1),
+run AS (SELECT t.label_id, max(e.score) AS runner FROM top t JOIN ent e ON t.label_id = e.label_id AND t.entity <> e.entity AND t.ids <> e.ids
+    AND NOT (e.is_alias AND NOT t.is_alias AND list_has_all(e.ids, t.ids)) AND (e.is_alias OR NOT t.is_alias) GROUP BY 1),
+dec AS (SELECT l.label_id, l.city, trim(coalesce(label, '')) = '' AND label_pwsid IS NULL AS blank, coalesce(t.score >= 0.9 AND coalesce(t.score - runner >= 0.02, true), false) AS ok, t.ids, t.pwsid, t.score FROM lab l LEFT JOIN top t USING (label_id) LEFT JOIN run USING (label_id)),
+loc AS (SELECT label_id, min(pwsid) AS one FROM (SELECT d.label_id, s.pwsid FROM (SELECT *, unnest(ids) AS p FROM dec WHERE ok AND NOT blank AND len(ids) > 1) d JOIN tb_xw_systems s ON d.p = s.pwsid
+    WHERE d.city <> '' AND s.city <> '' AND (contains(upper(d.city), upper(s.city)) OR contains(upper(s.city), upper(d.city)))) GROUP BY 1 HAVING count(DISTINCT pwsid) = 1),
+fin AS (SELECT label_id, CASE WHEN blank THEN 'unassigned-no-provider-label' WHEN NOT ok THEN 'named-provider-unresolved' WHEN len(ids) > 1 AND one IS NULL THEN 'provider-only-multi-pws' ELSE 'single-pws-resolved' END AS status,
+    CASE WHEN ok AND NOT blank THEN coalesce(one, pwsid) END AS pwsid, CASE WHEN one IS NOT NULL THEN one ELSE coalesce(array_to_string(ids, ','), '') END AS pwsids, round(score, 6) AS score,
+    CASE WHEN blank OR NOT ok THEN 'unresolved' WHEN score >= 0.98 THEN 'very-high' WHEN score >= 0.95 OR one IS NOT NULL THEN 'high' ELSE 'moderate' END AS confidence FROM dec LEFT JOIN loc USING (label_id))"""
+
+
+def _crosswalk(v):
+    aliases = v("tb_xw_members").groupBy("name").agg(F.sort_array(F.collect_list("pwsid")).alias("pwsids"))
+    return resolve.crosswalk(v("tb_xw_labels"), v("tb_xw_systems"), v("tb_xw_alternatives"), aliases)
+
+
+@query("xw_crosswalk", f"WITH {XW_LADDER} SELECT * FROM fin")
 def _(v):
-    systems = v("tb_systems").withColumn("name", F.regexp_replace("name", "#0*", " "))
-    labels = v("tb_labels").withColumn("label", F.regexp_replace("label", "#0*", " "))
-    return resolve.consensus(resolve.candidates(labels, systems), labels).select("label_id", "status", "pwsid")
+    return _crosswalk(v).select("label_id", "status", "pwsid", F.array_join("pwsids", ",").alias("pwsids"), F.round("score", 6).alias("score"), "confidence")
 
 
 @query(
     "ag16_crosswalk_coverage",
-    "SELECT CASE WHEN label = '' THEN 'unassigned-no-provider-label' WHEN label_pwsid IS NULL AND label_id % 6 = 3 THEN 'named-provider-unresolved' ELSE 'single-pws-resolved' END AS status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM tb_labels GROUP BY 1",
+    f"""WITH {XW_LADDER}, c AS (SELECT count(*) AS labels, count(*) FILTER (status <> 'unassigned-no-provider-label') AS named, count(*) FILTER (status = 'unassigned-no-provider-label') AS unassigned, count(*) FILTER (status IN ('single-pws-resolved', 'provider-only-multi-pws')) AS matched,
+        count(*) FILTER (status = 'named-provider-unresolved') AS unresolved, count(*) FILTER (status = 'provider-only-multi-pws') AS multi, count(*) FILTER (status = 'single-pws-resolved') AS single FROM fin),
+    s AS (SELECT status, array_to_string(list_sort(list(label_id))[1:25], ',') AS ids FROM fin GROUP BY 1)
+    SELECT *, round(100.0 * matched / named, 1)::DOUBLE AS named_coverage_pct, round(100.0 * single / named, 1)::DOUBLE AS single_coverage_pct, coalesce((SELECT ids FROM s WHERE status = 'named-provider-unresolved'), '') AS unresolved_sample,
+      coalesce((SELECT ids FROM s WHERE status = 'provider-only-multi-pws'), '') AS multi_sample, coalesce((SELECT ids FROM s WHERE status = 'unassigned-no-provider-label'), '') AS unassigned_sample FROM c""",
 )
 def _(v):
-    from pyspark.sql import Window
-
-    systems = v("tb_systems").withColumn("name", F.regexp_replace("name", "#0*", " "))
-    labels = v("tb_labels").withColumn("label", F.regexp_replace("label", "#0*", " "))
-    out = resolve.consensus(resolve.candidates(labels, systems), labels).groupBy("status").agg(F.count("*").alias("n"))
-    return out.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 1))
+    out = resolve.coverage(_crosswalk(v))
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in out.columns if c.endswith("_sample")})
 
 
 # ---- choices and scores -----------------------------------------------------------------------------------------
@@ -224,3 +247,36 @@ _stream(
     SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM k GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOURS <= {CLOSED}""",
     lambda s, folder: E.run_available(E.sessions(s, "user_id"), folder).select("user_id", "n", r("total")),
 )
+
+
+def _keyed(name: str, sql: str, make):
+    def run(spark, sf_dir):
+        from tidewell.streaming.folder import shared_folder
+
+        was = spark.conf.get(K.STORE[0])
+        spark.conf.set(*K.STORE)
+        try:
+            return make(E.event_stream(spark, sf_dir), shared_folder(spark))
+        finally:
+            spark.conf.set(K.STORE[0], was)
+
+    QUERIES[name], SQL[name] = run, with_views(sql)
+
+
+_keyed(
+    "rp12_rate_limit",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, date_trunc('milliseconds', ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    w AS (SELECT user_id, event_id, t, k, t + INTERVAL 2 DAYS AS reset, 1 AS n FROM e WHERE k = 1 UNION ALL
+      SELECT e.user_id, e.event_id, e.t, e.k, CASE WHEN e.t >= w.reset THEN e.t + INTERVAL 2 DAYS ELSE w.reset END, CASE WHEN e.t >= w.reset THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+    SELECT event_id, user_id, n <= 3 AS allowed, CAST(greatest(0, 3 - n) AS BIGINT) AS remaining, CAST(CASE WHEN n <= 3 THEN 0 ELSE ceil((epoch_ms(reset) - epoch_ms(t)) / 1000.0) END AS BIGINT) AS retry_after_s FROM w""",
+    lambda s, folder: E.run_available(K.rate_limited(s, "user_id", "event_id", 2 * 86_400, 3), folder).drop("ts"),
+)
+_keyed(
+    "rp13_two_ttl_cache",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, date_trunc('milliseconds', ts) AS t, CASE WHEN event_type <> 'error' THEN event_type END AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    w AS (SELECT user_id, event_id, t, k, v AS answer, t + CASE WHEN v IS NULL THEN INTERVAL 1 DAY ELSE INTERVAL 5 DAYS END AS expires, false AS hit FROM e WHERE k = 1 UNION ALL
+      SELECT e.user_id, e.event_id, e.t, e.k, CASE WHEN e.t <= w.expires THEN w.answer ELSE e.v END, CASE WHEN e.t <= w.expires THEN w.expires ELSE e.t + CASE WHEN e.v IS NULL THEN INTERVAL 1 DAY ELSE INTERVAL 5 DAYS END END, e.t <= w.expires
+      FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1)
+    SELECT event_id, user_id, hit, answer FROM w""",
+    lambda s, folder: E.run_available(K.cached(s.withColumn("answer_now", F.when(F.col("event_type") != "error", F.col("event_type"))), "user_id", "event_id", "answer_now", 5 * 86_400, 86_400), folder).drop("ts"),
+)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import measure as M
 from tidewell.functions import scores as S
 from tidewell.functions import statistics as T
-from tidewell.operators import registry, versions
+from tidewell.operators import registry, stats, versions
 from tidewell.plans.catalog import MEASURED, measured, query, r
 
 A = T.TAIL
@@ -130,12 +130,7 @@ def _(v):
 )
 def _(v):
     d = v("tb_samples").groupBy("pwsid", F.month("sample_date").alias("m"), F.year("sample_date").alias("y")).agg(F.count("*").alias("x"))
-    years = d.groupBy("pwsid", "m").agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("s"))  # a dozen years
-    later = lambda i: F.aggregate(F.slice(F.col("s"), i + 2, F.size("s")), F.lit(0.0), lambda acc, p: acc + F.signum((p["x"] - F.element_at("s", i + 1)["x"]).cast("double")))
-    n = F.size("s")
-    each = years.select("pwsid", F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda acc, i: acc + later(i)).alias("s"), (n * (n - 1) / 2).cast("long").alias("pairs"))
-    out = each.filter("pairs > 0").groupBy("pwsid").agg(F.sum("s").alias("s_stat"), F.sum("pairs").alias("pairs"))
-    return out.withColumn("direction", F.when(F.col("pairs") < 6, "insufficient").when(F.col("s_stat") > 0, "increasing").when(F.col("s_stat") < 0, "decreasing").otherwise("no-trend"))
+    return stats.seasonal_kendall(d, ["pwsid"], "m", F.col("y"), "x")
 
 
 @query(

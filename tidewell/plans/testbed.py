@@ -87,6 +87,20 @@ VIEWS |= {
 SELECT s_suppkey AS label_id, CASE s_suppkey % 6 WHEN 0 THEN concat('City of ', s_name, ' Water System') WHEN 1 THEN s_name WHEN 2 THEN concat(upper(s_name), ' (north) utilities, inc.')
     WHEN 3 THEN concat('Unknown district ', CAST(s_suppkey AS STRING)) WHEN 4 THEN '' ELSE concat(s_name, ' mobile home') END AS label,
   CASE WHEN s_suppkey % 5 = 0 THEN CAST(3590000 + s_suppkey AS STRING) END AS label_pwsid FROM {supplier}""",
+    "tb_xw_systems": """
+SELECT CAST(3590000 + s_suppkey AS STRING) AS pwsid, n_name AS city, concat(n_name, CASE s_suppkey % 4 WHEN 0 THEN ' Pine Cove' WHEN 1 THEN ' Bear Lake' WHEN 2 THEN ' Manor' ELSE '' END, CASE WHEN s_suppkey % 3 = 0 THEN concat(' Unit', CAST(s_suppkey AS STRING)) ELSE ' Water System' END) AS name
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
+    "tb_xw_alternatives": """
+SELECT CAST(3590000 + s_suppkey AS STRING) AS pwsid, concat('Quadrant', CAST(s_suppkey AS STRING), ' ', n_name) AS name FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 1""",
+    "tb_xw_members": """
+SELECT concat(n_name, ' Authority') AS name, CAST(3590000 + CASE WHEN n_nationkey % 2 = 0 THEN s_suppkey ELSE n_nationkey END AS STRING) AS pwsid FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey UNION
+SELECT concat(r_name, ' Coastal') AS name, CAST(3590000 + s_suppkey AS STRING) AS pwsid FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE s_suppkey % 9 = 0 UNION
+SELECT concat(r_name, ' Coastal Authority') AS name, CAST(3590000 + s_suppkey AS STRING) AS pwsid FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE s_suppkey % 9 < 2""",
+    "tb_xw_labels": """
+SELECT c_custkey AS label_id, n_name AS city,
+  CASE c_custkey % 11 WHEN 0 THEN concat(n_name, ' Authority (north)') WHEN 1 THEN concat('City of ', n_name, ' Pine Cove') WHEN 2 THEN concat(r_name, ' Coastal') WHEN 3 THEN concat('Unit', CAST(c_custkey % 200 AS STRING)) WHEN 4 THEN concat('Quadrant', CAST(c_custkey % 90 AS STRING), ' ', n_name)
+    WHEN 5 THEN '  ' WHEN 6 THEN n_name WHEN 7 THEN concat('Unknown ', CAST(c_custkey AS STRING)) WHEN 8 THEN concat(n_name, ' Bear Lake mobile home') WHEN 9 THEN concat(r_name, ' Coastal Authority of ', n_name) END AS label,
+  CASE WHEN c_custkey % 17 = 0 THEN CAST(3590000 + c_custkey % 150 AS STRING) END AS label_pwsid FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     "tb_notices": """
 SELECT c_custkey AS notice_id, concat(CAST(c_custkey % 300 AS STRING), ' ', CASE c_nationkey % 3 WHEN 0 THEN 'North Oak Street' WHEN 1 THEN 'Pine Avenue' ELSE 'Lake Road' END, ', Sanford, FL') AS address,
   concat(CASE c_custkey % 4 WHEN 0 THEN 'Boil water notice issued for ' WHEN 1 THEN 'The advisory is lifted for ' WHEN 2 THEN 'Hydrant work near ' ELSE 'A sample was taken at ' END,
