@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidewell.plans import catalog, catalog_more, catalog_records, catalog_registry  # noqa: F401
+from tidewell.plans import catalog, catalog_more, catalog_records, catalog_registry, catalog_report  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")

@@ -21,11 +21,11 @@ def _level(levels: dict[str, float], analyte: Column) -> Column:
 
 
 def percentile_90(rows: DataFrame, value: str = "value", least: int = 5) -> DataFrame:
-    """Nearest-rank 90th percentile of tap samples for each system and analyte, with its status."""
+    """Nearest-rank 90th percentile of tap samples for each system and analyte, its status, and whether there are samples enough to claim compliance by it."""
     rows = rows.filter(F.col("analyte").isin(*P90_LEVELS) & F.col("sample_type").rlike("(?i)TAP|LCR|FIRST"))
     out = rows.groupBy("pwsid", "analyte").agg(F.expr(f"percentile_disc(0.9) within group (order by {value})").alias("p90"), F.count(value).alias("samples"))
-    status = F.when(F.col("samples") < least, "insufficient-samples").when(F.col("p90") > _level(P90_LEVELS, F.col("analyte")), "exceeds").otherwise("within")
-    return out.withColumn("status", status)
+    status = F.when(F.col("p90").isNull(), "insufficient-data").when(F.col("p90") > _level(P90_LEVELS, F.col("analyte")), "action-level-exceedance").otherwise("below-action-level")
+    return out.withColumns({"status": status, "claim_allowed": F.col("samples") >= least})
 
 
 def locational_average(rows: DataFrame, value: str = "value", quarters: int = 4) -> DataFrame:

@@ -222,6 +222,30 @@ def prediction_set(scores: DataFrame, key: str, candidate: str, score: str, cali
     return kept.groupBy(key).agg(F.count("*").alias("set_size"), F.max_by(candidate, F.struct(score, candidate)).alias("top"))
 
 
+def provider_set(scores: DataFrame, key: str, candidate: str, score: str, calibration: Sequence[float] = (), alpha: float = 0.1, accepted: str | None = None) -> DataFrame:
+    """The candidates that stay plausible for each key: status, set_size, singleton, top_margin and members (candidate, score) by descending score.
+
+    With calibration, those whose 1 - score is within its quantile. Without, those near the best (nearer the surer it is) of half a
+    score at least, without a promise of coverage. The accepted candidate, if it is one at all, is always in. A candidate counts
+    once, at its best score, cut to 0 to 1; a key whose candidates all fail has an empty set.
+    """
+    best = scores.filter(F.col(candidate).isNotNull()).groupBy(key, F.col(candidate).alias("candidate")).agg(
+        F.max(clamp(F.coalesce(score, F.lit(0.0)), 0.0, 1.0)).alias("score"), F.bool_or(F.col(candidate) == F.col(accepted) if accepted else F.lit(False)).alias("_accepted")
+    )
+    one = best.withColumn("_first", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "candidate"))).withColumn("_top", F.max("score").over(Window.partitionBy(key)))
+    if calibration:
+        ordered = sorted(calibration)
+        inside = 1 - F.col("score") <= ordered[min(len(ordered) - 1, max(0, math.ceil((len(ordered) + 1) * (1 - alpha)) - 1))] + 1e-12
+    else:
+        gap = F.greatest(F.lit(0.03), F.least(F.lit(0.12), (1 - F.col("_top")) * 0.5 + 0.03))
+        inside = (F.col("_top") - F.col("score") <= gap) & (F.col("score") >= 0.5)
+    inside = inside | F.coalesce("_accepted", F.lit(False))
+    second = F.max(F.when(F.col("_first") == 2, F.col("score")))
+    out = one.withColumn("_in", inside).groupBy(key).agg(F.count_if("_in").alias("set_size"), (F.max("score") - F.coalesce(second, F.lit(0.0))).alias("top_margin"), F.collect_list(F.when(F.col("_in"), F.struct((-F.col("score")).alias("s"), F.col("candidate")))).alias("_m"))
+    members = F.transform(F.array_sort("_m"), lambda m: F.struct(m["candidate"].alias("candidate"), (-m["s"]).alias("score")))
+    return out.select(key, F.lit("calibrated" if calibration else "uncalibrated-conservative").alias("status"), "set_size", (F.col("set_size") == 1).alias("singleton"), "top_margin", members.alias("members"))
+
+
 CUTS = "status string, groups int, cut_size int, cut array<string>"
 
 

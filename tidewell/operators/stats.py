@@ -83,12 +83,18 @@ def extreme_tail(rows: DataFrame, key: Sequence[str], value: str, threshold: flo
     return out.withColumn("shape", shape).withColumn("scale", F.greatest(F.col("m") * (1 - F.col("shape")), F.lit(1e-9))).drop("m", "v")
 
 
-def inverse_distance(pairs: DataFrame, key: str, value: str, distance: str, power: float = 2.0, least: int = 3) -> DataFrame:
-    """Weighted mean and standard error of neighbours' values, from pairs that a bounded nearest-k join has made."""
+def inverse_distance(pairs: DataFrame, key: str, value: str, distance: str, power: float = 2.0, least: int = 3, same: str | None = None, apart: str | None = None) -> DataFrame:
+    """Weighted mean, its spread and standard error of neighbours' values, from pairs that a bounded nearest-k join has made.
+
+    same: whether a neighbour shares the place's aquifer, which doubles its weight; apart: how far their depths differ, which
+    divides it by 1 and a hundredth of that. Missing ones change nothing.
+    """
     w = 1 / F.pow(F.col(distance) + 1e-3, F.lit(power))
+    w = w * F.when(F.coalesce(F.col(same), F.lit(False)), 2.0).otherwise(1.0) if same else w
+    w = w / (1 + F.abs(F.coalesce(F.col(apart), F.lit(0.0))) / 100) if apart else w
     out = pairs.filter(F.col(value).isNotNull()).withColumn("_w", w).groupBy(key).agg(F.count("*").alias("points"), (F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("estimate"), (F.sum(F.col("_w") * F.col(value) * F.col(value)) / F.sum("_w")).alias("_m2"))
-    se = F.sqrt(F.greatest(F.col("_m2") - F.col("estimate") * F.col("estimate"), F.lit(0.0)) / F.col("points"))
-    return out.filter(F.col("points") >= least).withColumn("standard_error", se).drop("_m2")
+    spread = F.sqrt(F.greatest(F.col("_m2") - F.col("estimate") * F.col("estimate"), F.lit(0.0)))
+    return out.filter(F.col("points") >= least).withColumn("spread", spread).withColumn("standard_error", F.col("spread") / F.sqrt("points")).drop("_m2")
 
 
 def change_points(rows: DataFrame, key: str, order: str, value: str, least: int = 4) -> DataFrame:

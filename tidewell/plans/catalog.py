@@ -439,11 +439,11 @@ def _(v):
 
 @query(
     "ag06_compliance_p90",
-    f"""SELECT pwsid, analyte, round(p90, 4) AS p90, samples, CASE WHEN samples < 5 THEN 'insufficient-samples' WHEN p90 > CASE analyte WHEN 'LEAD' THEN 10.0 ELSE 1300.0 END THEN 'exceeds' ELSE 'within' END AS status FROM (
+    f"""SELECT pwsid, analyte, round(p90, 4) AS p90, samples, CASE WHEN p90 IS NULL THEN 'insufficient-data' WHEN p90 > CASE analyte WHEN 'LEAD' THEN 10.0 ELSE 1300.0 END THEN 'action-level-exceedance' ELSE 'below-action-level' END AS status, samples >= 5 AS claim_allowed FROM (
         SELECT pwsid, analyte, percentile_disc(0.9) WITHIN GROUP (ORDER BY value) AS p90, count(value) AS samples FROM {MEASURED} WHERE analyte IN ('LEAD', 'COPPER') AND sample_type = 'TAP' GROUP BY 1, 2)""",
 )
 def _(v):
-    return compliance.percentile_90(measured(v)).select("pwsid", "analyte", r("p90"), "samples", "status")
+    return compliance.percentile_90(measured(v)).select("pwsid", "analyte", r("p90"), "samples", "status", "claim_allowed")
 
 
 @query(

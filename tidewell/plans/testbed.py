@@ -87,6 +87,14 @@ VIEWS |= {
 SELECT s_suppkey AS label_id, CASE s_suppkey % 6 WHEN 0 THEN concat('City of ', s_name, ' Water System') WHEN 1 THEN s_name WHEN 2 THEN concat(upper(s_name), ' (north) utilities, inc.')
     WHEN 3 THEN concat('Unknown district ', CAST(s_suppkey AS STRING)) WHEN 4 THEN '' ELSE concat(s_name, ' mobile home') END AS label,
   CASE WHEN s_suppkey % 5 = 0 THEN CAST(3590000 + s_suppkey AS STRING) END AS label_pwsid FROM {supplier}""",
+    "tb_places": """
+SELECT c_custkey AS place_id, c_custkey % 19 <> 0 AS located, CAST(c_custkey % 4 AS INT) AS polygons, c_custkey % 5 <> 0 AS accepted, CASE WHEN c_custkey % 5 <> 0 THEN CAST(3590000 + c_nationkey AS STRING) END AS pwsid,
+  CAST(0.9 + 0.01 * (c_custkey % 8) AS DOUBLE) AS score, c_custkey % 23 = 0 AS equal_candidates, CASE WHEN c_custkey % 13 = 0 THEN 'not-computed' WHEN c_custkey % 100 < 75 THEN 'fragile' ELSE 'stable' END AS stability_status,
+  CAST(0.01 * (c_custkey % 100) AS DOUBLE) AS stability_score, CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS households, c_custkey % 3 <> 0 AS synced, coalesce(active, 0) AS active, CASE WHEN c_custkey % 4 <> 1 THEN 2000 + c_custkey % 25 END AS ccr_year,
+  c_custkey % 6 AS stations, coalesce(records, 0) AS records, coalesce(origins, 0) AS origins, coalesce(single_origin, 0) AS single_origin, coalesce(unaccredited, 0) AS unaccredited, CASE WHEN c_custkey % 7 = 0 THEN CAST(c_custkey % 90 AS DOUBLE) END AS geocoder_m,
+  c_custkey % 9 = 0 AS near_boundary, CAST(c_custkey % 75 AS DOUBLE) AS boundary_m, c_custkey % 17 = 0 AS gap, c_custkey % 21 = 0 AS overlap
+FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS records, count(DISTINCT o_orderpriority) AS origins, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS unaccredited, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS active,
+  sum(CASE WHEN o_totalprice < 40000 THEN 1 ELSE 0 END) AS single_origin FROM {orders} GROUP BY o_custkey) o ON c_custkey = o_custkey""",
     "tb_xw_systems": """
 SELECT CAST(3590000 + s_suppkey AS STRING) AS pwsid, n_name AS city, concat(n_name, CASE s_suppkey % 4 WHEN 0 THEN ' Pine Cove' WHEN 1 THEN ' Bear Lake' WHEN 2 THEN ' Manor' ELSE '' END, CASE WHEN s_suppkey % 3 = 0 THEN concat(' Unit', CAST(s_suppkey AS STRING)) ELSE ' Water System' END) AS name
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
