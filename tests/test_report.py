@@ -1,6 +1,7 @@
 """Contradictions, claims and outcomes of a place by value; provider sets; weighted neighbours; percentile status."""
 
 import datetime as dt
+import json
 
 import pytest
 
@@ -81,3 +82,41 @@ def test_few_samples_show_an_exceedance_without_a_claim(spark):
     rows = [("a", "LEAD", "TAP", 50.0, dt.date(2024, 1, 1))] * 3 + [("b", "LEAD", "TAP", None, dt.date(2024, 1, 1))]
     got = {r["pwsid"]: (r["status"], r["claim_allowed"]) for r in compliance.percentile_90(spark.createDataFrame(rows, "pwsid string, analyte string, sample_type string, value double, sample_date date")).collect()}
     assert got == {"a": ("action-level-exceedance", False), "b": ("insufficient-data", False)}
+
+
+def test_walk_of_nested_documents(spark):
+    from tidewell.operators import nested
+
+    deep = "x"
+    for _ in range(12):
+        deep = {"k": [deep, 1]}
+    rows = [
+        (1, json.dumps({"url": "https://h/FeatureServer", "a": [{"URL": "https://h/mapserver/1"}, ["https://h/MapServer", {"url": 5}], None], "b": {"url": "https://h/other"}})),
+        (2, json.dumps(deep)), (3, "{broken"), (4, None), (5, "[]"), (6, '"https://h/MapServer"'), (7, json.dumps({"url": ["https://h/MapServer"]})),
+    ]
+    df = spark.createDataFrame(rows, "i int, j string")
+    got = sorted((r["i"], r["path"], r["url"]) for r in nested.service_urls(df, "i", "j").collect())
+    assert got == [(1, "a.0.URL", "https://h/mapserver/1"), (1, "url", "https://h/FeatureServer"), (7, "url.0", "https://h/MapServer")]
+    assert [(r["path"], r["key"]) for r in nested.walk(df.filter("i = 2"), "i", "j").collect()] == [(".".join(["k.0"] * 12), "k")]
+    assert nested.walk(df.filter("i > 9"), "i", "j").count() == 0
+
+
+def test_links_against_pairwise_correlation(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(stats, "SERIES_BLOCK", 5)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(4, 40))
+    series = {f"s{i:02d}": {int(d): float(base[i % 4][d] + 0.4 * rng.normal() + 1e4) for d in rng.choice(40, rng.integers(4, 38), replace=False)} for i in range(23)}
+    series["flat"] = dict.fromkeys(range(40), 3.0)
+    start = dt.date(2024, 1, 1)
+    rows = [(p, start + dt.timedelta(days=d), v) for p, s in series.items() for d, v in s.items()] + [("s00", None, 1.0), (None, start, 1.0)]
+    want = {}
+    for a in series:
+        for b in series:
+            days = sorted(set(series[a]) & set(series[b]))
+            x, y = ([series[p][d] for d in days] for p in (a, b))
+            if a < b and len(days) >= 6 and np.std(x) > 0 and np.std(y) > 0 and (r := float(np.corrcoef(x, y)[0, 1])) >= 0.75:
+                want[a, b] = (len(days), pytest.approx(r))
+    got = {(r["a"], r["b"]): (r["days"], r["correlation"]) for r in stats.inferred_links(spark.createDataFrame(rows, "p string, d date, v double"), "p", "d", "v").collect()}
+    assert got == want and len(want) > 10

@@ -74,8 +74,10 @@ def verify(rows: DataFrame, key: Sequence[str], row_id: str, result: str, origin
     rows = rows.join(seen.drop(*[c for c in seen.columns if c in rows.columns and c != row_id]), row_id, "left")
     lab = F.struct("status", "expires_on", "certified")
     clean = lambda c: F.nullif(F.upper(F.trim(F.col(c))), F.lit(""))
-    by_id = labs.select(clean("lab_id").alias("_id"), lab.alias("_by_id")).filter("_id is not null").dropDuplicates(["_id"])
-    by_name = labs.select(clean("name").alias("_name"), lab.alias("_by_name")).filter("_name is not null").dropDuplicates(["_name"])
+    # of several entries of a laboratory the active one, then the one that lasts longest
+    first = F.struct(F.coalesce(F.col("status") == "active", F.lit(False)).cast("int"), F.col("expires_on").isNull().cast("int"), "expires_on", F.to_json(lab))
+    by_id = labs.groupBy(clean("lab_id").alias("_id")).agg(F.max_by(lab, first).alias("_by_id")).filter("_id is not null")
+    by_name = labs.groupBy(clean("name").alias("_name")).agg(F.max_by(lab, first).alias("_by_name")).filter("_name is not null")
     out = rows.withColumns({"_id": clean(lab_id), "_name": clean(lab_name)}).join(by_id, "_id", "left").join(by_name, "_name", "left").withColumn("_lab", F.coalesce("_by_id", "_by_name"))
     on = (F.col("_lab.status") == "active") & (F.col("_lab.expires_on").isNull() | (F.col("_lab.expires_on") >= F.col(date)))
     tier = F.when(F.col("_lab").isNull(), "unknown-accreditation").when(on & F.col("_lab.certified"), "accredited").when(F.col("_lab.status") == "expired", "expired-accreditation").otherwise("unaccredited-or-unverified")

@@ -187,13 +187,56 @@ def censored_summary(rows: DataFrame, key: Sequence[str], value: str, censored:
     return out.withColumn("method", F.when((F.col("detected_n") >= 3) & (F.col("left_censored_n") > 0), "ROS/Kaplan-Meier-required").otherwise("descriptive-only"))
 
 
+#: Points in a block of series.
+SERIES_BLOCK = 256
+
+
 def inferred_links(series: DataFrame, point: str, date: str, value: str, overlap: int = 6, least: float = 0.75) -> DataFrame:
-    """Pairs of points whose series correlate at `least` or more on enough common dates, with a certainty of 0.5 to 1.
+    """Pairs of points whose series correlate at `least` or more on enough common dates, with a certainty of 0.5 to 1: a, b, days, correlation, certainty.
 
-    Points meet on the dates they share, so a date pairs all points that have it.
+    Points are dealt to blocks, and blocks meet in pairs: of two blocks' values by date, matrix products give the counts and sums of
+    all their points' pairs at once, and only pairs that pass leave the task. Work grows with pairs of points, as it must; no date
+    pairs its points. Several values of a date are averaged, missing ones left out; a series without spread has no links.
     """
-    one = series.groupBy(date, point).agg(F.avg(value).alias("_v"))
-    a, b = one.select(date, F.col(point).alias("a"), F.col("_v").alias("_a")), one.select(date, F.col(point).alias("b"), F.col("_v").alias("_b"))
-    out = a.join(b, date).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("days"), F.corr("_a", "_b").alias("correlation"))
+    one = series.filter(F.col(value).isNotNull() & F.col(point).isNotNull()).groupBy(F.unix_date(F.col(date).cast("date")).alias("d"), F.col(point).alias("p")).agg(F.avg(value).alias("v")).filter("d is not null")
+    blocks = max(1, -(-one.select("p").distinct().count() // SERIES_BLOCK))
+    kind = dict(one.dtypes)["p"]
+
+    def pack(t: pa.Table) -> pa.Table:
+        points, row = np.unique(t["p"].to_numpy(), return_inverse=True)
+        v = t["v"].to_numpy().astype(float)
+        v = v - (np.bincount(row, v) / np.bincount(row))[row]  # about a point's mean, which keeps the sums small
+        order = np.argsort(t["d"].to_numpy(), kind="stable")
+        cols = [t["block"][:1].combine_chunks(), pa.array([points.tolist()], pa.list_(t.schema.field("p").type)), *(pa.array([x[order].astype(k).tobytes()], pa.binary()) for x, k in ((row, np.int32), (t["d"].to_numpy(), np.int32), (v, np.float64)))]
+        return pa.table(cols, names=["block", "points", "row", "d", "v"])
+
+    packed = one.withColumn("block", F.pmod(F.xxhash64("p"), F.lit(blocks))).groupBy("block").applyInArrow(pack, f"block long, points array<{kind}>, row binary, d binary, v binary")
+    left = packed.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1).cast("long"))))
+    right = packed.select(F.col("block").alias("_b"), *[F.col(c).alias(f"_{c}") for c in ("points", "row", "d", "v")]).withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b"))))
+
+    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        x, y = mine.to_pylist()[0], {k.removeprefix("_"): v for k, v in theirs.to_pylist()[0].items()}
+        days = np.intersect1d(np.frombuffer(x["d"], np.int32), np.frombuffer(y["d"], np.int32))
+
+        def dense(side: dict) -> tuple[np.ndarray, np.ndarray]:
+            row, d, v = (np.frombuffer(side[c], k) for c, k in (("row", np.int32), ("d", np.int32), ("v", np.float64)))
+            at = np.minimum(np.searchsorted(days, d), max(0, len(days) - 1))
+            on = days[at] == d if len(days) else np.zeros(len(d), bool)
+            m, known = (np.zeros((len(days), len(side["points"]))) for _ in range(2))
+            m[at[on], row[on]], known[at[on], row[on]] = v[on], 1.0
+            return m, known
+
+        (a, p), (b, q) = dense(x), dense(y)
+        n, sa, sb, ab = p.T @ q, a.T @ q, p.T @ b, a.T @ b
+        va, vb = (a * a).T @ q - sa * sa / np.maximum(n, 1), p.T @ (b * b) - sb * sb / np.maximum(n, 1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            corr = np.where((va > 1e-12) & (vb > 1e-12), (ab - sa * sb / np.maximum(n, 1)) / np.sqrt(va * vb), np.nan)
+        keep = (n >= overlap) & (corr >= least)
+        i, j = np.nonzero(np.triu(keep, 1) if x["block"] == y["b"] else keep)
+        pairs = [sorted((x["points"][k], y["points"][m])) for k, m in zip(i.tolist(), j.tolist())]
+        of = mine.schema.field("points").type.value_type
+        return pa.table([pa.array([f for f, _ in pairs], of), pa.array([s for _, s in pairs], of), pa.array(n[i, j].astype(np.int64)), pa.array(np.minimum(corr[i, j], 1.0))], names=["a", "b", "days", "correlation"])
+
+    out = left.groupBy("block", "other").cogroup(right.groupBy("_a", "_b")).applyInArrow(meet, f"a {kind}, b {kind}, days long, correlation double")
     certainty = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("correlation") - least) / (1 - least) * 0.5 + 0.5))
-    return out.filter((F.col("days") >= overlap) & (F.col("correlation") >= least)).withColumn("certainty", certainty)
+    return out.withColumn("certainty", certainty)

@@ -391,9 +391,8 @@ def _(v):
        SELECT a.station_id AS a, b.station_id AS b, count(*) AS days, round(corr(a.x, b.x), 5) AS r FROM d a JOIN d b ON a.result_date = b.result_date AND a.station_id < b.station_id GROUP BY 1, 2 HAVING count(*) >= 6 AND corr(a.x, b.x) >= 0.3""",
 )
 def _(v):
-    d = v("tb_results").groupBy("station_id", "result_date").agg(F.avg("value").alias("x"))
-    pairs = d.select("result_date", F.col("station_id").alias("a"), F.col("x").alias("xa")).join(d.select("result_date", F.col("station_id").alias("b"), F.col("x").alias("xb")), "result_date").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("days"), F.round(F.corr("xa", "xb"), 5).alias("r"), F.corr("xa", "xb").alias("_r")).filter("days >= 6 and _r >= 0.3").drop("_r")
+    found = stats.inferred_links(v("tb_results"), "station_id", "result_date", "value", least=0.3)
+    return found.select("a", "b", "days", F.round("correlation", 5).alias("r"))
 
 
 LATEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pwsid, analyte ORDER BY sample_date DESC, rid) AS k FROM {MEASURED} WHERE NOT censored) WHERE k = 1)"

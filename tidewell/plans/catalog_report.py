@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import evidence, report, spatial, stats
+from tidewell.operators import evidence, nested, report, spatial, stats
 from tidewell.plans.catalog import MILES, query, r
 
 TOLD = "stability_status <> 'not-computed'"
@@ -94,3 +94,12 @@ def _(v):
     pairs = near.join(v("tb_results").groupBy("station_id").agg(F.avg("value").alias("x")), "station_id")
     pairs = pairs.withColumns({"same_aquifer": F.col("address_id") % 3 == F.col("station_id") % 3, "depth_apart": F.when((F.col("address_id") % 4 != 0) & (F.col("station_id") % 5 != 0), F.abs(F.col("address_id") * 11 % 300 - F.col("station_id") * 7 % 400).cast("double"))})
     return stats.inverse_distance(pairs, "address_id", "x", "miles", same="same_aquifer", apart="depth_apart").select("address_id", "points", r("estimate"), r("spread", 3))
+
+
+@query(
+    "fn40_service_urls",
+    """SELECT item_id, replace(replace(replace(replace(fullkey, '$.', ''), '[', '.'), ']', ''), '"', '') AS path, json_extract_string(atom, '$') AS url FROM (SELECT i.item_id, t.fullkey, t.atom, t.key, t.type FROM (SELECT * FROM tb_layers WHERE json_valid(body)) i, json_tree(i.body::JSON) t) x
+    WHERE type = 'VARCHAR' AND lower(key) = 'url' AND regexp_matches(json_extract_string(atom, '$'), '(?i)(FeatureServer|MapServer)')""",
+)
+def _(v):
+    return nested.service_urls(v("tb_layers"), "item_id", "body")

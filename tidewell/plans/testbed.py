@@ -87,6 +87,9 @@ VIEWS |= {
 SELECT s_suppkey AS label_id, CASE s_suppkey % 6 WHEN 0 THEN concat('City of ', s_name, ' Water System') WHEN 1 THEN s_name WHEN 2 THEN concat(upper(s_name), ' (north) utilities, inc.')
     WHEN 3 THEN concat('Unknown district ', CAST(s_suppkey AS STRING)) WHEN 4 THEN '' ELSE concat(s_name, ' mobile home') END AS label,
   CASE WHEN s_suppkey % 5 = 0 THEN CAST(3590000 + s_suppkey AS STRING) END AS label_pwsid FROM {supplier}""",
+    "tb_layers": """
+SELECT page_id AS item_id, translate(CASE WHEN page_id % 29 = 0 THEN '<broken' ELSE concat('<"item":<"layers":[<"url":"', md5(url), '/FeatureServer">,<"inner":<"URL":"', md5(url), '/MapServer/', CAST(page_id % 5 AS STRING), '">>],"url":',
+    CASE WHEN page_id % 3 = 0 THEN concat('"', md5(url), '/MapServer"') ELSE '7' END, '>,"other":[[<"url":"', md5(url), '">],[<"deep":[<"deeper":<"url":"', md5(url), '/featureserver/9">,"n":null>]>]],"title":"x/MapServer">') END, '<>', concat(chr(123), chr(125))) AS body FROM {pages}""",
     "tb_places": """
 SELECT c_custkey AS place_id, c_custkey % 19 <> 0 AS located, CAST(c_custkey % 4 AS INT) AS polygons, c_custkey % 5 <> 0 AS accepted, CASE WHEN c_custkey % 5 <> 0 THEN CAST(3590000 + c_nationkey AS STRING) END AS pwsid,
   CAST(0.9 + 0.01 * (c_custkey % 8) AS DOUBLE) AS score, c_custkey % 23 = 0 AS equal_candidates, CASE WHEN c_custkey % 13 = 0 THEN 'not-computed' WHEN c_custkey % 100 < 75 THEN 'fragile' ELSE 'stable' END AS stability_status,
