@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import evidence, nested, report, spatial, stats
+from tidewell.operators import budget, evidence, nested, report, spatial, stats
 from tidewell.plans.catalog import MILES, query, r
 
 TOLD = "stability_status <> 'not-computed'"
@@ -103,3 +103,49 @@ def _(v):
 )
 def _(v):
     return nested.service_urls(v("tb_layers"), "item_id", "body")
+
+
+LABEL = "CASE WHEN {x} >= 0.9 THEN 'very-high' WHEN {x} >= 0.75 THEN 'high' WHEN {x} >= 0.55 THEN 'moderate' WHEN {x} >= 0.35 THEN 'low' ELSE 'insufficient' END"
+AS_OF = "1999-06-30"
+DIMENSIONS = {
+    "geolocation": "CASE WHEN NOT primary_found AND NOT secondary_found THEN 0 WHEN NOT (primary_found AND secondary_found) OR geocoder_m IS NULL THEN 0.82 WHEN geocoder_m <= 15 THEN 1 WHEN geocoder_m <= 30 THEN 0.93 WHEN geocoder_m <= 50 THEN 0.82 WHEN geocoder_m <= 100 THEN 0.58 ELSE 0.3 END",
+    "provider_identity": "CASE WHEN accepted THEN score ELSE 0 END * stab * CASE WHEN gap THEN 0.15 ELSE 1 END * CASE WHEN overlap THEN 0.65 ELSE 1 END",
+    "spatial_robustness": "CASE WHEN gap THEN 0.2 ELSE 1 END * CASE WHEN overlap THEN 0.55 ELSE 1 END * CASE WHEN near_boundary THEN 0.72 ELSE 1 END * stab",
+    "evidence_scope": "CASE WHEN households > 0 THEN 1 WHEN accepted THEN 0.62 ELSE 0.2 END",
+    "temporal_freshness": f"CASE WHEN newest IS NULL THEN 0.2 ELSE greatest(0.15, least(1.0, pow(0.5, greatest(0, datediff('day', newest, DATE '{AS_OF}')) / 365.0))) END",
+    "contaminant_coverage": "CASE WHEN records = 0 THEN 0.1 ELSE 0.55 * least(1.0, analytes / 20.0) + 0.45 * least(1.0, groups / 6.0) END",
+    "originating_sample_independence": "CASE WHEN records = 0 THEN 0.1 ELSE least(1.0, 0.35 + 0.65 * least(1.0, effective_n::DOUBLE / greatest(3, least(records, 20)))) END",
+    "source_conflict": "greatest(0.25, 1 / (1 + 0.35 * contradictions))",
+    "federal_context_availability": "(CASE WHEN federal_synced THEN 1 ELSE 0.55 END + CASE WHEN ccr_synced THEN 1 ELSE 0.6 END + CASE WHEN wqp_synced THEN 1 ELSE 0.6 END) / 3",
+}
+POSITIVE = lambda f: " + ".join(f.format(k=k, w=w) for k, w in budget.WEIGHTS.items())
+BUDGET = f"""d AS (SELECT *, {", ".join(f"round(({v})::DOUBLE + 1e-9, 4) AS {k}" for k, v in DIMENSIONS.items())} FROM (SELECT *, CASE WHEN stability_status <> 'not-computed' THEN stability_score WHEN near_boundary THEN 0.65 ELSE 0.9 END AS stab FROM tb_budget_places)),
+    s AS (SELECT *, exp(({POSITIVE("CASE WHEN {k} > 0 THEN {w} * ln({k}) ELSE 0 END")}) / ({POSITIVE("CASE WHEN {k} > 0 THEN {w} ELSE 0 END")})) AS raw FROM d),
+    c AS (SELECT *, CASE WHEN gap THEN least(CASE WHEN accepted THEN raw ELSE least(raw, 0.25) END, 0.3) WHEN accepted THEN raw ELSE least(raw, 0.25) END AS sys FROM s),
+    h AS (SELECT *, CASE WHEN households > 0 THEN pow(sys * evidence_scope * temporal_freshness, 1 / 3.0) ELSE least(pow(sys * evidence_scope * 0.4, 1 / 3.0), 0.49) END AS hh FROM c)"""
+
+
+def _budget(v):
+    return budget.uncertainty_budget(v("tb_budget_places"), F.lit(AS_OF).cast("date"))
+
+
+@query(
+    "sa14_budget",
+    f"""WITH {BUDGET}, u AS (SELECT place_id, string_agg(concat(dim, '=', printf('%.4f', less)), ' ' ORDER BY k) AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY less DESC, pos) AS k FROM (
+      {" UNION ALL ".join(f"SELECT place_id, '{k}' AS dim, {i} AS pos, round(1 - {k} + 1e-9, 4) AS less FROM d" for i, k in enumerate(DIMENSIONS))})) WHERE k <= 4 GROUP BY 1)
+    SELECT place_id, {", ".join(DIMENSIONS)}, round(sys + 1e-9, 4) AS system_confidence, {LABEL.format(x="sys")} AS system_label, round(hh + 1e-9, 4) AS household_confidence, {LABEL.format(x="hh")} AS household_label, dominant FROM h JOIN u USING (place_id)""",
+)
+def _(v):
+    dominant = F.array_join(F.transform("dominant", lambda x: F.concat(x["dimension"], F.lit("="), F.format_string("%.4f", x["uncertainty"]))), " ")
+    return _budget(v).select("place_id", "dimensions.*", "system_confidence", "system_label", "household_confidence", "household_label", dominant.alias("dominant"))
+
+
+@query(
+    "sa16_envelope",
+    f"""WITH {BUDGET}, b AS (SELECT *, round(sys + 1e-9, 4) AS base FROM h), p AS (SELECT *, CASE WHEN set_size > 1 THEN 0.25 ELSE 0 END AS p1, CASE WHEN single_origin THEN least(0.3, 0.08 + max_delta) ELSE 0 END AS p2, CASE WHEN coverage_fraction < 0.75 THEN 0.15 ELSE 0 END AS p3,
+      CASE WHEN NOT path_complete THEN 0.2 ELSE 0 END AS p5, CASE WHEN undecided > 0 THEN least(0.2, 0.04 * undecided) ELSE 0 END AS p6 FROM b), w AS (SELECT *, greatest(0, base - p1 - p2 - p3 - p5 - p6)::DOUBLE AS lo, least(1, base + 0.05)::DOUBLE AS hi FROM p)
+    SELECT place_id, round(lo + 1e-9, 4) AS worst, round(hi + 1e-9, 4) AS best, round(hi - lo + 1e-9, 4) AS width, {LABEL.format(x="base")} = {LABEL.format(x="lo")} AND hi - lo <= 0.2 + 1e-9 AS stable_under_stress,
+      CAST(set_size > 1 AS INT) + CAST(single_origin AS INT) + CAST(coverage_fraction < 0.75 AS INT) + CAST(household_blocked AS INT) + CAST(NOT path_complete AS INT) + CAST(undecided > 0 AS INT) AS scenarios FROM w""",
+)
+def _(v):
+    return budget.verdict_envelope(_budget(v)).select("place_id", "worst", "best", "width", "stable_under_stress", F.size("scenarios").alias("scenarios"))

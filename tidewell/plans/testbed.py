@@ -98,6 +98,14 @@ SELECT c_custkey AS place_id, c_custkey % 19 <> 0 AS located, CAST(c_custkey % 4
   c_custkey % 9 = 0 AS near_boundary, CAST(c_custkey % 75 AS DOUBLE) AS boundary_m, c_custkey % 17 = 0 AS gap, c_custkey % 21 = 0 AS overlap
 FROM {customer} LEFT JOIN (SELECT o_custkey, count(*) AS records, count(DISTINCT o_orderpriority) AS origins, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS unaccredited, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS active,
   sum(CASE WHEN o_totalprice < 40000 THEN 1 ELSE 0 END) AS single_origin FROM {orders} GROUP BY o_custkey) o ON c_custkey = o_custkey""",
+    "tb_budget_places": """
+SELECT c_custkey AS place_id, c_custkey % 19 <> 0 AS primary_found, c_custkey % 4 <> 2 AS secondary_found, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey % 130 AS DOUBLE) END AS geocoder_m, c_custkey % 5 <> 0 AS accepted, CAST(0.9 + 0.01 * (c_custkey % 8) AS DOUBLE) AS score,
+  CASE WHEN c_custkey % 3 = 0 THEN 'not-computed' ELSE 'computed' END AS stability_status, CAST(0.4 + 0.01 * (c_custkey % 60) AS DOUBLE) AS stability_score, c_custkey % 9 = 0 AS near_boundary, c_custkey % 17 = 0 AS gap, c_custkey % 21 = 0 AS overlap,
+  CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS households, coalesce(records, 0) AS records, coalesce(analytes, 0) AS analytes, coalesce(groups, 0) AS groups, newest, coalesce(effective_n, 0) AS effective_n, c_custkey % 6 AS contradictions,
+  c_custkey % 2 = 0 AS federal_synced, c_custkey % 3 = 0 AS ccr_synced, c_custkey % 4 = 0 AS wqp_synced, 1 + c_custkey % 3 AS set_size, c_custkey % 10 < 3 AS single_origin, CAST(0.01 * (c_custkey % 40) AS DOUBLE) AS max_delta, coalesce(groups, 0) / 6.0 AS coverage_fraction,
+  c_custkey % 11 <> 0 AS household_blocked, c_custkey % 13 <> 0 AS path_complete, c_custkey % 8 AS undecided
+FROM {customer} LEFT JOIN (SELECT l_suppkey, count(*) AS records, count(DISTINCT l_partkey % 23) AS analytes, count(DISTINCT l_returnflag) AS groups, CAST(max(l_shipdate) AS DATE) AS newest, count(DISTINCT l_linenumber) AS effective_n FROM {lineitem} WHERE l_suppkey % 2 = 0 GROUP BY l_suppkey) l
+  ON c_custkey % 200 = l_suppkey""",
     "tb_xw_systems": """
 SELECT CAST(3590000 + s_suppkey AS STRING) AS pwsid, n_name AS city, concat(n_name, CASE s_suppkey % 4 WHEN 0 THEN ' Pine Cove' WHEN 1 THEN ' Bear Lake' WHEN 2 THEN ' Manor' ELSE '' END, CASE WHEN s_suppkey % 3 = 0 THEN concat(' Unit', CAST(s_suppkey AS STRING)) ELSE ' Water System' END) AS name
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
