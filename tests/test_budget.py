@@ -54,3 +54,25 @@ def test_envelope(spark):
     assert (got[2]["worst"], got[2]["stable_under_stress"], len(got[2]["scenarios"])) == (0.0, False, 6) and [s["penalty"] for s in got[2]["scenarios"]] == [0.25, 0.3, 0.15, 0.35, 0.2, 0.2]
     assert (got[3]["worst"], got[3]["width"], got[3]["stable_under_stress"]) == (0.76, 0.09, True)
     assert (got[4]["worst"], got[4]["best"]) == (0.0, 0.05) and len(got[4]["scenarios"]) == 2
+
+
+def test_applicability(spark):
+    from tidewell.operators import applicability
+
+    ddl = "rid string, sample_type string, sample_date date, lab_status string, lab_id string, record_fingerprint string, pwsid string, place_pwsid string, factual_status string, address_hash string, place_address_hash string, superseded_by string, admissible boolean, path_certainty double, entry_point string"
+    rows = [
+        ("home", "Exact household", AS_OF, "verified", "L", "f", "1", "1", None, "h", "h", None, True, 1.0, None), ("tap", "TAP", dt.date(2023, 1, 1), "Unaccredited", "L", None, "1", "1", None, None, "h", "r2", None, None, "E"),
+        ("other", "well", None, None, None, None, "2", "1", None, None, None, None, False, None, None), ("bad", "", AS_OF, None, "L", "f", "1", "1", "quarantined", None, None, None, True, 0.1, None),
+    ]
+    judged = applicability.applicability(spark.createDataFrame(rows, ddl), ["public-water-system-record", "exact-household-sample"], F.lit(AS_OF))
+    got = {(r["rid"], r["claim_scope"]): r for r in judged.collect()}
+    home, tap = got["home", "exact-household-sample"], got["tap", "public-water-system-record"]
+    assert home["eligible"] and home["vetoes"] == [] and home["dimensions"].asDict() == pytest.approx({"spatial": 1.0, "temporal": 1.0, "hydraulic": 1.0, "provenance": 0.65, "laboratory": 1.0, "regulatory": 0.9, "scope_compatibility": 1.0})
+    assert tap["evidence_scope"] == "tap-sampling-record" and tap["dimensions"].asDict() == pytest.approx({"spatial": 0.88, "temporal": 0.5, "hydraulic": 0.68, "provenance": 0.45, "laboratory": 0.35, "regulatory": 0.35, "scope_compatibility": 1.0})
+    assert not got["tap", "exact-household-sample"]["eligible"] and got["tap", "exact-household-sample"]["score"] <= 0.15  # never a finer claim
+    other = got["other", "public-water-system-record"]
+    assert other["score"] <= 0.2 and other["evidence_scope"] == "source-well-record" and other["dimensions"]["temporal"] == 0.35 and other["dimensions"]["hydraulic"] == 0.05 and len(other["vetoes"]) == 1
+    bad = got["bad", "public-water-system-record"]
+    assert bad["vetoes"] == ["the record is quarantined"] and not bad["eligible"] and bad["dimensions"]["hydraulic"] == 0.5
+    up = {r["claim_scope"]: r for r in applicability.by_claim_scope(judged, "rid", top=2).collect()}
+    assert (up["public-water-system-record"]["eligible"], up["public-water-system-record"]["total"], up["exact-household-sample"]["vetoed"]) == (2, 4, 3) and up["exact-household-sample"]["top"][0] == "home"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import budget, evidence, nested, report, spatial, stats
+from tidewell.operators import applicability, budget, evidence, nested, report, spatial, stats
 from tidewell.plans.catalog import MILES, query, r
 
 TOLD = "stability_status <> 'not-computed'"
@@ -149,3 +149,32 @@ def _(v):
 )
 def _(v):
     return budget.verdict_envelope(_budget(v)).select("place_id", "worst", "best", "width", "stable_under_stress", F.size("scenarios").alias("scenarios"))
+
+
+LATTICE_SCOPES = ["public-water-system-record", "exact-household-sample", "distribution-point-record"]
+LATTICE = f"""r AS (SELECT *, CASE sample_type WHEN 'TAP' THEN 6 WHEN 'DISTRIBUTION' THEN 5 ELSE 4 END AS rank, pwsid = concat('35900', lpad(CAST(revision * 7 AS STRING), 2, '0')) AS same FROM tb_samples),
+    x AS (SELECT *, CASE claim_scope WHEN 'exact-household-sample' THEN 7 WHEN 'distribution-point-record' THEN 5 ELSE 2 END <= rank AS fits FROM r, (SELECT unnest({LATTICE_SCOPES}) AS claim_scope)),
+    d AS (SELECT *, (ln(CASE WHEN location_code = 'L7' THEN 1 WHEN same THEN 0.88 ELSE 0.2 END) + ln(greatest(0.05, least(1.0, pow(0.5, greatest(0, datediff('day', sample_date, DATE '1999-06-30')) / 365.0))))
+      + ln(CASE WHEN lab_id = 'LAB3' THEN 0.05 WHEN lab_id = 'LAB4' THEN 0.9 ELSE 0.68 END) + ln(0.45 + CASE WHEN sample_id IS NOT NULL THEN 0.18 ELSE 0 END + 0.08 + 0.05) + ln(CASE lab_id WHEN 'LAB0' THEN 1 WHEN 'LAB1' THEN 0.35 WHEN 'LAB2' THEN 0.35 ELSE 0.72 END)
+      + ln(CASE WHEN result = 'ND' THEN 0.1 ELSE 0.9 END) + ln(CASE WHEN fits THEN 1 ELSE 0.01 END)) / 7 AS l FROM x),
+    s AS (SELECT *, round(least(exp(l), CASE WHEN fits THEN 1 ELSE 0.15 END, CASE WHEN same THEN 1 ELSE 0.2 END)::DOUBLE + 1e-9, 4) AS score, NOT fits OR result = 'ND' OR NOT same AS vetoed FROM d)"""
+
+
+def _judged(v):
+    lab, known = F.col("lab_id"), F.lit(None).cast("boolean")
+    rows = v("tb_samples").withColumns({
+        "place_pwsid": F.concat(F.lit("35900"), F.lpad((F.col("revision") * 7).cast("string"), 2, "0")), "address_hash": F.col("location_code"), "place_address_hash": F.lit("L7"), "lab_status": F.when(lab == "LAB0", "verified").when(lab == "LAB1", "expired").when(lab == "LAB2", "unaccredited"),
+        "admissible": F.when(lab == "LAB3", False).when(lab == "LAB4", True).otherwise(known), "path_certainty": F.lit(0.9), "factual_status": F.when(F.col("result") == "ND", "quarantined"),
+    })
+    return applicability.applicability(rows, LATTICE_SCOPES, F.lit("1999-06-30").cast("date"))
+
+
+@query("sa15_lattice", f"WITH {LATTICE} SELECT claim_scope, sample_type, count(*) AS n, round(avg(score), 6) AS mean, count(*) FILTER (score >= 0.5 AND NOT vetoed) AS eligible, count(*) FILTER (vetoed) AS vetoed FROM s GROUP BY 1, 2")
+def _(v):
+    return _judged(v).groupBy("claim_scope", "sample_type").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.count_if("eligible").alias("eligible"), F.count_if(F.size("vetoes") > 0).alias("vetoed"))
+
+
+@query("ag25_by_claim_scope", f"""WITH {LATTICE}, k AS (SELECT *, row_number() OVER (PARTITION BY claim_scope ORDER BY score DESC, rid) AS k FROM s) SELECT claim_scope, count(*) FILTER (score >= 0.5 AND NOT vetoed) AS eligible, count(*) AS total, round(avg(score), 4) AS mean, count(*) FILTER (vetoed) AS vetoed,
+    string_agg(rid, ' ' ORDER BY k) FILTER (k <= 12) AS top FROM k GROUP BY 1""")
+def _(v):
+    return applicability.by_claim_scope(_judged(v), "rid").withColumn("top", F.array_join("top", " "))
