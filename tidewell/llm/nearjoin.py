@@ -29,13 +29,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewell.llm import _seq, _shuffle
 from tidewell.llm._repeats import COPY, KEYS, NOTE_DDL, NULL_ID, digested, find, group_of, ids_repeat, join_hashes, note_rows, notes, numbers, packed_rows
@@ -192,7 +192,7 @@ def verified(pairs: DataFrame, kept: DataFrame, words: int, percent: int) -> Dat
     told = moved.unionByName(pairs.select("to", F.col("a").alias("doc_id"), F.lit(None).cast("binary").alias("packed"), "b"))
 
     def sets(ids: list[int], packed: list[bytes]) -> dict[int, np.ndarray]:
-        texts = pa.array([zlib.decompress(x).decode() for x in packed], pa.string())
+        texts = pa.array(_shuffle.unzipped(packed), pa.string())
         return dict(zip(ids, shingle_sets(*_seq.text_bytes(texts), words)))
 
     def check(own: pa.Table, told: pa.Table) -> pa.Table:
@@ -349,15 +349,16 @@ def node_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # empty sets take no part either
     again = own.join(first.filter("_last > rep").select("digest", "rep"), "digest").filter("doc_id > rep").select("doc_id").unionByName(own.filter("size = 0").select("doc_id"))
     copies = again.select(group_of(groups).alias("g"), "doc_id").mapInArrow(blob, NOTE_DDL)
-    texts = docs.select(group_of(groups).alias("g"), "doc_id", "text")
+    texts = _shuffle.zipped(docs.select(group_of(groups).alias("g"), "doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
     def members(table: pa.Table, told: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray]]:
-        """Ids, texts and sets of the group's class representatives."""
+        """Ids, packed texts and sets of the group's class representatives."""
         blobs = notes(told, COPY)[0]
         skip = np.concatenate([np.frombuffer(b, np.int64) for b in blobs]) if blobs else np.zeros(0, np.int64)
         keep = np.flatnonzero(~np.isin(table["doc_id"].to_numpy(), skip))
         part = table.take(pa.array(keep))
-        return zip(part["doc_id"].to_pylist(), part["text"], shingle_sets(*_seq.text_bytes(part["text"]), words))
+        packed = part["packed"].to_pylist()
+        return zip(part["doc_id"].to_pylist(), packed, shingle_sets(*_seq.text_bytes(pa.array(_shuffle.unzipped(packed), pa.string())), words))
 
     def send(table: pa.Table, told: pa.Table) -> pa.Table:
         found = [prefix(tokens, shared.value, noise, percent)[0] for _, _, tokens in members(table, told) if len(tokens)] if table.num_rows else []
@@ -373,12 +374,12 @@ def node_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
         blobs = notes(told, KEYS)[0]
         keys = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])) if blobs else np.zeros(0, np.uint64)
         out = []
-        for d, text, tokens in members(table, told) if len(keys) and table.num_rows else []:
+        for d, packed, tokens in members(table, told) if len(keys) and table.num_rows else []:
             if len(tokens):
                 lead, level = prefix(tokens, shared.value, noise, percent)
                 hit = np.flatnonzero(find(keys, lead))
                 if may_link(len(tokens), level, hit, percent):
-                    out.append((d, len(tokens), level, zlib.compress((text.as_py() or '').encode(), 6), lead[hit].view(np.int64), hit.astype(np.int32), *(int(hit[k - 1]) if len(hit) >= k else 1 << 30 for k in (max(1, min(LOW, need(need(len(tokens), percent), percent))), level))))
+                    out.append((d, len(tokens), level, packed, lead[hit].view(np.int64), hit.astype(np.int32), *(int(hit[k - 1]) if len(hit) >= k else 1 << 30 for k in (max(1, min(LOW, need(need(len(tokens), percent), percent))), level))))
         g = table["g"][0].as_py() if table.num_rows else 0
         kinds = {"doc_id": pa.int64(), "size": pa.int32(), "level": pa.int32(), "packed": pa.binary(), "prefix": pa.list_(pa.int64()), "place": pa.list_(pa.int32()), "low_at": pa.int32(), "own_at": pa.int32()}
         made = pa.table([pa.array([g] * len(out), pa.int32()), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds.values())]], names=["g", *kinds])
@@ -397,7 +398,7 @@ def nodes(rows: DataFrame, node: str) -> DataFrame:
 
 def apart(rows: DataFrame, of: DataFrame) -> DataFrame:
     """(n, row): one row of each id and digest. Repeated rows are taken together before they are shuffled."""
-    return _shuffle.cut(rows.groupBy("id", "digest").agg(F.first("row").alias("row")).join(of, ["id", "digest"]).select("n", "row"))
+    return _shuffle.cut(rows.groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row")).join(of, ["id", "digest"]).select("n", "row"))
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -423,4 +424,13 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     else:
         rows = packed_rows(docs)
     kept = node_classes(nodes(rows, "id"), words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("id"))
-    return rows.join(kept, "id", "left_semi").select("row.*")
+    columns = rows.schema["row"].dataType.names
+    rest = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in columns if c != "text"]).alias("rest")
+    left = _shuffle.zipped(rows.select("id", rest, F.col("row.text").cast("string").alias("text"))).join(kept, "id", "left_semi")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["rest"], pa.array(_shuffle.unzipped(batch["packed"].to_pylist()), pa.string())], names=["rest", "text"])
+
+    whole = left.select("rest", "packed").mapInArrow(unpack, StructType([left.schema["rest"], StructField("text", StringType())]))
+    return whole.select(*[F.col(f"rest.`{c}`").alias(c) if c != "text" else F.col("text").cast(docs.schema["text"].dataType).alias("text") for c in columns])
