@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tidewell.functions import pfas as P
 from tidewell.functions import records as R
 from tidewell.functions import statistics as S
-from tidewell.operators import stats
+from tidewell.operators import records, stats
 from tidewell.sources import readers
 
 LEVELS = {"PFOA": 4.0, "PFOS": 4.0}
@@ -96,3 +96,16 @@ def test_report_index_finds_the_uncovered(spark):
     systems = spark.createDataFrame([("1", "COMMUNITY"), ("4", "Community"), ("5", "TNC")], "pwsid string, system_type string")
     got = sorted((r["kind"], r["pwsid"], r["report_year"]) for r in readers.report_index(configured, links, systems, "f").collect())
     assert got == [("configured", "1", 2020), ("configured", "2", 2020), ("discovered", "3", 2021), ("finder", "4", None)]
+
+
+def test_a_laboratory_that_stands_twice(spark):
+    """The active entry counts, then the one that lasts longest, whatever order they come in."""
+    import datetime as dt
+
+    labs = [("L1", "One", "revoked", None, True), ("L1", "One", "active", dt.date(2023, 1, 1), True), ("l1 ", "One", "active", dt.date(2030, 1, 1), True), ("L2", "Two", "active", dt.date(2020, 1, 1), True), ("L2", "Two", "active", None, True)]
+    rows = [(i, "k", "1", f"o{i}", "s", lab, name, dt.date(2024, 5, 1)) for i, (lab, name) in enumerate([("L1", None), ("L2", None), (None, "one"), (None, "Nobody")])]
+    samples = spark.createDataFrame(rows, "rid int, k string, result string, origin string, source string, lab string, lab_name string, d date")
+    for entries in (labs, labs[::-1]):
+        out = records.verify(samples, ["k"], "rid", "result", "origin", "source", spark.createDataFrame(entries, "lab_id string, name string, status string, expires_on date, certified boolean"), "lab", "lab_name", "d")
+        got = {r["rid"]: r["accreditation"] for r in out.collect()}
+        assert got[0] == got[1] == got[2] == "accredited" and got[3] != "accredited"
