@@ -91,8 +91,9 @@ def nearest(centres: DataFrame, sites: DataFrame, radius_miles: float, k: int, c
     """The k nearest sites within the radius of each centre, at any latitude and over the date line.
 
     Cells are rows of the radius' height; a row is cut into equal cells, as wide as the radius reaches in longitude at
-    the highest latitude of the row and its neighbours. A site stands in its cell, a centre in the three cells around it
-    in each of three rows.
+    the highest latitude of the row and its neighbours. A centre stands in its cell, a site in the three cells around it
+    in each of three rows. Sites of one place meet a centre as one, by their k least ids, and the k nearest places hold
+    the k nearest sites, so places where very many stand make no pairs of their own.
     """
     angle = math.degrees(radius_miles / MILES)
     row = lambda lat: F.floor((lat + 90) / angle)
@@ -101,10 +102,12 @@ def nearest(centres: DataFrame, sites: DataFrame, radius_miles: float, k: int, c
     reach = lambda r: F.when(high(r) + angle >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), math.sin(math.radians(angle)) / F.cos(F.radians(high(r)))))))
     cells = lambda r: F.greatest(F.lit(1), F.floor(360 / (reach(r) * (1 + 1e-9)))).cast("long")
     column = lambda lon, r: F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * cells(r)), cells(r))
-    c = centres.withColumn("cell_y", F.explode(F.array(*[row(F.col("lat")) + i for i in (-1, 0, 1)])))
-    around = F.array_distinct(F.array(*[F.pmod(column(F.col("lon"), F.col("cell_y")) + i, cells(F.col("cell_y"))) for i in (-1, 0, 1)]))
-    c = c.withColumn("cell_x", F.explode(around))
-    s = sites.filter("lon is not null and lat is not null").withColumn("cell_y", row(F.col("lat"))).select(F.col(site_id), F.col("lon").alias("site_lon"), F.col("lat").alias("site_lat"), column(F.col("lon"), F.col("cell_y")).alias("cell_x"), "cell_y")
+    c = centres.select(centre_id, "lon", "lat", row(F.col("lat")).alias("cell_y")).withColumn("cell_x", column(F.col("lon"), F.col("cell_y")))
+    s = sites.filter("lon is not null and lat is not null").select(F.col(site_id).alias("_site"), F.col("lon").alias("site_lon"), F.col("lat").alias("site_lat"))
+    s = s.withColumn("_n", F.row_number().over(Window.partitionBy("site_lon", "site_lat").orderBy("_site"))).filter(F.col("_n") <= k)
+    s = s.groupBy("site_lon", "site_lat").agg(F.sort_array(F.collect_list("_site")).alias("_sites")).withColumn("cell_y", F.explode(F.array(*[row(F.col("site_lat")) + i for i in (-1, 0, 1)])))
+    around = F.array_distinct(F.array(*[F.pmod(column(F.col("site_lon"), F.col("cell_y")) + i, cells(F.col("cell_y"))) for i in (-1, 0, 1)]))
+    s = s.withColumn("cell_x", F.explode(around))
     near = c.join(s, ["cell_x", "cell_y"]).withColumn("miles", haversine(F.col("lon"), F.col("lat"), F.col("site_lon"), F.col("site_lat"))).filter(F.col("miles") <= radius_miles)
     w = Window.partitionBy(centre_id).orderBy("miles", site_id)
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(centre_id, site_id, "miles", "rank")
@@ -124,6 +127,8 @@ def stability(resolved: DataFrame, point_id: str) -> DataFrame:
 
     resolved: point_id, radius (0: the point itself), bearing, answer (null: none).
     """
+    places = Window.partitionBy(centre_id).orderBy("miles", F.col("_sites")[0])
+    near = near.withColumn("_n", F.row_number().over(places)).filter(F.col("_n") <= k).select(centre_id, "miles", F.explode("_sites").alias(site_id))
     centre = resolved.filter("radius = 0").select(point_id, F.col("answer").alias("reference"))
     both = resolved.filter("radius > 0").join(centre, point_id)
     out = both.groupBy(point_id).agg(F.first("reference").alias("reference"), (F.count_if(F.col("answer") == F.col("reference")) / F.count("*")).alias("stable_fraction"), (F.count_if(F.col("answer").isNull()) / F.count("*")).alias("unresolved"))
