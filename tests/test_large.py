@@ -17,6 +17,13 @@ def test_nearest_many_sites_of_one_place(spark):
     assert [tuple(r) for r in got] == [(1, 20000, 0, 0), (2, 20000, 1, 1), (3, 20000, 2, 2)] and time.time() - t < 60  # 400 million pairs before
 
 
+def test_only_member_of_large_cities(spark):
+    t = time.time()
+    rows = spark.range(20000).select("id", F.when(F.col("id") == 5, "TOWN OF B").otherwise("TOWN OF A").alias("place"))
+    members = spark.range(20000).select(F.col("id").alias("m"), F.when(F.col("id") == 9, "B").otherwise("A").alias("city"))
+    assert [(r["id"], r["m"]) for r in registry.only_member(rows, members, "id", "place", "city").collect()] == [(5, 9)] and time.time() - t < 60
+
+
 def test_alike_labels_are_decided_once(spark):
     systems = spark.range(3000).select(F.col("id").cast("string").alias("pwsid"), F.concat(F.lit("Unit"), "id").alias("name"), F.lit("X").alias("city"))
     aliases = systems.groupBy(F.lit("Coastal Authority").alias("name")).agg(F.sort_array(F.collect_list("pwsid")).alias("pwsids"))

@@ -78,10 +78,14 @@ def blend(rows: DataFrame, key: str, fraction: str, at: Column) -> DataFrame:
 def only_member(rows: DataFrame, members: DataFrame, key: str, place: str, city: str) -> DataFrame:
     """The member whose city the place names, word by word, if there is exactly one.
 
-    Places and cities meet by shared words, then the whole city must stand in the place.
+    Distinct places and cities meet by shared words, then the whole city must stand in the place. A city brings the number of
+    its members and one of them, so neither many rows of a place nor many members of a city make pairs.
     """
     words = lambda c: F.explode(F.array_distinct(F.split(F.upper(c), " ")))
-    near = rows.select(key, place, words(F.col(place)).alias("_w")).join(members.select("*", words(F.col(city)).alias("_w")), "_w").drop("_w").distinct()
-    whole = near.filter(F.contains(F.concat(F.lit(" "), F.upper(place), F.lit(" ")), F.concat(F.lit(" "), F.upper(city), F.lit(" "))))
     others = [c for c in members.columns]
-    return whole.groupBy(key).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in others]).filter("_n = 1").drop("_n")
+    named = rows.select(key, F.col(place).alias("_place")).distinct()
+    towns = members.distinct().groupBy(F.col(city).alias("_city")).agg(F.count("*").alias("_n"), F.first(F.struct(*others)).alias("_m"))
+    near = named.select("_place").distinct().withColumn("_w", words(F.col("_place"))).join(towns.select("_city", words(F.col("_city")).alias("_w")), "_w").select("_place", "_city").distinct()
+    whole = near.filter(F.contains(F.concat(F.lit(" "), F.upper("_place"), F.lit(" ")), F.concat(F.lit(" "), F.upper("_city"), F.lit(" ")))).join(towns, "_city")
+    found = whole.groupBy("_place").agg(F.sum("_n").alias("_n"), F.first("_m").alias("_m"))
+    return named.join(found, "_place").groupBy(key).agg(F.sum("_n").alias("_n"), F.first("_m").alias("_m")).filter("_n = 1").select(key, "_m.*")
