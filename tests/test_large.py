@@ -24,6 +24,12 @@ def test_only_member_of_large_cities(spark):
     assert [(r["id"], r["m"]) for r in registry.only_member(rows, members, "id", "place", "city").collect()] == [(5, 9)] and time.time() - t < 60
 
 
+def test_whole_populations_are_rounded(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 0, 3000.7), (2, "b", 0, 3000.5), (3, "c", 0, -1.6)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "n")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    assert [r["population"] for r in testbed.view(spark, str(tmp_path), "tb_systems").orderBy("pwsid").collect()] == [3001, 3000, -2]
+
+
 def test_alike_labels_are_decided_once(spark):
     systems = spark.range(3000).select(F.col("id").cast("string").alias("pwsid"), F.concat(F.lit("Unit"), "id").alias("name"), F.lit("X").alias("city"))
     aliases = systems.groupBy(F.lit("Coastal Authority").alias("name")).agg(F.sort_array(F.collect_list("pwsid")).alias("pwsids"))
