@@ -30,6 +30,12 @@ def test_whole_populations_are_rounded(spark, tmp_path):
     assert [r["population"] for r in testbed.view(spark, str(tmp_path), "tb_systems").orderBy("pwsid").collect()] == [3001, 3000, -2]
 
 
+def test_best_of_many_equal_scores(spark):
+    judged = spark.range(1000).select(F.lit("s").alias("claim_scope"), F.format_string("%04d", 999 - F.col("id")).alias("rid"), F.when(F.col("id") == 3, 0.9).otherwise(0.6).alias("score"), F.array().cast("array<string>").alias("vetoes"), F.lit(True).alias("eligible"))
+    up = applicability.by_claim_scope(judged, "rid", top=3).first()
+    assert (up["eligible"], up["total"], up["mean"], up["vetoed"], up["top"]) == (1000, 1000, 0.6003, 0, ["0996", "0000", "0001"])
+
+
 def test_alike_labels_are_decided_once(spark):
     systems = spark.range(3000).select(F.col("id").cast("string").alias("pwsid"), F.concat(F.lit("Unit"), "id").alias("name"), F.lit("X").alias("city"))
     aliases = systems.groupBy(F.lit("Coastal Authority").alias("name")).agg(F.sort_array(F.collect_list("pwsid")).alias("pwsids"))

@@ -25,9 +25,16 @@ def freshness(age_days: Column, half_life_days: float | Column) -> Column:
 
 def geometric_mean(*xs: Column) -> Column:
     """Over the positive values only; missing and zero dimensions are skipped."""
-    logs = [F.when(x > 0, F.ln(x)) for x in xs]
-    total = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in logs])
-    count = reduce(lambda a, b: a + b, [F.when(x.isNotNull(), 1).otherwise(0) for x in logs])
+    return mean_of_logs(*logs(*xs))
+
+
+def logs(*xs: Column) -> tuple[Column, Column]:
+    """The sum of the positive values' logarithms, and how many there are."""
+    each = [F.when(x > 0, F.ln(x)) for x in xs]
+    return reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in each]), reduce(lambda a, b: a + b, [F.when(x.isNotNull(), 1).otherwise(0) for x in each])
+
+
+def mean_of_logs(total: Column, count: Column) -> Column:
     return F.when(count > 0, F.exp(total / F.nullif(count, F.lit(0))))
 
 

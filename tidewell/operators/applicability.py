@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.scores import clamp, geometric_mean
+from tidewell.functions.scores import clamp, logs, mean_of_logs
 from tidewell.operators.budget import rounded
 
 # Scopes from the coarsest to the finest, and the words of a sample's type that tell its scope, in order.
@@ -59,23 +59,35 @@ def applicability(records: DataFrame, scopes: Sequence[str], as_of: Column, half
         "regulatory": F.when(quarantined, 0.1).when(~F.coalesce(flag("is_current"), F.lit(True)), 0.45).when(has("superseded_by"), 0.35).when(has("pwsid"), 0.9).otherwise(0.5),
         "scope_compatibility": F.when(compatible, 1.0).otherwise(0.01),
     }
-    out = records.withColumn("evidence_scope", evidence_scope).withColumn("claim_scope", F.explode(F.array(*[F.lit(s) for s in scopes])))
-    out = out.withColumn("dimensions", F.struct(*[dims[k].alias(k) for k in DIMENSIONS]))
-    score = geometric_mean(*[F.col(f"dimensions.{k}") for k in DIMENSIONS])
+    # a record's own dimensions come before it is held against each scope
+    own = [k for k in DIMENSIONS if k != "scope_compatibility"]
+    out = records.withColumns({"evidence_scope": evidence_scope, "_same": same, "_quarantined": quarantined, "_own": F.struct(*[dims[k].alias(k) for k in own])})
+    total, count = logs(*[F.col(f"_own.{k}") for k in own])
+    out = out.withColumns({"_total": total, "_count": count}).withColumn("claim_scope", F.explode(F.array(*[F.lit(s) for s in scopes])))
+    same, quarantined = F.col("_same"), F.col("_quarantined")
+    out = out.withColumn("dimensions", F.struct(*[F.col(f"_own.{k}").alias(k) for k in own], dims["scope_compatibility"].alias("scope_compatibility")))
+    last, one = logs(dims["scope_compatibility"])
+    score = mean_of_logs(F.col("_total") + last, F.col("_count") + one)
     score = F.when(compatible, score).otherwise(F.least(score, F.lit(INCOMPATIBLE_CAP)))
     score = F.when(same, score).otherwise(F.least(score, F.lit(OTHER_SYSTEM_CAP)))
     vetoes = F.array(F.when(~compatible, F.concat("evidence_scope", F.lit(" cannot support "), "claim_scope")), F.when(quarantined, F.lit("the record is quarantined")), F.when(~same, F.lit("the record is of another system")))
     out = out.withColumns({"score": rounded(score), "vetoes": F.filter(vetoes, lambda m: m.isNotNull())})
+    out = out.drop("_same", "_quarantined", "_own", "_total", "_count")
     return out.withColumn("eligible", (F.col("score") >= ELIGIBLE) & (F.size("vetoes") == 0))
 
 
 def by_claim_scope(judged: DataFrame, record_id: str, top: int = 12) -> DataFrame:
     """eligible, total, mean, vetoed and the `top` records of each claim scope, the highest scores first, then the lesser id.
 
-    Each task keeps its own best ones, so a scope's records are never together.
+    Records are counted by score first (four digits, so few rows). That gives the score below which none can be among the `top`,
+    and only those at or above it are put in order.
     """
-    counts = judged.groupBy("claim_scope").agg(F.count_if("eligible").alias("eligible"), F.count("*").alias("total"), F.round(F.avg("score"), 4).alias("mean"), F.count_if(F.size("vetoes") > 0).alias("vetoed"))
+    by_score = judged.groupBy("claim_scope", "score").agg(F.count_if("eligible").alias("eligible"), F.count("*").alias("n"), F.count_if(F.size("vetoes") > 0).alias("vetoed"), F.sum("score").alias("sum"))
+    counts = by_score.groupBy("claim_scope").agg(F.sum("eligible").alias("eligible"), F.sum("n").alias("total"), F.round(F.sum("sum") / F.sum(F.when(F.col("score").isNotNull(), F.col("n"))), 4).alias("mean"), F.sum("vetoed").alias("vetoed"))
+    higher = F.sum("n").over(Window.partitionBy("claim_scope").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    least = by_score.withColumn("_higher", F.coalesce(higher, F.lit(0))).filter(F.col("_higher") < top).select(F.col("claim_scope").alias("_scope"), F.col("score").alias("_score"))
     w = Window.partitionBy("claim_scope").orderBy(F.col("score").desc(), F.col(record_id))
-    best = judged.select("claim_scope", "score", record_id).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= top)
+    near = judged.select("claim_scope", "score", record_id).join(F.broadcast(least), (F.col("claim_scope") == F.col("_scope")) & F.col("score").eqNullSafe(F.col("_score")), "left_semi")  # `top` rows a scope at most
+    best = near.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= top)
     best = best.groupBy("claim_scope").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.col(record_id).alias("id")))), lambda x: x["id"]).alias("top"))
     return counts.join(best, "claim_scope", "left")
