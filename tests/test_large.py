@@ -30,6 +30,21 @@ def test_whole_populations_are_rounded(spark, tmp_path):
     assert [r["population"] for r in testbed.view(spark, str(tmp_path), "tb_systems").orderBy("pwsid").collect()] == [3001, 3000, -2]
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_imputed_ranks_over_ranges(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = [(k, i, float(1 + i % 9), float(1 + i % 5), i % 3 == 0) for k in ("a", None) for i in range(60)]
+        got = stats.impute_censored(spark.createDataFrame(rows, "k string, i int, v double, l double, c boolean"), ["k"], "i", "v", "l", "c").collect()
+        assert len(got) == 120 and all(r["value"] == 1 + r["i"] % 9 for r in got if not r["censored"])
+        low = sorted((1 + i % 5, i) for i in range(60) if i % 3 == 0)
+        values = {r["i"]: r["value"] for r in got if r["k"] == "a" and r["censored"]}
+        assert len(values) == 20 and all(values[a] <= values[b] for (_, a), (_, b) in zip(low, low[1:]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_best_of_many_equal_scores(spark):
     judged = spark.range(1000).select(F.lit("s").alias("claim_scope"), F.format_string("%04d", 999 - F.col("id")).alias("rid"), F.when(F.col("id") == 3, 0.9).otherwise(0.6).alias("score"), F.array().cast("array<string>").alias("vetoes"), F.lit(True).alias("eligible"))
     up = applicability.by_claim_scope(judged, "rid", top=3).first()

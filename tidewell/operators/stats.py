@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from tidewell.functions.statistics import normal_quantile
 from tidewell.operators.ranks import rises
 from tidewell.operators.scan import PART, carried, in_ranges
+from tidewell.streaming.folder import shared_folder
 
 
 def _rises(rows: DataFrame, key: Sequence[str], order: Column, value: str) -> DataFrame:
@@ -167,18 +170,31 @@ def impute_censored(rows: DataFrame, key: Sequence[str], row_id: str, value: str
 
     Returns key, row id, censored, value: a censored row's value is the line's at its rank among limits, never above its
     own limit. A group with fewer than `least` detected values above zero gets no values for its censored rows.
-    Ranks are windows by group, so a group is sorted whole (with spill) in one task.
+    Rows are dealt to ranges of their order and written sorted to the shared folder; a row's rank is its place in its range
+    and the sizes of the ranges before, so no group is sorted in one task.
     """
-    known = rows.filter(F.when(F.col(censored), F.col(limit).isNotNull()).otherwise(F.col(value) > 0))
-    w = Window.partitionBy(*key, censored)
-    known = known.withColumns({"_i": F.row_number().over(w.orderBy(F.when(F.col(censored), F.col(limit)).otherwise(F.col(value)), row_id)), "_m": F.count("*").over(w)})
+    spark = rows.sparkSession
+    v = F.when(F.col(censored), F.col(limit)).otherwise(F.col(value))
+    known = rows.filter(F.when(F.col(censored), F.col(limit).isNotNull()).otherwise(F.col(value) > 0)).select(*key, F.col(row_id), F.col(censored).alias("_c"), v.alias("_v"))
+    order = [*key, "_c", "_v", row_id]
+    folder = f"{shared_folder(spark)}/ranks-{uuid.uuid4().hex}"
+    placed = known.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed.select(*order, F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")).write.parquet(folder)
+    known = spark.read.parquet(folder)
+    w = Window.partitionBy(*key, "_c")
+    sizes = known.groupBy(*key, "_c", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_m": F.sum("_n").over(w)})
+    of = [*key, "_c", "_part"]
+    sizes = sizes.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(of)], "_first", "_before", "_m")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(of)])  # a null key is a group too
+    known = known.join(sizes, same).select(*order, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("_i"), "_m")
     z = normal_quantile((F.col("_i") - 0.375) / (F.col("_m") + 0.25))
-    found = known.filter(~F.col(censored)).select(*key, F.ln(value).alias("_y"), z.alias("_z"))
+    found = known.filter(~F.col("_c")).select(*key, F.ln("_v").alias("_y"), z.alias("_z"))
     line = found.groupBy(*key).agg(F.count("*").alias("_n"), F.regr_slope("_y", "_z").alias("_slope"), F.regr_intercept("_y", "_z").alias("_at0"))
     out = known.join(line, list(key), "left")
     guess = F.exp(F.col("_at0") + F.col("_slope") * normal_quantile((F.col("_i") - 0.5) / (F.col("_m") + F.col("_n"))))
-    filled = F.when(~F.col(censored), F.col(value)).when(F.col("_n") >= least, F.least(F.col(limit), guess))
-    return out.select(*key, row_id, F.col(censored).alias("censored"), filled.alias("value"))
+    filled = F.when(~F.col("_c"), F.col("_v")).when(F.col("_n") >= least, F.least(F.col("_v"), guess))
+    return out.select(*key, row_id, F.col("_c").alias("censored"), filled.alias("value"))
 
 
 def censored_summary(rows: DataFrame, key: Sequence[str], value: str, censored: str) -> DataFrame:
