@@ -288,7 +288,7 @@ def _(v):
         SELECT *, count(*) OVER w AS n, count(value) OVER w AS p, row_number() OVER (PARTITION BY pwsid, analyte ORDER BY sample_date DESC, rid DESC) AS k FROM (SELECT DISTINCT * FROM {MEASURED}) WINDOW w AS (PARTITION BY pwsid, analyte)) WHERE k = 1""",
 )
 def _(v):
-    rows = measured(v).dropDuplicates().withColumn("found", F.col("value").isNotNull())
+    rows = measured(v).repartition("pwsid", "analyte").dropDuplicates().withColumn("found", F.col("value").isNotNull())
     return O.latest_with_counts(rows, ["pwsid", "analyte"], "sample_date", "result", "found", "rid").select("analyte", "pwsid", "rid", "parsed_value", "parsed_qualifier", "record_count", "positive_count")
 
 
