@@ -45,6 +45,13 @@ def test_imputed_ranks_over_ranges(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_verified_rows_stay_one_each(spark):
+    rows = spark.createDataFrame([("k", "r", "5", o, "s", "l", "2020-01-01") for o in ("o", "p")], "k string, rid string, result string, origin string, source string, lab string, day string")
+    labs = spark.createDataFrame([], "lab_id string, name string, status string, expires_on date, certified boolean")
+    got = records.verify(rows, ["k"], "rid", "result", "origin", "source", labs, "lab", "lab", "day").collect()
+    assert [r["independent_origins"] for r in got] == [2, 2]  # a repeated id made four rows before
+
+
 def test_best_of_many_equal_scores(spark):
     judged = spark.range(1000).select(F.lit("s").alias("claim_scope"), F.format_string("%04d", 999 - F.col("id")).alias("rid"), F.when(F.col("id") == 3, 0.9).otherwise(0.6).alias("score"), F.array().cast("array<string>").alias("vetoes"), F.lit(True).alias("eligible"))
     up = applicability.by_claim_scope(judged, "rid", top=3).first()

@@ -29,6 +29,12 @@ def corroborate(rows: DataFrame, key: Sequence[str], row_id: str, result: str, o
     replica; another origin is an independent sample. Agreement is a range of logarithms, so rows are counted by range
     windows and origins by a sweep over each origin's stretches of values, and no pairs are made.
     """
+    return corroborated(rows, key, result, origin, source, tolerance).select(row_id, "independent_origins", "publisher_replicas", "factual_status")
+
+
+def corroborated(rows: DataFrame, key: Sequence[str], result: str, origin: str, source: str, tolerance: float = 0.02) -> DataFrame:
+    """The rows with what :func:`corroborate` tells of each. Rows that are dealt by their key before aren't shuffled again up to the sweep."""
+    columns = rows.columns
     number = first_number(F.col(result))
     near = math.ceil(-math.log(1 - tolerance) * FINE) + 1
     kind = F.when(number.isNull(), F.concat(F.lit("text "), normalized(F.col(result)))).otherwise(F.signum(number).cast("string"))
@@ -40,12 +46,12 @@ def corroborate(rows: DataFrame, key: Sequence[str], row_id: str, result: str, o
     step = Window.partitionBy(*group, origin).orderBy("_at")
     apart = F.when(F.col("_at") - F.lag("_at").over(step) <= 2 * near, 0).otherwise(1)
     stretches = rows.withColumn("_new", apart).withColumn("_n", F.sum("_new").over(step.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*group, origin, "_n").agg((F.min("_at") - near).alias("_from"), (F.max("_at") + near).alias("_to"))
-    event = lambda df, at, order, change: df.select(*group, at.alias("_at"), F.lit(order).alias("_order"), F.lit(change).alias("_change"), *(F.lit(None).alias(c) for c in ("_origin", "_own", row_id)))
-    seen = counted.select(*group, "_at", F.lit(1).alias("_order"), F.lit(0).alias("_change"), "_origin", "_own", row_id)
+    event = lambda df, at, order, change: df.select(*group, at.alias("_at"), F.lit(order).alias("_order"), F.lit(change).alias("_change"), *(F.lit(None).alias(c) for c in ("_origin", "_own", "_row")))
+    seen = counted.select(*group, "_at", F.lit(1).alias("_order"), F.lit(0).alias("_change"), "_origin", "_own", F.struct(*columns).alias("_row"))
     events = seen.unionByName(event(stretches, F.col("_from"), 0, 1)).unionByName(event(stretches, F.col("_to"), 2, -1))
     sofar = Window.partitionBy(*group).orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, 0)
     out = events.withColumn("independent_origins", F.sum("_change").over(sofar)).filter("_order = 1")
-    out = out.select(row_id, "independent_origins", (F.col("_origin") - F.col("_own")).alias("publisher_replicas"))
+    out = out.select("_row.*", "independent_origins", (F.col("_origin") - F.col("_own")).alias("publisher_replicas"))
     return out.withColumn("factual_status", F.when(F.col("independent_origins") > 1, "confirmed-independent-sample").otherwise("single-origin-sample"))
 
 

@@ -70,8 +70,9 @@ def verify(rows: DataFrame, key: Sequence[str], row_id: str, result: str, origin
     labs: lab_id, name, status, expires_on, certified. A laboratory is found by its id, else by its name; the standing is
     accredited only if it is active on the sample's date and certified.
     """
-    seen = evidence.corroborate(rows, key, row_id, result, origin, source)
-    rows = rows.join(seen.drop(*[c for c in seen.columns if c in rows.columns and c != row_id]), row_id, "left")
+    told = [c for c in ("independent_origins", "publisher_replicas", "factual_status") if c in rows.columns]
+    rows = evidence.corroborated(rows.withColumnsRenamed({c: f"_{c}" for c in told}), key, result, origin, source)
+    rows = rows.drop(*told).withColumnsRenamed({f"_{c}": c for c in told})  # what rows say of themselves stays
     lab = F.struct("status", "expires_on", "certified")
     clean = lambda c: F.nullif(F.upper(F.trim(F.col(c))), F.lit(""))
     # of several entries of a laboratory the active one, then the one that lasts longest

@@ -214,7 +214,8 @@ def _(v):
     labs = v("region").filter(k < 4).select(
         F.when(k != 1, F.concat(F.lit("lab"), k)).alias("lab_id"), F.when(k == 1, " lab1 ").alias("name"), F.when(k == 2, "expired").otherwise("active").alias("status"), F.when(k == 0, F.lit("1995-06-30").cast("date")).alias("expires_on"), (k != 3).alias("certified")
     )
-    rows = v("tb_samples").dropDuplicates(["rid"]).withColumns({"origin": F.col("rid"), "year": F.year("sample_date"), "lab_name": F.col("lab_id")})
+    rows = v("tb_samples").select("rid", "pwsid", "analyte", "sample_date", "result", "source_id", "lab_id").withColumn("year", F.year("sample_date"))
+    rows = rows.repartition("pwsid", "analyte", "year").distinct().withColumns({"origin": F.col("rid"), "lab_name": F.col("lab_id")})
     out = O.verify(rows, ["pwsid", "analyte", "year"], "rid", "result", "origin", "source_id", labs, "lab_id", "lab_name", "sample_date")
     return out.select("rid", "factual_status", F.col("independent_origins").cast("long").alias("origins"), "accreditation")
 
