@@ -30,6 +30,14 @@ def test_whole_populations_are_rounded(spark, tmp_path):
     assert [r["population"] for r in testbed.view(spark, str(tmp_path), "tb_systems").orderBy("pwsid").collect()] == [3001, 3000, -2]
 
 
+def test_names_that_begin_alike(spark):
+    t = time.time()
+    systems = spark.range(8000).select(F.col("id").cast("string").alias("pwsid"), F.format_string("Supplier Number %09d", "id").alias("name"))
+    labels = systems.select(F.col("pwsid").alias("label_id"), F.concat(F.lit("City of "), "name").alias("label"), F.lit(None).cast("string").alias("label_pwsid"))
+    got = resolve.provider_candidates(labels, systems, spark.createDataFrame([("zz", ["1"])], "name string, pwsids array<string>")).collect()
+    assert len(got) == 8000 and all(r["label_id"] == r["pwsid"] and r["score"] == 0.94 for r in got) and time.time() - t < 60
+
+
 @pytest.mark.parametrize("parts", ["1", "7"])
 def test_imputed_ranks_over_ranges(spark, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
