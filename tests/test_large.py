@@ -24,12 +24,33 @@ def test_only_member_of_large_cities(spark):
     assert [(r["id"], r["m"]) for r in registry.only_member(rows, members, "id", "place", "city").collect()] == [(5, 9)] and time.time() - t < 60
 
 
+def test_points_on_a_hole_edge(spark):
+    mid, half = 28.57, 0.0203
+    y = [28.5 + 0.0007 * j for j in range(0, 200)]
+    ring = lambda a, b: [[a, b], [-a, b], [-a, -b], [a, -b]]
+    polygon = [(1, [ring(-0.5, -0.5), ring(-half, -half)], {"x": 0.0, "y": mid}, [{"x": 0.0, "y": mid}], -0.5, 28.07, 0.5, 29.07)]
+    polygons = spark.createDataFrame(polygon, "feature_id int, rings array<array<array<double>>>, origin struct<x double, y double>, hole_origins array<struct<x double, y double>>, x0 double, y0 double, x1 double, y1 double")
+    got = spatial.point_polygon_join(spark.createDataFrame([(i, 0.0, v) for i, v in enumerate(y)], "i int, lon double, lat double"), polygons)
+    assert {r["i"] for r in got.collect()} == {i for i, v in enumerate(y) if not abs(v - mid) < half}
+
+
 def test_whole_populations_are_rounded(spark, tmp_path):
     spark.createDataFrame([(1, "a", 0, 3000.7), (2, "b", 0, 3000.5), (3, "c", 0, -1.6)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.createDataFrame([(0, "n")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
     assert [r["population"] for r in testbed.view(spark, str(tmp_path), "tb_systems").orderBy("pwsid").collect()] == [3001, 3000, -2]
 
 
+def test_polygon_stability_is_stability_of_all_places(spark):
+    square = [[0.0, 0.0], [0.001, 0.0], [0.001, 0.001], [0.0, 0.001]]
+    polygons = spark.createDataFrame([(i, [square], 0.0, 0.0, 0.001, 0.001) for i in (4, 3)], "feature_id int, rings array<array<array<double>>>, x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([(1, 0.0005, 0.0005), (2, 0.0, 0.0), (3, 0.5, 0.5), (4, 0.0009, 0.0005), (5, None, 1.0)], "p int, lon double, lat double")
+    around = spatial.perturbed(points)
+    hit = spatial.point_polygon_join(around, polygons).groupBy("p", "radius", "bearing").agg(F.min("feature_id").alias("answer"))
+    want = spatial.stability(around.join(hit, ["p", "radius", "bearing"], "left"), "p")
+    got = spatial.polygon_stability(points, polygons, "p").select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_names_that_begin_alike(spark):
     t = time.time()
     systems = spark.range(8000).select(F.col("id").cast("string").alias("pwsid"), F.format_string("Supplier Number %09d", "id").alias("name"))

@@ -30,14 +30,18 @@ def in_ring(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(False), lambda inside, i: inside != crosses(i))
 
 
-def in_polygon(rings: Column, x: Column, y: Column) -> Column:
-    """Inside the first ring and outside the others."""
-    return in_ring(F.element_at(rings, 1), x, y) & ~F.exists(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), lambda r: in_ring(r, x, y))
-
-
-def to_ring(ring: Column, x: Column, y: Column) -> Column:
-    """Metres from a point to the nearest segment of a ring, on a local plane."""
-    kx = DEGREE_X * F.cos(F.radians(y))
+def in_polygon(rings: Column, x: Column, y: Column, origins: tuple[Column, Column] | None = None) -> Column:
+    """Inside the first ring and outside the others. origins: where the first ring's points, and each other's, are offsets from."""
+    holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
+    if origins is None:
+        return in_ring(F.element_at(rings, 1), x, y) & ~F.exists(holes, lambda r: in_ring(r, x, y))
+    first, others = origins
+    return in_ring(F.element_at(rings, 1), x - first["x"], y - first["y"]) & ~F.exists(F.zip_with(holes, others, lambda r, o: in_ring(r, x - o["x"], y - o["y"])), lambda inside: inside)
+
+
+def to_ring(ring: Column, x: Column, y: Column, latitude: Column | None = None) -> Column:
+    """Metres from a point to the nearest segment of a ring, on a local plane at the latitude (y, if none is given)."""
+    kx = DEGREE_X * F.cos(F.radians(y if latitude is None else latitude))
     n = F.size(ring)
 
     def segment(i: Column) -> Column:
@@ -51,14 +55,22 @@ def to_ring(ring: Column, x: Column, y: Column) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(1), n), segment))
 
 
-def to_boundary(rings: Column, x: Column, y: Column) -> Column:
-    """Metres from a point to the nearest segment of any ring, holes among them."""
-    return F.array_min(F.transform(rings, lambda ring: to_ring(ring, x, y)))
+def to_boundary(rings: Column, x: Column, y: Column, origins: tuple[Column, Column] | None = None) -> Column:
+    """Metres from a point to the nearest segment of any ring, holes among them. origins: as in :func:`in_polygon`."""
+    if origins is None:
+        return F.array_min(F.transform(rings, lambda ring: to_ring(ring, x, y)))
+    first, others = origins
+    holes = F.zip_with(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), others, lambda ring, o: to_ring(ring, x - o["x"], y - o["y"], y))
+    return F.array_min(F.concat(F.array(to_ring(F.element_at(rings, 1), x - first["x"], y - first["y"], y)), holes))
+
+
+def origins_of(polygons: DataFrame) -> tuple[Column, Column] | None:
+    return (F.col("origin"), F.col("hole_origins")) if "origin" in polygons.columns else None
 
 
 def ambiguity(points: DataFrame, polygons: DataFrame, point_id: str, edge: float = 75.0) -> DataFrame:
     """For each point the polygons that it lies in, whether it lies in none or several, and whether a boundary of theirs is within `edge` metres."""
-    hit = point_polygon_join(points, polygons).select(point_id, to_boundary(F.col("rings"), F.col("lon"), F.col("lat")).alias("_m"))
+    hit = point_polygon_join(points, polygons).select(point_id, to_boundary(F.col("rings"), F.col("lon"), F.col("lat"), origins_of(polygons)).alias("_m"))
     near = hit.groupBy(point_id).agg(F.count("*").alias("polygons"), F.min("_m").alias("_m"))
     out = points.select(point_id).join(near, point_id, "left").withColumn("polygons", F.coalesce("polygons", F.lit(0).cast("long")))
     return out.select(point_id, "polygons", (F.col("polygons") > 1).alias("overlap"), (F.col("polygons") == 0).alias("gap"), F.coalesce(F.col("_m") <= edge, F.lit(False)).alias("near_boundary"), F.col("_m").alias("min_boundary_distance_m"))
@@ -74,17 +86,23 @@ def cell(x: Column, y: Column, size: float) -> list[Column]:
     return [F.floor(x / size).alias("cell_x"), F.floor(y / size).alias("cell_y")]
 
 
+def _in_cells(polygons: DataFrame, size: float) -> DataFrame:
+    """Each polygon in every grid cell of its box."""
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
+    return polygons.withColumn("cell_x", F.explode(span("x0", "x1"))).withColumn("cell_y", F.explode(span("y0", "y1")))
+
+
 def point_polygon_join(points: DataFrame, polygons: DataFrame, size: float = 0.1) -> DataFrame:
-    """Points with the polygons they lie in. polygons: feature_id, rings, x0, y0, x1, y1 (their box).
+    """Points with the polygons they lie in. polygons: feature_id, rings, x0, y0, x1, y1 (their box), and origin (x, y)
+    and hole_origins if rings are offsets: a point on an edge is told by its offset then, in the offset's own type.
 
     A polygon stands in every grid cell of its box, a point in one, so the join is by cell and large layers are never
     held against each other whole.
     """
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
-    spread = polygons.withColumn("cell_x", F.explode(span("x0", "x1"))).withColumn("cell_y", F.explode(span("y0", "y1")))
+    spread = _in_cells(polygons, size)
     placed = points.select("*", *cell(F.col("lon"), F.col("lat"), size))
     inside = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
-    return placed.join(spread, ["cell_x", "cell_y"]).filter(inside).filter(in_polygon(F.col("rings"), F.col("lon"), F.col("lat"))).drop("cell_x", "cell_y")
+    return placed.join(spread, ["cell_x", "cell_y"]).filter(inside).filter(in_polygon(F.col("rings"), F.col("lon"), F.col("lat"), origins_of(polygons))).drop("cell_x", "cell_y")
 
 
 def nearest(centres: DataFrame, sites: DataFrame, radius_miles: float, k: int, centre_id: str, site_id: str) -> DataFrame:
@@ -109,17 +127,33 @@ def nearest(centres: DataFrame, sites: DataFrame, radius_miles: float, k: int, c
     around = F.array_distinct(F.array(*[F.pmod(column(F.col("site_lon"), F.col("cell_y")) + i, cells(F.col("cell_y"))) for i in (-1, 0, 1)]))
     s = s.withColumn("cell_x", F.explode(around))
     near = c.join(s, ["cell_x", "cell_y"]).withColumn("miles", haversine(F.col("lon"), F.col("lat"), F.col("site_lon"), F.col("site_lat"))).filter(F.col("miles") <= radius_miles)
+    places = Window.partitionBy(centre_id).orderBy("miles", F.col("_sites")[0])
+    near = near.withColumn("_n", F.row_number().over(places)).filter(F.col("_n") <= k).select(centre_id, "miles", F.explode("_sites").alias(site_id))
     w = Window.partitionBy(centre_id).orderBy("miles", site_id)
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(centre_id, site_id, "miles", "rank")
 
 
+OFFSETS = [(0, 0)] + [(r, b) for r in RADII for b in range(BEARINGS)]
+
+
+def _places(lon: Column, lat: Column) -> Column:
+    """The place itself and rings of bearings around it, as structs of radius, bearing, lon and lat."""
+    angle = lambda o: 2 * 3.141592653589793 * o["bearing"] / BEARINGS
+    offsets = F.array(*[F.struct(F.lit(r).alias("radius"), F.lit(b).alias("bearing")) for r, b in OFFSETS])
+    return F.transform(offsets, lambda o: F.struct(
+        o["radius"].alias("radius"), o["bearing"].alias("bearing"), (lon + F.degrees(o["radius"] * F.sin(angle(o)) / (EARTH * F.greatest(F.lit(1e-9), F.cos(F.radians(lat)))))).alias("lon"), (lat + F.degrees(o["radius"] * F.cos(angle(o)) / EARTH)).alias("lat"),
+    ))
+
+
 def perturbed(points: DataFrame) -> DataFrame:
     """Each point with its centre and rings of bearings around it."""
-    offsets = [(0, 0)] + [(r, b) for r in RADII for b in range(BEARINGS)]
-    o = F.explode(F.array(*[F.struct(F.lit(r).alias("radius"), F.lit(b).alias("bearing")) for r, b in offsets]))
-    rows = points.withColumn("_o", o).withColumns({"radius": F.col("_o.radius"), "bearing": F.col("_o.bearing")}).drop("_o")
-    angle = 2 * 3.141592653589793 * F.col("bearing") / BEARINGS
-    return rows.withColumns({"lon": F.col("lon") + F.degrees(F.col("radius") * F.sin(angle) / (EARTH * F.greatest(F.lit(1e-9), F.cos(F.radians("lat"))))), "lat": F.col("lat") + F.degrees(F.col("radius") * F.cos(angle) / EARTH)})
+    rows = points.withColumn("_o", F.explode(_places(F.col("lon"), F.col("lat"))))
+    return rows.withColumns({c: F.col(f"_o.{c}") for c in ("radius", "bearing", "lon", "lat")}).drop("_o")
+
+
+def _judged(out: DataFrame) -> DataFrame:
+    label = F.when(F.col("reference").isNull(), "unstable").when((F.col("stable_fraction") >= 0.95) & (F.col("unresolved") == 0), "stable").when(F.col("stable_fraction") >= 0.75, "boundary-sensitive").when(F.col("stable_fraction") >= 0.5, "fragile").otherwise("unstable")
+    return out.withColumns({"status": label, "score": F.col("stable_fraction") * (1 - 0.5 * F.col("unresolved"))})
 
 
 def stability(resolved: DataFrame, point_id: str) -> DataFrame:
@@ -127,10 +161,24 @@ def stability(resolved: DataFrame, point_id: str) -> DataFrame:
 
     resolved: point_id, radius (0: the point itself), bearing, answer (null: none).
     """
-    places = Window.partitionBy(centre_id).orderBy("miles", F.col("_sites")[0])
-    near = near.withColumn("_n", F.row_number().over(places)).filter(F.col("_n") <= k).select(centre_id, "miles", F.explode("_sites").alias(site_id))
     centre = resolved.filter("radius = 0").select(point_id, F.col("answer").alias("reference"))
     both = resolved.filter("radius > 0").join(centre, point_id)
-    out = both.groupBy(point_id).agg(F.first("reference").alias("reference"), (F.count_if(F.col("answer") == F.col("reference")) / F.count("*")).alias("stable_fraction"), (F.count_if(F.col("answer").isNull()) / F.count("*")).alias("unresolved"))
-    label = F.when(F.col("reference").isNull(), "unstable").when((F.col("stable_fraction") >= 0.95) & (F.col("unresolved") == 0), "stable").when(F.col("stable_fraction") >= 0.75, "boundary-sensitive").when(F.col("stable_fraction") >= 0.5, "fragile").otherwise("unstable")
-    return out.withColumns({"status": label, "score": F.col("stable_fraction") * (1 - 0.5 * F.col("unresolved"))})
+    return _judged(both.groupBy(point_id).agg(F.first("reference").alias("reference"), (F.count_if(F.col("answer") == F.col("reference")) / F.count("*")).alias("stable_fraction"), (F.count_if(F.col("answer").isNull()) / F.count("*")).alias("unresolved")))
+
+
+def polygon_stability(points: DataFrame, polygons: DataFrame, point_id: str, size: float = 0.1) -> DataFrame:
+    """`stability` of the least polygon at each of the `perturbed` places of a point.
+
+    A point meets the polygons of the cells that its places touch (four at most, in most cases one), and a row tells all
+    its places at once, so no row is made for each place.
+    """
+    places = _places(F.col("lon"), F.col("lat"))
+    touched = F.array_distinct(F.transform(places, lambda p: F.struct(*cell(p["lon"], p["lat"], size))))
+    placed = points.select(point_id, "lon", "lat", F.explode(touched).alias("_c")).select(point_id, "lon", "lat", "_c.*")
+    met = placed.join(_in_cells(polygons, size), ["cell_x", "cell_y"], "left")
+    inside = lambda p: p["lon"].between(F.col("x0"), F.col("x1")) & p["lat"].between(F.col("y0"), F.col("y1")) & in_polygon(F.col("rings"), p["lon"], p["lat"], origins_of(polygons))
+    met = met.select(point_id, F.transform(places, lambda p: F.when(inside(p), F.col("feature_id"))).alias("_a"))
+    n = len(OFFSETS)
+    found = met.groupBy(point_id).agg(*[F.min(F.col("_a")[i]).alias(f"_a{i}") for i in range(n)])
+    share = lambda test: sum((F.when(test(F.col(f"_a{i}")), 1).otherwise(0) for i in range(1, n)), F.lit(0)) / (n - 1)
+    return _judged(found.select(point_id, F.col("_a0").alias("reference"), share(lambda a: a == F.col("_a0")).alias("stable_fraction"), share(lambda a: a.isNull()).alias("unresolved")))
