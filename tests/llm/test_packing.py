@@ -91,3 +91,23 @@ def test_rows_without_an_id_are_spread(spark, monkeypatch):
     rows = [(None, "one text that many rows without an id share " * 4, None, None)] * 200
     got = packing.pack_documents(frame(spark, rows), PATH).toPandas()
     assert len(got) == 200 and (got["sequence_id"] // (1 << 24)).value_counts().max() < 60
+
+
+def test_pieces_leave_strip_by_strip(monkeypatch):
+    monkeypatch.setattr(packing, "STRIP_BYTES", 100)
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, pieces, _):
+            return pieces
+
+    monkeypatch.setattr(packing.F, "col", lambda _: Docs())
+    monkeypatch.setattr(Docs, "cast", lambda self, _: self, raising=False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [f"some words of text {i}" for i in range(40)]})
+    out = list(packing.token_pieces(Docs(), public_tokenizers.path("word_bpe_49k.json"), ids=True)(iter([batch])))
+    assert len(out) >= 10 and [i for b in out for i in b["doc_id"].to_pylist()] == list(range(40))
+    coder = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    codes, bounds = coder.encode(*_seq.text_bytes(batch["text"]), 1)
+    assert [x for b in out for x in b["ids"].to_pylist()] == [codes[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]

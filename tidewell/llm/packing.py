@@ -202,18 +202,22 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: in
         coder = tokenizer(path)
         for batch in batches:
             data, off = _seq.text_bytes(batch["text"])
-            codes, bounds = coder.encode(data, off, closing)
-            rows, sums = [], []
-            for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                whole = zlib.crc32(codes[a:b])
-                for s, n in piece_bounds(b - a, capacity, piece):
-                    rows.append((d, s, n, b - a, whole))
-                    sums.append(zlib.crc32(codes[a + s : a + s + n]))
-            d, s, n, t, whole = np.array(rows, np.int64).reshape(-1, 5).T
-            columns = [batch["doc_id"].take(pa.array(d)), *[pa.array(np.ascontiguousarray(x)) for x in (s, n, np.array(sums, np.int64), t, whole)]]
-            if ids:  # pieces follow each other as the ids do
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(codes.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, names=[x for x, _ in fields])
+            first, texts = 0, len(off) - 1
+            while first < texts:  # a strip's pieces leave before the next is read
+                last = max(first + 1, int(np.searchsorted(off, off[first] + STRIP_BYTES, "right")) - 1)
+                codes, bounds = coder.encode(data[off[first] : off[last]], off[first : last + 1] - off[first], closing)
+                rows, sums = [], []
+                for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), first):
+                    whole = zlib.crc32(codes[a:b])
+                    for s, n in piece_bounds(b - a, capacity, piece):
+                        rows.append((d, s, n, b - a, whole))
+                        sums.append(zlib.crc32(codes[a + s : a + s + n]))
+                d, s, n, t, whole = np.array(rows, np.int64).reshape(-1, 5).T
+                columns = [batch["doc_id"].take(pa.array(d)), *[pa.array(np.ascontiguousarray(x)) for x in (s, n, np.array(sums, np.int64), t, whole)]]
+                if ids:  # pieces follow each other as the ids do
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(codes.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=[x for x, _ in fields])
+                first = last
 
     ddl = ", ".join(f"{x} {DDL[x]}" for x, _ in fields)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, ddl)
