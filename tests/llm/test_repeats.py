@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -150,3 +151,26 @@ def test_texts_longer_than_a_strip(monkeypatch, unit):
     monkeypatch.setattr(_repeats, "STRIP", 37)
     got = windows()
     assert len(want) == len(set(want)) and want and set(want) <= set(got)
+
+
+def test_a_group_takes_a_few_times_its_bytes():
+    """What a task holds at once is bounded by the group, with no index of eight bytes for each byte of it."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**4)}" for _ in range(400)) for _ in range(800)]
+    table, unit = pa.table({"doc_id": pa.array(range(800), pa.int64()), "text": texts}), _repeats.Unit(True, 20, 6)
+    tracemalloc.start()
+    t = _repeats.load(unit, table)
+    loaded = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    _repeats.key_counts(unit, t, np.zeros(0, np.int64), True)
+    counted = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(map(len, texts))
+    assert loaded < 10 * size and counted < 20 * size
+
+
+def test_only_changed_texts_leave_the_task():
+    t = _repeats.load(_repeats.Unit(True, 20, 6), pa.table({"doc_id": pa.array([1, 2, _repeats.NULL_ID, 3], pa.int64()), "text": ["a b", "", "c  d e", None]}))
+    assert substring._text(t, np.array([False, False, True, False, True])).to_pylist() == [{"doc_id": None, "kept": "d"}]
+    assert substring._text(t, None).num_rows == 0
+    assert substring._text(t, np.ones(5, bool)).to_pylist() == [{"doc_id": 1, "kept": ""}, {"doc_id": None, "kept": ""}]

@@ -32,8 +32,8 @@ from tidewell.llm import _seq, _shuffle
 
 U64 = np.uint64
 NULL_ID = -(1 << 63)
-#: Window keys are made for so many units at a time.
-STRIP = 400_000
+#: Window keys are made for so many units at a time, and words are parted by one space for so many bytes of them.
+STRIP = 100_000
 #: Segments of one key from which on its windows are looked at one by one.
 HOT = 1024
 
@@ -67,16 +67,24 @@ class Texts:
 def load(unit: Unit, table: pa.Table) -> Texts:
     ids = table["doc_id"].to_numpy()
     data, off = _seq.text_bytes(table["text"])
-    whole = data.tobytes()
-    tags = np.frombuffer(b"".join([hashlib.md5(whole[a:b]).digest()[:8] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]), np.int64)
+    tags = np.frombuffer(b"".join([hashlib.md5(data[a:b]).digest()[:8] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]), np.int64)
     if not unit.words:
         return Texts(ids, tags, data, None, None, off)
-    starts, ends, doc = _seq.word_spans(data, off)
-    size = ends - starts
-    to = np.cumsum(size + 1) - (size + 1)
-    even = np.full(int((size + 1).sum()), 32, np.uint8)
-    even[_seq.ragged(to, size)] = data[_seq.ragged(starts, size)]
-    return Texts(ids, tags, even, to, to + size, np.searchsorted(doc, np.arange(len(off))))
+    even, first, last, words, a, to = np.empty(len(data) + len(ids), np.uint8), [off[:0]], [off[:0]], [off[:0]], 0, 0
+    while a < len(ids):  # spans and indexes take many times the bytes of their texts
+        b = max(a + 1, int(np.searchsorted(off, off[a] + STRIP, "right")) - 1)
+        starts, ends, own = _seq.word_spans(data[off[a] : off[b]], off[a : b + 1] - off[a])
+        size = ends - starts
+        last.append(to + np.cumsum(size + 1) - 1)
+        first.append(last[-1] - size)
+        words.append(np.bincount(own, minlength=b - a))
+        for i in range(0, len(size), STRIP):
+            put, take, n = first[-1][i : i + STRIP], starts[i : i + STRIP] + off[a], size[i : i + STRIP]
+            even[_seq.ragged(put, n)] = data[_seq.ragged(take, n)]
+        even[last[-1]] = 32
+        to += int((size + 1).sum())
+        a = b
+    return Texts(ids, tags, even[:to], np.concatenate(first), np.concatenate(last), np.concatenate([[0], np.cumsum(np.concatenate(words))]))
 
 
 def gram_hashes(unit: Unit, t: Texts, a: int, b: int) -> np.ndarray:

@@ -52,7 +52,7 @@ POSTING, TOKEN, CHANCE = 12, 8, 0.05
 CENTRES, MANY = 8, 16
 #: Ratio of the sizes in one band, and the answers of a token that stand together in the exact join.
 BAND, SALT = 1.06, 512
-STRIP = 2_000_000
+STRIP = 400_000
 
 
 def need(size, percent: int = PERCENT):

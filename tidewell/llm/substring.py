@@ -196,9 +196,9 @@ def automaton_index(window: int):
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _kept(t: Texts, removed: np.ndarray | None):
-    """Each document's kept words, joined by one space, with the numbers of words and of removed words."""
-    for d in range(len(t.ids)):
+def _kept(t: Texts, removed: np.ndarray | None, docs: np.ndarray | None = None):
+    """The kept words of each document, or of these, joined by one space, with the numbers of words and of removed words."""
+    for d in range(len(t.ids)) if docs is None else docs.tolist():
         a, b = int(t.off[d]), int(t.off[d + 1])
         if a == b:
             yield b"", 0, 0
@@ -210,18 +210,20 @@ def _kept(t: Texts, removed: np.ndarray | None):
         yield b" ".join([t.data[t.begin[a + i] : t.end[a + j - 1]].tobytes() for i, j in zip(*true_runs(~gone))]), b - a, int(gone.sum())
 
 
-def _ids(t: Texts) -> pa.Array:
-    return pa.array(t.ids, pa.int64(), mask=t.ids == NULL_ID)
+def _ids(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 
 
 def _report(t: Texts, removed: np.ndarray | None) -> pa.Table:
     rows = [(n, m, hashlib.sha256(text).hexdigest()) for text, n, m in _kept(t, removed)]
-    return pa.table([_ids(t), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+    return pa.table([_ids(t.ids), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _text(t: Texts, removed: np.ndarray | None) -> pa.Table:
-    rows = [(text.decode(), m) for text, n, m in _kept(t, removed)]
-    return pa.table([_ids(t), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["doc_id", "kept", "n_removed"])
+    """The kept text of each document that loses words; others need not leave the task."""
+    gone = np.concatenate([[0], np.cumsum(removed)]) if removed is not None else np.zeros(int(t.off[-1]) + 1, np.int64)
+    docs = np.flatnonzero(gone[t.off[1:]] > gone[t.off[:-1]])
+    return pa.table([_ids(t.ids[docs]), pa.array([text.decode() for text, _, _ in _kept(t, removed, docs)], pa.string())], names=["doc_id", "kept"])
 
 
 def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -236,7 +238,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         rows = digested(docs)
         rows = _shuffle.cut(rows.join(numbers(rows), ["id", "digest"]).select(F.col("n").alias("id"), "row"))
     texts = rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text"))
-    kept = judged(texts, Unit(True, window, max(1, min(6, window))), automaton_index(window), True, _text, "doc_id long, kept string, n_removed long").filter("n_removed > 0")
+    kept = judged(texts, Unit(True, window, max(1, min(6, window))), automaton_index(window), True, _text, "doc_id long, kept string")
     kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col("kept"))
     kept = kept.dropDuplicates(["id"]) if repeat else kept
     rows = rows.join(kept, "id", "left").filter("kept is null or kept <> ''")

@@ -30,7 +30,7 @@ EPOCHS, BATCH, RATE, DECAY, FLOOR, FLAT = 8, 64, 0.3, 5e-9, 1e-6, 0.97
 THRESHOLD = 0.3
 #: Short passages taken of each clean text in training.
 PASSAGES = 6
-STRIP = 1_500_000
+STRIP = 400_000
 
 
 def word_bags(data: np.ndarray, off: np.ndarray):
