@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,20 +19,37 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def in_ring(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd test of a point against a ring of [x, y] points, closed or not."""
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _around(ring: Column) -> Column:
+    """A ring's points, each in the place of the one after it."""
     n = F.size(ring)
+    return F.concat(F.slice(ring, n, F.lit(1)), F.slice(ring, F.lit(1), n - 1))
 
-    def crosses(i: Column) -> Column:
-        a, b = F.element_at(ring, i), F.element_at(ring, F.when(i == 1, n).otherwise(i - 1))
-        over = (a[1] > y) != (b[1] > y)
-        return F.when(over, x < (b[0] - a[0]) * (y - a[1]) / F.nullif(b[1] - a[1], F.lit(0.0)) + a[0]).otherwise(False)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(False), lambda inside, i: inside != crosses(i))
+def in_ring(ring: Column, x: Column, y: Column) -> Column:
+    """Even-odd test of a point against a ring of [x, y] points, closed or not. A point on the ring itself isn't in it."""
+
+    def crosses(a: Column, b: Column, p: Column) -> Column:
+        over = (a[1] > p["y"]) != (b[1] > p["y"])
+        return F.when(over, p["x"] < (b[0] - a[0]) * (p["y"] - a[1]) / F.nullif(b[1] - a[1], F.lit(0.0)) + a[0]).otherwise(False)
+
+    def touches(a: Column, b: Column, p: Column) -> Column:
+        within = lambda i, c: c.between(F.least(a[i], b[i]), F.greatest(a[i], b[i]))
+        return within(0, p["x"]) & within(1, p["y"]) & ((b[0] - a[0]) * (p["y"] - a[1]) == (b[1] - a[1]) * (p["x"] - a[0]))
+
+    def inside(p: Column) -> Column:
+        odd = F.aggregate(F.zip_with(ring, _around(ring), lambda a, b: crosses(a, b, p)), F.lit(False), lambda so_far, c: so_far != c)
+        return odd & ~F.exists(F.zip_with(ring, _around(ring), lambda a, b: touches(a, b, p)), lambda on: on)
+
+    return _once(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")), inside)
 
 
 def in_polygon(rings: Column, x: Column, y: Column, origins: tuple[Column, Column] | None = None) -> Column:
-    """Inside the first ring and outside the others. origins: where the first ring's points, and each other's, are offsets from."""
+    """Inside the first ring and in none of the others; on a hole's edge is inside, on the first ring isn't. origins: where the first ring's points, and each other's, are offsets from."""
     holes = F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0)))
     if origins is None:
         return in_ring(F.element_at(rings, 1), x, y) & ~F.exists(holes, lambda r: in_ring(r, x, y))
