@@ -59,18 +59,18 @@ def in_polygon(rings: Column, x: Column, y: Column, origins: tuple[Column, Colum
 
 def to_ring(ring: Column, x: Column, y: Column, latitude: Column | None = None) -> Column:
     """Metres from a point to the nearest segment of a ring, on a local plane at the latitude (y, if none is given)."""
-    kx = DEGREE_X * F.cos(F.radians(y if latitude is None else latitude))
-    n = F.size(ring)
+    here = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.cos(F.radians(y if latitude is None else latitude)).alias("narrow"))
+    local = lambda h: F.transform(ring, lambda p: F.struct(((p[0] - h["x"]) * DEGREE_X * h["narrow"]).alias("x"), ((p[1] - h["y"]) * DEGREE_Y).alias("y")))
+
+    def segment(a: Column, d: Column) -> Column:
+        place = lambda length: F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(a["x"] * d["x"] + a["y"] * d["y"]) / F.nullif(length, F.lit(0.0))))).otherwise(0.0)
+        nearest = lambda t: F.struct((a["x"] + t * d["x"]).alias("x"), (a["y"] + t * d["y"]).alias("y"))
+        return _once(_once(_once(d["x"] * d["x"] + d["y"] * d["y"], place), nearest), lambda q: F.sqrt(q["x"] * q["x"] + q["y"] * q["y"]))
 
-    def segment(i: Column) -> Column:
-        a, b = F.element_at(ring, i), F.element_at(ring, F.when(i == 1, n).otherwise(i - 1))
-        ax, ay, bx, by = (a[0] - x) * kx, (a[1] - y) * DEGREE_Y, (b[0] - x) * kx, (b[1] - y) * DEGREE_Y
-        dx, dy = bx - ax, by - ay
-        length = dx * dx + dy * dy
-        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(length, F.lit(0.0))))).otherwise(0.0)
-        return F.sqrt(F.pow(ax + t * dx, F.lit(2)) + F.pow(ay + t * dy, F.lit(2)))
+    def least(points: Column) -> Column:
+        return F.array_min(F.zip_with(points, _around(points), lambda a, b: _once(F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")), lambda d: segment(a, d))))
 
-    return F.array_min(F.transform(F.sequence(F.lit(1), n), segment))
+    return _once(_once(here, local), least)
 
 
 def to_boundary(rings: Column, x: Column, y: Column, origins: tuple[Column, Column] | None = None) -> Column:
