@@ -104,7 +104,7 @@ def test_edges_of_a_hole_are_inside_the_polygon(spark):
     assert sorted(r["i"] for r in spatial.point_polygon_join(points, polygons, 1.0).collect()) == [1, 2, 3, 4, 8]  # 1 and 3 lay in the hole before, 6 and 7 in the polygon
 
 
-@pytest.mark.parametrize("name", ["jn07_point_in_polygon", "sp02_boundary_distance"])
+@pytest.mark.parametrize("name", ["jn07_point_in_polygon", "sp02_boundary_distance", "sp03_ambiguity"])
 def test_rows_of_points_on_the_edges_of_holes(spark, tmp_path, name):
     """All points within 0.019 of a hole's middle by longitude that lie on its lower or upper edge; in a table of a GB there are some hundreds."""
     keys = [k for k in range(997_000) if min((k % 997 - 100) % 200, (100 - k % 997) % 200) == 29 and abs((k % 1000 - 100 + 100) % 200 - 100) < 20]
