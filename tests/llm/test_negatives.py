@@ -1,4 +1,5 @@
 import math
+import pathlib
 import random
 
 import duckdb
@@ -76,3 +77,14 @@ def test_sql_agrees(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}'")
     got = negatives.hard_negatives(negatives.relabelled(spark.read.parquet(path)))
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(negatives.OP11_SQL).fetchall())
+
+
+def test_no_scores_are_written(spark):
+    """Half of the rows are anchors: 18 million scores, 72 MB where each is written once."""
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    used = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(x) for x in v], i % 3) for i, v in enumerate(rng.normal(size=(6000, 4)).round(2))], "vec_id long, embedding array<float>, label int")
+    before = used()
+    got = negatives.hard_negatives(rows, every=2).filter("anchor_id < 40").collect()
+    assert len(got) > 100 and used() - before < 5_000_000

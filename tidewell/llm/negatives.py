@@ -1,14 +1,15 @@
-"""Hard negatives by a two-dimensional block matrix multiply (SUMMA): tiles of anchors by rows, added up over dimension chunks.
+"""Hard negatives by a two-dimensional block matrix multiply (SUMMA): tiles of anchors by rows, added up over dimension ranges.
 
-Components become floor(256 * x). Rows are dealt to blocks of about ROWS by a hash of their id, anchors (ids divisible by `every`)
-to blocks of about ANCHORS, and both are cut into at most CHUNKS ranges of dimensions. An anchor block meets a row block range by
-range: each range gives a partial tile of int64 products, the shuffle brings a tile's parts together, and their sum is
-the tile's scores. A tile gives each anchor's best rows of its own label, from which the positives come; then the same
-tiles meet their anchors' positives, and each gives the best rows of other labels within the window that a positive sets.
-A tile sends on at most as many rows as are asked for, of each anchor or pair, and Spark's top-k by group ends it.
+Components become floor(256 * x). Rows are dealt to blocks of at most about ROWS by a hash of their id, anchors (ids divisible by `every`)
+to blocks of about ANCHORS, and both are cut into at most CHUNKS ranges of dimensions; a block has BLOCK_BYTES of components at most. An
+anchor block meets a row block in a task of its own, strip by strip of its anchors: the products of each range are added up to the strip's
+scores in int64, and only what is read off them leaves the task. The first pass gives each anchor's best rows of its own label, from which the
+positives come; in the second the tiles are multiplied again, beside their anchors' positives, and each gives the best rows of
+other labels within the window that a positive sets. A tile sends on at most as many rows as are asked for, of each anchor
+or pair, and Spark's top-k by group ends it.
 
-The anchors are a stated set against all rows, in blocks; no side is broadcast or collected. The work and the tiles written
-to the checkpoint folder are anchors times rows: in the narrowest integers that hold all scores, so 4 bytes a pair mostly.
+The anchors are a stated set against all rows, in blocks; no side is broadcast or collected. The work is anchors times rows, twice, but no
+score is written. A block is sent once to each block of the other side, so what is shuffled is the table times its anchors' blocks.
 
 Scores are exact where they fit a long, whatever the parts wrap to; beyond it they stop at the largest long. Components beyond 2^62
 count as 2^62. The window 50 * p <= 100 * n <= 95 * p is ceil(p / 2) <= n <= p - ceil(p / 20), which can't overflow.
@@ -33,13 +34,16 @@ from tidewell.llm import _shuffle
 from tidewell.llm.topk import SCALE, width_of
 
 POSITIVES, NEGATIVES, EVERY = 5, 3, 50
-#: Rows in a block, anchors in a block, about; ranges of dimensions at most, and dimensions in a range at least.
-ROWS, ANCHORS, CHUNKS, LEAST_DIMS = 4096, 256, 16, 32
+#: Rows in a block, anchors in a block, at most about; ranges of dimensions at most, and dimensions in a range at least.
+ROWS, ANCHORS, CHUNKS, LEAST_DIMS = 32768, 16384, 16, 32
+#: Bytes of components in a block, scores in a strip; blocks of rows that a table of some size has, and rows in these at least.
+BLOCK_BYTES, STRIP, LEAST_BLOCKS, LEAST_ROWS = 4_000_000, 1_000_000, 24, 1024
+BLOCK_DDL = "block long, chunk int, ids binary, labels binary, m binary"
 FOUND_DDL = "anchor_id long, other_id long, score long"
 
 
 def blocks(rows: DataFrame, number: Column, dims: int, width: int) -> DataFrame:
-    """(block, chunk, ids, labels, m): each block's ids in order with their labels, and for each range of dimensions the components in it."""
+    """(block, chunk, ids, labels, m): for each range of dimensions a block's components in it, and with the first the block's ids in order and their labels."""
     step = max(LEAST_DIMS, -(-dims // CHUNKS))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -48,13 +52,13 @@ def blocks(rows: DataFrame, number: Column, dims: int, width: int) -> DataFrame:
         size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         m = np.zeros((n, dims), f"<i{width}")
-        m[np.repeat(np.arange(n), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.clip(np.floor(SCALE * flat), -(2.0**62), 2.0**62)
+        m[np.repeat(np.arange(n), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = np.clip(np.floor(SCALE * flat.astype(np.float64)), -(2.0**62), 2.0**62)
         ids, labels = t["id"].to_numpy().tobytes(), t["label"].to_numpy().tobytes()
         parts = [m[:, a : a + step].tobytes() for a in range(0, dims, step)]
         k = len(parts)
-        return pa.table({"block": pa.array([t["block"][0].as_py()] * k, pa.int64()), "chunk": pa.array(range(k), pa.int32()), "ids": pa.array([ids] * k, pa.binary()), "labels": pa.array([labels] * k, pa.binary()), "m": pa.array(parts, pa.binary())})
+        return pa.table({"block": pa.array([t["block"][0].as_py()] * k, pa.int64()), "chunk": pa.array(range(k), pa.int32()), "ids": pa.array([ids] + [b""] * (k - 1), pa.binary()), "labels": pa.array([labels] + [b""] * (k - 1), pa.binary()), "m": pa.array(parts, pa.binary())})
 
-    return rows.select(number.alias("block"), "id", "label", "v").groupBy("block").applyInArrow(pack, "block long, chunk int, ids binary, labels binary, m binary")
+    return rows.select(number.alias("block"), "id", "label", "v").groupBy("block").applyInArrow(pack, BLOCK_DDL)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -64,42 +68,32 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
 
 
-def tiles(anchors: DataFrame, rows: DataFrame, n_anchor: int, n_row: int, width: int, wide: bool, narrow: bool) -> DataFrame:
-    """(a, b, ids, labels, anchor ids and labels, scores): for each pair of an anchor block and a row block the products summed over all ranges."""
-
-    def partial(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for x in left.to_pylist():
-            xm = np.frombuffer(x["m"], f"<i{width}").reshape(len(x["ids"]) // 8, -1)
-            for y in right.to_pylist():
-                ym = np.frombuffer(y["m"], f"<i{width}").reshape(len(y["ids"]) // 8, -1)
-                head = x["chunk"] == 0  # ids and labels travel with one part of the tile
-                out.append((x["block"], y["block"], *((x["ids"], x["labels"], y["ids"], y["labels"]) if head else (None,) * 4), products(xm, ym).tobytes(), (xm.astype(np.float64) @ ym.astype(np.float64).T).tobytes() if wide else None))
-        return pa.Table.from_pylist([dict(zip(("a", "b", "aids", "alabels", "ids", "labels", "part", "size"), r)) for r in out], schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), *((c, pa.binary()) for c in ("aids", "alabels", "ids", "labels", "part", "size"))]))
-
-    def add(table: pa.Table) -> pa.Table:
-        total = size = None
-        for part, s in zip(table["part"], table["size"]):
-            x = np.frombuffer(part.as_buffer(), np.int64)
-            total = x.copy() if total is None else np.add(total, x, out=total)
+def _whole(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids and labels of a block, and its components by range."""
+    parts = sorted((x for x in table.to_pylist() if x["chunk"] >= 0), key=lambda x: x["chunk"])
+    ids, labels = (np.frombuffer(parts[0][c], np.int64) for c in ("ids", "labels"))
+    return ids, labels, [np.frombuffer(x["m"], f"<i{width}").reshape(len(ids), -1) for x in parts]
+
+
+def strips(x: list[np.ndarray], y: list[np.ndarray], wide: bool, narrow: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """The products of x's rows with all of y's, added up over the ranges, a strip of x at a time with where it begins."""
+    step = max(1, STRIP // max(1, len(y[0])))
+    for at in range(0, len(x[0]), step):
+        total = size = 0
+        for xm, ym in zip(x, y):
+            total = total + products(xm[at : at + step], ym)
             if wide:
-                size = np.frombuffer(s.as_buffer(), np.float64) + (0 if size is None else size)
+                size = size + xm[at : at + step].astype(np.float64) @ ym.astype(np.float64).T
         if wide:
             total = np.where(size >= 2.0**63, np.iinfo(np.int64).max, np.where(size < -(2.0**63), np.iinfo(np.int64).min, total))
-        head = table.filter(pc.is_valid(table["aids"])).slice(0, 1).select(["a", "b", "aids", "alabels", "ids", "labels"])
-        return head.append_column("scores", pa.array([total.astype(np.int32 if narrow else np.int64).tobytes()], pa.binary()))
+        yield at, total.astype(np.int32) if narrow else total
+
 
+def tiles(anchors: DataFrame, rows: DataFrame, n_anchor: int, n_row: int):
+    """Each pair of an anchor block and a row block as a cogroup."""
     deal = lambda df, side, n: df.withColumn(side, F.explode(F.expr(f"sequence(0l, {n - 1}l)")))
     left, right = deal(anchors.withColumnRenamed("block", "i"), "j", n_row), deal(rows.withColumnRenamed("block", "j"), "i", n_anchor)
-    left, right = left.withColumn("block", F.col("i")), right.withColumn("block", F.col("j"))
-    parts = left.groupBy("i", "j", "chunk").cogroup(right.groupBy("i", "j", "chunk")).applyInArrow(partial, "a long, b long, aids binary, alabels binary, ids binary, labels binary, part binary, size binary")
-    return parts.groupBy("a", "b").applyInArrow(add, "a long, b long, aids binary, alabels binary, ids binary, labels binary, scores binary")
-
-
-def _opened(row: dict, narrow: bool) -> tuple[np.ndarray, ...]:
-    ids, labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int64)
-    aids, alabels = np.frombuffer(row["aids"], np.int64), np.frombuffer(row["alabels"], np.int64)
-    return aids, alabels, ids, labels, np.frombuffer(row["scores"], np.int32 if narrow else np.int64).reshape(len(aids), -1)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -110,70 +104,81 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, ~scores))[:k]
 
 
-def positives_of(table: DataFrame, narrow: bool, k: int) -> DataFrame:
+def positives_of(anchors: DataFrame, rows: DataFrame, n_anchor: int, n_row: int, width: int, wide: bool, narrow: bool, k: int) -> DataFrame:
     """Of each tile each anchor's k best other rows of its label."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                aids, alabels, ids, labels, scores = _opened(row, narrow)
-                out = []
-                for a, own, s in zip(aids, alabels, scores):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64),) * 3]
+        if left.num_rows and right.num_rows:
+            (aids, alabels, x), (ids, labels, y) = _whole(left, width), _whole(right, width)
+            for start, scores in strips(x, y, wide, narrow):
+                for a, own, s in zip(aids[start:], alabels[start:], scores):
                     at = np.flatnonzero((labels == own) & (ids != a))
                     at = at[_best(s[at], ids[at], k)]
                     out.append((np.full(len(at), a), ids[at], s[at].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["anchor_id", "other_id", "score"])
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["anchor_id", "other_id", "score"])
 
-    return table.mapInArrow(run, FOUND_DDL)
+    return tiles(anchors, rows, n_anchor, n_row).applyInArrow(run, FOUND_DDL)
 
 
-def negatives_of(table: DataFrame, positives: DataFrame, n_row: int, narrow: bool, k: int) -> DataFrame:
+def negatives_of(anchors: DataFrame, rows: DataFrame, positives: DataFrame, n_anchor: int, n_row: int, width: int, wide: bool, narrow: bool, k: int) -> DataFrame:
     """Of each tile the k best rows of other labels in the window of each positive of its anchors; positives carry their anchor block `a`."""
 
     def pack(t: pa.Table) -> pa.Table:
+        """A block's positives as a part of it, numbered -1: anchors, rows and scores."""
         cols = [pa.array([t[c].to_numpy().tobytes()], pa.binary()) for c in ("anchor_id", "other_id", "score")]
-        return pa.table([t["a"][:1].combine_chunks(), *cols], names=["a", "anchors", "others", "scores"])
+        return pa.table([t["a"][:1].combine_chunks(), pa.array([-1], pa.int32()), *cols], names=["block", "chunk", "ids", "labels", "m"])
 
-    def run(tile: pa.Table, asked: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64),) * 5]
-        if tile.num_rows and asked.num_rows:
-            aids, alabels, ids, labels, scores = _opened(tile.to_pylist()[0], narrow)
-            anchor, other, p = (np.frombuffer(asked[c][0].as_py(), np.int64) for c in ("anchors", "others", "scores"))
+        asked = left.filter(pc.equal(left["chunk"], -1))
+        if asked.num_rows and right.num_rows:
+            (aids, alabels, x), (ids, labels, y) = _whole(left, width), _whole(right, width)
+            anchor, other, p = (np.frombuffer(asked[c][0].as_py(), np.int64) for c in ("ids", "labels", "m"))
             order = np.argsort(anchor, kind="stable")
             anchor, other, p = anchor[order], other[order], p[order]
-            for a, own, s in zip(aids, alabels, scores):
-                mine = slice(*np.searchsorted(anchor, [a, a + 1]))
-                on = np.flatnonzero(labels != own)
-                on = on[np.lexsort((ids[on], ~s[on]))]  # highest first
-                up = ~s[on].astype(np.int64)
-                low, high = -(-p[mine] // 2), p[mine] - -(-p[mine] // 20)
-                start, end = np.searchsorted(up, ~high, "left"), np.searchsorted(up, ~low, "right")
-                for q, ps, i, j in zip(other[mine], p[mine], start, np.minimum(end, start + k)):
-                    if j > i:
-                        out.append((np.full(j - i, a), np.full(j - i, q), np.full(j - i, ps), ids[on[i:j]], s[on[i:j]].astype(np.int64)))
+            lows, highs = -(-p // 2), p - -(-p // 20)
+            for at, scores in strips(x, y, wide, narrow):
+                for a, own, s in zip(aids[at:], alabels[at:], scores):
+                    mine = slice(*np.searchsorted(anchor, [a, a + 1]))
+                    low, high = lows[mine], highs[mine]
+                    if not len(low):
+                        continue
+                    on = np.flatnonzero((labels != own) & (s >= low.min()) & (s <= high.max()))
+                    on = on[np.lexsort((ids[on], ~s[on]))]  # highest first
+                    up = ~s[on].astype(np.int64)
+                    start, end = np.searchsorted(up, ~high, "left"), np.searchsorted(up, ~low, "right")
+                    for q, ps, i, j in zip(other[mine], p[mine], start, np.minimum(end, start + k)):
+                        if j > i:
+                            out.append((np.full(j - i, a), np.full(j - i, q), np.full(j - i, ps), ids[on[i:j]], s[on[i:j]].astype(np.int64)))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"])
 
-    asked = positives.groupBy("a").applyInArrow(pack, "a long, anchors binary, others binary, scores binary").withColumn("b", F.explode(F.expr(f"sequence(0l, {n_row - 1}l)")))
-    return table.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInArrow(run, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
+    asked = positives.groupBy("a").applyInArrow(pack, BLOCK_DDL)
+    return tiles(anchors.unionByName(asked), rows, n_anchor, n_row).applyInArrow(run, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
 
 
 def hard_negatives(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", every: int = EVERY, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
     """For each anchor and positive the best rows of other labels whose score is 50 to 95 hundredths of the positive's."""
-    usable = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    kind = rows.schema[vec_col].dataType.simpleString()  # floats travel as such, and order alike
+    usable = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
     usable = usable.filter("id is not null and label is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    usable = _shuffle.cut(usable.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v"))
-    asked = usable.filter(F.pmod("id", F.lit(every)) == 0)
-    size = usable.agg(F.max(F.size("v")).alias("dims"), F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0d, (a, x) -> greatest(a, abs(x)))")).alias("largest")).first()
+    anchor = F.pmod("id", F.lit(every)) == 0
+    # over all rows, also those whose id repeats: these sizes are bounds
+    size = usable.agg(F.max(F.size("v")).alias("dims"), F.count("*").alias("n"), F.count_if(anchor).alias("anchors"), F.max(F.expr("aggregate(v, 0d, (a, x) -> greatest(a, abs(x)))")).alias("largest")).first()
+    usable = usable.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v")
     dims, largest = max(1, size["dims"] or 1), size["largest"] or 0.0
     bound, width = dims * (SCALE * largest + 1) ** 2, width_of(largest)
     wide, narrow = bound >= 2.0**62, bound < 2.0**30
-    n_row, n_anchor = max(1, -(-size["n"] // ROWS)), max(1, -(-asked.count() // ANCHORS))
+    most = max(1, BLOCK_BYTES // (dims * width))
+    n_anchor = max(1, -(-size["anchors"] // min(ANCHORS, most)))
+    n_row = max(1, -(-size["n"] // min(ROWS, most)), min(LEAST_BLOCKS, size["n"] // LEAST_ROWS))
     number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    data = _shuffle.cut(tiles(blocks(asked, number(n_anchor), dims, width), blocks(usable, number(n_row), dims, width), n_anchor, n_row, width, wide, narrow))
+    left, right = (_shuffle.cut(blocks(df, number(n), dims, width)) for df, n in ((usable.filter(anchor), n_anchor), (usable, n_row)))
+    shape = (n_anchor, n_row, width, wide, narrow)
     rank = lambda *by, score, other: F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(other)))
-    near = positives_of(data, narrow, positives).withColumn("rank", rank("anchor_id", score="score", other="other_id")).filter(F.col("rank") <= positives)
+    near = positives_of(left, right, *shape, positives).withColumn("rank", rank("anchor_id", score="score", other="other_id")).filter(F.col("rank") <= positives)
     near = near.withColumn("a", F.pmod(F.xxhash64("anchor_id"), F.lit(n_anchor)))
-    found = negatives_of(data, near, n_row, narrow, negatives)
+    found = negatives_of(left, right, near, *shape, negatives)
     found = found.withColumn("rank", rank("anchor_id", "positive_id", score="negative_score", other="negative_id")).filter(F.col("rank") <= negatives)
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
